@@ -128,6 +128,61 @@ def q_presence(spark, sf_dir):
     return compare.presence(_links(spark, sf_dir))
 
 
+def _compare_inputs(spark, sf_dir):
+    links = _links(spark, sf_dir)
+    folders = compare.folders_from_paths(links.select("file_id", "folder"))
+    files = links.select("file_id").distinct()
+    return links, folders, files
+
+
+def _multi_query(opts: CompareOptions, kinds):
+    def q(spark, sf_dir):
+        links, folders, files = _compare_inputs(spark, sf_dir)
+        return compare.multi_compare(links, folders, files, opts, pos="link_id", kinds=kinds)
+
+    return q
+
+
+MULTI_VARIANTS = {
+    "multi_unique": (CompareOptions(), ("bookmark",)),
+    "multi_intersection": (CompareOptions(analysis="intersection"), ("bookmark",)),
+    "multi_folders_unique": (CompareOptions(), ("folder",)),
+    "multi_folders_intersection": (CompareOptions(analysis="intersection"), ("folder",)),
+    "multi_report": (CompareOptions(), ("bookmark", "folder")),
+    "multi_report_intersection": (CompareOptions(analysis="intersection"), ("bookmark", "folder")),
+    "multi_unique_d_f": (CompareOptions(decode=True, filter=True), ("bookmark",)),
+    "multi_intersection_title": (CompareOptions(analysis="intersection", mode="url-title"), ("bookmark",)),
+    "multi_unique_title_d": (CompareOptions(mode="url-title", decode=True), ("bookmark",)),
+}
+
+# The two files of the A/B reports.
+FILE_A, FILE_B = "f0", "f1"
+
+
+def _diff_query(opts: CompareOptions, kinds):
+    def q(spark, sf_dir):
+        links, folders, _ = _compare_inputs(spark, sf_dir)
+        return compare.diff_report(links, folders, FILE_A, FILE_B, opts, pos="link_id", kinds=kinds)
+
+    return q
+
+
+DIFF_VARIANTS = {
+    "diff_folders": (CompareOptions(), ("folder",)),
+    "diff_report": (CompareOptions(), ("bookmark", "folder")),
+    "diff_d": (CompareOptions(decode=True), ("bookmark", "folder")),
+    "diff_f_title": (CompareOptions(filter=True, mode="url-title"), ("bookmark",)),
+}
+
+
+def q_diff_a_only(spark, sf_dir):
+    return compare.only_in(_links(spark, sf_dir), FILE_A, FILE_B, pos="link_id", section="a_only")
+
+
+def q_diff_b_only(spark, sf_dir):
+    return compare.only_in(_links(spark, sf_dir), FILE_B, FILE_A, pos="link_id", section="b_only")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "fixture_links": q_fixture_links,
@@ -143,6 +198,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[name] = _dedup_query(opts)
     for name, (mode, opts) in BATCH_VARIANTS.items():
         out[name] = _batch_query(mode, opts)
+    out["diff_a_only"] = q_diff_a_only
+    out["diff_b_only"] = q_diff_b_only
+    for name, (opts, kinds) in DIFF_VARIANTS.items():
+        out[name] = _diff_query(opts, kinds)
+    for name, (opts, kinds) in MULTI_VARIANTS.items():
+        out[name] = _multi_query(opts, kinds)
     return out
 
 
@@ -242,6 +303,78 @@ def _compare_key_sql(c: CompareOptions) -> tuple[str, str]:
     return _url_key_sql(o), _title_key_sql(o)
 
 
+_NULL = "cast(null as varchar)"
+_FOLDERS_SQL = """folders as (
+  select distinct file_id, array_to_string(parts[1:n], '/') as folder
+  from (select file_id, parts, unnest(generate_series(1, len(parts))) as n
+        from (select file_id, string_split(folder, '/') as parts from links) s) p)"""
+
+
+def _keyed_sql(c: CompareOptions, where: str = "") -> str:
+    ku, kt = _compare_key_sql(c)
+    conds = []
+    if c.filter:
+        conds.append("lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) in ('http', 'https', 'ftp')")
+    if where:
+        conds.append(where)
+    w = ("where " + " and ".join(conds)) if conds else ""
+    return f"""keyed as (select *, {ku} as key_url, {kt} as key_title from links {w}),
+reps as (select * from (select *, row_number() over (
+    partition by file_id, key_url, key_title order by link_id) as rn from keyed) x where rn = 1)"""
+
+
+def _multi_sql(c: CompareOptions, kinds) -> str:
+    n = "1" if c.analysis == "unique" else "(select count(distinct file_id) from links)"
+    parts = []
+    if "bookmark" in kinds:
+        file_expr = "file_id" if c.analysis == "unique" else _NULL
+        parts.append(f"""select 'bookmark' as item_kind, '{c.analysis}' as section, {file_expr} as file_id,
+  key_url, key_title, url, title, folder, n_files
+from (select *, count(*) over (partition by key_url, key_title) as n_files,
+        row_number() over (partition by key_url, key_title order by file_id, link_id) as rk from reps) b
+where rk = 1 and n_files = {n}""")
+    if "folder" in kinds:
+        file_expr = "min(file_id)" if c.analysis == "unique" else _NULL
+        parts.append(f"""select 'folder' as item_kind, '{c.analysis}' as section, {file_expr} as file_id,
+  {_NULL} as key_url, {_NULL} as key_title, {_NULL} as url, {_NULL} as title, folder, count(*) as n_files
+from folders group by folder having count(*) = {n}""")
+    body = "\nunion all\n".join(parts)
+    return f"with links as ({_LINKS_SQL}),\n{_FOLDERS_SQL},\n{_keyed_sql(c)}\n{body}"
+
+
+def _diff_sql(c: CompareOptions, kinds) -> str:
+    a, b = FILE_A, FILE_B
+    parts = []
+    if "bookmark" in kinds:
+        parts.append(f"""select 'bookmark' as item_kind, case when in_a then 'a_only' else 'b_only' end as section,
+  r.file_id, g.key_url, g.key_title, r.url, r.title, r.folder, cast(1 as bigint) as n_files
+from (select key_url, key_title, bool_or(file_id = '{a}') as in_a, bool_or(file_id = '{b}') as in_b
+      from keyed group by key_url, key_title) g
+join (select * from (select *, row_number() over (partition by key_url, key_title
+        order by case when file_id = '{a}' then 0 else 1 end, link_id) as rk from keyed) x where rk = 1) r
+  on r.key_url = g.key_url and r.key_title = g.key_title
+where in_a <> in_b""")
+    if "folder" in kinds:
+        parts.append(f"""select 'folder' as item_kind, case when in_a then 'a_only' else 'b_only' end as section,
+  f as file_id, {_NULL} as key_url, {_NULL} as key_title, {_NULL} as url, {_NULL} as title, folder,
+  cast(1 as bigint) as n_files
+from (select folder, bool_or(file_id = '{a}') as in_a, bool_or(file_id = '{b}') as in_b, min(file_id) as f
+      from folders where file_id in ('{a}', '{b}') group by folder) g
+where in_a <> in_b""")
+    body = "\nunion all\n".join(parts)
+    keyed = _keyed_sql(c, f"file_id in ('{a}', '{b}')")
+    return f"with links as ({_LINKS_SQL}),\n{_FOLDERS_SQL},\n{keyed}\n{body}"
+
+
+def _only_in_sql(a: str, b: str, section: str) -> str:
+    return f"""with links as ({_LINKS_SQL}),
+{_keyed_sql(CompareOptions(), f"file_id in ('{a}', '{b}')")}
+select 'bookmark' as item_kind, '{section}' as section, file_id, key_url, key_title, url, title, folder,
+  cast(1 as bigint) as n_files
+from reps r where file_id = '{a}' and not exists (
+  select 1 from keyed k where k.file_id = '{b}' and k.key_url = r.key_url and k.key_title = r.key_title)"""
+
+
 _ANCHOR_RE = r"(?is)<a\b[^>]*>.*?</a\s*>"
 _HREF_RE = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
@@ -283,4 +416,10 @@ group by key_url, key_title""",
         out[name] = _dedup_sql(o)
     for name, (mode, o) in BATCH_VARIANTS.items():
         out[name] = _batch_sql(mode, o)
+    out["diff_a_only"] = _only_in_sql(FILE_A, FILE_B, "a_only")
+    out["diff_b_only"] = _only_in_sql(FILE_B, FILE_A, "b_only")
+    for name, (c, kinds) in DIFF_VARIANTS.items():
+        out[name] = _diff_sql(c, kinds)
+    for name, (c, kinds) in MULTI_VARIANTS.items():
+        out[name] = _multi_sql(c, kinds)
     return out

@@ -179,13 +179,19 @@ def diff_report(
 
 
 def only_in(
-    links: DataFrame, file_a: str, file_b: str, opts: CompareOptions = CompareOptions(), file_col: str = "file_id", pos: str = "pos"
+    links: DataFrame,
+    file_a: str,
+    file_b: str,
+    opts: CompareOptions = CompareOptions(),
+    file_col: str = "file_id",
+    pos: str = "pos",
+    section: str = "a_only",
 ) -> DataFrame:
     """Bookmarks of ``file_a`` whose key is not in ``file_b`` (anti join)."""
     keyed = compare_keys(links.where(F.col(file_col).isin(file_a, file_b)), opts)
     a = _first_per_group(keyed.where(F.col(file_col) == file_a), [file_col, *KEY], pos)
     b = keyed.where(F.col(file_col) == file_b).select(*KEY).distinct()
     return _report(
-        a.join(b, list(KEY), "left_anti"), "bookmark", F.lit("a_only"), F.col(file_col),
+        a.join(b, list(KEY), "left_anti"), "bookmark", F.lit(section), F.col(file_col),
         F.col("key_url"), F.col("key_title"), F.col("url"), F.col("title"), F.col("folder"), F.lit(1),
     )
