@@ -16,9 +16,12 @@ from markhive import CompareOptions, KeyOptions
 from markhive.functions import decode_entities, decode_percent, url_scheme
 from markhive.functions.urls import has_allowed_protocol
 from markhive.operators import compare, dedup
-from markhive.operators.extract import extract_links
+from markhive.operators import naming
+from markhive.operators.extract import extract_links, parse_bookmarks
+from markhive.operators.jsontree import flatten_json, items_from_json, json_folders, json_links
+from markhive.operators.render import render_documents
 from markhive.sources.documents import pages_documents
-from markhive.sources.fixtures import links_fixture
+from markhive.sources.fixtures import fixture_documents, links_fixture
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -183,6 +186,79 @@ def q_diff_b_only(spark, sf_dir):
     return compare.only_in(_links(spark, sf_dir), FILE_B, FILE_A, pos="link_id", section="b_only")
 
 
+def _html_tree(spark, sf_dir):
+    docs = fixture_documents(_pages(spark, sf_dir), "html").select("file_id", F.col("text").alias("html"))
+    return parse_bookmarks(docs)
+
+
+def q_html_roundtrip(spark, sf_dir):
+    links = _html_tree(spark, sf_dir).links
+    return links.select("file_id", F.array_join("folder", "/").alias("folder"), "url", "title")
+
+
+def q_folder_list(spark, sf_dir):
+    folders = _html_tree(spark, sf_dir).folders
+    return folders.select("file_id", F.array_join("folder", "/").alias("folder"))
+
+
+def _json_nodes(spark, sf_dir):
+    docs = fixture_documents(_pages(spark, sf_dir), "json")
+    return flatten_json(docs, doc="path", js="text")
+
+
+def q_json_roundtrip(spark, sf_dir):
+    links = json_links(_json_nodes(spark, sf_dir))
+    return links.select(F.col("doc").alias("path"), F.array_join("folder", "/").alias("folder"), "url", "title")
+
+
+def q_json_folder_list(spark, sf_dir):
+    folders = json_folders(_json_nodes(spark, sf_dir))
+    return folders.select(F.col("doc").alias("path"), F.array_join("folder", "/").alias("folder"))
+
+
+def q_json_to_html(spark, sf_dir):
+    html = render_documents(items_from_json(_json_nodes(spark, sf_dir)), fmt="html", escape=True)
+    tree = parse_bookmarks(html.select(F.col("doc").alias("path"), F.col("text").alias("html")), doc="path")
+    return tree.links.select(
+        "path",
+        decode_entities(F.array_join("folder", "/")).alias("folder"),
+        decode_entities("url").alias("url"),
+        decode_entities("title").alias("title"),
+    )
+
+
+def _json_counts(spark, sf_dir):
+    docs = fixture_documents(_pages(spark, sf_dir), "json")
+    links = json_links(flatten_json(docs, doc="path", js="text")).withColumnRenamed("doc", "path")
+    return dedup.link_counts(docs.select("path"), links, file_col="path")
+
+
+def q_link_counts(spark, sf_dir):
+    return _json_counts(spark, sf_dir)
+
+
+CONVERT_DIR = "/converted"
+
+
+def q_smart_names(spark, sf_dir):
+    return naming.smart_names(_json_counts(spark, sf_dir)).select("path", "n_links", "target_dir", "target_path")
+
+
+def q_smart_names_o(spark, sf_dir):
+    named = naming.smart_names(_json_counts(spark, sf_dir), output_dir=CONVERT_DIR)
+    return named.select("path", "n_links", "target_dir", "target_path")
+
+
+def q_stem_names(spark, sf_dir):
+    docs = fixture_documents(_pages(spark, sf_dir), "json").select("path")
+    return naming.stem_names(docs).select("path", "target_dir", "target_path")
+
+
+def q_stem_names_o(spark, sf_dir):
+    docs = fixture_documents(_pages(spark, sf_dir), "json").select("path")
+    return naming.stem_names(docs, output_dir=CONVERT_DIR).select("path", "target_dir", "target_path")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "fixture_links": q_fixture_links,
@@ -204,6 +280,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[name] = _diff_query(opts, kinds)
     for name, (opts, kinds) in MULTI_VARIANTS.items():
         out[name] = _multi_query(opts, kinds)
+    out.update(
+        html_roundtrip=q_html_roundtrip,
+        folder_list=q_folder_list,
+        json_roundtrip=q_json_roundtrip,
+        json_folder_list=q_json_folder_list,
+        json_to_html=q_json_to_html,
+        link_counts=q_link_counts,
+        smart_names=q_smart_names,
+        smart_names_o=q_smart_names_o,
+        stem_names=q_stem_names,
+        stem_names_o=q_stem_names_o,
+    )
     return out
 
 
@@ -375,6 +463,46 @@ from reps r where file_id = '{a}' and not exists (
   select 1 from keyed k where k.file_id = '{b}' and k.key_url = r.key_url and k.key_title = r.key_title)"""
 
 
+_PAGE_FOLDERS_SQL = """page_folders as (
+  select distinct page_id, array_to_string(parts[1:n], '/') as folder
+  from (select page_id, parts, unnest(generate_series(1, len(parts))) as n
+        from (select page_id, string_split(folder, '/') as parts from links) s) p)"""
+
+_JSON_PATHS_SQL = """paths as (
+  select page_id, case when page_id % 3 = 0
+      then concat(b, cast(page_id as varchar), '/Bookmarks')
+      else concat(b, 'p', cast(page_id as varchar), '.json') end as path
+  from (select page_id, concat('/exports/', regexp_extract(url, '^https?://[^/]+/([a-z][a-z])/', 1), '/',
+                regexp_extract(url, '^https?://([^/:]+)', 1), '/') as b from pages) x)"""
+
+_COUNTS_SQL = f"""with links as ({_LINKS_SQL}),
+{_JSON_PATHS_SQL},
+counts as (select p.path, cast(count(l.link_id) as bigint) as n_links
+           from paths p left join links l on l.page_id = p.page_id group by p.path)"""
+
+_PARENT_SQL = "regexp_extract(path, '^(.*)/[^/]*$', 1)"
+
+
+def _smart_sql(output_dir: str | None) -> str:
+    tdir = f"'{output_dir}'" if output_dir else _PARENT_SQL
+    return (
+        _COUNTS_SQL
+        + f"""
+select path, n_links, target_dir, concat(target_dir, '/bookmarks_', cast(n_links as varchar),
+    case when rn > 1 then concat('_', cast(rn as varchar)) else '' end, '.html') as target_path
+from (select *, row_number() over (partition by target_dir, n_links order by path) as rn
+      from (select *, {tdir} as target_dir from counts) c) r"""
+    )
+
+
+def _stem_sql(output_dir: str | None) -> str:
+    tdir = f"'{output_dir}'" if output_dir else _PARENT_SQL
+    return f"""with {_JSON_PATHS_SQL}
+select path, target_dir, concat(target_dir, '/',
+    regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^(.+?)(\\.[^.]*)?$', 1), '.html') as target_path
+from (select path, {tdir} as target_dir from paths) t"""
+
+
 _ANCHOR_RE = r"(?is)<a\b[^>]*>.*?</a\s*>"
 _HREF_RE = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
@@ -422,4 +550,26 @@ group by key_url, key_title""",
         out[name] = _diff_sql(c, kinds)
     for name, (c, kinds) in MULTI_VARIANTS.items():
         out[name] = _multi_sql(c, kinds)
+    json_links_sql = f"""with links as ({_LINKS_SQL}),
+{_JSON_PATHS_SQL}
+select p.path, concat('Bookmarks bar/', l.folder) as folder, l.url, l.title
+from links l join paths p on p.page_id = l.page_id"""
+    out.update(
+        html_roundtrip=_WITH_LINKS + "select cast(page_id as varchar) as file_id, folder, url, title from links",
+        folder_list=f"with links as ({_LINKS_SQL}),\n{_PAGE_FOLDERS_SQL}\n"
+        "select cast(page_id as varchar) as file_id, folder from page_folders",
+        json_roundtrip=json_links_sql,
+        json_to_html=json_links_sql,
+        json_folder_list=f"""with links as ({_LINKS_SQL}),
+{_PAGE_FOLDERS_SQL},
+{_JSON_PATHS_SQL}
+select p.path, 'Bookmarks bar' as folder from paths p
+union all
+select p.path, concat('Bookmarks bar/', f.folder) as folder from page_folders f join paths p on p.page_id = f.page_id""",
+        link_counts=_COUNTS_SQL + "\nselect path, n_links from counts",
+        smart_names=_smart_sql(None),
+        smart_names_o=_smart_sql(CONVERT_DIR),
+        stem_names=_stem_sql(None),
+        stem_names_o=_stem_sql(CONVERT_DIR),
+    )
     return out

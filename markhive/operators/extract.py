@@ -124,20 +124,26 @@ def _folder_paths(folders: DataFrame, doc: str) -> DataFrame:
     the resolved suffix, so depth d needs about log2(d) rounds.  Every round is
     checkpointed (reliable checkpoint in the session's checkpoint folder) to
     cut lineage; the loop ends when no folder has an unresolved ancestor.
+    Returns ``(doc, pos, _fp_path)``.
     """
-    state = folders.select(doc, "pos", F.col("parent").alias("anc"), F.array("name").alias("path"))
+    state = folders.select(doc, "pos", F.col("parent").alias("_fp_anc"), F.array("name").alias("_fp_path"))
     for _ in range(64):
         state = state.checkpoint(eager=True)
-        if state.where(F.col("anc").isNotNull()).isEmpty():
-            return state.drop("anc")
+        if state.where(F.col("_fp_anc").isNotNull()).isEmpty():
+            return state.drop("_fp_anc")
         up = state.select(
-            F.col(doc).alias("_d"), F.col("pos").alias("_apos"), F.col("anc").alias("_aanc"), F.col("path").alias("_apath")
+            F.col(doc).alias("_fp_d"),
+            F.col("pos").alias("_fp_apos"),
+            F.col("_fp_anc").alias("_fp_aanc"),
+            F.col("_fp_path").alias("_fp_apath"),
         )
-        state = state.join(up, (F.col(doc) == F.col("_d")) & (F.col("anc") == F.col("_apos")), "left").select(
+        joined = state.join(up, (F.col(doc) == F.col("_fp_d")) & (F.col("_fp_anc") == F.col("_fp_apos")), "left")
+        resolved = F.col("_fp_anc").isNotNull()
+        state = joined.select(
             doc,
             "pos",
-            F.when(F.col("anc").isNotNull(), F.col("_aanc")).alias("anc"),
-            F.when(F.col("anc").isNotNull(), F.concat("_apath", "path")).otherwise(F.col("path")).alias("path"),
+            F.when(resolved, F.col("_fp_aanc")).alias("_fp_anc"),
+            F.when(resolved, F.concat("_fp_apath", "_fp_path")).otherwise(F.col("_fp_path")).alias("_fp_path"),
         )
     raise RuntimeError("folder nesting deeper than 2**64")
 
@@ -152,7 +158,7 @@ def resolve_tree(tokens: DataFrame, doc: str = "file_id", chunk_rows: int = DEFA
     folders = items.where(F.col("kind") == "folder").select(doc, "pos", "parent", "name")
     paths = _folder_paths(folders, doc)
     links = items.where((F.col("kind") == "link") & (F.col("url") != ""))
-    parent_paths = paths.select(F.col(doc).alias("_d"), F.col("pos").alias("_fpos"), F.col("path").alias("_fpath"))
+    parent_paths = paths.select(F.col(doc).alias("_d"), F.col("pos").alias("_fpos"), F.col("_fp_path").alias("_fpath"))
     links = links.join(
         parent_paths, (F.col(doc) == F.col("_d")) & (F.col("parent") == F.col("_fpos")), "left"
     ).select(
@@ -162,7 +168,7 @@ def resolve_tree(tokens: DataFrame, doc: str = "file_id", chunk_rows: int = DEFA
         "url",
         "title",
     )
-    return Tree(links=links, folders=paths.select(doc, "pos", F.col("path").alias("folder")))
+    return Tree(links=links, folders=paths.select(doc, "pos", F.col("_fp_path").alias("folder")))
 
 
 def parse_bookmarks(docs: DataFrame, doc: str = "file_id", html: str = "html") -> Tree:

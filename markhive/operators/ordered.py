@@ -67,3 +67,22 @@ def last_before(
         .withColumn(out, F.coalesce("_lb_local", "_lb_carry"))
         .drop("_lb_local", "_lb_carry")
     )
+
+
+def rank_within(df: DataFrame, group: Sequence[str], order: str, out: str, chunks: int | None = None) -> DataFrame:
+    """``out`` = 1-based place of each row in its ``group`` ordered by ``order``.
+
+    Like ``row_number()`` over ``partitionBy(group)``, but a large group is
+    split: rows are range-partitioned on ``(group, order)``, each task numbers
+    its share, and earlier tasks' counts are added from the per-chunk table.
+    ``order`` must be unique within a group.
+    """
+    group = list(group)
+    n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (
+        df.repartitionByRange(n, *[F.col(g) for g in group], F.col(order))
+        .withColumn("_rk_chunk", F.spark_partition_id().cast("bigint"))
+        .withColumn("_rk_one", F.lit(1))
+    )
+    ranked = running_sum_before(ranged, group, order, "_rk_chunk", "_rk_one", out)
+    return ranked.withColumn(out, F.col(out) + 1).drop("_rk_chunk", "_rk_one")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.extract import tokenize
+from ..operators.render import NETSCAPE_FOOTER, NETSCAPE_HEADER, items_from_links, render_documents
 
 
 def links_fixture(pages: DataFrame) -> DataFrame:
@@ -61,3 +62,48 @@ def links_of_with_page(pages: DataFrame) -> DataFrame:
     docs = pages.select("page_id", F.col("url").alias("page_url"), "html")
     toks = tokenize(docs, doc="page_id", html="html", anchors_only=True, keep=["page_url"])
     return toks.select("page_id", "pos", F.col("url").alias("href"), F.col("title").alias("t"), "page_url")
+
+
+def fixture_paths(pages: DataFrame, kind: str) -> DataFrame:
+    """A file path per page, derived from its URL: ``(page_id, path)``.
+
+    JSON: every third page is a Chromium ``Bookmarks`` file in its own
+    folder, the others are ``p<id>.json`` files that share a host folder.
+    HTML: ``p<id>.html`` files in host folders.
+    """
+    lang = F.regexp_extract("url", r"^https?://[^/]+/([a-z][a-z])/", 1)
+    host = F.regexp_extract("url", r"^https?://([^/:]+)", 1)
+    base = F.concat(F.lit("/exports/"), lang, F.lit("/"), host, F.lit("/"))
+    pid = F.col("page_id").cast("string")
+    if kind == "json":
+        path = F.when(
+            F.col("page_id") % 3 == 0, F.concat(base, pid, F.lit("/Bookmarks"))
+        ).otherwise(F.concat(base, F.lit("p"), pid, F.lit(".json")))
+    else:
+        path = F.concat(base, F.lit("p"), pid, F.lit(".html"))
+    return pages.select("page_id", path.alias("path"))
+
+
+def fixture_documents(pages: DataFrame, fmt: str) -> DataFrame:
+    """One bookmark document per page, holding that page's fixture links.
+
+    ``(page_id, file_id, path, text)``; ``file_id`` is the page id as text.
+    ``fmt`` is ``html`` (raw values written as they are, like a file whose
+    text was never decoded) or ``json`` (values as JSON strings).  Pages
+    without links give an empty document.  A page is one row, so each
+    document is bounded by one input row.
+    """
+    links = links_fixture(pages).withColumn("doc", F.col("page_id").cast("string"))
+    items = items_from_links(links, doc="doc", folder="folder", pos="link_id")
+    docs = render_documents(items, fmt=fmt, escape=False)
+    paths = fixture_paths(pages, fmt).withColumn("doc", F.col("page_id").cast("string"))
+    empty_text = EMPTY_DOCUMENT[fmt]
+    return paths.join(docs, "doc", "left").select(
+        "page_id", F.col("doc").alias("file_id"), "path", F.coalesce("text", F.lit(empty_text)).alias("text")
+    )
+
+
+EMPTY_DOCUMENT = {
+    "json": '{"roots":{"bookmark_bar":{"type":"folder","name":"Bookmarks bar","children":[]}}}',
+    "html": NETSCAPE_HEADER + "\n" + NETSCAPE_FOOTER + "\n",
+}
