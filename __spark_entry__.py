@@ -17,7 +17,8 @@ from markhive.functions import decode_entities, decode_percent, url_scheme
 from markhive.functions.urls import has_allowed_protocol
 from markhive.operators import compare, dedup
 from markhive.operators import naming
-from markhive.operators.extract import extract_links, parse_bookmarks
+from markhive.operators.extract import extract_links, links_of, parse_bookmarks, resolve_tree
+from markhive.operators.tolerant import tokenize_tolerant
 from markhive.operators.jsontree import flatten_json, items_from_json, json_folders, json_links
 from markhive.operators.render import render_documents
 from markhive.sources.documents import pages_documents
@@ -191,6 +192,16 @@ def _html_tree(spark, sf_dir):
     return parse_bookmarks(docs)
 
 
+def q_extract_tolerant(spark, sf_dir):
+    return links_of(tokenize_tolerant(pages_documents(_pages(spark, sf_dir))))
+
+
+def q_html_roundtrip_tolerant(spark, sf_dir):
+    docs = fixture_documents(_pages(spark, sf_dir), "html").select("file_id", F.col("text").alias("html"))
+    links = resolve_tree(tokenize_tolerant(docs)).links
+    return links.select("file_id", F.array_join("folder", "/").alias("folder"), "url", "title")
+
+
 def q_html_roundtrip(spark, sf_dir):
     links = _html_tree(spark, sf_dir).links
     return links.select("file_id", F.array_join("folder", "/").alias("folder"), "url", "title")
@@ -282,6 +293,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[name] = _multi_query(opts, kinds)
     out.update(
         html_roundtrip=q_html_roundtrip,
+        html_roundtrip_tolerant=q_html_roundtrip_tolerant,
+        extract_tolerant=q_extract_tolerant,
         folder_list=q_folder_list,
         json_roundtrip=q_json_roundtrip,
         json_folder_list=q_json_folder_list,
@@ -540,6 +553,8 @@ where link_id <> kept_pos""",
 from (select file_id, {ku} as key_url, {kt} as key_title from links) k
 group by key_url, key_title""",
     }
+    # The tolerant parser must give what the regex gives on these pages.
+    out["extract_tolerant"] = out["extract_links"]
     for name, o in DEDUP_VARIANTS.items():
         out[name] = _dedup_sql(o)
     for name, (mode, o) in BATCH_VARIANTS.items():
@@ -556,6 +571,8 @@ select p.path, concat('Bookmarks bar/', l.folder) as folder, l.url, l.title
 from links l join paths p on p.page_id = l.page_id"""
     out.update(
         html_roundtrip=_WITH_LINKS + "select cast(page_id as varchar) as file_id, folder, url, title from links",
+        html_roundtrip_tolerant=_WITH_LINKS
+        + "select cast(page_id as varchar) as file_id, folder, url, title from links",
         folder_list=f"with links as ({_LINKS_SQL}),\n{_PAGE_FOLDERS_SQL}\n"
         "select cast(page_id as varchar) as file_id, folder from page_folders",
         json_roundtrip=json_links_sql,
