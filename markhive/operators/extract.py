@@ -87,8 +87,8 @@ def extract_links(docs: DataFrame, doc: str = "file_id", html: str = "html") ->
 class Tree:
     """Result of ``resolve_tree``: links and folders with full folder paths."""
 
-    links: DataFrame  # doc, pos, folder array<string>, url, title
-    folders: DataFrame  # doc, pos, folder array<string> (path including own name)
+    links: DataFrame  # doc, pos, folder array<string>, folder_pos array<bigint>, url, title
+    folders: DataFrame  # doc, pos, folder array<string> (own name last), folder_pos array<bigint>
 
 
 def _depth_and_parent(tokens: DataFrame, doc: str, chunk_rows: int) -> DataFrame:
@@ -124,9 +124,11 @@ def _folder_paths(folders: DataFrame, doc: str) -> DataFrame:
     the resolved suffix, so depth d needs about log2(d) rounds.  Every round is
     checkpointed (reliable checkpoint in the session's checkpoint folder) to
     cut lineage; the loop ends when no folder has an unresolved ancestor.
-    Returns ``(doc, pos, _fp_path)``.
+    Returns ``(doc, pos, _fp_path)``; the path is an array of ``(o, n)``:
+    each folder's position and name, outermost first.
     """
-    state = folders.select(doc, "pos", F.col("parent").alias("_fp_anc"), F.array("name").alias("_fp_path"))
+    own = F.struct(F.col("pos").alias("o"), F.col("name").alias("n"))
+    state = folders.select(doc, "pos", F.col("parent").alias("_fp_anc"), F.array(own).alias("_fp_path"))
     for _ in range(64):
         state = state.checkpoint(eager=True)
         if state.where(F.col("_fp_anc").isNotNull()).isEmpty():
@@ -164,11 +166,18 @@ def resolve_tree(tokens: DataFrame, doc: str = "file_id", chunk_rows: int = DEFA
     ).select(
         doc,
         "pos",
-        F.coalesce("_fpath", F.array().cast("array<string>")).alias("folder"),
+        F.coalesce(F.transform("_fpath", lambda x: x["n"]), F.array().cast("array<string>")).alias("folder"),
+        F.coalesce(F.transform("_fpath", lambda x: x["o"]), F.array().cast("array<bigint>")).alias("folder_pos"),
         "url",
         "title",
     )
-    return Tree(links=links, folders=paths.select(doc, "pos", F.col("_fp_path").alias("folder")))
+    folders = paths.select(
+        doc,
+        "pos",
+        F.transform("_fp_path", lambda x: x["n"]).alias("folder"),
+        F.transform("_fp_path", lambda x: x["o"]).alias("folder_pos"),
+    )
+    return Tree(links=links, folders=folders)
 
 
 def parse_bookmarks(docs: DataFrame, doc: str = "file_id", html: str = "html") -> Tree:

@@ -85,6 +85,39 @@ def items_from_links(
     return link_items.unionByName(folder_items)
 
 
+def items_from_tree(links: DataFrame, folders: DataFrame | None = None, doc: str = "file_id") -> DataFrame:
+    """Tree items in the parsed document's own order (``extract.Tree``).
+
+    Every folder of ``folders`` is kept, also one left without links
+    (dedup never removes folders, decision D13).
+    """
+
+    link_items = links.select(
+        F.col(doc).alias("doc"),
+        F.lit("link").alias("kind"),
+        F.transform(F.arrays_zip(F.col("folder_pos").alias("o"), F.col("folder").alias("n")), lambda z: elem(1, z["o"], z["n"])).alias("path"),
+        elem(1, F.col("pos"), "").alias("elem"),
+        F.col("pos").cast("bigint").alias("pos"),
+        F.lit(None).cast("string").alias("name"),
+        "url",
+        "title",
+    )
+    if folders is None:
+        return link_items
+    zipped = F.arrays_zip(F.col("folder_pos").alias("o"), F.col("folder").alias("n"))
+    folder_items = folders.select(
+        F.col(doc).alias("doc"),
+        F.lit("folder").alias("kind"),
+        F.transform(F.slice(zipped, 1, F.size("folder") - 1), lambda z: elem(1, z["o"], z["n"])).alias("path"),
+        elem(1, F.col("pos"), F.element_at("folder", -1)).alias("elem"),
+        F.col("pos").cast("bigint").alias("pos"),
+        F.element_at("folder", -1).alias("name"),
+        F.lit(None).cast("string").alias("url"),
+        F.lit(None).cast("string").alias("title"),
+    )
+    return link_items.unionByName(folder_items)
+
+
 def _lines(items: DataFrame, fmt: str, escape: bool) -> DataFrame:
     """One or two lines per item: ``(doc, k, p, role, line)``."""
     depth = F.size("path") + 1

@@ -22,8 +22,12 @@ def write_table(df: DataFrame, out: str, partition_by: str | None = None, mode:
 
 
 def _open(path: str):
+    from urllib.parse import urlparse
+
     from pyarrow import fs
 
+    if path.startswith("file:"):
+        path = urlparse(path).path
     filesystem, p = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     parent = p.rsplit("/", 1)[0]
     if parent:

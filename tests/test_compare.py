@@ -1,0 +1,107 @@
+"""Comparison (A9, X1-X10): FIXTURES.md presence table and set goldens."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from markhive import CompareOptions
+from markhive.operators import compare
+
+
+def histogram(links, opts):
+    p = compare.presence(links, opts)
+    return {r.n_files: r["count"] for r in p.groupBy("n_files").count().collect()}
+
+
+@pytest.mark.parametrize(
+    "opts,expected",
+    [
+        (CompareOptions(mode="url"), {1: 651, 2: 203, 3: 20}),
+        (CompareOptions(mode="url", filter=True), {1: 651, 2: 203, 3: 19}),
+        (CompareOptions(mode="url", decode=True), {1: 549, 2: 226, 3: 30}),
+        (CompareOptions(mode="url-title"), {1: 962, 2: 153, 3: 8}),
+        (CompareOptions(mode="url-title", decode=True), {1: 894, 2: 169, 3: 15}),
+    ],
+)
+def test_presence_table(links01, opts, expected):
+    assert histogram(links01, opts) == expected
+
+
+def test_filter_rows_left(links01):
+    from markhive.functions import has_allowed_protocol
+
+    assert links01.where(has_allowed_protocol("url")).count() == 1304
+
+
+def test_folder_presence(links01):
+    folders = compare.folders_from_paths(links01.select("file_id", "folder"))
+    leaf = links01.select("file_id", "folder").distinct()
+    hist = {r.n: r["count"] for r in leaf.groupBy("folder").agg(F.count("*").alias("n")).groupBy("n").count().collect()}
+    assert hist == {1: 5, 2: 1, 3: 17}
+    # 'Bar' only holds folders and is present through its children
+    assert folders.where("folder = 'Bar'").count() == 3
+
+
+def _files(spark, ids):
+    return spark.createDataFrame([(i,) for i in ids], "file_id string")
+
+
+@pytest.fixture
+def three_files(spark):
+    rows = [
+        ("F1", 0, "http://all", "t", "A"), ("F2", 0, "http://all", "t", "A"), ("F3", 0, "http://all", "t", "A"),
+        ("F1", 1, "http://one", "t", "A"), ("F1", 2, "http://one", "t", "A"),  # repeated in one file: still unique
+        ("F2", 1, "http://two", "t", "B"), ("F3", 1, "http://two", "t", "B"),
+        ("F3", 2, "javascript:void(0)", "t", "B"), ("F3", 3, "mailto:x@y", "t", "B"), ("F3", 4, "chrome://x", "t", "B"),
+    ]
+    links = spark.createDataFrame(rows, "file_id string, pos bigint, url string, title string, folder string")
+    folders = compare.folders_from_paths(links.select("file_id", "folder"))
+    return links, folders
+
+
+def test_set_goldens(spark, three_files):
+    links, folders = three_files
+    files = _files(spark, ["F1", "F2", "F3"])
+    inter = compare.multi_compare(links, folders, files, CompareOptions(analysis="intersection"), kinds=("bookmark",))
+    assert [r.key_url for r in inter.collect()] == ["http://all"]
+    uniq = compare.multi_compare(links, folders, files, CompareOptions(), kinds=("bookmark",))
+    got = sorted((r.file_id, r.key_url) for r in uniq.collect())
+    assert got == [("F1", "http://one"), ("F3", "chrome://x"), ("F3", "javascript:void(0)"), ("F3", "mailto:x@y")]
+    filtered = compare.multi_compare(links, folders, files, CompareOptions(filter=True), kinds=("bookmark",))
+    assert sorted(r.key_url for r in filtered.collect()) == ["http://one"]
+
+
+def test_empty_file_empties_intersection(spark, three_files):
+    links, folders = three_files
+    files = _files(spark, ["F1", "F2", "F3", "F4"])
+    inter = compare.multi_compare(links, folders, files, CompareOptions(analysis="intersection"))
+    assert inter.count() == 0
+    uniq = compare.multi_compare(links, folders, files, CompareOptions(), kinds=("bookmark",))
+    assert uniq.count() == 4
+
+
+def test_needs_two_files(spark, three_files):
+    links, folders = three_files
+    with pytest.raises(ValueError):
+        compare.multi_compare(links, folders, _files(spark, ["F1"]), CompareOptions())
+
+
+def test_two_files_unique_is_both_diffs(links01):
+    two = links01.where(F.col("file_id").isin("f0", "f1"))
+    folders = compare.folders_from_paths(two.select("file_id", "folder"))
+    files = two.select("file_id").distinct()
+    uniq = compare.multi_compare(two, folders, files, CompareOptions(), pos="link_id", kinds=("bookmark",))
+    a = compare.only_in(two, "f0", "f1", pos="link_id")
+    b = compare.only_in(two, "f1", "f0", pos="link_id")
+    cols = ["file_id", "key_url"]
+    ab = a.select(cols).unionByName(b.select(cols))
+    assert uniq.select(cols).exceptAll(ab).count() == 0 and ab.exceptAll(uniq.select(cols)).count() == 0
+    report = compare.diff_report(two, folders, "f0", "f1", pos="link_id", kinds=("bookmark",))
+    assert report.where("section = 'a_only'").count() == a.count()
+    assert report.where("section = 'b_only'").count() == b.count()
+
+
+def test_unique_plus_shared_is_all_keys(links01):
+    p = compare.presence(links01)
+    keys = compare.compare_keys(links01).select("key_url", "key_title").distinct()
+    assert p.count() == keys.count()
+    assert p.where("n_files = 1").count() + p.where("n_files > 1").count() == keys.count()
