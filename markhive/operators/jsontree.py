@@ -22,7 +22,7 @@ _FIELD = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 @dataclass(frozen=True)
 class JsonFields:
-    roots: str | None = "roots"  # object of root folders; None: the document is the root
+    roots: str | None = "roots"  # object of root folders; None: the document's children are the roots
     children: str = "children"
     name: str = "name"
     url: str = "url"
@@ -56,8 +56,9 @@ def flatten_json(docs: DataFrame, doc: str = "path", js: str = "js", fields: Jso
         anchor = f"""SELECT d.doc, array(r.pos) AS ord, CAST(array() AS array<string>) AS folder, r.value AS node
   FROM {{parsed}} d, LATERAL variant_explode(try_variant_get(d.v, '$.{fields.roots}', 'variant')) r"""
     else:
-        anchor = """SELECT d.doc, array(0) AS ord, CAST(array() AS array<string>) AS folder, d.v AS node
-  FROM {parsed} d WHERE d.v IS NOT NULL"""
+        # the document is an unnamed root container; its children are the top level
+        anchor = f"""SELECT d.doc, array(r.pos) AS ord, CAST(array() AS array<string>) AS folder, r.value AS node
+  FROM {{parsed}} d, LATERAL variant_explode(try_variant_get(d.v, '$.{c}', 'variant')) r"""
     query = f"""
 WITH RECURSIVE nodes(doc, ord, folder, node) AS (
   {anchor}

@@ -18,12 +18,13 @@ def _as_list(paths: str | Iterable[str]) -> list[str]:
 
 
 def _whole_files(spark: SparkSession, paths: list[str], glob: str | None, recursive: bool) -> DataFrame:
-    reader = spark.read.option("wholetext", "true")
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    return reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    # one row per file: text() has its own wholetext argument, which wins over options
+    return reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_html_files(
