@@ -133,10 +133,10 @@ def q_presence(spark, sf_dir):
 
 
 def _compare_inputs(spark, sf_dir):
+    # folders=None: folders come from the links' paths in the same pass
     links = _links(spark, sf_dir)
-    folders = compare.folders_from_paths(links.select("file_id", "folder"))
     files = links.select("file_id").distinct()
-    return links, folders, files
+    return links, None, files
 
 
 def _multi_query(opts: CompareOptions, kinds):

@@ -50,31 +50,88 @@ def folders_from_paths(folders: DataFrame, file_col: str = "file_id", folder: st
     )
 
 
-def _report(df: DataFrame, kind: str, section, file_id, key_url, key_title, url, title, folder, n_files) -> DataFrame:
-    return df.select(
-        F.lit(kind).alias("item_kind"),
-        section.alias("section"),
-        file_id.alias("file_id"),
-        key_url.alias("key_url"),
-        key_title.alias("key_title"),
-        url.alias("url"),
-        title.alias("title"),
-        folder.alias("folder"),
-        n_files.cast("bigint").alias("n_files"),
-    )
+ITEM = (
+    "struct<kind:string,file_id:string,key_url:string,key_title:string,pos:bigint,"
+    "url:string,title:string,folder:string>"
+)
 
 
-def _bookmark_presence(links: DataFrame, opts: CompareOptions, file_col: str, pos: str) -> DataFrame:
-    reps = _first_per_group(compare_keys(links, opts), [file_col, *KEY], pos)
-    rep = F.struct(
-        F.col(file_col).alias("file_id"), F.col(pos).alias("pos"), "url", "title", F.col("folder").alias("folder")
-    )
-    return reps.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_files"), F.min(rep).alias("rep"))
+def _prefix_paths(col, is_array: bool, sep: str):
+    parts = col if is_array else F.split(col, re.escape(sep))
+    parts = F.filter(parts, lambda p: p != "")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), sep))
 
 
-def _folder_presence(folders: DataFrame, file_col: str) -> DataFrame:
-    return folders.select(file_col, "folder").distinct().groupBy("folder").agg(
-        F.count(F.lit(1)).alias("n_files"), F.min(file_col).alias("first_file")
+def compare_items(
+    links: DataFrame,
+    folders: DataFrame | None = None,
+    opts: CompareOptions = CompareOptions(),
+    file_col: str = "file_id",
+    pos: str = "pos",
+    kinds=("bookmark", "folder"),
+    sep: str = "/",
+) -> DataFrame:
+    """Bookmarks and folders as one table of comparable items.
+
+    ``(kind, file_id, key_url, key_title, pos, url, title, folder)``; a
+    folder's key is its full path.  With ``folders=None`` the folders come
+    from the links' own paths (every prefix) in the same pass over the links.
+    ``-f`` filters bookmarks only (decision D11).
+    """
+    keyed = with_keys(links, opts.key_options())
+    folder_col = F.col("folder")
+    folder_is_array = dict(links.dtypes).get("folder", "string").startswith("array")
+    folder_text = F.array_join(folder_col, sep) if folder_is_array else folder_col
+    empty = F.array().cast(f"array<{ITEM}>")
+    parts = []
+    if "bookmark" in kinds:
+        bm = F.struct(
+            F.lit("bookmark").alias("kind"), F.col(file_col).cast("string").alias("file_id"), F.col("key_url"),
+            F.col("key_title"), F.col(pos).cast("bigint").alias("pos"), F.col("url"), F.col("title"),
+            folder_text.alias("folder"),
+        )
+        keep = has_allowed_protocol("url") if opts.filter else F.lit(True)
+        parts.append(F.when(keep, F.array(bm)).otherwise(empty))
+    if "folder" in kinds and folders is None:
+        fo = F.transform(
+            F.filter(_prefix_paths(folder_col, folder_is_array, sep), lambda p: p != ""),
+            lambda p: F.struct(
+                F.lit("folder").alias("kind"), F.col(file_col).cast("string").alias("file_id"), p.alias("key_url"),
+                F.lit("").alias("key_title"), F.col(pos).cast("bigint").alias("pos"),
+                F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("title"), p.alias("folder"),
+            ),
+        )
+        parts.append(fo)
+    items = keyed.select(F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("i")).select("i.*")
+    if "folder" in kinds and folders is not None:
+        f_is_array = dict(folders.dtypes)["folder"].startswith("array")
+        f_text = F.array_join("folder", sep) if f_is_array else F.col("folder")
+        items = items.unionByName(
+            folders.select(
+                F.lit("folder").alias("kind"), F.col(file_col).cast("string").alias("file_id"), f_text.alias("key_url"),
+                F.lit("").alias("key_title"), F.col(pos).cast("bigint").alias("pos") if pos in folders.columns
+                else F.lit(0).cast("bigint").alias("pos"),
+                F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("title"), f_text.alias("folder"),
+            ).where(F.col("key_url") != "")
+        )
+    return items
+
+
+ITEM_KEY = ("kind", "key_url", "key_title")
+
+
+def _report(df: DataFrame, section, file_id, n_files) -> DataFrame:
+    is_folder = F.col("kind") == "folder"
+    return df.select(
+        F.col("kind").alias("item_kind"),
+        section.alias("section"),
+        file_id.alias("file_id"),
+        F.when(is_folder, F.lit(None).cast("string")).otherwise(F.col("key_url")).alias("key_url"),
+        F.when(is_folder, F.lit(None).cast("string")).otherwise(F.col("key_title")).alias("key_title"),
+        F.col("rep.url").alias("url"),
+        F.col("rep.title").alias("title"),
+        F.col("rep.folder").alias("folder"),
+        n_files.cast("bigint").alias("n_files"),
     )
 
 
@@ -88,7 +145,7 @@ def _n_files(files: DataFrame, file_col: str) -> int:
 
 def multi_compare(
     links: DataFrame,
-    folders: DataFrame,
+    folders: DataFrame | None,
     files: DataFrame,
     opts: CompareOptions = CompareOptions(),
     file_col: str = "file_id",
@@ -100,39 +157,24 @@ def multi_compare(
     ``unique``: items found in exactly one file, with that file.
     ``intersection``: items found in every listed file (an empty file makes
     it empty), shown with their first occurrence in the first file by id.
+
+    Plan: first item per (file, key) with a partial window limit, then one
+    map-side-combined aggregation by key for both kinds -- two shuffles.
     """
     n = _n_files(files, file_col)
-    want = F.lit(1) if opts.analysis == "unique" else F.lit(n)
-    parts = []
-    if "bookmark" in kinds:
-        b = _bookmark_presence(links, opts, file_col, pos).where(F.col("n_files") == want)
-        parts.append(
-            _report(
-                b, "bookmark", F.lit(opts.analysis),
-                F.col("rep.file_id") if opts.analysis == "unique" else F.lit(None).cast("string"),
-                F.col("key_url"), F.col("key_title"), F.col("rep.url"), F.col("rep.title"), F.col("rep.folder"),
-                F.col("n_files"),
-            )
-        )
-    if "folder" in kinds:
-        f = _folder_presence(folders, file_col).where(F.col("n_files") == want)
-        parts.append(
-            _report(
-                f, "folder", F.lit(opts.analysis),
-                F.col("first_file") if opts.analysis == "unique" else F.lit(None).cast("string"),
-                F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"),
-                F.lit(None).cast("string"), F.col("folder"), F.col("n_files"),
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    want = 1 if opts.analysis == "unique" else n
+    items = compare_items(links, folders, opts, file_col, pos, kinds)
+    reps = _first_per_group(items, ["kind", "file_id", "key_url", "key_title"], "pos")
+    rep = F.struct("file_id", "pos", "url", "title", "folder")
+    g = reps.groupBy(*ITEM_KEY).agg(F.count(F.lit(1)).alias("n_files"), F.min(rep).alias("rep"))
+    g = g.where(F.col("n_files") == want)
+    file_id = F.col("rep.file_id") if opts.analysis == "unique" else F.lit(None).cast("string")
+    return _report(g, F.lit(opts.analysis), file_id, F.col("n_files"))
 
 
 def diff_report(
     links: DataFrame,
-    folders: DataFrame,
+    folders: DataFrame | None,
     file_a: str,
     file_b: str,
     opts: CompareOptions = CompareOptions(),
@@ -142,40 +184,19 @@ def diff_report(
 ) -> DataFrame:
     """What A has that B lacks (``a_only``) and the reverse (``b_only``).
 
-    One aggregation by key covers both directions; each row shows the first
-    occurrence of the key in the file that has it (decision D10).
+    One aggregation by key covers both directions and both kinds; each row
+    shows the first occurrence of the key in the file that has it
+    (decision D10).
     """
-    parts = []
-    side = F.when(F.col(file_col) == file_a, 0).otherwise(1)
-    if "bookmark" in kinds:
-        keyed = compare_keys(links.where(F.col(file_col).isin(file_a, file_b)), opts)
-        rep = F.struct(side.alias("side"), F.col(pos).alias("pos"), F.col(file_col).alias("file_id"), "url", "title", "folder")
-        g = keyed.groupBy(*KEY).agg(
-            F.max(side == 0).alias("in_a"), F.max(side == 1).alias("in_b"), F.min(rep).alias("rep")
-        ).where(F.col("in_a") != F.col("in_b"))
-        parts.append(
-            _report(
-                g, "bookmark", F.when(F.col("in_a"), "a_only").otherwise("b_only"), F.col("rep.file_id"),
-                F.col("key_url"), F.col("key_title"), F.col("rep.url"), F.col("rep.title"), F.col("rep.folder"),
-                F.lit(1),
-            )
-        )
-    if "folder" in kinds:
-        fs = folders.where(F.col(file_col).isin(file_a, file_b)).select(file_col, "folder").distinct()
-        g = fs.groupBy("folder").agg(
-            F.max(side == 0).alias("in_a"), F.max(side == 1).alias("in_b"), F.min(file_col).alias("f")
-        ).where(F.col("in_a") != F.col("in_b"))
-        parts.append(
-            _report(
-                g, "folder", F.when(F.col("in_a"), "a_only").otherwise("b_only"), F.col("f"),
-                F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"),
-                F.lit(None).cast("string"), F.col("folder"), F.lit(1),
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    two = links.where(F.col(file_col).isin(file_a, file_b))
+    fo = folders.where(F.col(file_col).isin(file_a, file_b)) if folders is not None else None
+    items = compare_items(two, fo, opts, file_col, pos, kinds)
+    side = F.when(F.col("file_id") == file_a, 0).otherwise(1)
+    rep = F.struct(side.alias("side"), "pos", "file_id", "url", "title", "folder")
+    g = items.groupBy(*ITEM_KEY).agg(
+        F.max(side == 0).alias("in_a"), F.max(side == 1).alias("in_b"), F.min(rep).alias("rep")
+    ).where(F.col("in_a") != F.col("in_b"))
+    return _report(g, F.when(F.col("in_a"), "a_only").otherwise("b_only"), F.col("rep.file_id"), F.lit(1))
 
 
 def only_in(
@@ -188,10 +209,8 @@ def only_in(
     section: str = "a_only",
 ) -> DataFrame:
     """Bookmarks of ``file_a`` whose key is not in ``file_b`` (anti join)."""
-    keyed = compare_keys(links.where(F.col(file_col).isin(file_a, file_b)), opts)
-    a = _first_per_group(keyed.where(F.col(file_col) == file_a), [file_col, *KEY], pos)
-    b = keyed.where(F.col(file_col) == file_b).select(*KEY).distinct()
-    return _report(
-        a.join(b, list(KEY), "left_anti"), "bookmark", F.lit(section), F.col(file_col),
-        F.col("key_url"), F.col("key_title"), F.col("url"), F.col("title"), F.col("folder"), F.lit(1),
-    )
+    items = compare_items(links.where(F.col(file_col).isin(file_a, file_b)), None, opts, file_col, pos, ("bookmark",))
+    a = _first_per_group(items.where(F.col("file_id") == file_a), ["file_id", *KEY], "pos")
+    b = items.where(F.col("file_id") == file_b).select(*KEY).distinct()
+    out = a.join(b, list(KEY), "left_anti").withColumn("rep", F.struct("url", "title", "folder"))
+    return _report(out, F.lit(section), F.col("file_id"), F.lit(1))

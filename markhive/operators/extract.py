@@ -21,6 +21,8 @@ from .ordered import DEFAULT_CHUNK_ROWS, chunk_of, last_before, running_sum_befo
 TOKEN_RE = r"(?is)(<dl\b[^>]*+>|</dl\s*+>|<h3\b[^>]*+>.*?</h3\s*+>|<a\b[^>]*+>.*?</a\s*+>)"
 ANCHOR_RE = r"(?is)(<a\b[^>]*+>.*?</a\s*+>)"
 HREF_RE = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+# The same value with its quotes as one group, so one regex call finds it.
+HREF_QUOTED_RE = r"""(?is)\shref\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
 START_TAG_RE = r"(?is)^(<[a-z0-9]+\b[^>]*+>)"
 INNER_RE = r"(?is)^<[a-z0-9]+\b[^>]*+>(.*?)</[a-z0-9]+\s*+>$"
 
@@ -38,11 +40,9 @@ def _kind(tok):
 
 def _href(tok):
     start = F.regexp_extract(tok, START_TAG_RE, 1)
-    return F.concat(
-        F.regexp_extract(start, HREF_RE, 1),
-        F.regexp_extract(start, HREF_RE, 2),
-        F.regexp_extract(start, HREF_RE, 3),
-    )
+    v = F.regexp_extract(start, HREF_QUOTED_RE, 1)
+    quoted = v.startswith('"') | v.startswith("'")
+    return F.when(quoted, v.substr(F.lit(2), F.length(v) - 2)).otherwise(v)
 
 
 def tokenize(
@@ -60,7 +60,7 @@ def tokenize(
         doc, *keep, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(pattern), 1)).alias("pos", "tok")
     )
     tok = F.col("tok")
-    kind = _kind(tok)
+    kind = F.lit("link") if anchors_only else _kind(tok)
     inner = strip_tags(F.regexp_extract(tok, INNER_RE, 1))
     return exploded.select(
         doc,

@@ -81,8 +81,7 @@ def dedup_files(
 
 def _compare_inputs(tree: Tree) -> tuple[DataFrame, DataFrame]:
     links = tree.links.withColumn("folder", F.array_join("folder", "/"))
-    folders = tree.folders.select("file_id", F.array_join("folder", "/").alias("folder"))
-    return links, folders
+    return links, tree.folders
 
 
 def compare_files(
