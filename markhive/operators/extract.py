@@ -91,93 +91,92 @@ class Tree:
     folders: DataFrame  # doc, pos, folder array<string> (own name last), folder_pos array<bigint>
 
 
-def _depth_and_parent(tokens: DataFrame, doc: str, chunk_rows: int) -> DataFrame:
-    """Depth (open <DL>s before the token) and parent folder (token pos)."""
+def _with_depth(tokens: DataFrame, doc: str, chunk_rows: int) -> DataFrame:
+    """``depth`` = open ``<DL>`` before the token (chunked running sum)."""
     t = tokens.withColumn("_chunk", chunk_of("pos", chunk_rows)).withColumn(
         "_delta", F.when(F.col("kind") == "dl", 1).when(F.col("kind") == "end", -1).otherwise(0)
     )
-    t = running_sum_before(t, [doc], "pos", "_chunk", "_delta", "depth")
-    items = t.where(F.col("kind").isin("folder", "link")).drop("_delta")
-    # The parent of an item at depth d is the last folder at depth d-1 before
-    # it.  Folders are markers at their own depth and queries one level up.
-    probes = items.select(
-        "*",
-        F.explode(
-            F.when(
-                F.col("kind") == "folder",
-                F.array(
-                    F.struct(F.col("depth").alias("lvl"), F.lit(True).alias("mark")),
-                    F.struct((F.col("depth") - 1).alias("lvl"), F.lit(False).alias("mark")),
-                ),
-            ).otherwise(F.array(F.struct((F.col("depth") - 1).alias("lvl"), F.lit(False).alias("mark"))))
-        ).alias("_p"),
-    ).select("*", F.col("_p.lvl").alias("_lvl"), F.col("_p.mark").alias("_mark")).drop("_p")
-    probes = probes.withColumn("_marker", F.when(F.col("_mark"), F.col("pos")))
-    found = last_before(probes, [doc, "_lvl"], "pos", "_chunk", "_marker", "parent")
-    return found.where(~F.col("_mark")).drop("_lvl", "_mark", "_marker", "_chunk")
-
-
-def _folder_paths(folders: DataFrame, doc: str) -> DataFrame:
-    """Full path of each folder by pointer jumping over parent links.
-
-    Each round joins the folder table with itself and doubles the length of
-    the resolved suffix, so depth d needs about log2(d) rounds.  Every round is
-    checkpointed (reliable checkpoint in the session's checkpoint folder) to
-    cut lineage; the loop ends when no folder has an unresolved ancestor.
-    Returns ``(doc, pos, _fp_path)``; the path is an array of ``(o, n)``:
-    each folder's position and name, outermost first.
+    return running_sum_before(t, [doc], "pos", "_chunk", "_delta", "depth").drop("_delta")
+
+
+def _ancestors(items: DataFrame, doc: str) -> DataFrame:
+    """For every folder and link, the folder that is its ancestor at each level.
+
+    The ancestor of an item at level k is the last folder at depth k before
+    it.  Each folder is a marker at its own depth and probes every level
+    above it; a link probes only its parent's level.  Markers and probes come
+    from one ``explode`` and one chunked window over ``(doc, level)`` answers
+    all probes.  Output rows: ``(doc, owner, kind, _lvl, anc, url, title)``
+    where ``anc`` is ``struct(o: pos, n: name)``; a folder's own row has
+    itself as ``anc``.
     """
     own = F.struct(F.col("pos").alias("o"), F.col("name").alias("n"))
-    state = folders.select(doc, "pos", F.col("parent").alias("_fp_anc"), F.array(own).alias("_fp_path"))
-    for _ in range(64):
-        state = state.checkpoint(eager=True)
-        if state.where(F.col("_fp_anc").isNotNull()).isEmpty():
-            return state.drop("_fp_anc")
-        up = state.select(
-            F.col(doc).alias("_fp_d"),
-            F.col("pos").alias("_fp_apos"),
-            F.col("_fp_anc").alias("_fp_aanc"),
-            F.col("_fp_path").alias("_fp_apath"),
-        )
-        joined = state.join(up, (F.col(doc) == F.col("_fp_d")) & (F.col("_fp_anc") == F.col("_fp_apos")), "left")
-        resolved = F.col("_fp_anc").isNotNull()
-        state = joined.select(
-            doc,
-            "pos",
-            F.when(resolved, F.col("_fp_aanc")).alias("_fp_anc"),
-            F.when(resolved, F.concat("_fp_apath", "_fp_path")).otherwise(F.col("_fp_path")).alias("_fp_path"),
-        )
-    raise RuntimeError("folder nesting deeper than 2**64")
+    d = F.col("depth").cast("int")
+    probe = lambda lvl: F.struct(lvl.alias("lvl"), F.lit(False).alias("mark"))
+    folder_rows = F.concat(
+        F.array(F.struct(d.alias("lvl"), F.lit(True).alias("mark"))),
+        F.when(d >= 1, F.transform(F.sequence(F.lit(0), d - 1), probe)).otherwise(
+            F.array().cast("array<struct<lvl:int,mark:boolean>>")
+        ),
+    )
+    link_rows = F.when(d >= 1, F.array(probe(d - 1))).otherwise(F.array().cast("array<struct<lvl:int,mark:boolean>>"))
+    rows = items.select(
+        doc, "pos", "kind", "_chunk", "url", "title", own.alias("_own"),
+        F.explode(F.when(F.col("kind") == "folder", folder_rows).otherwise(link_rows)).alias("_r"),
+    ).select(
+        doc, "pos", "kind", "_chunk", "url", "title",
+        F.col("_r.lvl").alias("_lvl"),
+        F.when(F.col("_r.mark"), F.col("_own")).alias("_marker"),
+    )
+    found = last_before(rows, [doc, "_lvl"], "pos", "_chunk", "_marker", "_anc")
+    return found.select(
+        doc, F.col("pos").alias("owner"), "kind", "_lvl", F.coalesce("_marker", "_anc").alias("anc"), "url", "title"
+    )
 
 
 def resolve_tree(tokens: DataFrame, doc: str = "file_id", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> Tree:
     """Folder path of every link and folder, exact for any depth.
 
-    The parsed items are checkpointed once, so the regex pass runs once even
-    though links and folders both read it.
+    No loop: depth is a chunked running sum, ancestors
+    come from one chunked window over ``(doc, level)``, a folder's path is
+    the list of its ancestors (bounded by its depth) and a link takes its
+    parent's path through one join on ``(doc, parent)``.  The branches after
+    the ancestor window read the same shuffle output.
     """
-    items = _depth_and_parent(tokens, doc, chunk_rows).checkpoint(eager=True)
-    folders = items.where(F.col("kind") == "folder").select(doc, "pos", "parent", "name")
-    paths = _folder_paths(folders, doc)
-    links = items.where((F.col("kind") == "link") & (F.col("url") != ""))
-    parent_paths = paths.select(F.col(doc).alias("_d"), F.col("pos").alias("_fpos"), F.col("_fp_path").alias("_fpath"))
+    # Several branches below read the tokens (chunk carries, paths, links).
+    # Materialize them once in the checkpoint folder: the regex pass over the
+    # documents then runs once, and lineage is cut for executor loss.
+    tokens = tokens.checkpoint(eager=True)
+    items = _with_depth(tokens, doc, chunk_rows).where(F.col("kind").isin("folder", "link"))
+    anc = _ancestors(items, doc)
+    paths = (
+        anc.where((F.col("kind") == "folder") & F.col("anc").isNotNull())
+        .groupBy(doc, "owner")
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("_lvl").alias("l"), F.col("anc").alias("a")))).alias("_p"))
+        .select(
+            doc,
+            F.col("owner").alias("pos"),
+            F.transform("_p", lambda x: x["a"]["n"]).alias("folder"),
+            F.transform("_p", lambda x: x["a"]["o"]).alias("folder_pos"),
+        )
+    )
+    links = anc.where((F.col("kind") == "link") & (F.col("url") != "")).select(
+        doc, F.col("owner").alias("pos"), F.col("anc.o").alias("parent"), "url", "title"
+    )
+    parent_paths = paths.select(
+        F.col(doc).alias("_d"), F.col("pos").alias("_fpos"), F.col("folder").alias("_f"), F.col("folder_pos").alias("_fp")
+    )
     links = links.join(
         parent_paths, (F.col(doc) == F.col("_d")) & (F.col("parent") == F.col("_fpos")), "left"
     ).select(
         doc,
         "pos",
-        F.coalesce(F.transform("_fpath", lambda x: x["n"]), F.array().cast("array<string>")).alias("folder"),
-        F.coalesce(F.transform("_fpath", lambda x: x["o"]), F.array().cast("array<bigint>")).alias("folder_pos"),
+        F.coalesce("_f", F.array().cast("array<string>")).alias("folder"),
+        F.coalesce("_fp", F.array().cast("array<bigint>")).alias("folder_pos"),
         "url",
         "title",
     )
-    folders = paths.select(
-        doc,
-        "pos",
-        F.transform("_fp_path", lambda x: x["n"]).alias("folder"),
-        F.transform("_fp_path", lambda x: x["o"]).alias("folder_pos"),
-    )
-    return Tree(links=links, folders=folders)
+    return Tree(links=links, folders=paths)
 
 
 def parse_bookmarks(docs: DataFrame, doc: str = "file_id", html: str = "html") -> Tree:

@@ -32,10 +32,14 @@ def running_sum_before(
     """``out`` = sum of ``value`` over earlier rows of the same ``part``."""
     part = list(part)
     w_local = Window.partitionBy(*part, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("_rs_local", F.coalesce(F.sum(value).over(w_local), F.lit(0)))
-    # Aggregating `local` (already clustered by part+chunk) adds no exchange and
-    # reuses the window's shuffle, so the input is computed once.
-    totals = local.groupBy(*part, chunk).agg(F.sum(value).alias("_rs_total"))
+    w_whole = Window.partitionBy(*part, chunk)
+    local = df.withColumn("_rs_local", F.coalesce(F.sum(value).over(w_local), F.lit(0))).withColumn(
+        "_rs_chunk", F.sum(value).over(w_whole)
+    )
+    # The chunk total is read from the window's own output, so the optimizer
+    # keeps this aggregate on top of the same window: both branches share one
+    # exchange (reused) and the input is computed once.
+    totals = local.groupBy(*part, chunk).agg(F.max("_rs_chunk").alias("_rs_total"))
     w_chunks = Window.partitionBy(*part).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(
         *part, chunk, F.coalesce(F.sum("_rs_total").over(w_chunks), F.lit(0)).alias("_rs_base")
@@ -43,7 +47,7 @@ def running_sum_before(
     return (
         local.join(base, [*part, chunk])
         .withColumn(out, (F.col("_rs_base") + F.col("_rs_local")).cast("bigint"))
-        .drop("_rs_base", "_rs_local")
+        .drop("_rs_base", "_rs_local", "_rs_chunk")
     )
 
 
@@ -53,11 +57,15 @@ def last_before(
     """``out`` = the last non-null ``marker`` on an earlier row of the same ``part``."""
     part = list(part)
     w_local = Window.partitionBy(*part, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("_lb_local", F.last(marker, ignorenulls=True).over(w_local))
-    # max_by skips rows whose ordering value is null, so this is the last marker of each chunk.
-    last_in_chunk = local.groupBy(*part, chunk).agg(
-        F.max_by(marker, F.when(F.col(marker).isNotNull(), F.col(order))).alias("_lb_last")
+    w_whole = Window.partitionBy(*part, chunk).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    local = df.withColumn("_lb_local", F.last(marker, ignorenulls=True).over(w_local)).withColumn(
+        "_lb_chunk", F.last(marker, ignorenulls=True).over(w_whole)
     )
+    # As in running_sum_before: read the chunk's last marker from the window
+    # output so both branches share the window's exchange.
+    last_in_chunk = local.groupBy(*part, chunk).agg(F.first("_lb_chunk", ignorenulls=True).alias("_lb_last"))
     w_chunks = Window.partitionBy(*part).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     carry = last_in_chunk.select(
         *part, chunk, F.last("_lb_last", ignorenulls=True).over(w_chunks).alias("_lb_carry")
@@ -65,7 +73,7 @@ def last_before(
     return (
         local.join(carry, [*part, chunk])
         .withColumn(out, F.coalesce("_lb_local", "_lb_carry"))
-        .drop("_lb_local", "_lb_carry")
+        .drop("_lb_local", "_lb_carry", "_lb_chunk")
     )
 
 

@@ -51,38 +51,44 @@ def items_from_links(
     """Tree items from flat links whose folder is a path string or array.
 
     Folders are ordered by name, links before subfolders, links by ``pos``.
-    Every folder on a link's path becomes a folder item (once per document).
+    Every folder on a link's path becomes a folder item.  One pass over the
+    links: a folder item is emitted with each of its links and the copies
+    are merged when the document is assembled.
     """
     col = F.col(folder)
     names = col if dict(links.dtypes)[folder].startswith("array") else F.split(col, re.escape(sep))
     names = F.filter(names, lambda n: n != "")
-    base = links.select(
-        F.col(doc).alias("doc"), names.alias("_names"), F.col(pos).cast("bigint").alias("pos"), "url", "title"
-    )
-    link_items = base.select(
-        "doc",
+    link_item = F.struct(
         F.lit("link").alias("kind"),
-        F.transform("_names", lambda n: elem(1, 0, n)).alias("path"),
+        F.transform(names, lambda n: elem(1, 0, n)).alias("path"),
         elem(0, 0, "").alias("elem"),
-        "pos",
+        F.col(pos).cast("bigint").alias("pos"),
         F.lit(None).cast("string").alias("name"),
-        "url",
-        "title",
-    )
-    prefixes = base.select(
-        "doc", F.explode(F.transform(F.sequence(F.lit(1), F.size("_names")), lambda k: F.slice("_names", 1, k))).alias("_p")
-    ).where(F.size("_p") > 0).distinct()
-    folder_items = prefixes.select(
-        "doc",
-        F.lit("folder").alias("kind"),
-        F.transform(F.slice("_p", 1, F.size("_p") - 1), lambda n: elem(1, 0, n)).alias("path"),
-        elem(1, 0, F.element_at("_p", -1)).alias("elem"),
-        F.lit(-1).cast("bigint").alias("pos"),
-        F.element_at("_p", -1).alias("name"),
-        F.lit(None).cast("string").alias("url"),
-        F.lit(None).cast("string").alias("title"),
+        F.col("url").alias("url"),
+        F.col("title").alias("title"),
     )
-    return link_items.unionByName(folder_items)
+
+    def folder_item(k):
+        prefix = F.slice(names, 1, k)
+        return F.struct(
+            F.lit("folder").alias("kind"),
+            F.transform(F.slice(prefix, 1, k - 1), lambda n: elem(1, 0, n)).alias("path"),
+            elem(1, 0, F.element_at(prefix, -1)).alias("elem"),
+            F.lit(-1).cast("bigint").alias("pos"),
+            F.element_at(prefix, -1).alias("name"),
+            F.lit(None).cast("string").alias("url"),
+            F.lit(None).cast("string").alias("title"),
+        )
+
+    folder_items = F.when(F.size(names) > 0, F.transform(F.sequence(F.lit(1), F.size(names)), folder_item))
+    all_items = F.concat(F.array(link_item), F.coalesce(folder_items, F.array().cast("array<" + _ITEM + ">")))
+    return links.select(F.col(doc).alias("doc"), F.explode(all_items).alias("_i")).select("doc", "_i.*")
+
+
+_ITEM = (
+    "struct<kind:string,path:array<struct<t:int,o:bigint,n:string>>,elem:struct<t:int,o:bigint,n:string>,"
+    "pos:bigint,name:string,url:string,title:string>"
+)
 
 
 def items_from_tree(links: DataFrame, folders: DataFrame | None = None, doc: str = "file_id") -> DataFrame:
@@ -158,7 +164,7 @@ def render_lines(items: DataFrame, escape: bool = True) -> DataFrame:
     For documents too large to be one row, write these lines in key order
     (``sinks.write_named_lines``) instead of building one string each.
     """
-    body = _lines(items, "html", escape)
+    body = _lines(items, "html", escape).dropDuplicates(["doc", "k", "p", "role"])
     docs = items.select("doc").distinct()
     empty_key = F.array().cast("array<struct<t:int,o:bigint,n:string>>")
     header = docs.select(
@@ -181,9 +187,14 @@ def render_documents(items: DataFrame, fmt: str = "html", escape: bool = True, r
     the values are already HTML text (raw values read from a bookmark file).
     """
     lines = _lines(items, fmt, escape)
+    line = F.struct("k", "p", "role", "line")
+    is_item = F.col("role") == "item"
+    # Folder lines may come once per link (items_from_links); collect_set
+    # merges the copies, partly before the shuffle.
     doc_lines = lines.groupBy("doc").agg(
-        F.array_sort(F.collect_list(F.struct("k", "p", "role", "line"))).alias("_l")
-    )
+        F.collect_list(F.when(is_item, line)).alias("_items"),
+        F.collect_set(F.when(~is_item, line)).alias("_folders"),
+    ).select("doc", F.array_sort(F.concat("_items", "_folders")).alias("_l"))
     if fmt == "html":
         body = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
         text = F.concat(F.lit(NETSCAPE_HEADER + "\n"), body, F.lit("\n" + NETSCAPE_FOOTER + "\n"))
