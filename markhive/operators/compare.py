@@ -56,12 +56,6 @@ ITEM = (
 )
 
 
-def _prefix_paths(col, is_array: bool, sep: str):
-    parts = col if is_array else F.split(col, re.escape(sep))
-    parts = F.filter(parts, lambda p: p != "")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), sep))
-
-
 def compare_items(
     links: DataFrame,
     folders: DataFrame | None = None,
@@ -75,34 +69,39 @@ def compare_items(
 
     ``(kind, file_id, key_url, key_title, pos, url, title, folder)``; a
     folder's key is its full path.  With ``folders=None`` the folders come
-    from the links' own paths (every prefix) in the same pass over the links.
-    ``-f`` filters bookmarks only (decision D11).
+    from the links' own paths (every prefix) in the same pass over the links:
+    row k of a link's ``explode(sequence(0, depth))`` is the link itself
+    (k = 0) or its k-th folder prefix (``substring_index``), all codegen'd
+    expressions.  ``-f`` filters bookmarks only (decision D11).
     """
     keyed = with_keys(links, opts.key_options())
-    folder_col = F.col("folder")
     folder_is_array = dict(links.dtypes).get("folder", "string").startswith("array")
-    folder_text = F.array_join(folder_col, sep) if folder_is_array else folder_col
-    empty = F.array().cast(f"array<{ITEM}>")
-    parts = []
-    if "bookmark" in kinds:
-        bm = F.struct(
-            F.lit("bookmark").alias("kind"), F.col(file_col).cast("string").alias("file_id"), F.col("key_url"),
-            F.col("key_title"), F.col(pos).cast("bigint").alias("pos"), F.col("url"), F.col("title"),
-            folder_text.alias("folder"),
-        )
-        keep = has_allowed_protocol("url") if opts.filter else F.lit(True)
-        parts.append(F.when(keep, F.array(bm)).otherwise(empty))
-    if "folder" in kinds and folders is None:
-        fo = F.transform(
-            F.filter(_prefix_paths(folder_col, folder_is_array, sep), lambda p: p != ""),
-            lambda p: F.struct(
-                F.lit("folder").alias("kind"), F.col(file_col).cast("string").alias("file_id"), p.alias("key_url"),
-                F.lit("").alias("key_title"), F.col(pos).cast("bigint").alias("pos"),
-                F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("title"), p.alias("folder"),
-            ),
-        )
-        parts.append(fo)
-    items = keyed.select(F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("i")).select("i.*")
+    folder_text = F.array_join("folder", sep) if folder_is_array else F.col("folder")
+    # one separator between names, none at the ends
+    folder_text = F.regexp_replace(F.regexp_replace(folder_text, f"{re.escape(sep)}+", sep), f"^{re.escape(sep)}|{re.escape(sep)}$", "")
+    depth = F.when(folder_text == "", F.lit(0)).otherwise(F.size(F.split(folder_text, re.escape(sep))))
+    want_bm = "bookmark" in kinds
+    want_fo = "folder" in kinds and folders is None
+    keep = has_allowed_protocol("url") if (opts.filter and want_bm) else F.lit(True)
+    lo = F.when(keep, F.lit(0 if want_bm else 1)).otherwise(F.lit(1))
+    hi = depth if want_fo else F.lit(0)
+    rows = keyed.select(
+        "*", folder_text.alias("_ftext"), lo.alias("_lo"), hi.alias("_hi"),
+        F.explode(F.sequence(F.least(lo, hi), hi)).alias("_k"),
+    ).where((F.col("_k") >= F.col("_lo")) & (F.col("_k") <= F.col("_hi")))
+    is_bm = F.col("_k") == 0
+    prefix = F.expr(f"substring_index(_ftext, '{sep}', _k)")
+    null = F.lit(None).cast("string")
+    items = rows.select(
+        F.when(is_bm, F.lit("bookmark")).otherwise(F.lit("folder")).alias("kind"),
+        F.col(file_col).cast("string").alias("file_id"),
+        F.when(is_bm, F.col("key_url")).otherwise(prefix).alias("key_url"),
+        F.when(is_bm, F.col("key_title")).otherwise(F.lit("")).alias("key_title"),
+        F.col(pos).cast("bigint").alias("pos"),
+        F.when(is_bm, F.col("url")).otherwise(null).alias("url"),
+        F.when(is_bm, F.col("title")).otherwise(null).alias("title"),
+        F.when(is_bm, F.col("_ftext")).otherwise(prefix).alias("folder"),
+    )
     if "folder" in kinds and folders is not None:
         f_is_array = dict(folders.dtypes)["folder"].startswith("array")
         f_text = F.array_join("folder", sep) if f_is_array else F.col("folder")
@@ -111,7 +110,7 @@ def compare_items(
                 F.lit("folder").alias("kind"), F.col(file_col).cast("string").alias("file_id"), f_text.alias("key_url"),
                 F.lit("").alias("key_title"), F.col(pos).cast("bigint").alias("pos") if pos in folders.columns
                 else F.lit(0).cast("bigint").alias("pos"),
-                F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("title"), f_text.alias("folder"),
+                null.alias("url"), null.alias("title"), f_text.alias("folder"),
             ).where(F.col("key_url") != "")
         )
     return items
