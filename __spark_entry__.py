@@ -157,6 +157,8 @@ MULTI_VARIANTS = {
     "multi_unique_d_f": (CompareOptions(decode=True, filter=True), ("bookmark",)),
     "multi_intersection_title": (CompareOptions(analysis="intersection", mode="url-title"), ("bookmark",)),
     "multi_unique_title_d": (CompareOptions(mode="url-title", decode=True), ("bookmark",)),
+    "multi_folders_by_name": (CompareOptions(folder_key="name"), ("folder",)),
+    "multi_folders_by_name_intersection": (CompareOptions(analysis="intersection", folder_key="name"), ("folder",)),
 }
 
 # The two files of the A/B reports.
@@ -405,6 +407,11 @@ def _compare_key_sql(c: CompareOptions) -> tuple[str, str]:
 
 
 _NULL = "cast(null as varchar)"
+# every folder prefix of every link, with the link's position
+_FOLDER_ROWS_SQL = """folder_rows as (
+  select file_id, link_id as pos, array_to_string(parts[1:n], '/') as folder
+  from (select file_id, link_id, parts, unnest(generate_series(1, len(parts))) as n
+        from (select file_id, link_id, string_split(folder, '/') as parts from links) s) p)"""
 _FOLDERS_SQL = """folders as (
   select distinct file_id, array_to_string(parts[1:n], '/') as folder
   from (select file_id, parts, unnest(generate_series(1, len(parts))) as n
@@ -434,13 +441,25 @@ def _multi_sql(c: CompareOptions, kinds) -> str:
 from (select *, count(*) over (partition by key_url, key_title) as n_files,
         row_number() over (partition by key_url, key_title order by file_id, link_id) as rk from reps) b
 where rk = 1 and n_files = {n}""")
-    if "folder" in kinds:
+    if "folder" in kinds and c.folder_key == "name":
+        # one row per name: the first (file, link, path) holding it
+        file_expr = "file_id" if c.analysis == "unique" else _NULL
+        parts.append(f"""select 'folder' as item_kind, '{c.analysis}' as section, {file_expr} as file_id,
+  {_NULL} as key_url, {_NULL} as key_title, {_NULL} as url, {_NULL} as title, folder, n_files
+from (select *, count(*) over (partition by name) as n_files,
+        row_number() over (partition by name order by file_id, pos, folder) as rk
+      from (select file_id, name, min(struct_pack(p := pos, f := folder)).p as pos,
+                   arg_min(folder, struct_pack(p := pos, f := folder)) as folder
+            from (select file_id, folder, pos, split_part(folder, '/', -1) as name from folder_rows) a
+            group by file_id, name) b) c
+where rk = 1 and n_files = {n}""")
+    elif "folder" in kinds:
         file_expr = "min(file_id)" if c.analysis == "unique" else _NULL
         parts.append(f"""select 'folder' as item_kind, '{c.analysis}' as section, {file_expr} as file_id,
   {_NULL} as key_url, {_NULL} as key_title, {_NULL} as url, {_NULL} as title, folder, count(*) as n_files
 from folders group by folder having count(*) = {n}""")
     body = "\nunion all\n".join(parts)
-    return f"with links as ({_LINKS_SQL}),\n{_FOLDERS_SQL},\n{_keyed_sql(c)}\n{body}"
+    return f"with links as ({_LINKS_SQL}),\n{_FOLDERS_SQL},\n{_FOLDER_ROWS_SQL},\n{_keyed_sql(c)}\n{body}"
 
 
 def _diff_sql(c: CompareOptions, kinds) -> str:

@@ -91,11 +91,12 @@ def compare_items(
     ).where((F.col("_k") >= F.col("_lo")) & (F.col("_k") <= F.col("_hi")))
     is_bm = F.col("_k") == 0
     prefix = F.expr(f"substring_index(_ftext, '{sep}', _k)")
+    folder_key = _folder_key(prefix, opts, sep)
     null = F.lit(None).cast("string")
     items = rows.select(
         F.when(is_bm, F.lit("bookmark")).otherwise(F.lit("folder")).alias("kind"),
         F.col(file_col).cast("string").alias("file_id"),
-        F.when(is_bm, F.col("key_url")).otherwise(prefix).alias("key_url"),
+        F.when(is_bm, F.col("key_url")).otherwise(folder_key).alias("key_url"),
         F.when(is_bm, F.col("key_title")).otherwise(F.lit("")).alias("key_title"),
         F.col(pos).cast("bigint").alias("pos"),
         F.when(is_bm, F.col("url")).otherwise(null).alias("url"),
@@ -107,7 +108,8 @@ def compare_items(
         f_text = F.array_join("folder", sep) if f_is_array else F.col("folder")
         items = items.unionByName(
             folders.select(
-                F.lit("folder").alias("kind"), F.col(file_col).cast("string").alias("file_id"), f_text.alias("key_url"),
+                F.lit("folder").alias("kind"), F.col(file_col).cast("string").alias("file_id"),
+                _folder_key(f_text, opts, sep).alias("key_url"),
                 F.lit("").alias("key_title"), F.col(pos).cast("bigint").alias("pos") if pos in folders.columns
                 else F.lit(0).cast("bigint").alias("pos"),
                 null.alias("url"), null.alias("title"), f_text.alias("folder"),
@@ -116,6 +118,10 @@ def compare_items(
     return items
 
 
+def _folder_key(path, opts: CompareOptions, sep: str):
+    return F.substring_index(path, sep, -1) if opts.folder_key == "name" else path
+
+
 ITEM_KEY = ("kind", "key_url", "key_title")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_tags
+from ..session import ensure_checkpoint_dir
 from .ordered import DEFAULT_CHUNK_ROWS, chunk_of, last_before, running_sum_before
 
 # The token grammar of a bookmark file (Netscape format) and of
@@ -146,6 +147,7 @@ def resolve_tree(tokens: DataFrame, doc: str = "file_id", chunk_rows: int = DEFA
     # Several branches below read the tokens (chunk carries, paths, links).
     # Materialize them once in the checkpoint folder: the regex pass over the
     # documents then runs once, and lineage is cut for executor loss.
+    ensure_checkpoint_dir(tokens.sparkSession)
     tokens = tokens.checkpoint(eager=True)
     items = _with_depth(tokens, doc, chunk_rows).where(F.col("kind").isin("folder", "link"))
     anc = _ancestors(items, doc)

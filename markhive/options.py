@@ -43,18 +43,23 @@ class CompareOptions:
     mode      ``url`` or ``url-title`` (``-c``)
     filter    ``-f``: only http, https and ftp links
     decode    ``-d``: percent-decode URLs before comparing
+    folder_key ``path`` (default): folders are the same when their full
+              paths are; ``name``: when their names are (decision D9)
     """
 
     analysis: str = "unique"
     mode: str = "url"
     filter: bool = False
     decode: bool = False
+    folder_key: str = "path"
 
     def __post_init__(self):
         if self.analysis not in ("unique", "intersection"):
             raise ValueError(f"analysis must be unique or intersection, got {self.analysis!r}")
         if self.mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}, got {self.mode!r}")
+        if self.folder_key not in ("path", "name"):
+            raise ValueError(f"folder_key must be path or name, got {self.folder_key!r}")
 
     def key_options(self) -> KeyOptions:
         return KeyOptions(mode=self.mode, decode=self.decode, strict_protocol=True,
