@@ -50,12 +50,6 @@ def folders_from_paths(folders: DataFrame, file_col: str = "file_id", folder: st
     )
 
 
-ITEM = (
-    "struct<kind:string,file_id:string,key_url:string,key_title:string,pos:bigint,"
-    "url:string,title:string,folder:string>"
-)
-
-
 def compare_items(
     links: DataFrame,
     folders: DataFrame | None = None,

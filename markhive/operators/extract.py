@@ -27,7 +27,7 @@ HREF_QUOTED_RE = r"""(?is)\shref\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
 START_TAG_RE = r"(?is)^(<[a-z0-9]+\b[^>]*+>)"
 INNER_RE = r"(?is)^<[a-z0-9]+\b[^>]*+>(.*?)</[a-z0-9]+\s*+>$"
 
-KINDS = ("dl", "end", "folder", "link")
+# Token kinds: dl, end (</dl>), folder (<h3>), link (<a>).
 
 
 def _kind(tok):

@@ -79,6 +79,27 @@ def test_empty_file_empties_intersection(spark, three_files):
     assert uniq.count() == 4
 
 
+def test_report_schema(spark, three_files):
+    links, folders = three_files
+    rep = compare.multi_compare(links, folders, _files(spark, ["F1", "F2", "F3"]), CompareOptions())
+    assert tuple(rep.columns) == compare.REPORT_COLUMNS
+    diff = compare.diff_report(links, None, "F1", "F3", CompareOptions())
+    assert tuple(diff.columns) == compare.REPORT_COLUMNS
+
+
+def test_folder_key_name(spark):
+    links = spark.createDataFrame(
+        [("F1", 0, "http://a", "t", "X/Tools"), ("F2", 0, "http://b", "t", "Y/Tools"), ("F2", 1, "http://c", "t", "Y")],
+        "file_id string, pos bigint, url string, title string, folder string",
+    )
+    files = _files(spark, ["F1", "F2"])
+    by_path = compare.multi_compare(links, None, files, CompareOptions(analysis="intersection"), kinds=("folder",))
+    assert by_path.count() == 0
+    by_name = compare.multi_compare(links, None, files, CompareOptions(analysis="intersection", folder_key="name"),
+                                    kinds=("folder",))
+    assert [r.folder for r in by_name.collect()] == ["X/Tools"]
+
+
 def test_needs_two_files(spark, three_files):
     links, folders = three_files
     with pytest.raises(ValueError):

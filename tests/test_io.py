@@ -71,6 +71,12 @@ def test_dedup_job(spark, tree):
     assert out.index("Tools") < out.index("OnlyA") < out.index("http://shared")  # original order
 
 
+def test_tolerant_parser_job(spark, tree):
+    a = jobs.dedup_files(spark, [f"{tree}/in"], KeyOptions(), parser="html.parser").select("file_id", "pos")
+    b = jobs.dedup_files(spark, [f"{tree}/in"], KeyOptions(), parser="regex").select("file_id", "pos")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_batch_dedup_job(spark, tree):
     kept = jobs.dedup_files(spark, [f"{tree}/in"], KeyOptions(ignore_slash=True), batch_mode="all",
                             output=f"{tree}/kept")

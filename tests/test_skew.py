@@ -5,7 +5,6 @@ the plans are checked for the partial steps that keep a hot key off a
 single task.
 """
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
