@@ -24,8 +24,17 @@ LOCAL_CONF = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "markhive") -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, app: str = "markhive", event_log: str | None = None
+) -> SparkSession:
+    """Local session; ``event_log`` writes Spark's event log to that folder."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
+    if event_log:
+        builder = (
+            builder.config("spark.eventLog.enabled", "true")
+            .config("spark.eventLog.dir", event_log)
+            .config("spark.eventLog.compress", "false")
+        )
     for k, v in LOCAL_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
