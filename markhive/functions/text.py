@@ -5,74 +5,21 @@ Everything here builds Catalyst expressions; no Python runs per row.
 
 from __future__ import annotations
 
-from html.entities import html5, name2codepoint
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _sql_str(v: str) -> str:
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _named_entities_sql() -> str:
-    """SQL literal map name -> character (one expression, constant-folded).
-
-    The HTML 4 named entity set (252 names) is taken from the Python standard
-    library instead of being written out here.  Characters follow the HTML5
-    table, as browsers read them (``&lang;`` is U+27E8, not U+2329).
-    """
-    names = sorted(name2codepoint)
-    keys = ", ".join(_sql_str(n) for n in names)
-    values = ", ".join(_sql_str(html5[n + ";"]) for n in names)
-    return f"map_from_arrays(array({keys}), array({values}))"
-
-
-_NAMED_SQL = _named_entities_sql()
-
-
-def _named_entities() -> Column:
-    # One JVM call: a map of 252 F.lit pairs would take 504 round trips.
-    return F.expr(_NAMED_SQL)
-
-
-# One entity reference (';' required, decision D5), a run of other text, or a
-# lone '&'.  Possessive quantifiers keep the Java regex iterative on long text.
-_ENTITY_PIECES = r"(&(?:#[0-9]{1,8}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{0,31});|[^&]++|&)"
-
-
-def _codepoint_char(cp: Column) -> Column:
-    """Character for a code point; U+FFFD for 0, surrogates and > U+10FFFF."""
-    valid = (cp > 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
-    as_char = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
-    return F.when(valid, as_char).otherwise(F.lit("�"))
-
-
-def _decode_piece(p: Column) -> Column:
-    body = p.substr(F.lit(2), F.length(p) - 2)
-    is_ref = p.startswith("&") & p.endswith(";") & (F.length(p) > 2)
-    is_hex = body.startswith("#x") | body.startswith("#X")
-    is_dec = body.startswith("#") & ~is_hex
-    hex_cp = F.conv(body.substr(F.lit(3), F.lit(16)), 16, 10).try_cast("bigint")
-    dec_cp = body.substr(F.lit(2), F.lit(16)).try_cast("bigint")
-    return (
-        F.when(~is_ref, p)
-        .when(is_hex, _codepoint_char(hex_cp))
-        .when(is_dec, _codepoint_char(dec_cp))
-        .otherwise(F.coalesce(F.try_element_at(_named_entities(), body), p))
-    )
+from .sqlfuncs import ensure_functions
 
 
 def decode_entities(col: Column | str) -> Column:
     """Decode HTML character references once (``&amp;lt;`` -> ``&lt;``).
 
     Named references of HTML 4 and numeric ones (decimal, hex) are decoded;
-    unknown names and references without ``;`` stay as they are.
+    unknown names and references without ``;`` stay as they are.  Runs as
+    the session SQL function ``markhive_decode_entities`` (see sqlfuncs).
     """
-    c = F.col(col) if isinstance(col, str) else col
-    pieces = F.regexp_extract_all(c, F.lit(_ENTITY_PIECES), 1)
-    decoded = F.array_join(F.transform(pieces, _decode_piece), "")
-    return F.when(c.contains("&"), decoded).otherwise(c)
+    ensure_functions()
+    return F.call_function("markhive_decode_entities", F.col(col) if isinstance(col, str) else col)
 
 
 def escape_html(col: Column | str, quote: bool = True) -> Column:

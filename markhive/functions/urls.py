@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A run of %XX escapes, a run of other text, or a lone '%'.
-_PERCENT_PIECES = r"((?:%[0-9A-Fa-f]{2})++|[^%]++|%)"
+from .sqlfuncs import ensure_functions
 
 # The protocols kept by the compare filter (-f).
 FILTER_PROTOCOLS = ("http", "https", "ftp")
@@ -22,21 +21,11 @@ def decode_percent(col: Column | str) -> Column:
     Only runs of valid ``%XX`` escapes are decoded; ``+`` stays ``+`` and a
     malformed ``%zz`` stays as written.  Bytes that are not UTF-8 become
     U+FFFD.  Plain ``url_decode`` is not used: it raises on ``%zz`` and turns
-    ``+`` into a space.
+    ``+`` into a space.  Runs as the session SQL function
+    ``markhive_decode_percent`` (see sqlfuncs).
     """
-    c = _c(col)
-    pieces = F.regexp_extract_all(c, F.lit(_PERCENT_PIECES), 1)
-    decoded = F.array_join(
-        F.transform(
-            pieces,
-            lambda p: F.when(
-                p.startswith("%") & (F.length(p) >= 3),
-                F.coalesce(F.try_url_decode(p), p),
-            ).otherwise(p),
-        ),
-        "",
-    )
-    return F.when(c.contains("%"), decoded).otherwise(c)
+    ensure_functions()
+    return F.call_function("markhive_decode_percent", _c(col))
 
 
 def fold_scheme(col: Column | str) -> Column:
