@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..options import KeyOptions
+from .sqlfuncs import ensure_functions
 from .text import decode_entities
 from .urls import decode_percent, fold_scheme, strip_trailing_slash
 
@@ -56,6 +57,7 @@ def title_key(title: Column, opts: KeyOptions) -> Column:
 
 def with_keys(links: DataFrame, opts: KeyOptions, url: str = "url", title: str = "title") -> DataFrame:
     """Add ``key_url`` and ``key_title`` (``''`` in url mode); never null."""
+    ensure_functions(links.sparkSession)
     return links.withColumn("key_url", F.coalesce(url_key(F.col(url), opts), F.lit(""))).withColumn(
         "key_title", F.coalesce(title_key(F.col(title), opts), F.lit(""))
     )

@@ -76,7 +76,8 @@ FUNCTIONS = {
 
 
 def ensure_functions(spark: SparkSession | None = None) -> SparkSession:
-    """Define the functions in the (active) session if they are missing."""
+    """Define the functions in ``spark`` (default: the active session) if
+    they are missing.  Operators that hold a DataFrame pass its session."""
     spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     if not spark.catalog.functionExists("markhive_decode_percent"):
         for name, body in FUNCTIONS.items():

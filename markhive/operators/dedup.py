@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import title_key, url_key, with_keys
+from ..functions.sqlfuncs import ensure_functions
 from ..options import KeyOptions
 
 KEY = ("key_url", "key_title")
@@ -69,6 +70,7 @@ def batch_dedup(
     if batch_mode not in BATCH_MODES:
         raise ValueError(f"batch_mode must be one of {sorted(BATCH_MODES)}")
     modes = BATCH_MODES[batch_mode]
+    ensure_functions(links.sparkSession)
     df = links.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
     key_url = url_key(F.col("url"), opts)
     key_title = F.when(F.col("mode") == "url-title", title_key(F.col("title"), opts.with_mode("url-title")))

@@ -145,3 +145,10 @@ def test_url_key_order_of_steps(spark):
     df = spark.createDataFrame([("HTTP://x/a%2F&amp;/",)], "v string")
     out = df.select(url_key(F.col("v"), KeyOptions(decode=True, ignore_slash=True)).alias("o")).first().o
     assert out == "//x/a/&"
+
+
+def test_functions_in_a_new_session(spark):
+    other = spark.newSession()
+    df = other.createDataFrame([("http://x/?a=1&amp;b=%41",)], "url string").withColumn("title", F.lit(""))
+    row = with_keys(df, KeyOptions(decode=True)).first()
+    assert row.key_url == "//x/?a=1&b=A"
