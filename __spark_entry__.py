@@ -60,6 +60,18 @@ def q_extract_links(spark, sf_dir):
     return extract_links(pages_documents(_pages(spark, sf_dir)))
 
 
+def q_pages_dedup(spark, sf_dir):
+    """Crawled pages as link files (S4): the links each page keeps after dedup."""
+    kept = dedup.dedup(extract_links(pages_documents(_pages(spark, sf_dir))), KeyOptions())
+    return kept.select("file_id", "pos", "url", "title", "key_url")
+
+
+def q_pages_presence(spark, sf_dir):
+    """In how many pages each link occurs (A9 over crawled pages)."""
+    links = extract_links(pages_documents(_pages(spark, sf_dir)))
+    return compare.presence(links, CompareOptions(mode="url-title"))
+
+
 def q_entity_decode(spark, sf_dir):
     return _links(spark, sf_dir).select(
         "link_id", decode_entities("url").alias("url_text"), decode_entities("title").alias("title_text")
@@ -276,6 +288,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "fixture_links": q_fixture_links,
         "extract_links": q_extract_links,
+        "pages_dedup": q_pages_dedup,
+        "pages_presence": q_pages_presence,
         "entity_decode": q_entity_decode,
         "entity_decode_pages": q_entity_decode_pages,
         "percent_decode": q_percent_decode,
@@ -574,6 +588,15 @@ group by key_url, key_title""",
     }
     # The tolerant parser must give what the regex gives on these pages.
     out["extract_tolerant"] = out["extract_links"]
+    page_links = f"with page_links as ({out['extract_links']})\n"
+    out["pages_dedup"] = page_links + f"""select file_id, pos, url, title, key_url from (
+  select *, row_number() over (partition by file_id, key_url order by pos) as rn
+  from (select *, {_url_key_sql(KeyOptions())} as key_url from page_links) k) r
+where rn = 1"""
+    pk = CompareOptions(mode="url-title").key_options()
+    out["pages_presence"] = page_links + f"""select key_url, key_title, count(distinct file_id) as n_files
+from (select file_id, {_url_key_sql(pk)} as key_url, {_title_key_sql(pk)} as key_title from page_links) k
+group by key_url, key_title"""
     for name, o in DEDUP_VARIANTS.items():
         out[name] = _dedup_sql(o)
     for name, (mode, o) in BATCH_VARIANTS.items():

@@ -38,16 +38,22 @@ def _open(path: str):
 def write_named_documents(docs: DataFrame, path: str = "target_path", text: str = "text") -> int:
     """Write each row's ``text`` to the file named by ``path``; returns the count.
 
-    One document is one row, so a task holds at most its own documents.
+    One document is one row, so a task holds at most its own documents.  The
+    count comes from an accumulator of the same job (Spark counts a retried
+    task's update once for actions such as this one).
     """
+    written = docs.sparkSession.sparkContext.accumulator(0)
 
     def write_partition(rows):
+        n = 0
         for r in rows:
             with _open(r[path]) as f:
                 f.write(r[text].encode("utf-8"))
+            n += 1
+        written.add(n)
 
     docs.select(path, text).foreachPartition(write_partition)
-    return docs.count()
+    return written.value
 
 
 def write_named_lines(lines: DataFrame, path: str = "target_path", order=("k", "p"), text: str = "line") -> None:
