@@ -21,6 +21,8 @@ LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # many small bookmark exports: pack them, 4 MB per file open
     "spark.sql.files.openCostInBytes": str(4 << 20),
+    # drop checkpoint files once their DataFrames are gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
