@@ -18,20 +18,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compare, dedup, naming
-from ..operators.extract import Tree, parse_bookmarks, resolve_tree
+from ..operators.extract import Tree, parse_bookmark_lines, parse_bookmarks, resolve_tree
 from ..operators.jsontree import CHROMIUM, JsonFields, flatten_json, items_from_json, json_links
 from ..operators.render import items_from_tree, render_documents
 from ..operators.tolerant import tokenize_tolerant
 from ..options import CompareOptions, KeyOptions
-from ..sources.documents import files_table, read_html_files, read_json_files
+from ..sources.documents import files_table, read_html_files, read_html_lines, read_json_files
 from ..sources.sinks import write_named_documents, write_table
 
 
-def parse_files(spark: SparkSession, targets, recursive: bool = False, parser: str = "regex") -> tuple[DataFrame, Tree]:
+def parse_files(
+    spark: SparkSession, targets, recursive: bool = False, parser: str = "regex", reader: str = "whole"
+) -> tuple[DataFrame, Tree]:
     """Read HTML bookmark files and parse them: ``(files, tree)``.
 
     ``parser`` is ``regex`` (fast, default) or ``html.parser`` (tolerant).
+    ``reader`` ``lines`` reads files as splittable lines (files larger than
+    a row; regex parser, one element per line).
     """
+    if reader == "lines":
+        if parser != "regex":
+            raise ValueError("the line reader works with the regex parser")
+        lines = read_html_lines(spark, targets, recursive=recursive)
+        return lines.select("file_id").distinct(), parse_bookmark_lines(lines)
     docs = read_html_files(spark, targets, recursive=recursive)
     if parser == "regex":
         tree = parse_bookmarks(docs)
@@ -51,6 +60,7 @@ def dedup_files(
     html_output_dir: str | None = None,
     recursive: bool = False,
     parser: str = "regex",
+    reader: str = "whole",
 ) -> DataFrame:
     """Remove duplicates inside each file.
 
@@ -60,7 +70,7 @@ def dedup_files(
     bookmark file per input and mode (``<name>.dedup-<mode>.html``), keeping
     every folder and the original order.
     """
-    _, tree = parse_files(spark, targets, recursive, parser)
+    _, tree = parse_files(spark, targets, recursive, parser, reader)
     if batch_mode is None:
         kept = dedup.dedup(tree.links, opts).withColumn("mode", F.lit(opts.mode))
     else:
@@ -90,9 +100,10 @@ def compare_files(
     opts: CompareOptions = CompareOptions(),
     output: str | None = None,
     parser: str = "regex",
+    reader: str = "whole",
 ) -> DataFrame:
     """E2 (many files): unique or intersection report, bookmarks and folders."""
-    files, tree = parse_files(spark, list(targets), parser=parser)
+    files, tree = parse_files(spark, list(targets), parser=parser, reader=reader)
     links, folders = _compare_inputs(tree)
     report = compare.multi_compare(links, folders, files, opts)
     if output:

@@ -77,6 +77,14 @@ def test_tolerant_parser_job(spark, tree):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_line_reader_jobs(spark, tree):
+    a = jobs.dedup_files(spark, [f"{tree}/in"], KeyOptions(), batch_mode="all", reader="lines").select("file_id", "mode", "url")
+    b = jobs.dedup_files(spark, [f"{tree}/in"], KeyOptions(), batch_mode="all").select("file_id", "mode", "url")
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
+    rep = jobs.compare_files(spark, [f"{tree}/in/a.html", f"{tree}/in/b.html"], CompareOptions(), reader="lines")
+    assert rep.count() == 6
+
+
 def test_batch_dedup_job(spark, tree):
     kept = jobs.dedup_files(spark, [f"{tree}/in"], KeyOptions(ignore_slash=True), batch_mode="all",
                             output=f"{tree}/kept")
