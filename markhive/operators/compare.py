@@ -73,16 +73,20 @@ def compare_items(
     folder_text = F.array_join("folder", sep) if folder_is_array else F.col("folder")
     # one separator between names, none at the ends
     folder_text = F.regexp_replace(F.regexp_replace(folder_text, f"{re.escape(sep)}+", sep), f"^{re.escape(sep)}|{re.escape(sep)}$", "")
-    depth = F.when(folder_text == "", F.lit(0)).otherwise(F.size(F.split(folder_text, re.escape(sep))))
     want_bm = "bookmark" in kinds
     want_fo = "folder" in kinds and folders is None
     keep = has_allowed_protocol("url") if (opts.filter and want_bm) else F.lit(True)
-    lo = F.when(keep, F.lit(0 if want_bm else 1)).otherwise(F.lit(1))
-    hi = depth if want_fo else F.lit(0)
-    rows = keyed.select(
-        "*", folder_text.alias("_ftext"), lo.alias("_lo"), hi.alias("_hi"),
-        F.explode(F.sequence(F.least(lo, hi), hi)).alias("_k"),
-    ).where((F.col("_k") >= F.col("_lo")) & (F.col("_k") <= F.col("_hi")))
+    # Text, depth and the row range are columns before the explode, so each
+    # is computed once per link (generator inputs get no common-subexpression
+    # elimination).
+    staged = keyed.withColumn("_ftext", folder_text).withColumn(
+        "_hi",
+        (F.when(F.col("_ftext") == "", F.lit(0)).otherwise(F.size(F.split("_ftext", re.escape(sep)))))
+        if want_fo else F.lit(0),
+    ).withColumn("_lo", F.when(keep, F.lit(0 if want_bm else 1)).otherwise(F.lit(1)))
+    rows = staged.select("*", F.explode(F.sequence(F.least("_lo", "_hi"), F.col("_hi"))).alias("_k")).where(
+        (F.col("_k") >= F.col("_lo")) & (F.col("_k") <= F.col("_hi"))
+    )
     is_bm = F.col("_k") == 0
     prefix = F.expr(f"substring_index(_ftext, '{sep}', _k)")
     folder_key = _folder_key(prefix, opts, sep)
