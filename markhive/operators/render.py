@@ -56,8 +56,10 @@ def items_from_links(
     are merged when the document is assembled.
     """
     col = F.col(folder)
-    names = col if dict(links.dtypes)[folder].startswith("array") else F.split(col, re.escape(sep))
-    names = F.filter(names, lambda n: n != "")
+    split = col if dict(links.dtypes)[folder].startswith("array") else F.split(col, re.escape(sep))
+    # a column before the explode: computed once per link
+    links = links.withColumn("_names", F.filter(split, lambda n: n != ""))
+    names = F.col("_names")
     link_item = F.struct(
         F.lit("link").alias("kind"),
         F.transform(names, lambda n: elem(1, 0, n)).alias("path"),
