@@ -7,8 +7,15 @@ it).  ``oracle_sql`` states the same result in DuckDB SQL; column names match.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
+# The package sits next to this file; make it importable wherever the driver runs.
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
