@@ -28,9 +28,17 @@ from markhive.operators.extract import extract_links, links_of, parse_bookmarks,
 from markhive.operators.tolerant import tokenize_tolerant
 from markhive.operators.jsontree import flatten_json, items_from_json, json_folders, json_links
 from markhive.operators.render import render_documents
+from markhive.packaging import ship
 from markhive.sources.documents import pages_documents
 from markhive.sources.fixtures import fixture_documents, links_fixture
 
+# The training-data operators are optional: the rest works without their subpackage.
+try:
+    from markhive.llm.queries import ORACLE_SQL as _LLM_SQL
+    from markhive.llm.queries import QUERIES as _LLM_QUERIES
+except ImportError:
+    _LLM_QUERIES, _LLM_SQL = {}, {}
+
 SF_SMOKE = "/root/testdata/sf0.001"
 
 
@@ -328,7 +336,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         stem_names=q_stem_names,
         stem_names_o=q_stem_names_o,
     )
-    return out
+    out.update(_LLM_QUERIES)
+    return {name: _shipped(f) for name, f in out.items()}
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with the package made importable in the session's workers first."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 # ---------------------------------------------------------------- oracle SQL
@@ -638,4 +657,5 @@ select p.path, concat('Bookmarks bar/', f.folder) as folder from page_folders f
         stem_names=_stem_sql(None),
         stem_names_o=_stem_sql(CONVERT_DIR),
     )
+    out.update(_LLM_SQL)
     return out
