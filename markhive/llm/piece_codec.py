@@ -329,6 +329,26 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text")
     return per_task(df, _decoded, schema, model_path, ids, text)
 
 
+def _lengths(batches: Iterable[pa.RecordBatch], path: str, column: str, to: str) -> Iterator[pa.RecordBatch]:
+    own = codec(path)
+    for batch in pieces(batches, column):
+        n = [len(x) for x in own.encode([as_text(x) for x in batch.column(column).to_pylist()])]
+        rest = [(c, batch.column(c)) for c in batch.schema.names if c != column]
+        yield pa.RecordBatch.from_arrays([c for _, c in rest] + [pa.array(n, pa.int64())], names=[c for c, _ in rest] + [to])
+
+
+def lengths(df: DataFrame, model_path: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
+    """The other columns of ``df`` and the number of ids of ``text``."""
+    rest = [c for c in df.columns if c != text]
+    if name in rest:
+        raise ValueError(f"column {name} exists; name another one")
+    raw = "__text"
+    while raw in rest:
+        raw = "_" + raw
+    schema = df.select(*(f"`{c}`" for c in rest)).schema.add(name, "long")
+    return per_task(df.select(*(f"`{c}`" for c in rest), text_bytes(f"`{text}`").alias(raw)), _lengths, schema, model_path, raw, name)
+
+
 def _digests(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = codec(path)
     digits = [str(i) for i in range(len(own.pieces))]
