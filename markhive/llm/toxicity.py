@@ -51,8 +51,9 @@ STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "§": "s", "¡": "i", "µ": "u",
 }
-#: Channel costs in nats: written for another letter, symbol for nothing, letter or digit for nothing, repeated character dropped.
-COSTS = {"stands": 1.0, "noise": 0.5, "lost": 6.0, "repeat": 0.7}
+#: Channel costs in nats: written for another letter, symbol for nothing, digit for nothing, letter for nothing,
+#: repeated character dropped from a pair, and from three or more.
+COSTS = {"stands": 1.0, "noise": 0.5, "digit": 8.0, "lost": 25.0, "pair": 6.0, "repeat": 0.5}
 
 _repeated = re.compile(r"(.)\1\1")
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
@@ -84,9 +85,9 @@ class CharModel:
         for i, c in enumerate(word):
             moves = [(c, 0.0)] if c.isalpha() else []
             moves += [(x, COSTS["stands"]) for x in STANDS_FOR.get(c, "")]
-            skip = COSTS["lost"] if c.isalnum() else COSTS["noise"]
+            skip = COSTS["lost"] if c.isalpha() else COSTS["digit"] if c.isalnum() else COSTS["noise"]
             if i and c == word[i - 1]:
-                skip = min(skip, COSTS["repeat"])
+                skip = min(skip, COSTS["repeat" if c * 3 in word else "pair"])
             if not moves:
                 moves = [(c, COSTS["lost"])]
             after: dict[tuple[int, int], tuple[float, tuple]] = {}
@@ -234,7 +235,7 @@ def _held(batches: Iterable[pa.RecordBatch], model, place) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.list_(pa.int32()))], names=["doc_id", "held"])
 
 
-def fitted(held: list[list[int]], labels: np.ndarray, size: int, rounds: int = 300, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def fitted(held: list[list[int]], labels: np.ndarray, size: int, rounds: int = 500, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression on lists of present features: weights and intercept (full gradients with momentum)."""
     row = np.repeat(np.arange(len(held)), [len(x) for x in held])
     column = np.array([p for x in held for p in x], np.int64)
