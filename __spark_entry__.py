@@ -34,8 +34,11 @@ from markhive.sources.fixtures import fixture_documents, links_fixture
 
 # The training-data operators are optional: the rest works without their subpackage.
 try:
+    import corpus_pipeline
     from markhive.llm.queries import ORACLE_SQL as _LLM_SQL
     from markhive.llm.queries import QUERIES as _LLM_QUERIES
+
+    _LLM_QUERIES = {**_LLM_QUERIES, "pipeline": corpus_pipeline.run}
 except ImportError:
     _LLM_QUERIES, _LLM_SQL = {}, {}
 

@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from tests.oracle import compare, duck
 
 SF = os.environ.get("MARKHIVE_ORACLE_SF", "/root/testdata/sf0.01")
-NAMES = sorted(E.queries())
+NAMES = sorted(E.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +17,9 @@ def con():
 
 
 def test_every_query_has_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    # the training-data operators that SQL can't express have brute-force tests of their own
+    assert set(E.queries()) - set(E.oracle_sql()) <= set(E._LLM_QUERIES)
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
