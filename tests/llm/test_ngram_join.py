@@ -1,0 +1,124 @@
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from markhive.llm import components, ngram_join
+from markhive.llm.idfilter import id_filter, maybe_in, surely_not_in
+
+from .conftest import ODD, frame
+
+
+def shingles(text: str | None, width: int) -> frozenset:
+    words = (text or "").encode().lower().split()
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+
+
+def plain(texts: dict, width: int, percent: int) -> dict:
+    """Components of all linked pairs, by comparing every pair that shares a shingle."""
+    sets = {i: shingles(t, width) for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders = defaultdict(list)
+    for i, s in sorted(sets.items()):
+        for j, o in Counter(j for t in s for j in holders[t]).items():
+            if 100 * o >= percent * (len(s) + len(sets[j]) - o):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for t in s:
+            holders[t].append(i)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def got(df, width, percent) -> dict:
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.groups(df, width, percent).collect()}
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_real_documents(spark, width, percent):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert got(docs, width, percent) == plain({r.doc_id: r.text for r in docs.collect()}, width, percent)
+
+
+def near_copies(seed: int, n: int) -> dict[int, str]:
+    """Families of edited copies around the threshold, with passages and words that many share."""
+    rnd = random.Random(seed)
+    passage = [f"p{i}" for i in range(60)]
+    out = {}
+    for i in range(n):
+        if out and rnd.random() < 0.7:
+            words = out[rnd.choice(list(out))].split()
+            for _ in range(rnd.choice([0, 1, 1, 2, 3, 5])):
+                at = rnd.randrange(len(words))
+                words[at] = rnd.choice(["x", f"w{rnd.randrange(10**6)}"])
+            if rnd.random() < 0.3:
+                words += [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(6))]
+        else:
+            words = [rnd.choice(["of", "the", f"w{rnd.randrange(10**6)}"]) for _ in range(rnd.choice([1, 2, 4, 20, 60, 150]))]
+            if rnd.random() < 0.5:
+                words = words[: len(words) // 2] + passage + words[len(words) // 2 :]
+        out[i * 3 + 1] = " ".join(words)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_link_is_lost(spark, seed):
+    texts = near_copies(seed, 600)
+    for width, percent in ((3, 90), (5, 80), (2, 50)):
+        assert got(frame(spark, texts), width, percent) == plain(texts, width, percent)
+
+
+def test_links_that_bands_miss_are_found(spark, monkeypatch):
+    # without any min-hash band every link has to come from the matrix
+    monkeypatch.setattr(ngram_join, "BANDS", 1)
+    monkeypatch.setattr(ngram_join, "WIDTH", 12)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "QUERIES", 2)
+    texts = near_copies(9, 400)
+    assert got(frame(spark, texts), 3, 80) == plain(texts, 3, 80)
+
+
+def test_odd_rows(spark, odd, empty):
+    rows = ngram_join.groups(odd, 3, 90).collect()
+    assert len(rows) == len(ODD)
+    for r in rows:
+        if not r.n_shingles:
+            assert r.component_id == r.doc_id
+    by = {r.doc_id: r for r in rows if r.doc_id}
+    assert by[5].component_id == by[6].component_id == 5 and by[5].n_shingles == 1
+    assert by[8].component_id == 7
+    assert by[10].component_id == 10
+    assert ngram_join.groups(empty, 3, 90).count() == 0
+
+
+def test_one_of_each(spark, odd, empty):
+    kept = ngram_join.one_of_each(odd, 3, 90)
+    assert kept.columns == odd.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 7, 9, 10, None]))
+    assert ngram_join.one_of_each(empty).count() == 0
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = plain({r.doc_id: r.text for r in docs.collect()}, 5, 80)
+    assert {r.doc_id for r in ngram_join.one_of_each(docs).collect()} == {root for _, root in want.values()}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (201, 200), (200, 201)]
+    rows = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert rows == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_id_filter(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 100 != 99, F.col("id")).alias("id"), F.lit("x").alias("maybe"))
+    bits = id_filter(spark.range(0, 5000, 10))
+    through, others = maybe_in(df, "id", bits), surely_not_in(df, "id", bits)
+    assert through.count() + others.count() == 5000
+    assert through.where("id % 10 = 0").count() == 500 and through.count() < 520
