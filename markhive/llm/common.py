@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from markhive.packaging import ship
 
@@ -74,6 +75,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_field(schema: StructType, name: str, kind: str) -> StructType:
+    """The schema and one more field."""
+    return StructType([*schema.fields, StructField(name, _parse_datatype_string(kind))])
+
+
 def partitions_of(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -51,7 +51,7 @@ BANDS, WIDTH = 4, 2
 #: Members of a block, and queries that meet a block in one run of a task.
 BLOCK, QUERIES = 64, 512
 #: Words whose hash a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

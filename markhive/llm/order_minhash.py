@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markhive.llm.common import as_text, partitions_of, per_task, pieces, text_bytes
+from markhive.llm.common import as_text, partitions_of, per_task, pieces, text_bytes, with_field
 
 #: Characters of a k-mer, k-mers of a tuple, and tuples of a fingerprint.
 K, TUPLE, SKETCHES = 12, 2, 32
@@ -123,7 +123,7 @@ def fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint") -
     raw = "__text"
     while raw in df.columns:
         raw = "_" + raw
-    return per_task(df.withColumn(raw, text_bytes(f"`{text}`")), _fingerprinted, df.schema.add(name, "string"), raw, name)
+    return per_task(df.withColumn(raw, text_bytes(f"`{text}`")), _fingerprinted, with_field(df.schema, name, "string"), raw, name)
 
 
 # ------------------------------------------------------------------ documents and the next one

@@ -28,7 +28,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from markhive.llm.common import as_text, per_task, pieces, text_bytes
+from markhive.llm.common import as_text, per_task, pieces, text_bytes, with_field
 
 #: Words of more symbols are merged with a heap.
 LONG = 256
@@ -308,7 +308,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids")
     while raw in df.columns:
         raw = "_" + raw
     rest = [c for c in df.columns if c != text]
-    schema = df.select(*(f"`{c}`" for c in rest)).schema.add(ids, "array<int>")
+    schema = with_field(df.select(*(f"`{c}`" for c in rest)).schema, ids, "array<int>")
     return per_task(df.select(*(f"`{c}`" for c in rest), text_bytes(f"`{text}`").alias(raw)), _encoded, schema, model_path, raw, ids)
 
 
@@ -325,7 +325,7 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text")
     if text in df.columns and ids != text:
         raise ValueError(f"column {text} exists; name another one")
     rest = [c for c in df.columns if c != ids]
-    schema = df.select(*(f"`{c}`" for c in rest)).schema.add(text, "string")
+    schema = with_field(df.select(*(f"`{c}`" for c in rest)).schema, text, "string")
     return per_task(df, _decoded, schema, model_path, ids, text)
 
 
@@ -345,7 +345,7 @@ def lengths(df: DataFrame, model_path: str, text: str = "text", name: str = "n_t
     raw = "__text"
     while raw in rest:
         raw = "_" + raw
-    schema = df.select(*(f"`{c}`" for c in rest)).schema.add(name, "long")
+    schema = with_field(df.select(*(f"`{c}`" for c in rest)).schema, name, "long")
     return per_task(df.select(*(f"`{c}`" for c in rest), text_bytes(f"`{text}`").alias(raw)), _lengths, schema, model_path, raw, name)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markhive.llm.common import as_text, per_task, pieces, text_bytes
+from markhive.llm.common import as_text, per_task, pieces, text_bytes, with_field
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -185,7 +185,7 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] | None = None, text: str = "tex
     raw = "__text"
     while raw in df.columns:
         raw = "_" + raw
-    schema = df.schema.add(rejected_by, "string")
+    schema = with_field(df.schema, rejected_by, "string")
     return per_task(df.withColumn(raw, text_bytes(f"`{text}`")), _judged, schema, rules, raw, rejected_by)
 
 

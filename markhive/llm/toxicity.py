@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markhive.llm.common import as_text, per_task, pieces, text_bytes
+from markhive.llm.common import as_text, per_task, pieces, text_bytes, with_field
 from markhive.llm.idfilter import id_filter, maybe_in
 
 #: Labelled rows that the regression is fitted on.
@@ -316,7 +316,7 @@ def score(df: DataFrame, scorer: Scorer, text: str = "text", name: str = "toxici
     while raw in df.columns:
         raw = "_" + raw
     told = df.sparkSession.sparkContext.broadcast(scorer)
-    return per_task(df.withColumn(raw, text_bytes(f"`{text}`")), _scored, df.schema.add(name, "double"), told, raw, name)
+    return per_task(df.withColumn(raw, text_bytes(f"`{text}`")), _scored, with_field(df.schema, name, "double"), told, raw, name)
 
 
 #: Score from which a document is toxic.

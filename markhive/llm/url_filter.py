@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markhive.llm.common import per_task, stored
+from markhive.llm.common import per_task, stored, with_field
 
 #: Bits of all levels together (16 MB).
 MAX_BITS = 1 << 27
@@ -168,7 +168,7 @@ def with_listed(df: DataFrame, key: str, universe: DataFrame, name: str = "liste
         known = known.withColumn("__hit", F.lit(True))
         return df.join(known, F.col(key) == F.col("__key"), "left").drop("__key").withColumn(name, F.coalesce("__hit", F.lit(False))).drop("__hit")
     told = df.sparkSession.sparkContext.broadcast(levels)
-    return per_task(_keyed(df, key), _answered, df.schema.add(name, "boolean"), told, name)
+    return per_task(_keyed(df, key), _answered, with_field(df.schema, name, "boolean"), told, name)
 
 
 def listed_hosts(hosts: DataFrame, labels: Iterable[str] = LISTED_LABELS) -> DataFrame:
