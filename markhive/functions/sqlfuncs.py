@@ -33,7 +33,7 @@ def _named_entities_sql() -> str:
 
 # One entity reference (';' required, decision D5), a run of other text, or a
 # lone '&'.  Possessive quantifiers keep the Java regex iterative on long text.
-ENTITY_PIECES = r"(&(?:#[0-9]{1,8}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{0,31});|[^&]++|&)"
+ENTITY_PIECES = r"(&(?:#[0-9]++|#[xX][0-9A-Fa-f]++|[A-Za-z][A-Za-z0-9]*+);|[^&]++|&)"
 # A run of %XX escapes, a run of other text, or a lone '%'.
 PERCENT_PIECES = r"((?:%[0-9A-Fa-f]{2})++|[^%]++|%)"
 
@@ -41,14 +41,16 @@ PERCENT_PIECES = r"((?:%[0-9A-Fa-f]{2})++|[^%]++|%)"
 def _codepoint_char(cp: str) -> str:
     """Character for a code point; U+FFFD for 0, surrogates and > U+10FFFF."""
     return (
-        f"CASE WHEN {cp} > 0 AND {cp} <= 1114111 AND NOT ({cp} BETWEEN 55296 AND 57343) "
+        f"CASE WHEN ({cp}) > 0 AND ({cp}) <= 1114111 AND NOT (({cp}) BETWEEN 55296 AND 57343) "
         f"THEN decode(unhex(lpad(hex({cp}), 8, '0')), 'UTF-32') ELSE '\\uFFFD' END"
     )
 
 
 def _entities_body() -> str:
-    hex_cp = "try_cast(conv(substr(p, 4, length(p) - 4), 16, 10) AS BIGINT)"
-    dec_cp = "try_cast(substr(p, 3, length(p) - 3) AS BIGINT)"
+    # any number of digits; what is left without leading zeros is no character if it is longer than 8
+    digits = "ltrim('0', substr(p, {0}, length(p) - {0}))".format
+    hex_cp = f"CASE WHEN length({digits(4)}) BETWEEN 1 AND 8 THEN try_cast(conv({digits(4)}, 16, 10) AS BIGINT) END"
+    dec_cp = f"CASE WHEN length({digits(3)}) BETWEEN 1 AND 8 THEN try_cast({digits(3)} AS BIGINT) END"
     piece = (
         "CASE WHEN NOT (startswith(p, '&') AND endswith(p, ';') AND length(p) > 2) THEN p "
         f"WHEN substr(p, 2, 2) IN ('#x', '#X') THEN {_codepoint_char(hex_cp)} "
