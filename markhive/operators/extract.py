@@ -19,13 +19,15 @@ from .ordered import DEFAULT_CHUNK_ROWS, chunk_of, last_before, running_sum_befo
 
 # The token grammar of a bookmark file (Netscape format) and of
 # anchors in any page.  Tags in any case; href double-, single- or unquoted.
-TOKEN_RE = r"(?is)(<dl\b[^>]*+>|</dl\s*+>|<h3\b[^>]*+>.*?</h3\s*+>|<a\b[^>]*+>.*?</a\s*+>)"
-ANCHOR_RE = r"(?is)(<a\b[^>]*+>.*?</a\s*+>)"
+# A '>' inside a quoted attribute does not end its tag.
+ATTRS = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
+TOKEN_RE = rf"(?is)(<dl\b{ATTRS}>|</dl\s*+>|<h3\b{ATTRS}>.*?</h3\s*+>|<a\b{ATTRS}>.*?</a\s*+>)"
+ANCHOR_RE = rf"(?is)(<a\b{ATTRS}>.*?</a\s*+>)"
 HREF_RE = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 # The same value with its quotes as one group, so one regex call finds it.
 HREF_QUOTED_RE = r"""(?is)\shref\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
-START_TAG_RE = r"(?is)^(<[a-z0-9]+\b[^>]*+>)"
-INNER_RE = r"(?is)^<[a-z0-9]+\b[^>]*+>(.*?)</[a-z0-9]+\s*+>$"
+START_TAG_RE = rf"(?is)^(<[a-z0-9]+\b{ATTRS}>)"
+INNER_RE = rf"(?is)^<[a-z0-9]+\b{ATTRS}>(.*?)</[a-z0-9]+\s*+>$"
 
 # Token kinds: dl, end (</dl>), folder (<h3>), link (<a>).
 

@@ -135,6 +135,8 @@ def _lines(items: DataFrame, fmt: str, escape: bool) -> DataFrame:
     if fmt == "html":
         if escape:
             name, url, title = escape_html(name, False), escape_html(url, True), escape_html(title, False)
+        else:
+            url = F.replace(url, F.lit('"'), F.lit("&quot;"))  # raw text, but it ends up between quotes
         indent = F.repeat(F.lit("    "), depth)
         open_line = F.concat(indent, F.lit("<DT><H3>"), name, F.lit("</H3>\n"), indent, F.lit("<DL><p>"))
         close_line = F.concat(indent, F.lit("</DL><p>"))
