@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # Rows per chunk of one document.  Normal bookmark files (tens of thousands
 # of links) are a single chunk.
 DEFAULT_CHUNK_ROWS = 1 << 20
@@ -83,7 +85,8 @@ def rank_within(df: DataFrame, group: Sequence[str], order: str, out: str, chunk
     Like ``row_number()`` over ``partitionBy(group)``, but a large group is
     split: rows are range-partitioned on ``(group, order)``, each task numbers
     its share, and earlier tasks' counts are added from the per-chunk table.
-    ``order`` must be unique within a group.
+    ``order`` must be unique within a group.  The ranged rows are checkpointed:
+    numbering and counting read the same rows, whatever the optimizer reuses.
     """
     group = list(group)
     n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -92,5 +95,7 @@ def rank_within(df: DataFrame, group: Sequence[str], order: str, out: str, chunk
         .withColumn("_rk_chunk", F.spark_partition_id().cast("bigint"))
         .withColumn("_rk_one", F.lit(1))
     )
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = ranged.checkpoint(eager=True)
     ranked = running_sum_before(ranged, group, order, "_rk_chunk", "_rk_one", out)
     return ranked.withColumn(out, F.col(out) + 1).drop("_rk_chunk", "_rk_one")

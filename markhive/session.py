@@ -8,6 +8,7 @@ setting that is already present, except in ``local_session``.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -51,7 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
     Read from ``spark.checkpoint.dir`` (or an earlier ``setCheckpointDir``).
-    Only when neither is set (local tests) a fresh scratch folder is made.
+    Where neither is set, a session that runs in one process gets a fresh
+    scratch folder; on a cluster that is an error, since executors would not
+    see each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="markhive-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
