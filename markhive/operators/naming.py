@@ -23,6 +23,29 @@ def with_target_dir(docs: DataFrame, path: str = "path", output_dir: str | None
     return docs.withColumn("target_dir", target)
 
 
+def free_names(df: DataFrame, order: str, taken: DataFrame | None = None, target: str = "target_path") -> DataFrame:
+    """Numbers outputs that would share a path: ``x.html``, ``x_2.html``, ``x_3.html``, ... by ``order``.
+
+    ``taken`` (target_path) lists files that are there already: numbers go on
+    after the highest one, so that nothing is overwritten.  The place in a group
+    comes from ``rank_within``, so that many outputs of one name don't meet in one task.
+    """
+    ranked = rank_within(df, [target], order, "_n")
+    if taken is not None:
+        stem = F.regexp_extract("target_path", r"(?s)^(.*?)(\.[^./]*)?$", 1)
+        ext = F.regexp_extract("target_path", r"(?s)^(.*?)(\.[^./]*)?$", 2)
+        plain = F.struct(F.col("target_path").alias("t"), F.lit(1).cast("bigint").alias("k"))
+        number = F.regexp_extract(stem, r"_([0-9]{1,18})$", 1)
+        counted = F.struct(F.concat(F.regexp_replace(stem, r"_[0-9]{1,18}$", ""), ext).alias("t"), number.try_cast("bigint").alias("k"))
+        both = F.explode(F.when(number != "", F.array(plain, counted)).otherwise(F.array(plain)))
+        top = taken.select(both.alias("x")).groupBy(F.col("x.t").alias("_t")).agg(F.max("x.k").alias("_k"))
+        ranked = ranked.join(top, F.col(target) == F.col("_t"), "left").withColumn("_n", F.col("_n") + F.coalesce("_k", F.lit(0))).drop("_t", "_k")
+    stem = F.regexp_extract(target, r"(?s)^(.*?)(\.[^./]*)?$", 1)
+    ext = F.regexp_extract(target, r"(?s)^(.*?)(\.[^./]*)?$", 2)
+    numbered = F.when(F.col("_n") > 1, F.concat(stem, F.lit("_"), F.col("_n").cast("string"), ext)).otherwise(F.col(target))
+    return ranked.withColumn(target, numbered).drop("_n")
+
+
 def stem_names(docs: DataFrame, path: str = "path", output_dir: str | None = None) -> DataFrame:
     """Output named after the input: ``x/Bookmarks`` -> ``Bookmarks.html``,
     ``x/a.json`` -> ``a.html``.  No conflict handling, like the plain converter."""
@@ -33,20 +56,13 @@ def stem_names(docs: DataFrame, path: str = "path", output_dir: str | None = Non
 
 
 def smart_names(
-    docs: DataFrame, count: str = "n_links", path: str = "path", output_dir: str | None = None
+    docs: DataFrame, count: str = "n_links", path: str = "path", output_dir: str | None = None, taken: DataFrame | None = None
 ) -> DataFrame:
     """``bookmarks_{count}.html``; files that would share a name in one
     target folder get ``_2``, ``_3``, ... in input path order (decision D15).
 
-    The place in a (folder, count) group is computed with ``rank_within`` so
-    that many files with the same count in one folder do not meet in one task.
+    Files that are there already (``taken``) keep their names: numbers go on after them.
     """
     out = with_target_dir(docs, path, output_dir)
-    ranked = rank_within(out, ["target_dir", count], path, "_n")
-    name = F.concat(
-        F.lit("bookmarks_"),
-        F.col(count).cast("string"),
-        F.when(F.col("_n") > 1, F.concat(F.lit("_"), F.col("_n").cast("string"))).otherwise(F.lit("")),
-        F.lit(".html"),
-    )
-    return ranked.withColumn("target_path", _join(F.col("target_dir"), name)).drop("_n")
+    name = F.concat(F.lit("bookmarks_"), F.col(count).cast("string"), F.lit(".html"))
+    return free_names(out.withColumn("target_path", _join(F.col("target_dir"), name)), path, taken)

@@ -161,15 +161,16 @@ def _lines(items: DataFrame, fmt: str, escape: bool) -> DataFrame:
     return items.select("doc", F.explode(rows).alias("r")).select("doc", "r.k", "r.p", "r.role", "r.line")
 
 
-def render_lines(items: DataFrame, escape: bool = True) -> DataFrame:
+def render_lines(items: DataFrame, escape: bool = True, docs: DataFrame | None = None) -> DataFrame:
     """All lines of every HTML document, header and footer included, with
     their sort key ``(k, p)``: ``(doc, k, p, role, line)``.
 
     For documents too large to be one row, write these lines in key order
     (``sinks.write_named_lines``) instead of building one string each.
+    ``docs`` (doc) lists the documents, also those without items.
     """
     body = _lines(items, "html", escape).dropDuplicates(["doc", "k", "p", "role"])
-    docs = items.select("doc").distinct()
+    docs = items.select("doc").distinct() if docs is None else docs
     empty_key = F.array().cast("array<struct<t:int,o:bigint,n:string>>")
     header = docs.select(
         "doc", empty_key.alias("k"), F.lit(-1).cast("bigint").alias("p"), F.lit("open").alias("role"),

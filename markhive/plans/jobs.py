@@ -10,21 +10,20 @@ Options are function parameters (the scripts' flags); there is no CLI.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compare, dedup, naming
 from ..operators.extract import Tree, parse_bookmark_lines, parse_bookmarks, resolve_tree
-from ..operators.jsontree import CHROMIUM, JsonFields, flatten_json, items_from_json, json_links
-from ..operators.render import items_from_tree, render_documents
+from ..operators.jsontree import CHROMIUM, JsonFields, flatten_json, items_from_json, json_errors, json_links
+from ..operators.render import items_from_tree, render_documents, render_lines
 from ..operators.tolerant import tokenize_tolerant
 from ..options import CompareOptions, KeyOptions
-from ..sources.documents import files_table, read_html_files, read_html_lines, read_json_files
-from ..sources.sinks import write_named_documents, write_table
+from ..session import ensure_checkpoint_dir
+from ..sources.documents import existing, html_targets, json_targets, listed, read_html_files, read_html_lines, read_json_files
+from ..sources.sinks import write_named_documents, write_named_lines, write_table
 
 
 def parse_files(
@@ -36,11 +35,11 @@ def parse_files(
     ``reader`` ``lines`` reads files as splittable lines (files larger than
     a row; regex parser, one element per line).
     """
+    files = listed(spark, html_targets(spark, targets, recursive))
     if reader == "lines":
         if parser != "regex":
             raise ValueError("the line reader works with the regex parser")
-        lines = read_html_lines(spark, targets, recursive=recursive)
-        return lines.select("file_id").distinct(), parse_bookmark_lines(lines)
+        return files, parse_bookmark_lines(read_html_lines(spark, targets, recursive=recursive))
     docs = read_html_files(spark, targets, recursive=recursive)
     if parser == "regex":
         tree = parse_bookmarks(docs)
@@ -48,7 +47,7 @@ def parse_files(
         tree = resolve_tree(tokenize_tolerant(docs))
     else:
         raise ValueError("parser must be regex or html.parser")
-    return files_table(docs), tree
+    return files, tree
 
 
 def dedup_files(
@@ -67,33 +66,40 @@ def dedup_files(
     ``batch_mode`` None runs one mode (``opts.mode``); ``url``, ``url-title``
     or ``all`` run the batch form.  ``output`` writes the kept links as
     parquet partitioned by file; ``html_output_dir`` writes one deduplicated
-    bookmark file per input and mode (``<name>.dedup-<mode>.html``), keeping
-    every folder and the original order.
+    bookmark file per input and mode (``<name>.dedup-<mode>.html``, numbered
+    where names meet), keeping every folder and the original order; an input
+    without links gives a file with its folders.
     """
-    _, tree = parse_files(spark, targets, recursive, parser, reader)
+    files, tree = parse_files(spark, targets, recursive, parser, reader)
+    modes = (opts.mode,) if batch_mode is None else dedup.BATCH_MODES.get(batch_mode, ())
     if batch_mode is None:
         kept = dedup.dedup(tree.links, opts).withColumn("mode", F.lit(opts.mode))
     else:
         kept = dedup.batch_dedup(tree.links, opts, batch_mode=batch_mode)
+    if output or html_output_dir:
+        # the outputs and the caller read one result
+        ensure_checkpoint_dir(spark)
+        kept = kept.checkpoint(eager=True)
     if output:
         write_table(kept, output, partition_by="mode")
     if html_output_dir:
-        modes = [r["mode"] for r in kept.select("mode").distinct().collect()]  # at most two values
+        folder = html_output_dir.rstrip("/")
         for mode in modes:
-            docs = render_documents(
-                items_from_tree(kept.where(F.col("mode") == mode), tree.folders), fmt="html", escape=False
-            )
-            base = F.regexp_extract("doc", r"([^/]*?)(\.[^./]*)?$", 1)
-            target = F.concat(F.lit(html_output_dir.rstrip("/") + "/"), base, F.lit(f".dedup-{mode}.html"))
-            write_named_documents(docs.select(target.alias("target_path"), "text"))
+            base = F.regexp_extract("file_id", r"([^/]*?)(\.[^./]*)?$", 1)
+            target = F.concat(F.lit(folder + "/"), base, F.lit(f".dedup-{mode}.html"))
+            named = naming.free_names(files.withColumn("target_path", target), "file_id", existing(spark, [folder]))
+            items = items_from_tree(kept.where(F.col("mode") == mode), tree.folders)
+            if reader == "lines":
+                # documents of any size: written line by line
+                lines = render_lines(items, escape=False, docs=files.select(F.col("file_id").alias("doc")))
+                write_named_lines(lines.join(named.withColumnRenamed("file_id", "doc"), "doc"))
+                continue
+            docs = render_documents(items, fmt="html", escape=False)
+            out = named.join(docs.withColumnRenamed("doc", "file_id"), "file_id", "left")
+            write_named_documents(out.select("target_path", F.coalesce("text", F.lit(_EMPTY_HTML)).alias("text")))
     return kept
 
 
-def _compare_inputs(tree: Tree) -> tuple[DataFrame, DataFrame]:
-    links = tree.links.withColumn("folder", F.array_join("folder", "/"))
-    return links, tree.folders
-
-
 def compare_files(
     spark: SparkSession,
     targets: Iterable[str],
@@ -104,8 +110,7 @@ def compare_files(
 ) -> DataFrame:
     """E2 (many files): unique or intersection report, bookmarks and folders."""
     files, tree = parse_files(spark, list(targets), parser=parser, reader=reader)
-    links, folders = _compare_inputs(tree)
-    report = compare.multi_compare(links, folders, files, opts)
+    report = compare.multi_compare(tree.links, tree.folders, files, opts)
     if output:
         write_table(report, output, partition_by="item_kind")
     return report
@@ -115,17 +120,11 @@ def diff_files(
     spark: SparkSession, file_a: str, file_b: str, opts: CompareOptions = CompareOptions(), parser: str = "regex"
 ) -> DataFrame:
     """E2 (two files): what A has that B lacks and the reverse."""
-    files, tree = parse_files(spark, [file_a, file_b], parser=parser)
-    links, folders = _compare_inputs(tree)
-    ids = [r["file_id"] for r in files.collect()]  # the two listed files
-    want_a = os.path.abspath(file_a)
-    a = next(i for i in ids if _local_path(i) == want_a)
-    b = next(i for i in ids if i != a)
-    return compare.diff_report(links, folders, a, b, opts)
-
-
-def _local_path(uri: str) -> str:
-    return urlparse(uri).path if uri.startswith("file:") else uri
+    _, tree = parse_files(spark, [file_a, file_b], parser=parser)
+    a, b = (html_targets(spark, f) for f in (file_a, file_b))
+    if len(a) != 1 or len(b) != 1 or a == b:
+        raise ValueError("diff needs two different files")
+    return compare.diff_report(tree.links, tree.folders, a[0].path, b[0].path, opts)
 
 
 def convert_json(
@@ -135,20 +134,32 @@ def convert_json(
     naming_rule: str = "smart",
     fields: JsonFields = CHROMIUM,
     write: bool = True,
+    errors: str = "raise",
 ) -> DataFrame:
     """JSON bookmark files -> HTML files.
 
     ``naming_rule`` ``smart`` names files ``bookmarks_<count>.html`` and
-    numbers conflicts; ``stem`` names them after the input.  Returns
-    ``(path, n_links, target_path, text)``.
+    numbers conflicts, also with files that are there already; ``stem`` names
+    them after the input (the file of that name is replaced; equal stems of one
+    run are numbered).  A file that can't be read as JSON is an error before
+    anything is written; ``errors="skip"`` leaves such files out (they are the
+    listed ones without a row).  Returns ``(path, n_links, target_path, text)``.
     """
-    docs = read_json_files(spark, patterns)
-    nodes = flatten_json(docs, doc="path", js="js", fields=fields)
-    counts = dedup.link_counts(docs.select("path"), json_links(nodes).withColumnRenamed("doc", "path"), "path")
+    patterns = [patterns] if isinstance(patterns, str) else list(patterns)
+    targets = json_targets(spark, patterns)
+    ensure_checkpoint_dir(spark)
+    # the trees are walked once; counts and documents read the same nodes
+    nodes = flatten_json(read_json_files(spark, patterns), doc="path", js="js", fields=fields).checkpoint(eager=True)
+    unreadable = json_errors(nodes)
+    if errors == "raise" and (bad := unreadable.take(1)):
+        raise ValueError(f"not a readable JSON bookmark file: {bad[0].doc}: {bad[0].message}")
+    files = listed(spark, targets, "path").join(unreadable, F.col("path") == F.col("doc"), "left_anti")
+    counts = dedup.link_counts(files, json_links(nodes).withColumnRenamed("doc", "path"), "path")
+    taken = existing(spark, [output_dir] if output_dir else [f.path.rpartition("/")[0] for f in targets]) if write else None
     if naming_rule == "smart":
-        named = naming.smart_names(counts, output_dir=output_dir)
+        named = naming.smart_names(counts, output_dir=output_dir, taken=taken)
     elif naming_rule == "stem":
-        named = naming.stem_names(counts, output_dir=output_dir)
+        named = naming.free_names(naming.stem_names(counts, output_dir=output_dir), "path")
     else:
         raise ValueError("naming_rule must be smart or stem")
     html = render_documents(items_from_json(nodes), fmt="html", escape=True)

@@ -6,25 +6,67 @@ so many files are one DataFrame and one job, not a loop.
 
 from __future__ import annotations
 
-import os
+import re
 from collections.abc import Iterable
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.urls import decode_percent
+from ..packaging import ship
+from .listing import File, list_files
+from .sinks import filesystem_of
 
-def _as_list(paths: str | Iterable[str]) -> list[str]:
-    return [paths] if isinstance(paths, str) else list(paths)
 
+def _whole_files(spark: SparkSession, files: list[File]) -> DataFrame:
+    """One row per listed file: ``(path, text)``.
 
-def _whole_files(spark: SparkSession, paths: list[str], glob: str | None, recursive: bool) -> DataFrame:
-    reader = spark.read
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    # one row per file: text() has its own wholetext argument, which wins over options
-    return reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    Spark's reader leaves out empty files and names that start with ``_`` or
+    ``.``: those come from the listing, or are read by tasks of their own.
+    """
+    plain = [f for f in files if f.size and not f.name.startswith(("_", "."))]
+    hidden = [f for f in files if f.size and f.name.startswith(("_", "."))]
+    empty = [f for f in files if not f.size]
+    parts = []
+    if plain:
+        # text() has its own wholetext argument, which wins over options
+        read = spark.read.text([_escaped(f.location) for f in plain], wholetext=True)
+        parts.append(read.select(decode_percent(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text")))
+    if hidden:
+        ship(spark)
+        named = spark.createDataFrame([(f.path,) for f in hidden], "path string").repartition(len(hidden))
+        parts.append(named.mapInPandas(_read_named, "path string, text string"))
+    if empty or not files:
+        parts.append(spark.createDataFrame([(f.path, "") for f in empty], "path string, text string"))
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
+    return df
+
+
+def _escaped(location: str) -> str:
+    """A file's location for a reader that would take pattern characters as a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(location))
+
+
+def _read_named(batches):
+    for b in batches:
+        texts = []
+        for path in b["path"]:
+            filesystem, place = filesystem_of(path)
+            with filesystem.open_input_stream(place) as f:
+                texts.append(f.read().decode("utf-8", "replace"))
+        yield pd.DataFrame({"path": b["path"], "text": texts})
+
+
+def html_targets(spark: SparkSession, targets: str | Iterable[str], recursive: bool = False, glob: str = "*.html") -> list[File]:
+    """The files that ``read_html_files`` reads (S2): each once, also where targets overlap."""
+    files = list_files(spark, targets, glob, recursive)
+    if not files and not targets:
+        raise ValueError("no targets given")
+    return files
 
 
 def read_html_files(
@@ -32,23 +74,13 @@ def read_html_files(
 ) -> DataFrame:
     """HTML bookmark files -> ``(file_id, path, html)``.
 
-    ``targets`` are files and/or directories (S2).  A directory means the
-    ``glob`` files in it, not its subdirectories unless ``recursive``
-    (decision D16).  A file named explicitly is read whatever its name.
+    ``targets`` are files, directories and patterns on any file system (S2).  A
+    directory means the ``glob`` files in it, not its subdirectories unless
+    ``recursive`` (decision D16).  A file named explicitly is read whatever its
+    name.  Empty files are documents without text.  ``path`` is the file's URI,
+    decoded.
     """
-    targets = _as_list(targets)
-    files = [t for t in targets if not os.path.isdir(t)]
-    dirs = [t for t in targets if os.path.isdir(t)]
-    parts = []
-    if files:
-        parts.append(_whole_files(spark, files, None, False))
-    if dirs:
-        parts.append(_whole_files(spark, dirs, glob, recursive))
-    if not parts:
-        raise ValueError("no targets given")
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
+    df = _whole_files(spark, html_targets(spark, targets, recursive, glob))
     return df.select(F.col("path").alias("file_id"), "path", F.col("text").alias("html"))
 
 
@@ -64,16 +96,14 @@ def read_html_lines(
     keeps the scan order), so nothing is shuffled.  Netscape exports put one
     element per line; tags spanning lines need ``read_html_files``.
     """
-    import pandas as pd
-
-    targets = _as_list(targets)
-    reader = spark.read
-    if any(os.path.isdir(t) for t in targets):
-        reader = reader.option("pathGlobFilter", glob)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    raw = reader.text(targets).select(
-        F.col("_metadata.file_path").alias("file_id"),
+    files = [f for f in html_targets(spark, targets, recursive, glob) if f.size]
+    if any(f.name.startswith(("_", ".")) for f in files):
+        raise ValueError("the line reader can't read files whose names start with _ or .")
+    if not files:
+        return spark.createDataFrame([], "file_id string, line_pos bigint, line string")
+    ship(spark)
+    raw = spark.read.text([_escaped(f.location) for f in files]).select(
+        decode_percent(F.col("_metadata.file_path")).alias("file_id"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").alias("line"),
     )
@@ -96,25 +126,33 @@ def read_json_files(
 ) -> DataFrame:
     """JSON bookmark files -> ``(path, js)`` (S3).
 
-    Plain Hadoop globs (``*.json``) are passed through.  A pattern with
-    ``**`` such as ``backups/**/Bookmarks`` is not a Hadoop glob: it becomes
-    the base directory with recursive lookup and a name filter.
+    Patterns may hold ``*``, ``?``, ``{}``, ``[]`` and ``**`` (any folders), as in
+    ``backups/**/Bookmarks`` or ``profiles/**/Default/Bookmarks``.  With
+    ``recursive_name`` a directory means its files of that name, at any depth.
     """
-    parts = []
-    for pat in _as_list(patterns):
-        if "**" in pat:
-            base, _, name = pat.partition("**")
-            base = base.rstrip("/") or "."
-            name = name.strip("/") or "*"
-            parts.append(_whole_files(spark, [base], name, True))
-        elif recursive_name:
-            parts.append(_whole_files(spark, [pat], recursive_name, True))
-        else:
-            parts.append(_whole_files(spark, [pat], None, False))
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
-    return df.select("path", F.col("text").alias("js"))
+    files = json_targets(spark, patterns, recursive_name)
+    return _whole_files(spark, files).select("path", F.col("text").alias("js"))
+
+
+def json_targets(spark: SparkSession, patterns: str | Iterable[str], recursive_name: str | None = None) -> list[File]:
+    """The files that ``read_json_files`` reads, each once."""
+    return list_files(spark, patterns, recursive_name, recursive=recursive_name is not None)
+
+
+def existing(spark: SparkSession, folders: Iterable[str], glob: str = "*.html") -> DataFrame:
+    """Files that output folders hold already: ``(target_path)``, written as folder and name."""
+    found = []
+    for folder in sorted(set(folders)):
+        try:
+            found += [(f"{folder.rstrip('/')}/{f.name}",) for f in list_files(spark, folder, glob)]
+        except FileNotFoundError:
+            continue
+    return spark.createDataFrame(found, "target_path string")
+
+
+def listed(spark: SparkSession, files: list[File], file_col: str = "file_id") -> DataFrame:
+    """The listed files, one row each: a file without bookmarks still counts (decision D17)."""
+    return spark.createDataFrame([(f.path,) for f in files], f"{file_col} string")
 
 
 def files_table(docs: DataFrame, file_col: str = "file_id") -> DataFrame:

@@ -4,14 +4,18 @@ Tables (deduplicated links, reports) go through Spark's own writers.  Named
 documents -- a converted bookmark file must be called ``bookmarks_12.html``,
 not ``part-00000`` -- are written by the tasks themselves through a
 ``pyarrow`` filesystem, so the target may be a local/NFS path or an object
-store URI.  A retried task rewrites its files whole.
+store URI.  A file appears under its name only when it is whole.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..packaging import ship
+
 
 def write_table(df: DataFrame, out: str, partition_by: str | None = None, mode: str = "overwrite") -> None:
     """Parquet output of links or reports, optionally split by a column."""
@@ -21,34 +25,70 @@ def write_table(df: DataFrame, out: str, partition_by: str | None = None, mode:
     w.parquet(out)
 
 
-def _open(path: str):
-    from urllib.parse import urlparse
-
+def filesystem_of(path: str):
+    """The pyarrow file system of a decoded path or URI, and the place in it."""
     from pyarrow import fs
 
     if path.startswith("file:"):
-        path = urlparse(path).path
-    filesystem, p = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    parent = p.rsplit("/", 1)[0]
-    if parent:
-        filesystem.create_dir(parent, recursive=True)
-    return filesystem.open_output_stream(p)
+        rest = path.removeprefix("file:")
+        return fs.LocalFileSystem(), "/" + rest.removeprefix("//").partition("/")[2] if rest.startswith("//") else rest
+    scheme, found, rest = path.partition("://")
+    if not found:
+        return fs.LocalFileSystem(), path
+    filesystem, _ = fs.FileSystem.from_uri(f"{scheme}://{rest.partition('/')[0]}/")
+    return filesystem, "/" + rest.partition("/")[2] if scheme in ("hdfs", "viewfs") else rest
+
+
+class _Output:
+    """A named file that appears whole: written under another name, then renamed.
+
+    Two attempts of a task (retried, speculative) never write the same file.
+    """
+
+    def __init__(self, path: str):
+        self.filesystem, self.place = filesystem_of(path)
+        folder, _, name = self.place.rpartition("/")
+        if folder:
+            self.filesystem.create_dir(folder, recursive=True)
+        self.hidden = f"{folder}/.{name}.{uuid.uuid4().hex}" if folder else f".{name}.{uuid.uuid4().hex}"
+        self.stream = self.filesystem.open_output_stream(self.hidden)
+
+    def write(self, text: str) -> None:
+        self.stream.write(text.encode("utf-8"))
+
+    def close(self) -> None:
+        self.stream.close()
+        self.filesystem.move(self.hidden, self.place)
+
+    def drop(self) -> None:
+        self.stream.close()
+        self.filesystem.delete_file(self.hidden)
+
+
+def _distinct_targets(df: DataFrame, path: str) -> None:
+    twice = df.groupBy(path).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"several documents would be written to {twice[0][0]}")
 
 
 def write_named_documents(docs: DataFrame, path: str = "target_path", text: str = "text") -> int:
     """Write each row's ``text`` to the file named by ``path``; returns the count.
 
-    One document is one row, so a task holds at most its own documents.  The
+    Two rows with one path are an error, found before anything is written.  One
+    document is one row, so a task holds at most its own documents.  The
     count comes from an accumulator of the same job (Spark counts a retried
     task's update once for actions such as this one).
     """
+    _distinct_targets(docs, path)
+    ship(docs.sparkSession)
     written = docs.sparkSession.sparkContext.accumulator(0)
 
     def write_partition(rows):
         n = 0
         for r in rows:
-            with _open(r[path]) as f:
-                f.write(r[text].encode("utf-8"))
+            out = _Output(r[path])
+            out.write(r[text])
+            out.close()
             n += 1
         written.add(n)
 
@@ -64,18 +104,23 @@ def write_named_lines(lines: DataFrame, path: str = "target_path", order=("k", "
     never holds a whole document.
     """
 
+    ship(lines.sparkSession)
+
     def write_partition(rows):
-        current, f = None, None
+        current, out = None, None
         try:
             for r in rows:
                 if r[path] != current:
-                    if f is not None:
-                        f.close()
-                    current, f = r[path], _open(r[path])
-                f.write((r[text] + "\n").encode("utf-8"))
-        finally:
-            if f is not None:
-                f.close()
+                    if out is not None:
+                        out.close()
+                    current, out = r[path], _Output(r[path])
+                out.write(r[text] + "\n")
+        except BaseException:
+            if out is not None:
+                out.drop()
+            raise
+        if out is not None:
+            out.close()
 
     (
         lines.repartition(F.col(path))

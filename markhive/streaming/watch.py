@@ -2,22 +2,20 @@
 
 The batch dedup is per file, so it needs no state across files: each
 micro-batch holds whole files (``wholetext``), is parsed and deduplicated like
-a batch job in ``foreachBatch``, and its result is appended to a parquet
-table.  The stream's checkpoint records which files were done, so a restarted
-job neither loses nor repeats a file.
+a batch job in ``foreachBatch``, and its result becomes the batch's own
+partition of a parquet table.  The stream's checkpoint records which files were
+done; a batch that is run again overwrites its partition, so a restarted job
+neither loses nor repeats a file.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup
 from ..operators.extract import parse_bookmarks
 from ..options import KeyOptions
-from ..session import ensure_checkpoint_dir
 
 
 def watch_dedup(
@@ -26,13 +24,15 @@ def watch_dedup(
     output: str,
     opts: KeyOptions = KeyOptions(),
     batch_mode: str = "all",
-    checkpoint: str | None = None,
+    *,
+    checkpoint: str,
     glob: str = "*.html",
     max_files_per_trigger: int | None = None,
     available_now: bool = True,
 ):
     """Start the stream; returns the ``StreamingQuery``.
 
+    ``checkpoint`` is the stream's own folder, the same for every run.
     ``available_now`` processes what is there and stops (scheduled runs);
     otherwise the query keeps watching.
     """
@@ -46,9 +46,10 @@ def watch_dedup(
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
         links = parse_bookmarks(batch).links
         kept = dedup.batch_dedup(links, opts, batch_mode=batch_mode)
-        kept.withColumn("batch_id", F.lit(epoch_id)).write.mode("append").partitionBy("mode").parquet(output)
+        # a batch that runs again replaces its own partition
+        out = kept.withColumn("batch_id", F.lit(epoch_id)).write.mode("overwrite")
+        out.option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "mode").parquet(output)
 
-    location = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "watch-dedup", os.path.basename(output.rstrip("/")))
-    writer = files.writeStream.foreachBatch(run_batch).option("checkpointLocation", location)
+    writer = files.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

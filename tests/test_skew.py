@@ -52,7 +52,10 @@ def test_partial_steps_before_shuffles(hot_links):
     report = compare.multi_compare(hot_links, None, hot_links.select("file_id").distinct(), CompareOptions(), pos="link_id")
     plan = _plan(report)
     assert "partial_min" in plan and "partial_count" in plan
-    assert plan.count("Scan parquet") == 1  # bookmarks and folders from one pass
+    assert "Scan parquet" not in plan  # links were read once, into the checkpoint that all branches share
+    assert "SortAggregate" not in plan
+    diff = compare.diff_report(hot_links, None, "f0", "f1", CompareOptions(), pos="link_id")
+    assert "SortAggregate" not in _plan(diff)
 
 
 def test_hot_file(spark, links01):
