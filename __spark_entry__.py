@@ -78,6 +78,23 @@ def q_extract_links(spark, sf_dir):
     return extract_links(pages_documents(_pages(spark, sf_dir)))
 
 
+# Hrefs that hold a '>': a bookmarklet in front of every link of the pages.
+QUOTED = "javascript:if(a>b){x()}//"
+
+
+def _quoted_documents(spark, sf_dir):
+    html = F.replace("html", F.lit('href="'), F.lit(f'href="{QUOTED}'))
+    return pages_documents(_pages(spark, sf_dir).withColumn("html", html))
+
+
+def q_extract_quoted(spark, sf_dir):
+    return extract_links(_quoted_documents(spark, sf_dir))
+
+
+def q_extract_quoted_tolerant(spark, sf_dir):
+    return links_of(tokenize_tolerant(_quoted_documents(spark, sf_dir)))
+
+
 def q_pages_dedup(spark, sf_dir):
     """Crawled pages as link files (S4): the links each page keeps after dedup."""
     kept = dedup.dedup(extract_links(pages_documents(_pages(spark, sf_dir))), KeyOptions())
@@ -96,6 +113,14 @@ def q_entity_decode(spark, sf_dir):
     )
 
 
+# Numeric references with more digits than any character needs.
+LONG_REFERENCES = "&#000000038;&#x000000026;x&#99999999999;&#x0000000000e9;"
+
+
+def q_entity_decode_long(spark, sf_dir):
+    return _links(spark, sf_dir).select("link_id", decode_entities(F.concat("url", F.lit(LONG_REFERENCES))).alias("url_text"))
+
+
 def q_entity_decode_pages(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", decode_entities("html").alias("text"))
 
@@ -191,6 +216,22 @@ MULTI_VARIANTS = {
     "multi_folders_by_name_intersection": (CompareOptions(analysis="intersection", folder_key="name"), ("folder",)),
 }
 
+def _own_folder_query(opts: CompareOptions):
+    """Folders of which some are in one file only, by path and by name."""
+
+    def q(spark, sf_dir):
+        own = F.when(F.col("link_id") % 7 == 0, F.concat("folder", F.lit("/own "), "file_id")).otherwise(F.col("folder"))
+        links = _links(spark, sf_dir).withColumn("folder", own)
+        return compare.multi_compare(links, None, links.select("file_id").distinct(), opts, pos="link_id", kinds=("folder",))
+
+    return q
+
+
+OWN_FOLDER_VARIANTS = {
+    "multi_folders_own": CompareOptions(),
+    "multi_folders_own_by_name": CompareOptions(folder_key="name"),
+}
+
 # The two files of the A/B reports.
 FILE_A, FILE_B = "f0", "f1"
 
@@ -310,6 +351,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pages_presence": q_pages_presence,
         "entity_decode": q_entity_decode,
         "entity_decode_pages": q_entity_decode_pages,
+        "entity_decode_long": q_entity_decode_long,
+        "extract_quoted": q_extract_quoted,
+        "extract_quoted_tolerant": q_extract_quoted_tolerant,
         "percent_decode": q_percent_decode,
         "filter_protocol": q_filter_protocol,
         "dedup_removed": q_dedup_removed,
@@ -325,6 +369,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[name] = _diff_query(opts, kinds)
     for name, (opts, kinds) in MULTI_VARIANTS.items():
         out[name] = _multi_query(opts, kinds)
+    for name, opts in OWN_FOLDER_VARIANTS.items():
+        out[name] = _own_folder_query(opts)
     out.update(
         html_roundtrip=q_html_roundtrip,
         html_roundtrip_tolerant=q_html_roundtrip_tolerant,
@@ -636,6 +682,14 @@ group by key_url, key_title"""
         out[name] = _diff_sql(c, kinds)
     for name, (c, kinds) in MULTI_VARIANTS.items():
         out[name] = _multi_sql(c, kinds)
+    own = f"""select * replace (case when link_id % 7 = 0 then concat(folder, '/own ', file_id) else folder end as folder)
+from ({_LINKS_SQL}) l"""
+    for name, c in OWN_FOLDER_VARIANTS.items():
+        out[name] = _multi_sql(c, ("folder",)).replace(f"with links as ({_LINKS_SQL})", f"with links as ({own})")
+    out["extract_quoted"] = out["extract_quoted_tolerant"] = f"""select file_id, pos, concat('{QUOTED}', url) as url, title
+from ({out['extract_links']}) l"""
+    out["entity_decode_long"] = _WITH_LINKS + f"""select link_id, concat({_ent('url')}, '&&x', chr(65533), chr(233)) as url_text
+from links"""
     json_links_sql = f"""with links as ({_LINKS_SQL}),
 {_JSON_PATHS_SQL}
 select p.path, concat('Bookmarks bar/', l.folder) as folder, l.url, l.title

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import title_key, url_key, with_keys
 from ..functions.sqlfuncs import ensure_functions
 from ..options import KeyOptions
+from ..session import ensure_checkpoint_dir
 
 KEY = ("key_url", "key_title")
 BATCH_MODES = {"url": ("url",), "url-title": ("url-title",), "all": ("url", "url-title")}
@@ -38,12 +39,14 @@ def mark_duplicates(
 ) -> DataFrame:
     """Every link with ``kept_pos`` (position of the kept copy) and ``is_duplicate``.
 
-    The first position per group comes from a hash aggregate (map-side
+    The keyed links are written once to the checkpoint folder: both branches
+    read them, so links are extracted and decoded once.  The first position per group comes from a hash aggregate (map-side
     combined, so a hot key costs one row per map task), joined back on the
     key.  A key that holds a large share of rows is a skewed join partition,
     which AQE's skew-join handling splits.
     """
-    keyed = with_keys(links, opts)
+    ensure_checkpoint_dir(links.sparkSession)
+    keyed = with_keys(links, opts).checkpoint(eager=True)
     first = keyed.groupBy(file_col, *KEY).agg(F.min(pos).alias("kept_pos"))
     return keyed.join(first, [file_col, *KEY]).withColumn("is_duplicate", F.col(pos) != F.col("kept_pos"))
 
@@ -71,12 +74,15 @@ def batch_dedup(
         raise ValueError(f"batch_mode must be one of {sorted(BATCH_MODES)}")
     modes = BATCH_MODES[batch_mode]
     ensure_functions(links.sparkSession)
-    df = links.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
-    key_url = url_key(F.col("url"), opts)
-    key_title = F.when(F.col("mode") == "url-title", title_key(F.col("title"), opts.with_mode("url-title")))
-    df = df.withColumn("key_url", F.coalesce(key_url, F.lit(""))).withColumn(
-        "key_title", F.coalesce(key_title, F.lit(""))
-    )
+    # decoded before the modes are made: once per link
+    df = links.withColumn("key_url", F.coalesce(url_key(F.col("url"), opts), F.lit("")))
+    if "url-title" in modes:
+        df = df.withColumn("_title", F.coalesce(title_key(F.col("title"), opts.with_mode("url-title")), F.lit("")))
+    df = df.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    if "url-title" in modes:
+        df = df.withColumn("key_title", F.when(F.col("mode") == "url-title", F.col("_title")).otherwise(F.lit(""))).drop("_title")
+    else:
+        df = df.withColumn("key_title", F.lit(""))
     return _first_per_group(df, [file_col, "mode", *KEY], pos)
 
 
