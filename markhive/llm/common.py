@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from markhive.packaging import ship
+from markhive.session import ensure_checkpoint_dir
 
 #: Arrow batches are cut into pieces of about this many text bytes, so that a
 #: task's Python memory follows this number and the longest text, not the rows.
@@ -48,21 +48,6 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
         yield batch.slice(start)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a scratch folder only where none is set (tests)."""
-    sc = spark.sparkContext
-    conf = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if conf:
-        if not current:
-            sc.setCheckpointDir(conf)
-        return conf
-    if not current:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="llm-checkpoint-"))
-        current = sc.getCheckpointDir()
-    return current
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, lineage cut.
 
@@ -70,7 +55,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     the checkpoint folder once the results that read them are written.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

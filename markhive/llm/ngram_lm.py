@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from markhive.llm.common import partitions_of, per_task, pieces, stored, text_bytes
 from markhive.llm.elias_fano import Trie
-from markhive.llm.ngram_join import word_hashes
+from markhive.llm.word_hash import hashed_words, spread
 
 #: Tokens of a block and, about, of a cell; training tokens from which a context is split.
 BLOCK, CELL, HOT = 1 << 19, 1 << 18, 1 << 20
@@ -54,12 +54,6 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 END, START = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
-def _spread(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
@@ -102,8 +96,9 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     docs, held = [], 0
     for batch in pieces(batches):
-        for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            tokens = np.r_[word_hashes(raw), END]
+        words, places = hashed_words(batch.column("text").to_pylist())
+        for doc, a, b in zip(batch.column("doc_id").to_pylist(), places, places[1:], strict=False):
+            tokens = np.append(words[a:b], END)
             if docs and held + len(tokens) > BLOCK:
                 yield _block(number, docs)
                 number, docs, held = number + 1, [], 0
@@ -132,14 +127,14 @@ class _Bigrams:
         before[first] = START
         self.before = before
         with np.errstate(over="ignore"):
-            context = _spread(before)
+            context = spread(before)
             names, parts = hot
             if len(names):
                 at = np.searchsorted(names, before)
                 at[at == len(names)] = 0
                 split = names[at] == before
                 part = own[split] % parts[at[split]]
-                context[split] = _spread(context[split] + (part + np.uint64(1)) * STEP)
+                context[split] = spread(context[split] + (part + np.uint64(1)) * STEP)
         # one bit less, so that contexts are non-negative numbers
         self.contexts, place = np.unique((context >> np.uint64(1)).view(np.int64), return_inverse=True)
         key = place << Trie.BITS | (own >> np.uint64(64 - Trie.BITS)).view(np.int64)
@@ -250,7 +245,7 @@ def _answer(cell: int, rows: list[tuple], hot: dict[int, tuple[int, int]]) -> pa
 
 
 with np.errstate(over="ignore"):
-    _START_CONTEXT = int(_spread(np.array([START]))[0] >> np.uint64(1))
+    _START_CONTEXT = int(spread(np.array([START]))[0] >> np.uint64(1))
 
 
 # ------------------------------------------------------------------ hot contexts
@@ -313,7 +308,7 @@ def _scores(batches: Iterable[pa.RecordBatch], hot, model: dict) -> Iterator[pa.
             if len(codes) != len(own.keys) or len(totals) != len(own.contexts):
                 raise ValueError("a block without all of its answers")
             with np.errstate(over="ignore"):
-                at = np.searchsorted(own.contexts, (_spread(own.words) >> np.uint64(1)).view(np.int64))
+                at = np.searchsorted(own.contexts, (spread(own.words) >> np.uint64(1)).view(np.int64))
             at[at == len(own.contexts)] = 0
             count = totals[at]  # of each word of the block: its count as a context
             count[own.words == END] = ends
@@ -361,7 +356,7 @@ def score(df: DataFrame) -> DataFrame:
     split: dict[int, tuple[int, int]] = {}
     with np.errstate(over="ignore"):
         for word, total, k in zip(names, totals, parts, strict=True):
-            for c in _spread(_spread(np.array([word])) + (np.arange(int(k), dtype=np.uint64) + np.uint64(1)) * STEP) >> np.uint64(1):
+            for c in spread(spread(np.array([word])) + (np.arange(int(k), dtype=np.uint64) + np.uint64(1)) * STEP) >> np.uint64(1):
                 split[int(c)] = (int(total), int(word.astype(np.int64)))
     n_cells = min(1 << 31, everything // CELL + 1)
     asked = per_task(blocks, _requests, REQUEST_FIELDS, n_cells, sc.broadcast((names, parts)))
