@@ -6,17 +6,21 @@ when ``100 * |A & B| >= percent * |A | B|``; groups are the components of all li
 1. Documents with equal sets are one class, represented by its smallest doc_id.
 2. Similar representatives are partitioned into groups: documents that share a
    min-hash band are compared with the smallest document of the band (a star, not
-   all pairs), and the components of the links found are the groups.  Groups are
-   cut into blocks of at most about BLOCK members.
+   all pairs).  The links found connect documents to components; a document's
+   group is its component, or the smallest document that it shares a band with.
+   Groups are cut into blocks of about BLOCK members.
 3. The matrix holds each block's token union.  For a set of n tokens any partner
-   holds at least ``need = ceil(percent * n / 100)`` of them.  In one global
-   order of tokens, two linked sets therefore share DEPTH tokens among the first
-   ``n - need + DEPTH`` of each.  These rows of the matrix are enough to bound the
-   overlap of a document and a block: blocks of another group that share fewer
-   tokens can't hold a partner and are never opened.
+   holds at least ``need(n) = ceil(percent * n / 100)`` of them, and linked sets of
+   n and m tokens share ``both = ceil(percent * (n + m) / (100 + percent))``.  In
+   one global order of tokens they therefore share
+   ``DEPTH + both - max(need(n), need(m))`` tokens among the first
+   ``n - need(n) + DEPTH`` of each.  These rows of the matrix are enough to
+   bound the overlap of a document and a block: blocks that share fewer tokens
+   than any of their sizes allows hold no partner and are never opened.
 4. Qualifying blocks are opened: the overlap with the block's full union bounds
-   the similarity once more, then members are compared exactly.  One link to a
-   block is enough, since its members are connected already.
+   the similarity once more, then all members' overlaps are counted exactly, from
+   the block's tokens in one sorted array.  Members of the document's own
+   component are passed over, and one link to each other component is enough.
 
 The order puts shingles with rare words first.  A word's count comes from a table
 of CELLS hashed counters over all documents; it orders tokens and never decides
@@ -35,12 +39,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markhive.llm.common import per_task, partitions_of, pieces, stored, text_bytes
 from markhive.llm.components import components
 from markhive.llm.idfilter import id_filter, maybe_in, surely_not_in
+from markhive.llm.word_hash import hashed_words, spread
 
 #: Hashed counters of words (4 MB in each worker).
 CELLS = 1 << 20
@@ -50,35 +55,9 @@ DEPTH = 4
 BANDS, WIDTH = 4, 2
 #: Members of a block, and queries that meet a block in one run of a task.
 BLOCK, QUERIES = 64, 512
-#: Words whose hash a worker remembers.
-REMEMBERED = 400_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _spread(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-class _Words(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
-def word_hashes(raw: bytes) -> np.ndarray:
-    words = raw.lower().split()  # bytes: A-Z and the six ASCII white-space characters only
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
-
 def _shingles(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of every window of ``width`` words; of the whole sequence if it is shorter."""
     if not len(h):
@@ -87,12 +66,14 @@ def _shingles(h: np.ndarray, width: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = np.full(len(h) - size + 1, size, np.uint64)
         for k in range(size):
-            out = _spread(out * STEP + h[k : len(h) - size + 1 + k])
+            out = spread(out * STEP + h[k : len(h) - size + 1 + k])
     return out
 
 
-def token_set(raw: bytes, width: int) -> np.ndarray:
-    return np.unique(_shingles(word_hashes(raw), width))
+def token_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    words, places = hashed_words(texts)
+    for a, b in zip(places, places[1:], strict=False):
+        yield np.unique(_shingles(words[a:b], width))
 
 
 # ------------------------------------------------------------------ counters
@@ -101,9 +82,8 @@ def token_set(raw: bytes, width: int) -> np.ndarray:
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(CELLS, np.int64)
     for batch in pieces(batches):
-        parts = [word_hashes(raw) for raw in batch.column("text").to_pylist()]
-        if parts:
-            counts += np.bincount((np.concatenate(parts) >> np.uint64(44)).astype(np.int64), minlength=CELLS)
+        words, _ = hashed_words(batch.column("text").to_pylist())
+        counts += np.bincount((words >> np.uint64(44)).astype(np.int64), minlength=CELLS)
     cells = np.flatnonzero(counts)
     for b in range(0, len(cells), 1 << 16):
         some = cells[b : b + (1 << 16)]
@@ -128,11 +108,13 @@ def need(n: np.ndarray | int, percent: int):
 
 def _described(batches: Iterable[pa.RecordBatch], counters, width: int, percent: int) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
-        multipliers = _spread(np.arange(1, BANDS * WIDTH + 1, dtype=np.uint64) * STEP) | np.uint64(1)
+        multipliers = spread(np.arange(1, BANDS * WIDTH + 1, dtype=np.uint64) * STEP) | np.uint64(1)
     for batch in pieces(batches):
         n, high, low, bands, first = [], [], [], [], []
-        for raw in batch.column("text").to_pylist():
-            h = word_hashes(raw)
+        words, places = hashed_words(batch.column("text").to_pylist())
+        counts = counters.value[(words >> np.uint64(44)).astype(np.int64)]
+        for a, b in zip(places, places[1:], strict=False):
+            h = words[a:b]
             s = _shingles(h, width)
             tokens, at = np.unique(s, return_index=True)
             n.append(len(tokens))
@@ -142,7 +124,7 @@ def _described(batches: Iterable[pa.RecordBatch], counters, width: int, percent:
                 bands.append([])
                 first.append(np.empty(0, np.int64))
                 continue
-            count = counters.value[(h >> np.uint64(44)).astype(np.int64)]
+            count = counts[a:b]
             size = min(width, len(h))
             rarest = count[: len(s)]
             for k in range(1, size):
@@ -151,10 +133,10 @@ def _described(batches: Iterable[pa.RecordBatch], counters, width: int, percent:
             order = np.lexsort((tokens, rarest[at]))[:keep]
             first.append(tokens[order].view(np.int64))
             with np.errstate(over="ignore"):
-                mins = np.array([(tokens * m).min() for m in multipliers]).reshape(BANDS, WIDTH)
+                mins = _least_products(tokens, multipliers).reshape(BANDS, WIDTH)
                 band = np.arange(BANDS, dtype=np.uint64)
                 for k in range(WIDTH):
-                    band = _spread(band * STEP + mins[:, k])
+                    band = spread(band * STEP + mins[:, k])
             bands.append(band.view(np.int64))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
@@ -170,6 +152,14 @@ def _described(batches: Iterable[pa.RecordBatch], counters, width: int, percent:
         )
 
 
+def _least_products(tokens: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """For each multiplier the least product, in steps that bound the memory."""
+    out = np.full(len(multipliers), np.iinfo(np.uint64).max)
+    for k in range(0, len(tokens), 1 << 14):
+        np.minimum(out, (tokens[k : k + (1 << 14)] * multipliers[:, None]).min(axis=1), out=out)
+    return out
+
+
 def size_classes(percent: int) -> list[int]:
     """Lower bounds of classes of set sizes; linked sets lie in the same or in neighbouring classes."""
     bounds = [1]
@@ -181,57 +171,66 @@ def size_classes(percent: int) -> list[int]:
 # ------------------------------------------------------------------ opening blocks
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    small, large = (a, b) if len(a) < len(b) else (b, a)
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    both = int((large[at] == small).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
+class _Block:
+    """A block's members and the tokens of all of them in one sorted array."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]]):
+        self.docs = np.array([d for d, _, _ in members], np.int64)
+        self.parts = np.array([p for _, p, _ in members], np.int64)
+        self.sizes = np.array([len(t) for _, _, t in members], np.int64)
+        tokens = np.concatenate([np.empty(0, np.uint64), *(t for _, _, t in members)])
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], np.repeat(np.arange(len(members)), self.sizes)[order]
+
+    def partners(self, doc: int, part: int, tokens: np.ndarray, percent: int) -> np.ndarray:
+        """One linked member of each component other than ``part``."""
+        n = len(tokens)
+        left, right = np.searchsorted(self.tokens, tokens, "left"), np.searchsorted(self.tokens, tokens, "right")
+        held = right > left
+        if 100 * int(held.sum()) < percent * n:
+            return self.docs[:0]  # the bound: no member can be similar enough
+        left, count = left[held], (right - left)[held]
+        ends = np.cumsum(count)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(left - ends + count, count)
+        both = np.bincount(self.owner[at], minlength=len(self.docs))
+        linked = np.flatnonzero((100 * both >= percent * (n + self.sizes - both)) & (self.parts != part) & (both > 0))
+        return self.docs[linked[np.unique(self.parts[linked], return_index=True)[1]]]
 
 
 def _opened(batches: Iterable[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links between queries and members of blocks, from rows sorted by block, run and role."""
-    block, members, union = None, [], None
+    at, members, block = None, [], None
     for batch in pieces(batches):
         left, right = [], []
-        rows = zip(*(batch.column(c).to_pylist() for c in ("group", "block", "run", "role", "doc_id", "text")), strict=True)
-        for group, part, run, role, doc, raw in rows:
-            if (group, part, run) != block:
-                block, members, union = (group, part, run), [], None
-            tokens = token_set(raw, width)
+        sets = token_sets(batch.column("text").to_pylist(), width)
+        rows = zip(*(batch.column(c).to_pylist() for c in ("group", "block", "run", "role", "doc_id", "part")), sets, strict=True)
+        for group, number, run, role, doc, part, tokens in rows:
+            if (group, number, run) != at:
+                at, members, block = (group, number, run), [], None
             if not role:
-                members.append((doc, tokens))
-                continue
-            if union is None:
-                union = members[0][1] if len(members) == 1 else np.unique(np.concatenate([t for _, t in members] or [np.empty(0, np.uint64)]))
-            if not len(union) or not len(tokens):
+                members.append((doc, part, tokens))
                 continue
-            at = np.searchsorted(union, tokens)
-            at[at == len(union)] = 0
-            if 100 * int((union[at] == tokens).sum()) < percent * len(tokens):
-                continue  # the bound: no member can be similar enough
-            for other, own in members:
-                if other != doc and _linked(tokens, own, percent):
-                    left.append(doc)
-                    right.append(other)
-                    break
+            if block is None:
+                block = _Block(members)
+            if len(tokens):
+                found = block.partners(doc, part, tokens, percent)
+                left += [doc] * len(found)
+                right += found.tolist()
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
 def _open(texts: DataFrame, candidates: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between ``candidates`` (query, group, block) and ``members`` (group, block, doc_id)."""
+    """Links (a, b) between ``candidates`` (group, block, query, part) and ``members`` (group, block, doc_id, part)."""
     # queries of a block are dealt to runs of about QUERIES, each with the block's members
     runs = candidates.groupBy("group", "block").agg(F.ceil(F.count("*") / QUERIES).alias("runs"))
-    asked = candidates.join(runs, ["group", "block"]).select("group", "block", F.pmod(F.xxhash64("query"), "runs").alias("run"), F.lit(1).alias("role"), F.col("query").alias("doc_id"))
-    held = members.join(runs, ["group", "block"]).select("group", "block", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(0).alias("role"), "doc_id")
+    asked = candidates.join(runs, ["group", "block"]).select("group", "block", F.pmod(F.xxhash64("query"), "runs").alias("run"), F.lit(1).alias("role"), F.col("query").alias("doc_id"), "part")
+    held = members.join(runs, ["group", "block"]).select("group", "block", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(0).alias("role"), "doc_id", "part")
     rows = stored(asked.unionAll(held), "join-rows")
     wanted = rows.select("doc_id").distinct()
     own = maybe_in(texts, "doc_id", id_filter(wanted))
     n = partitions_of(texts.sparkSession)
-    met = rows.join(own, "doc_id").select("group", "block", "run", "role", "doc_id", "text")
+    met = rows.join(own, "doc_id").select("group", "block", "run", "role", "doc_id", "part", "text")
     met = met.repartition(n, "group", "block", "run").sortWithinPartitions("group", "block", "run", "role", "doc_id")
     return per_task(met, _opened, "a long, b long", width, percent)
 
@@ -239,6 +238,13 @@ def _open(texts: DataFrame, candidates: DataFrame, members: DataFrame, width: in
 # ------------------------------------------------------------------ the join
 
 
+def _least_shared(n: str, m: str, percent: int) -> Column:
+    """Tokens that linked sets of n and m tokens share in the matrix at least."""
+    both = f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
+    needed = f"greatest(({percent} * {n} + 99) div 100, ({percent} * {m} + 99) div 100)"
+    return F.expr(f"least({both}, {DEPTH} + {both} - {needed})")
+
+
 def groups(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``df`` (doc_id, text)."""
     texts = df.select("doc_id", text_bytes().alias("text"))
@@ -252,31 +258,36 @@ def groups(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # groups: stars around the smallest document of a band
     bands = reps.select("rep", F.explode("bands").alias("band"))
     centers = bands.groupBy("band").agg(F.min("rep").alias("center"), F.max("rep").alias("other")).where("center < other")
-    stars = bands.join(centers, "band").where("rep <> center").select(F.col("rep").alias("query"), F.col("center").alias("group"), F.lit(0).alias("block")).distinct()
+    stars = bands.join(centers, "band").where("rep <> center").select(F.col("center").alias("group"), F.lit(0).alias("block"), F.col("rep").alias("query"), F.col("rep").alias("part")).distinct()
     stars = stored(stars, "join-stars")
-    own = stars.select("group", "block").distinct().withColumn("doc_id", F.col("group"))
+    own = stars.select("group", "block").distinct().select("group", "block", F.col("group").alias("doc_id"), F.col("group").alias("part"))
     links = stored(_open(texts, stars, own, width, percent), "join-links")
-    grouped = stored(components(links), "join-groups")
+    connected = stored(components(links), "join-connected")
 
     # the matrix: first tokens of every block
-    sizes = grouped.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = grouped.join(sizes, "root").select(F.col("node").alias("rep"), F.col("root").alias("group"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    nearest = stars.groupBy("query").agg(F.min("group").alias("near"))
+    placed = reps.select("rep", "n").join(connected, F.col("rep") == F.col("node"), "left").join(nearest, F.col("rep") == F.col("query"), "left")
+    placed = placed.select("rep", "n", F.coalesce("root", "rep").alias("part"), F.coalesce("root", F.least("near", "rep"), "rep").alias("group"))
+    sizes = placed.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = stored(placed.join(sizes, "group").select("rep", "n", "part", "group", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block")), "join-placed")
     bounds = size_classes(percent)
     size_class = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b <= F.col("n")))
-    least = F.least(F.lit(DEPTH), F.ceil(F.col("n") * percent / 100)).cast("int")
-    cells = reps.join(placed, "rep", "left").select("rep", F.coalesce("group", "rep").alias("group"), F.coalesce("block", F.lit(0)).alias("block"), size_class.alias("size"), least.alias("least"), F.explode("first").alias("token"))
-    shared = cells.groupBy("token").agg(F.min("group").alias("one"), F.max("group").alias("two")).where("one < two").select("token")
+    cells = reps.select("rep", F.explode("first").alias("token")).join(placed, "rep").select("token", "rep", "n", "part", "group", "block", size_class.alias("size"))
+    shared = cells.groupBy("token").agg(F.min("part").alias("one"), F.max("part").alias("two")).where("one < two").select("token")
     cells = stored(cells.join(shared, "token", "left_semi"), "join-cells")
-    matrix = cells.groupBy("token", "size", "group", "block").agg(F.min("least").alias("least"))
-    # a document asks its own class (one of two groups asks) and the class above
-    asks = cells.select(F.col("rep").alias("query"), F.col("group").alias("from"), F.col("least").alias("own_least"), F.col("size").alias("from_size"), F.explode(F.array("size", F.col("size") + 1)).alias("size"), "token")
-    met = asks.join(matrix, ["token", "size"]).where("`group` < `from` or (size > from_size and `group` <> `from`)")
-    found = met.groupBy("query", "group", "block", "size").agg(F.count("*").alias("shared"), F.min(F.least("least", "own_least")).alias("least"))
-    candidates = stored(found.where("shared >= least").select("query", "group", "block").distinct(), "join-candidates")
-    members = reps.select("rep").join(placed, "rep", "left").select(F.coalesce("group", "rep").alias("group"), F.coalesce("block", F.lit(0)).alias("block"), F.col("rep").alias("doc_id"))
-    more = _open(texts, candidates, members.join(candidates.select("group", "block").distinct(), ["group", "block"], "left_semi"), width, percent)
-
-    roots = stored(components(grouped.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)), "join-roots")
+    matrix = cells.groupBy("token", "size", "group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("part").alias("one"), F.max("part").alias("two"))
+    # a document asks its own class up to its own block, and all of the class above
+    asks = cells.select(F.col("rep").alias("query"), "n", "part", F.col("group").alias("g"), F.col("block").alias("b"), F.col("size").alias("s"), F.explode(F.array("size", F.col("size") + 1)).alias("size"), "token")
+    met = asks.join(matrix, ["token", "size"]).where("(size > s or `group` < g or (`group` = g and block <= b)) and (one <> part or two <> part)")
+    found = met.groupBy("query", "n", "part", "group", "block", "size").agg(F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # sizes of the block that can be linked with n at all; between them the least share is at an end
+    found = found.withColumn("low", F.expr(f"greatest(low, ({percent} * n + 99) div 100)")).withColumn("high", F.expr(f"least(high, 100 * n div {percent})"))
+    enough = F.col("shared") >= F.least(_least_shared("n", "low", percent), _least_shared("n", "high", percent))
+    candidates = stored(found.where((F.col("low") <= F.col("high")) & enough).select("group", "block", "query", "part").distinct(), "join-candidates")
+    members = placed.select("group", "block", F.col("rep").alias("doc_id"), "part").join(candidates.select("group", "block").distinct(), ["group", "block"], "left_semi")
+    more = _open(texts, candidates, members, width, percent)
+
+    roots = stored(components(connected.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)), "join-roots")
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select("n", "high", "low", F.coalesce("root", "rep").alias("component_id"))
     out = sets.select("doc_id", "n", "high", "low").join(named, ["n", "high", "low"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -285,18 +296,16 @@ def groups(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def one_of_each(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The document with the smallest doc_id of every group, with its columns.
 
-    Rows with a null doc_id stay unless their set equals another document's.
-    Of rows that repeat a doc_id one stays.
+    Rows with a null doc_id stay, of rows that repeat a doc_id one stays.
     """
     found = stored(groups(df, width, percent), "join-result")
-    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    named = gone.where("doc_id is not null").unionAll(again)
-    bits = id_filter(named)
+    bits = id_filter(gone.unionAll(again))
     columns = df.columns
     sure = surely_not_in(df, "doc_id", bits)
     checked = maybe_in(df, "doc_id", bits)
-    checked = checked.join(gone.where("doc_id is not null"), "doc_id", "left_anti")
+    checked = checked.join(gone, "doc_id", "left_anti")
     # repeated rows: one stays
     single = checked.join(again, "doc_id", "left_anti")
     repeated = checked.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
