@@ -84,6 +84,19 @@ def read_html_files(
     return df.select(F.col("path").alias("file_id"), "path", F.col("text").alias("html"))
 
 
+# Ends of bookmark tokens; a line with very many is handed on in parts.
+_TOKEN_END = re.compile(r"(?i)</a\s*>|</h3\s*>|</?dl\b[^>]*>")
+_PART_TOKENS = 20_000
+
+
+def _parts(line: str) -> list[str]:
+    """A line, cut after every ``_PART_TOKENS`` bookmark tokens."""
+    if line.count("<") <= 2 * _PART_TOKENS:
+        return [line]
+    ends = [m.end() for m in _TOKEN_END.finditer(line)][_PART_TOKENS - 1 :: _PART_TOKENS]
+    return [line[a:b] for a, b in zip([0, *ends], [*ends, len(line)], strict=True) if a < b]
+
+
 def read_html_lines(
     spark: SparkSession, targets: str | Iterable[str], recursive: bool = False, glob: str = "*.html"
 ) -> DataFrame:
@@ -92,7 +105,8 @@ def read_html_lines(
     For files too large to be one row.  Spark splits each file; a line's
     ``line_pos`` is its split's start offset plus its index inside the split,
     which orders lines within a file (a split of n bytes holds at most n
-    lines).  The index is counted in the scan's own tasks (``mapInPandas``
+    lines).  A line with very many tags, such as a whole export in one line,
+    counts as several lines.  The index is counted in the scan's own tasks (``mapInPandas``
     keeps the scan order), so nothing is shuffled.  Netscape exports put one
     element per line; tags spanning lines need ``read_html_files``.
     """
@@ -111,6 +125,7 @@ def read_html_lines(
     def number(batches):
         seen: dict = {}
         for b in batches:
+            b = b.assign(line=b["line"].map(_parts)).explode("line", ignore_index=True)
             idx = b.groupby(["file_id", "block"], sort=False).cumcount()
             base = pd.Series([seen.get(k, 0) for k in zip(b["file_id"], b["block"])], index=b.index)
             out = pd.DataFrame({"file_id": b["file_id"], "line_pos": b["block"] + base + idx, "line": b["line"]})

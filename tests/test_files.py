@@ -238,3 +238,10 @@ def test_fixture_written_and_read_back(spark, tmp_dir, fmt):
     con = duck(SF)
     want = sorted(con.execute(f"select folder, url, title from ({E.oracle_sql()['fixture_links']})").fetchall())
     assert have == want
+
+
+def test_seventy_thousand_links_on_one_line(spark, tmp_dir):
+    text = "<DL><p>" + "".join(f'<DT><H3>F{i}</H3><DL><p><DT><A HREF="http://a/{i}">t{i}</A></DL><p>' for i in range(70_000)) + "</DL>"
+    write(f"{tmp_dir}/one.html", text)
+    whole, lines = (jobs.parse_files(spark, f"{tmp_dir}/one.html", reader=r)[1].links.select("folder", "url", "title") for r in ("whole", "lines"))
+    assert lines.count() == 70_000 and whole.exceptAll(lines).count() == 0
