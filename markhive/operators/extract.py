@@ -27,6 +27,7 @@ HREF_RE = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 # The same value with its quotes as one group, so one regex call finds it.
 HREF_QUOTED_RE = r"""(?is)\shref\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
 START_TAG_RE = rf"(?is)^(<[a-z0-9]+\b{ATTRS}>)"
+START_ATTRS_RE = rf"(?is)^<[a-z0-9]+\b({ATTRS})>"
 INNER_RE = rf"(?is)^<[a-z0-9]+\b{ATTRS}>(.*?)</[a-z0-9]+\s*+>$"
 
 # Token kinds: dl, end (</dl>), folder (<h3>), link (<a>).
@@ -51,11 +52,12 @@ def _href(tok):
 def tokenize(
     docs: DataFrame, doc: str = "file_id", html: str = "html", anchors_only: bool = False, keep=()
 ) -> DataFrame:
-    """Tokens ``(doc, pos, kind, name, url, title)`` of each document.
+    """Tokens ``(doc, pos, kind, name, url, title, attrs)`` of each document.
 
     ``pos`` is the token's place in its document.  ``name`` is a folder's
     name, ``url``/``title`` a link's raw href and text (inner tags removed,
-    entities kept, as written in the file).
+    entities kept, as written in the file), ``attrs`` all attributes of a
+    folder's or link's start tag as written (dates, icons).
     """
     pattern = ANCHOR_RE if anchors_only else TOKEN_RE
     keep = list(keep)
@@ -66,7 +68,7 @@ def tokenize(
 
 
 def _token_fields(anchors_only: bool = False):
-    """``kind, name, url, title`` of the token in column ``tok``."""
+    """``kind, name, url, title, attrs`` of the token in column ``tok``."""
     tok = F.col("tok")
     kind = F.lit("link") if anchors_only else _kind(tok)
     inner = strip_tags(F.regexp_extract(tok, INNER_RE, 1))
@@ -75,6 +77,7 @@ def _token_fields(anchors_only: bool = False):
         F.when(kind == "folder", inner).alias("name"),
         F.when(kind == "link", _href(tok)).alias("url"),
         F.when(kind == "link", inner).alias("title"),
+        F.when(kind.isin("folder", "link"), F.trim(F.regexp_extract(tok, START_ATTRS_RE, 1))).alias("attrs"),
     ]
 
 
@@ -110,8 +113,8 @@ def extract_links(docs: DataFrame, doc: str = "file_id", html: str = "html") ->
 class Tree:
     """Result of ``resolve_tree``: links and folders with full folder paths."""
 
-    links: DataFrame  # doc, pos, folder array<string>, folder_pos array<bigint>, url, title
-    folders: DataFrame  # doc, pos, folder array<string> (own name last), folder_pos array<bigint>
+    links: DataFrame  # doc, pos, folder array<string>, folder_pos array<bigint>, url, title, attrs
+    folders: DataFrame  # doc, pos, folder array<string> (own name last), folder_pos, attrs array<bigint>
 
 
 def _with_depth(tokens: DataFrame, doc: str, chunk_rows: int) -> DataFrame:
@@ -144,16 +147,16 @@ def _ancestors(items: DataFrame, doc: str) -> DataFrame:
     )
     link_rows = F.when(d >= 1, F.array(probe(d - 1))).otherwise(F.array().cast("array<struct<lvl:int,mark:boolean>>"))
     rows = items.select(
-        doc, "pos", "kind", "_chunk", "url", "title", own.alias("_own"),
+        doc, "pos", "kind", "_chunk", "url", "title", "attrs", own.alias("_own"),
         F.explode(F.when(F.col("kind") == "folder", folder_rows).otherwise(link_rows)).alias("_r"),
     ).select(
-        doc, "pos", "kind", "_chunk", "url", "title",
+        doc, "pos", "kind", "_chunk", "url", "title", "attrs",
         F.col("_r.lvl").alias("_lvl"),
         F.when(F.col("_r.mark"), F.col("_own")).alias("_marker"),
     )
     found = last_before(rows, [doc, "_lvl"], "pos", "_chunk", "_marker", "_anc")
     return found.select(
-        doc, F.col("pos").alias("owner"), "kind", "_lvl", F.coalesce("_marker", "_anc").alias("anc"), "url", "title"
+        doc, F.col("pos").alias("owner"), "kind", "_lvl", F.coalesce("_marker", "_anc").alias("anc"), "url", "title", "attrs"
     )
 
 
@@ -166,6 +169,8 @@ def resolve_tree(tokens: DataFrame, doc: str = "file_id", chunk_rows: int = DEFA
     parent's path through one join on ``(doc, parent)``.  The branches after
     the ancestor window read the same shuffle output.
     """
+    if "attrs" not in tokens.columns:
+        tokens = tokens.withColumn("attrs", F.lit(None).cast("string"))
     # Several branches below read the tokens (chunk carries, paths, links).
     # Materialize them once in the checkpoint folder: the regex pass over the
     # documents then runs once, and lineage is cut for executor loss.
@@ -176,16 +181,20 @@ def resolve_tree(tokens: DataFrame, doc: str = "file_id", chunk_rows: int = DEFA
     paths = (
         anc.where((F.col("kind") == "folder") & F.col("anc").isNotNull())
         .groupBy(doc, "owner")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("_lvl").alias("l"), F.col("anc").alias("a")))).alias("_p"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct(F.col("_lvl").alias("l"), F.col("anc").alias("a")))).alias("_p"),
+            F.max("attrs").alias("attrs"),
+        )
         .select(
             doc,
             F.col("owner").alias("pos"),
             F.transform("_p", lambda x: x["a"]["n"]).alias("folder"),
             F.transform("_p", lambda x: x["a"]["o"]).alias("folder_pos"),
+            "attrs",
         )
     )
     links = anc.where((F.col("kind") == "link") & (F.col("url") != "")).select(
-        doc, F.col("owner").alias("pos"), F.col("anc.o").alias("parent"), "url", "title"
+        doc, F.col("owner").alias("pos"), F.col("anc.o").alias("parent"), "url", "title", "attrs"
     )
     parent_paths = paths.select(
         F.col(doc).alias("_d"), F.col("pos").alias("_fpos"), F.col("folder").alias("_f"), F.col("folder_pos").alias("_fp")
@@ -199,6 +208,7 @@ def resolve_tree(tokens: DataFrame, doc: str = "file_id", chunk_rows: int = DEFA
         F.coalesce("_fp", F.array().cast("array<bigint>")).alias("folder_pos"),
         "url",
         "title",
+        "attrs",
     )
     return Tree(links=links, folders=paths)
 

@@ -3,7 +3,7 @@
 Input is a table of tree items, one row per link or folder:
 
     doc, kind ('link'|'folder'), path array<struct<t,o,n>>, elem struct<t,o,n>,
-    pos, name, url, title
+    pos, name, url, title [, attrs]
 
 ``path`` holds one element per enclosing folder and ``elem`` the item's own
 element.  Sorting items by ``(path + [elem], pos)`` gives document order:
@@ -109,6 +109,7 @@ def items_from_tree(links: DataFrame, folders: DataFrame | None = None, doc: str
         F.lit(None).cast("string").alias("name"),
         "url",
         "title",
+        _attrs(links),
     )
     if folders is None:
         return link_items
@@ -122,10 +123,16 @@ def items_from_tree(links: DataFrame, folders: DataFrame | None = None, doc: str
         F.element_at("folder", -1).alias("name"),
         F.lit(None).cast("string").alias("url"),
         F.lit(None).cast("string").alias("title"),
+        _attrs(folders),
     )
     return link_items.unionByName(folder_items)
 
 
+def _attrs(df: DataFrame) -> Column:
+    """Attributes as the file wrote them, where they are known."""
+    return (F.col("attrs") if "attrs" in df.columns else F.lit(None).cast("string")).alias("attrs")
+
+
 def _lines(items: DataFrame, fmt: str, escape: bool) -> DataFrame:
     """One or two lines per item: ``(doc, k, p, role, line)``."""
     depth = F.size("path") + 1
@@ -138,9 +145,13 @@ def _lines(items: DataFrame, fmt: str, escape: bool) -> DataFrame:
         else:
             url = F.replace(url, F.lit('"'), F.lit("&quot;"))  # raw text, but it ends up between quotes
         indent = F.repeat(F.lit("    "), depth)
-        open_line = F.concat(indent, F.lit("<DT><H3>"), name, F.lit("</H3>\n"), indent, F.lit("<DL><p>"))
+        # raw text brings its own attributes (dates, icons) back as they were written
+        raw = F.col("attrs") if "attrs" in items.columns and not escape else F.lit(None).cast("string")
+        heading = F.when(F.length(raw) > 0, F.concat(F.lit("<DT><H3 "), raw, F.lit(">"))).otherwise(F.lit("<DT><H3>"))
+        anchor = F.when(F.length(raw) > 0, F.concat(F.lit("<DT><A "), raw, F.lit(">"))).otherwise(F.concat(F.lit('<DT><A HREF="'), url, F.lit('">')))
+        open_line = F.concat(indent, heading, name, F.lit("</H3>\n"), indent, F.lit("<DL><p>"))
         close_line = F.concat(indent, F.lit("</DL><p>"))
-        link_line = F.concat(indent, F.lit('<DT><A HREF="'), url, F.lit('">'), title, F.lit("</A>"))
+        link_line = F.concat(indent, anchor, title, F.lit("</A>"))
     elif fmt == "json":
         folder_json = F.to_json(F.struct(F.lit("folder").alias("type"), F.col("name").alias("name")))
         open_line = F.concat(F.regexp_replace(folder_json, r"\}$", ""), F.lit(',"children":['))

@@ -19,8 +19,12 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..packaging import ship
 from .extract import HREF_RE
 
+# Tokens handed over at a time.
+SLICE = 20_000
+
 _HREF = re.compile(HREF_RE[len("(?is)"):], re.I | re.S)
 # An open <A> or <H3> is closed by the next structural tag.
 _STRUCTURAL = {"dl", "dt", "dd", "h3", "a"}
@@ -42,6 +46,7 @@ class _BookmarkEvents(HTMLParser):
         self.mode: str | None = None
         self.buf: list[str] = []
         self.href: str | None = None
+        self.attrs: str | None = None
 
     def _here(self) -> int:
         line, col = self.getpos()
@@ -49,25 +54,25 @@ class _BookmarkEvents(HTMLParser):
 
     def _flush(self):
         if self.mode == "a":
-            self.tokens.append(("link", None, self.href or "", "".join(self.buf)))
+            self.tokens.append(("link", None, self.href or "", "".join(self.buf), self.attrs))
         elif self.mode == "h3":
-            self.tokens.append(("folder", "".join(self.buf), None, None))
-        self.mode, self.buf, self.href = None, [], None
+            self.tokens.append(("folder", "".join(self.buf), None, None, self.attrs))
+        self.mode, self.buf, self.href, self.attrs = None, [], None, None
 
     def handle_starttag(self, tag, attrs):
         if tag in _STRUCTURAL:
             self._flush()
         if tag == "dl":
-            self.tokens.append(("dl", None, None, None))
-        elif tag == "h3":
-            self.mode = "h3"
-        elif tag == "a":
-            self.mode, self.href = "a", raw_href(self.get_starttag_text() or "")
+            self.tokens.append(("dl", None, None, None, None))
+        elif tag in ("h3", "a"):
+            start = self.get_starttag_text() or ""
+            self.mode, self.attrs = tag, start[len(tag) + 1 : -1].strip(" ")
+            self.href = raw_href(start) if tag == "a" else None
 
     def handle_endtag(self, tag):
         if tag == "dl":
             self._flush()
-            self.tokens.append(("end", None, None, None))
+            self.tokens.append(("end", None, None, None, None))
         elif tag == self.mode or (tag in ("a", "h3") and self.mode):
             self._flush()
 
@@ -95,6 +100,11 @@ class _BookmarkEvents(HTMLParser):
 
 def parse_events(html: str) -> list[tuple]:
     """Tokens ``(kind, name, url, title)`` of one document in order."""
+    return [t[:4] for t in parse_tokens(html)]
+
+
+def parse_tokens(html: str) -> list[tuple]:
+    """Tokens ``(kind, name, url, title, attrs)`` of one document in order."""
     p = _BookmarkEvents(html or "")
     p.feed(html or "")
     p.close()
@@ -102,16 +112,26 @@ def parse_events(html: str) -> list[tuple]:
 
 
 def tokenize_tolerant(docs: DataFrame, doc: str = "file_id", html: str = "html") -> DataFrame:
-    """Tokens ``(doc, pos, kind, name, url, title)`` like ``extract.tokenize``."""
+    """Tokens ``(doc, pos, kind, name, url, title, attrs)`` like ``extract.tokenize``.
+
+    Tokens leave in slices, so a task holds one document's tokens at a time.
+    """
     doc_type = dict(docs.dtypes)[doc]
-    schema = f"{doc} {doc_type}, pos bigint, kind string, name string, url string, title string"
+    schema = f"{doc} {doc_type}, pos bigint, kind string, name string, url string, title string, attrs string"
+
+    columns = [doc, "pos", "kind", "name", "url", "title", "attrs"]
+    ship(docs.sparkSession)
 
     def parse(batches):
         for b in batches:
             rows = []
             for d, text in zip(b[doc], b[html]):
-                for i, (kind, name, url, title) in enumerate(parse_events(text)):
-                    rows.append((d, i, kind, name, url, title))
-            yield pd.DataFrame(rows, columns=[doc, "pos", "kind", "name", "url", "title"])
+                for i, token in enumerate(parse_tokens(text)):
+                    rows.append((d, i, *token))
+                    if len(rows) == SLICE:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return docs.select(doc, html).mapInPandas(parse, schema)
