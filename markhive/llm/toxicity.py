@@ -22,8 +22,6 @@ are scored.  Labels, language, source and ids are no inputs of a score.
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -34,17 +32,19 @@ from pyspark.sql import functions as F
 
 from markhive.llm.common import as_text, per_task, pieces, text_bytes, with_field
 from markhive.llm.idfilter import id_filter, maybe_in
+from markhive.llm.word_hash import spread
 
 #: Labelled rows that the regression is fitted on.
-SAMPLE_ROWS = 30_000
+SAMPLE_ROWS = 20_000
 #: Counters of hashed features, and length of the n-grams.
 BINS, GRAM = 1 << 21, 5
 #: z-value from which a feature is used, and training documents of the label that hold it.
 SIGNIFICANT, LEAST_DOCS = 4.0, 3
 #: Letters of the character model; the others count as one.
 LETTERS = 60
+STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Words that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 
 #: What a character is often written for (fixed values).
 STANDS_FOR = {
@@ -107,25 +107,27 @@ class CharModel:
             letters.append(x)
         return "".join(reversed(letters))
 
+    def restored(self, token: str) -> set[str]:
+        """What a lower-case token may mean: its word, and the word restored if it may be disguised."""
+        core = token if token.isalpha() else _edges.sub("", token)
+        if core.isalpha() and not _repeated.search(core):
+            return {core}
+        if any(map(str.isalpha, token)):
+            return {self.restore(token), core} - {""}
+        return set()
+
     def words(self, text: str) -> set[str]:
         """The text's distinct words, restored."""
         split = text.lower().split()
-        out = set()
-        for w in set(split):
-            core = w if w.isalpha() else _edges.sub("", w)
-            if core.isalpha() and not _repeated.search(core):
-                out.add(core)
-            elif any(map(str.isalpha, w)):
-                out.add(self.restore(w))
-                out.add(core)
-        for run in _single_runs(split):
-            out.add(self.restore(run))
-        out.discard("")
-        return out
+        out = set().union(*map(self.restored, set(split)))
+        return (out | {self.restore(run) for run in _single_runs(split)}) - {""}
 
 
 def _single_runs(split: list[str]) -> set[str]:
     """Three and more single characters in a row, joined."""
+    single = np.fromiter(map(len, split), np.int64, len(split)) == 1
+    if not (single[:-2] & single[1:-1] & single[2:]).any():
+        return set()
     out, run = set(), []
     for w in [*split, ".."]:
         if len(w) == 1:
@@ -140,29 +142,35 @@ def _single_runs(split: list[str]) -> set[str]:
 # ------------------------------------------------------------------ the character model
 
 
+def _points(texts: list[bytes]) -> np.ndarray:
+    """Code points of the lower-cased texts, set apart by line feeds."""
+    return np.frombuffer("\n".join(as_text(x) for x in texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def _letters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter[str] = Counter()
+    counts = np.zeros(0x110000, np.int64)
     for batch in pieces(batches):
-        for raw in batch.column("text").to_pylist():
-            found.update(as_text(raw).lower())
-    found = {c: n for c, n in found.items() if c.isalpha()}
+        counts += np.bincount(_points(batch.column("text").to_pylist()), minlength=0x110000)
+    found = {chr(c): int(counts[c]) for c in np.flatnonzero(counts) if chr(c).isalpha()}
     yield pa.RecordBatch.from_pydict({"letter": list(found), "n": list(found.values())}, schema=pa.schema({"letter": pa.string(), "n": pa.int64()}))
 
 
 def _trigrams(batches: Iterable[pa.RecordBatch], number: dict[str, int], size: int) -> Iterator[pa.RecordBatch]:
+    """Trigrams of all runs of letters, with two edges before and one after each."""
+    code = np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.int64, 0x110000)
+    for letter, k in number.items():
+        code[ord(letter)] = k
     counts = np.zeros(size**3, np.int64)
     for batch in pieces(batches):
-        words = Counter(w for raw in batch.column("text").to_pylist() for w in as_text(raw).lower().split())
-        plain = [(c, n) for w, n in words.items() if (c := w if w.isalpha() else _edges.sub("", w)).isalpha()]
-        if not plain:
-            continue
-        codes = np.array([k for w, _ in plain for k in (0, 0, *(number.get(c, 1) for c in w), 0)])
-        n = np.repeat([n for _, n in plain], [len(w) + 3 for w, _ in plain])
-        last = np.cumsum([len(w) + 3 for w, _ in plain]) - 1
-        inside = np.ones(len(codes), bool)
-        inside[last] = inside[last - 1] = False  # trigrams start in front of the last two
-        at = np.flatnonzero(inside)
-        counts += np.bincount((codes[at] * size + codes[at + 1]) * size + codes[at + 2], weights=n[at], minlength=size**3).astype(np.int64)
+        codes = code[_points(batch.column("text").to_pylist())]
+        inside = codes > 0
+        starts = inside & ~np.r_[False, inside[:-1]]
+        run = np.cumsum(starts)[inside]
+        spaced = np.zeros(int(inside.sum()) + 2 * int(starts.sum()) + 1, np.int64)
+        spaced[np.arange(len(run)) + 2 * run] = codes[inside]
+        a, b, c = spaced[:-2], spaced[1:-1], spaced[2:]
+        whole = (a == 0) | (b > 0)
+        counts += np.bincount(((a * size + b) * size + c)[whole & ((b > 0) | (c > 0))], minlength=size**3)
     cells = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], names=["cell", "n"])
 
@@ -186,60 +194,100 @@ def char_model(df: DataFrame) -> CharModel:
 # ------------------------------------------------------------------ features
 
 
-def word_features(word: str) -> list[int]:
-    """Bins of a restored word and its n-grams."""
-    edged = f"<{word}>"
-    parts = {edged, *(edged[i : i + GRAM] for i in range(len(edged) - GRAM + 1))}
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BINS for p in parts]
-
-
-class _Features(dict):
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = found = word_features(word)
-        return found
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the word and bin of each feature: the words themselves, and their n-grams with edges."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    points = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    first = np.cumsum(lengths) - lengths
+    word = np.repeat(np.arange(len(words)), lengths)
+    at = np.arange(len(points)) - first[word]
+    with np.errstate(over="ignore"):
+        powers = np.full(int(lengths.max()), STEP, np.uint64)
+        powers[0] = 1
+        powers = np.cumprod(powers)
+        whole = spread(np.add.reduceat(points * powers[at], first) + lengths.astype(np.uint64) * STEP)
+        n = max(0, len(points) - GRAM + 1)
+        inside = at[:n] + GRAM <= lengths[word[:n]]
+        grams = sum((points[k : n + k] * powers[min(k, len(powers) - 1)] for k in range(GRAM)), np.zeros(n, np.uint64))
+        grams = spread(grams[inside] ^ STEP)
+    return np.r_[np.arange(len(words)), word[:n][inside]], (np.r_[whole, grams] % np.uint64(BINS)).astype(np.int64)
+
+
+class _Known:
+    """Features of tokens, computed for many at once and remembered.
+
+    ``keep`` maps a bin to the number that stands for it, or to -1 for features that don't count.
+    """
+
+    def __init__(self, model: CharModel, keep: np.ndarray | None = None):
+        self.model, self.keep = model, keep
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.flat, self.off = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, tokens: list[str]) -> None:
+        pairs = [(k, w) for k, t in enumerate(tokens) for w in self.model.restored(t)]
+        own, value = np.empty(0, np.int64), np.empty(0, np.int64)
+        if pairs:
+            place, value = word_features([w for _, w in pairs])
+            own = np.array([k for k, _ in pairs])[place]
+        if self.keep is not None:
+            value = self.keep[value]
+            own, value = own[value >= 0], value[value >= 0]
+        self.seen.update(zip(tokens, range(len(self.seen), len(self.seen) + len(tokens)), strict=True))
+        self.off = np.r_[self.off, self.off[-1] + np.cumsum(np.bincount(own, minlength=len(tokens)))]
+        self.flat = np.r_[self.flat, value[np.argsort(own, kind="stable")].astype(np.int32)]
+
+    def features(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Distinct features of each text, sorted."""
+        if len(self.seen) > REMEMBERED:
+            self._forget()
+        split = []
+        for text in texts:
+            tokens = text.lower().split()
+            split.append(set(tokens) | _single_runs(tokens))
+        if fresh := set().union(*split).difference(self.seen):
+            self._learn(list(fresh))
+        for tokens in split:
+            at = np.fromiter(map(self.seen.__getitem__, tokens), np.int64, len(tokens))
+            first, size = self.off[at], self.off[at + 1] - self.off[at]
+            first, size = first[size > 0], size[size > 0]
+            ends = np.cumsum(size)
+            yield np.unique(self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)])
 
 
 def _counted(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """For each bin the toxic and clean documents that hold it."""
-    of, counts = _Features(), np.zeros((2, BINS), np.int32)
+    known, counts = _Known(model.value), np.zeros((2, BINS), np.int32)
     for batch in pieces(batches):
-        for raw, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            bins = {b for w in model.value.words(as_text(raw)) for b in of[w]}
-            counts[toxic, np.fromiter(bins, np.int64, len(bins))] += 1
+        texts = [as_text(raw) for raw in batch.column("text").to_pylist()]
+        for bins, toxic in zip(known.features(texts), batch.column("toxic").to_pylist(), strict=True):
+            counts[toxic, bins] += 1
     cells = np.flatnonzero(counts.any(axis=0))
     for b in range(0, len(cells), 1 << 16):
         some = cells[b : b + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[1, some].astype(np.int64)), pa.array(counts[0, some].astype(np.int64))], names=["bin", "toxic", "clean"])
 
 
-class _Selected(dict):
-    """For a word the places of its selected features."""
-
-    def __init__(self, place: dict[int, int]):
-        super().__init__()
-        self.place = place
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = found = tuple(p for b in word_features(word) if (p := self.place.get(b)) is not None)
-        return found
+def _selected(model: CharModel, place: dict[int, int]) -> _Known:
+    """Only selected features, by their places."""
+    keep = np.full(BINS, -1, np.int32)
+    keep[list(place)] = list(place.values())
+    return _Known(model, keep)
 
 
 def _held(batches: Iterable[pa.RecordBatch], model, place) -> Iterator[pa.RecordBatch]:
-    of = _Selected(place.value)
+    known = _selected(model.value, place.value)
     for batch in pieces(batches):
-        held = [sorted({p for w in model.value.words(as_text(raw)) for p in of[w]}) for raw in batch.column("text").to_pylist()]
+        held = list(known.features([as_text(raw) for raw in batch.column("text").to_pylist()]))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.list_(pa.int32()))], names=["doc_id", "held"])
 
 
-def fitted(held: list[list[int]], labels: np.ndarray, size: int, rounds: int = 500, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression on lists of present features: weights and intercept (full gradients with momentum)."""
-    row = np.repeat(np.arange(len(held)), [len(x) for x in held])
-    column = np.array([p for x in held for p in x], np.int64)
-    n = len(held)
+def fitted(row: np.ndarray, column: np.ndarray, labels: np.ndarray, size: int, rounds: int = 300, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Logistic regression on present features (row, column): weights and intercept (full gradients with momentum)."""
+    n = len(labels)
     often = np.maximum(1.0, np.bincount(column, minlength=size))
     rate = n / np.sqrt(often * n) / max(1.0, float(np.bincount(row, minlength=n).mean()) ** 0.5)
     w, b = np.zeros(size), float(np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5)))
@@ -277,32 +325,39 @@ def learn(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> S
     texts = df.select("doc_id", text_bytes().alias("text"))
     # only labelled texts are shuffled
     trained = maybe_in(texts, "doc_id", id_filter(known.select("doc_id"))).join(known, "doc_id")
-    found = per_task(trained.select("text", "toxic"), _counted, "bin long, toxic long, clean long", told).groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(f"toxic >= {LEAST_DOCS} or clean >= {LEAST_DOCS}")
     totals = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         share = n1 / max(1, n1 + n0)
         return Scorer(chars, {}, np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    counts = found.toArrow().to_pandas()
-    t, c = counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)
-    p = (t + c) / (n1 + n0)
-    z = (t / n1 - c / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    bins = np.sort(counts["bin"].to_numpy()[(np.abs(z) >= SIGNIFICANT) & np.where(z > 0, t >= LEAST_DOCS, c >= LEAST_DOCS)])
-    place = {int(b): k for k, b in enumerate(bins)}
+    counts = per_task(trained.select("text", "toxic"), _counted, "bin long, toxic long, clean long", told).groupBy("bin").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    # only bins that speak for a label reach the driver
+    p = (F.col("t") + F.col("c")) / F.lit(float(n1 + n0))
+    error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n1 + 1 / n0))
+    z = (F.col("t") / F.lit(float(n1)) - F.col("c") / F.lit(float(n0))) / error
+    enough = F.when(z > 0, F.col("t")).otherwise(F.col("c")) >= LEAST_DOCS
+    bins = sorted(r[0] for r in counts.where((F.abs(z) >= SIGNIFICANT) & enough).select("bin").collect())
+    place = {b: k for k, b in enumerate(bins)}
     # a bounded sample of labelled rows, chosen by a hash
     rows = known.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(sample_rows).toArrow().to_pandas()
     picked = spark.createDataFrame(rows[["doc_id"]], "doc_id long")
-    some = per_task(maybe_in(texts, "doc_id", id_filter(picked)), _held, "doc_id long, held array<int>", told, sc.broadcast(place)).toArrow().to_pandas()
-    some = some.merge(rows, on="doc_id")
-    weights, base = fitted([list(x) for x in some["held"]], some["toxic"].to_numpy(float), len(place))
+    some = per_task(maybe_in(texts, "doc_id", id_filter(picked)), _held, "doc_id long, held array<int>", told, sc.broadcast(place)).toArrow()
+    toxic = rows.set_index("doc_id")["toxic"].reindex(some.column("doc_id").to_pandas()).to_numpy(float)
+    held = some.column("held").combine_chunks()
+    row = np.repeat(np.arange(len(toxic)), np.diff(held.offsets.to_numpy()))
+    column = held.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    inside = ~np.isnan(toxic)  # the filter may let other documents through
+    keep = inside[row]
+    weights, base = fitted(np.cumsum(inside)[row[keep]] - 1, column[keep], toxic[inside], len(place))
     return Scorer(chars, place, weights, base)
 
 
 def _scored(batches: Iterable[pa.RecordBatch], scorer, column: str, name: str) -> Iterator[pa.RecordBatch]:
     own = scorer.value
-    of, weights = _Selected(own.place), own.weights.tolist()
+    known = _selected(own.chars, own.place)
     for batch in pieces(batches, column):
-        z = np.array([own.base + sum(weights[p] for p in {p for w in own.chars.words(as_text(raw)) for p in of[w]}) for raw in batch.column(column).to_pylist()])
+        texts = [as_text(raw) for raw in batch.column(column).to_pylist()]
+        z = own.base + np.array([own.weights[held].sum() for held in known.features(texts)])
         scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         rest = [(n, batch.column(n)) for n in batch.schema.names if n != column]
         yield pa.RecordBatch.from_arrays([c for _, c in rest] + [pa.array(scores, pa.float64())], names=[n for n, _ in rest] + [name])
