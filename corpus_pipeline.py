@@ -37,9 +37,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, their number, and the text that they decode to."""
-    coded = piece_codec.encode(docs.select("doc_id", "lang", "source", "text"), model_path())
-    back = piece_codec.decode(coded.withColumn("coded", F.col("ids")), model_path(), ids="coded")
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+    coded = piece_codec.there_and_back(docs.select("doc_id", "lang", "source", "text"), model_path())
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [

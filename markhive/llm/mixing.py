@@ -110,7 +110,7 @@ def schedule(wanted: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     keyed = keyed.withColumn("blocks", F.ceil(F.col("target") / block_words))
     keyed = keyed.withColumn("all_blocks", F.sum("blocks").over(whole))
     upto = Window.orderBy("source_key").rowsBetween(Window.unboundedPreceding, 0)
-    keyed = keyed.withColumn("high", F.sum("blocks").over(upto) / F.col("all_blocks"))
+    keyed = keyed.withColumn("high", F.try_divide(F.sum("blocks").over(upto), F.col("all_blocks")))
     keyed = keyed.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("source_key")), F.lit(0.0)))
     total = keyed.agg(F.sum("blocks"), F.count("*")).first()
     n_slots = int((total[0] or 0) * 9 // 8 + 64 * total[1])
@@ -123,14 +123,15 @@ def schedule(wanted: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return _running(met, "source_key", "chunk", [F.col("slot")], F.lit(1), "rank").where("rank < blocks").select("slot", "source_key", "rank")
 
 
-def mix(df: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_repeats: int = 2, seed: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(sizes, parts) for ``df`` with doc_id, source, text.
+def mix(df: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_repeats: int = 2, seed: int = 10, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sizes, parts) for ``df`` with doc_id, source, text and, if named, a column that numbers its rows.
 
     sizes: row, doc_id, size, source_size, target of every document.
     parts: row, turn (0 for a document's first use), slot and words: what a slot takes of the document.
     """
-    narrow = df.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sizes = stored(narrow.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    narrow = df.select("doc_id", "source", word_count(F.col("text")).alias("size"), number.alias("row"))
+    sizes = stored(narrow, "mix-sizes")
     wanted = stored(targets(sizes, weights, share, max_repeats), "mix-targets")
     line = lines(sizes, wanted, seed)
     turns = line.where("size > 0").select("row", "size", "source_key", "target", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("turn"), (F.col("start") + F.col("turn") * F.col("source_size")).alias("start"))
@@ -158,8 +159,7 @@ def mixed_documents(df: DataFrame, **options) -> DataFrame:
     """
     spark = df.sparkSession
     kept = stored(df.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
-    numbered = kept.select(F.col("__row").alias("doc_id"), "source", "text")
-    sizes, parts = mix(numbered, **options)
-    uses = parts.groupBy("row", "turn").agg(F.sum("words").alias("words")).join(sizes.select("row", "doc_id", "size"), "row")
-    uses = uses.where("2 * words >= size").select(F.col("doc_id").alias("__row"))
+    sizes, parts = mix(kept, row="__row", **options)
+    uses = parts.groupBy("row", "turn").agg(F.sum("words").alias("words")).join(sizes.select("row", "size"), "row")
+    uses = uses.where("2 * words >= size").select(F.col("row").alias("__row"))
     return kept.join(uses, "__row").select(*(f"`{c}`" for c in df.columns))

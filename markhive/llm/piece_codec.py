@@ -33,7 +33,7 @@ from markhive.llm.common import as_text, per_task, pieces, text_bytes, with_fiel
 #: Words of more symbols are merged with a heap.
 LONG = 256
 #: Distinct words that a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 SPACE = "▁"
 NO_PAIR = np.int32(np.iinfo(np.int32).max)
 
@@ -329,6 +329,27 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text")
     return per_task(df, _decoded, schema, model_path, ids, text)
 
 
+def _there_and_back(batches: Iterable[pa.RecordBatch], path: str, column: str, ids_to: str, text_to: str) -> Iterator[pa.RecordBatch]:
+    for batch in _encoded(batches, path, column, ids_to):
+        texts = [codec(path).decode(x.values.to_numpy()) for x in batch.column(ids_to)]
+        yield batch.append_column(text_to, pa.array(texts, pa.string()))
+
+
+def there_and_back(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``df`` with the ids of ``text`` and, in its place, the text that they decode to; both last.
+
+    One pass: a task keeps one worker with one set of remembered words.
+    """
+    if ids in df.columns:
+        raise ValueError(f"column {ids} exists; name another one")
+    raw = "__text"
+    while raw in df.columns:
+        raw = "_" + raw
+    rest = df.select(*(f"`{c}`" for c in df.columns if c != text))
+    schema = with_field(with_field(rest.schema, ids, "array<int>"), text, "string")
+    return per_task(df.select(*(f"`{c}`" for c in rest.columns), text_bytes(f"`{text}`").alias(raw)), _there_and_back, schema, model_path, raw, ids, text)
+
+
 def _lengths(batches: Iterable[pa.RecordBatch], path: str, column: str, to: str) -> Iterator[pa.RecordBatch]:
     own = codec(path)
     for batch in pieces(batches, column):

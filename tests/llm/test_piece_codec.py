@@ -70,5 +70,10 @@ def test_round_trip_keeps_other_columns(odd):
     assert set(back.columns) == set(clash.columns)
     got = {(r["doc_id"], r["__text"], r["text"]) for r in back.collect()}
     assert got == {(i, "kept", (t or "").replace("▁", " ")) for i, t, *_ in ODD}
+    both = piece_codec.there_and_back(clash, model_path())
+    assert set(both.columns) == {*clash.columns, "ids"}
+    want = {(r["doc_id"], tuple(r["ids"])) for r in piece_codec.encode(clash, model_path()).collect()}
+    assert {(r["doc_id"], tuple(r["ids"])) for r in both.collect()} == want
+    assert {(r["doc_id"], r["__text"], r["text"]) for r in both.collect()} == got
     with pytest.raises(ValueError):
         piece_codec.encode(odd.withColumn("ids", F.lit(1)), model_path())
