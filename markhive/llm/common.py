@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,7 +18,7 @@ from markhive.session import ensure_checkpoint_dir
 
 #: Arrow batches are cut into pieces of about this many text bytes, so that a
 #: task's Python memory follows this number and the longest text, not the rows.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +77,17 @@ def per_task(df: DataFrame, make: Callable, schema: str, *args) -> DataFrame:
     ship(df.sparkSession)
 
     def run(batches):
-        return make(batches, *args)
+        yield from make(batches, *args)
+        give_back()
 
     return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps a worker for later tasks, and others run beside it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a C library that has it
+        pass

@@ -33,7 +33,7 @@ from markhive.llm.common import as_text, per_task, pieces, text_bytes, with_fiel
 #: Words of more symbols are merged with a heap.
 LONG = 256
 #: Distinct words that a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 SPACE = "▁"
 NO_PAIR = np.int32(np.iinfo(np.int32).max)
 
