@@ -22,6 +22,7 @@ are scored.  Labels, language, source and ids are no inputs of a score.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markhive.llm.common import as_text, per_task, pieces, text_bytes, with_field
+from markhive.llm.common import as_text, partitions_of, per_task, pieces, text_bytes, with_field
 from markhive.llm.idfilter import id_filter, maybe_in
 from markhive.llm.word_hash import spread
 
@@ -38,6 +39,8 @@ from markhive.llm.word_hash import spread
 SAMPLE_ROWS = 20_000
 #: Counters of hashed features, and length of the n-grams.
 BINS, GRAM = 1 << 21, 5
+#: Counters that leave a task together.
+CHUNK = 1 << 13
 #: z-value from which a feature is used, and training documents of the label that hold it.
 SIGNIFICANT, LEAST_DOCS = 4.0, 3
 #: Letters of the character model; the others count as one.
@@ -56,6 +59,7 @@ STANDS_FOR = {
 COSTS = {"stands": 1.0, "noise": 0.5, "digit": 8.0, "lost": 25.0, "pair": 6.0, "repeat": 0.5}
 
 _repeated = re.compile(r"(.)\1\1")
+_tails = re.compile(r"[^\w\s]+(?=\s|$)")
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -118,7 +122,7 @@ class CharModel:
 
     def words(self, text: str) -> set[str]:
         """The text's distinct words, restored."""
-        split = text.lower().split()
+        split = _tails.sub("", text.lower()).split()
         out = set().union(*map(self.restored, set(split)))
         return (out | {self.restore(run) for run in _single_runs(split)}) - {""}
 
@@ -226,6 +230,7 @@ class _Known:
     def _forget(self) -> None:
         self.seen: dict[str, int] = {}
         self.flat, self.off = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.telling: set[str] = set()  # tokens that have features that count
 
     def _learn(self, tokens: list[str]) -> None:
         pairs = [(k, w) for k, t in enumerate(tokens) for w in self.model.restored(t)]
@@ -236,8 +241,10 @@ class _Known:
         if self.keep is not None:
             value = self.keep[value]
             own, value = own[value >= 0], value[value >= 0]
+        sizes = np.bincount(own, minlength=len(tokens))
+        self.telling.update(tokens[k] for k in np.flatnonzero(sizes))
         self.seen.update(zip(tokens, range(len(self.seen), len(self.seen) + len(tokens)), strict=True))
-        self.off = np.r_[self.off, self.off[-1] + np.cumsum(np.bincount(own, minlength=len(tokens)))]
+        self.off = np.r_[self.off, self.off[-1] + np.cumsum(sizes)]
         self.flat = np.r_[self.flat, value[np.argsort(own, kind="stable")].astype(np.int32)]
 
     def features(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -246,14 +253,14 @@ class _Known:
             self._forget()
         split = []
         for text in texts:
-            tokens = text.lower().split()
+            tokens = _tails.sub("", text.lower()).split()
             split.append(set(tokens) | _single_runs(tokens))
         if fresh := set().union(*split).difference(self.seen):
             self._learn(list(fresh))
         for tokens in split:
+            tokens &= self.telling
             at = np.fromiter(map(self.seen.__getitem__, tokens), np.int64, len(tokens))
             first, size = self.off[at], self.off[at + 1] - self.off[at]
-            first, size = first[size > 0], size[size > 0]
             ends = np.cumsum(size)
             yield np.unique(self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)])
 
@@ -265,10 +272,29 @@ def _counted(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
         texts = [as_text(raw) for raw in batch.column("text").to_pylist()]
         for bins, toxic in zip(known.features(texts), batch.column("toxic").to_pylist(), strict=True):
             counts[toxic, bins] += 1
-    cells = np.flatnonzero(counts.any(axis=0))
-    for b in range(0, len(cells), 1 << 16):
-        some = cells[b : b + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[1, some].astype(np.int64)), pa.array(counts[0, some].astype(np.int64))], names=["bin", "toxic", "clean"])
+    for c in range(0, BINS, CHUNK):
+        own = counts[:, c : c + CHUNK]
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
+
+
+def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of each chunk's counters, from rows sorted by chunk: bins that enough documents hold."""
+    chunk, sums = None, np.zeros((2, CHUNK), np.int64)
+
+    def told() -> pa.RecordBatch:
+        at = np.flatnonzero((sums >= LEAST_DOCS).any(axis=0))
+        return pa.RecordBatch.from_arrays([pa.array(chunk + at), pa.array(sums[1, at]), pa.array(sums[0, at])], names=["bin", "t", "c"])
+
+    for batch in batches:
+        for c, packed in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            if c != chunk:
+                if chunk is not None:
+                    yield told()
+                chunk, sums = c, np.zeros((2, CHUNK), np.int64)
+            sums += np.frombuffer(zlib.decompress(packed), np.int32).reshape(2, CHUNK)
+    if chunk is not None:
+        yield told()
 
 
 def _selected(model: CharModel, place: dict[int, int]) -> _Known:
@@ -330,7 +356,9 @@ def learn(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> S
     if not n1 or not n0:
         share = n1 / max(1, n1 + n0)
         return Scorer(chars, {}, np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    counts = per_task(trained.select("text", "toxic"), _counted, "bin long, toxic long, clean long", told).groupBy("bin").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    packed = per_task(trained.select("text", "toxic"), _counted, "chunk long, counts binary", told)
+    packed = packed.repartition(partitions_of(spark), "chunk").sortWithinPartitions("chunk")
+    counts = per_task(packed, _summed, "bin long, t long, c long")
     # only bins that speak for a label reach the driver
     p = (F.col("t") + F.col("c")) / F.lit(float(n1 + n0))
     error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n1 + 1 / n0))
