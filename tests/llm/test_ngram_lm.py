@@ -84,7 +84,7 @@ def test_small_blocks_and_hot_contexts(spark, monkeypatch):
     monkeypatch.setattr(ngram_lm, "BLOCK", 700)
     monkeypatch.setattr(ngram_lm, "CELL", 300)
     monkeypatch.setattr(ngram_lm, "HOT", 400)
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(80).localCheckpoint()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 80")
     check(docs, [(r.doc_id, r.text) for r in docs.collect()])
 
 
