@@ -272,9 +272,11 @@ def groups(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     placed = stored(placed.join(sizes, "group").select("rep", "n", "part", "group", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block")), "join-placed")
     bounds = size_classes(percent)
     size_class = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b <= F.col("n")))
-    cells = reps.select("rep", F.explode("first").alias("token")).join(placed, "rep").select("token", "rep", "n", "part", "group", "block", size_class.alias("size"))
-    shared = cells.groupBy("token").agg(F.min("part").alias("one"), F.max("part").alias("two")).where("one < two").select("token")
-    cells = stored(cells.join(shared, "token", "left_semi"), "join-cells")
+    # narrow rows until only tokens that documents share are left
+    held = reps.select("rep", F.explode("first").alias("token"))
+    shared = held.groupBy("token").agg(F.min("rep").alias("one"), F.max("rep").alias("two")).where("one < two").select("token")
+    cells = held.join(shared, "token", "left_semi").join(placed, "rep").select("token", "rep", "n", "part", "group", "block", size_class.alias("size"))
+    cells = stored(cells, "join-cells")
     matrix = cells.groupBy("token", "size", "group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("part").alias("one"), F.max("part").alias("two"))
     # a document asks its own class up to its own block, and all of the class above
     asks = cells.select(F.col("rep").alias("query"), "n", "part", F.col("group").alias("g"), F.col("block").alias("b"), F.col("size").alias("s"), F.explode(F.array("size", F.col("size") + 1)).alias("size"), "token")
