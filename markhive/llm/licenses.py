@@ -62,7 +62,8 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LE
     # |A| is at most the number of words less one
     words = F.transform(units, lambda u: F.split(normalised(u), " "))
     words = F.filter(words, lambda w: (F.size(w) - 1) >= low)
-    found = F.transform(words, lambda w: _best(bigrams(w), known, least))
+    # each unit's bigrams are made once, then bound for all templates
+    found = F.transform(F.transform(words, bigrams), lambda u: _best(u, known, least))
     found = F.filter(found, lambda m: m["dice"].isNotNull())
     out = df.select("doc_id", found.alias("found"))
     best = F.array_max("found")
