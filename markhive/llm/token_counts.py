@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from markhive.llm.common import stored
 from markhive.llm.piece_codec import lengths
 
 #: Lengths of a chunk.
@@ -37,7 +38,8 @@ def limits(counts: DataFrame) -> DataFrame:
     of at most L), full_tokens (tokens of documents of at most L), truncated_tokens
     (all tokens when texts are cut at L), total_tokens.
     """
-    df = counts.withColumn("chunk", F.floor(F.col("n_tokens") / CHUNK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    # small, and read twice below: texts are encoded once
+    df = stored(counts, "token-histogram").withColumn("chunk", F.floor(F.col("n_tokens") / CHUNK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     inside = Window.partitionBy("chunk").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("docs_in", F.sum("n_docs").over(inside)).withColumn("tokens_in", F.sum("tokens").over(inside))
     sums = df.groupBy("chunk").agg(F.sum("n_docs").alias("docs"), F.sum("tokens").alias("tokens"))
