@@ -5,7 +5,9 @@ repeated as often as a source may be used, is cut into blocks of equal words.
 A van der Corput / golden-ratio sequence of points in [0, 1) goes through the
 cumulated targets: slot i belongs to the source whose interval holds point i,
 and the slot's rank among its source's slots is the block that it takes.  So
-every stretch of the mix holds each source in about its share.
+every stretch of the mix holds each source in about its share.  Blocks that no
+point has reached when the points end get slots after the last one: a source
+gets all its blocks, however few they are beside the others'.
 
 Targets (``targets``): each source's share of the total by weight, at most
 ``max_repeats`` times its size; what is over goes to the others by weight until
@@ -34,9 +36,12 @@ CHUNK_ROWS = 4096
 GRID = 4096
 #: Weights of the sources in their order, over and over.
 WEIGHTS = (5, 2, 1)
-#: Numerator of the golden-ratio step over 2^31 (odd, so that all 2^31 points come once).
-GOLDEN = 1327217885
-PERIOD = 1 << 31
+#: Numerator of the golden-ratio step over 2^42 (odd, so that all 2^42 points come once).  No quotient of its
+#: continued fraction is over 3, so that points are even at any number of slots.
+GOLDEN = 2718142222549
+PERIOD = 1 << 42
+#: Slots are multiplied in two parts of 21 bits, so that products stay below 2^63.
+HALF = 1 << 21
 
 
 def word_count(text: Column) -> Column:
@@ -100,8 +105,8 @@ def lines(sizes: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
 def schedule(wanted: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """slot, source_key, rank: the source of each slot and how many of its slots came before.
 
-    The slots go on for an eighth over the total, and for some slots more by
-    source, so that each source gets all the blocks of its target.
+    The points go on for an eighth over the total, and for some slots more by
+    source.  Blocks that none of them reached follow in slots of their own.
     """
     spark = wanted.sparkSession
     keyed = wanted.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
@@ -116,11 +121,21 @@ def schedule(wanted: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     n_slots = int((total[0] or 0) * 9 // 8 + 64 * total[1])
     cells = keyed.where("blocks > 0").select("source_key", "low", "high", "blocks", F.explode(F.sequence(F.floor(F.col("low") * GRID), F.least(F.floor(F.col("high") * GRID), F.lit(GRID - 1)))).alias("cell"))
     points = spark.range(n_slots).withColumnRenamed("id", "slot")
-    points = points.withColumn("point", (F.col("slot") % PERIOD * GOLDEN % PERIOD) / F.lit(float(PERIOD)))
+    upper = F.floor(F.col("slot") / HALF) % HALF * (GOLDEN * HALF % PERIOD) % PERIOD
+    points = points.withColumn("point", ((F.col("slot") % HALF * GOLDEN % PERIOD + upper) % PERIOD) / F.lit(float(PERIOD)))
     points = points.withColumn("cell", F.floor(F.col("point") * GRID))
     met = points.join(cells, "cell").where("point >= low and point < high").select("slot", "source_key", "blocks")
     met = met.withColumn("chunk", F.floor(F.col("slot") / (CHUNK_ROWS * 16)))
-    return _running(met, "source_key", "chunk", [F.col("slot")], F.lit(1), "rank").where("rank < blocks").select("slot", "source_key", "rank")
+    ranked = _running(met, "source_key", "chunk", [F.col("slot")], F.lit(1), "rank").where("rank < blocks")
+    ranked = stored(ranked.select("slot", "source_key", F.col("rank").cast("long").alias("rank")), "mix-slots")
+    # ranks go up from 0 without gaps: what a source misses are its last ones
+    reached = ranked.groupBy("source_key").agg(F.count("*").alias("reached"))
+    missed = keyed.join(reached, "source_key", "left").select("source_key", "blocks", F.coalesce("reached", F.lit(0)).alias("reached")).where("reached < blocks")
+    before = Window.orderBy("source_key").rowsBetween(Window.unboundedPreceding, -1)
+    missed = missed.withColumn("slot", n_slots + F.coalesce(F.sum(F.col("blocks") - F.col("reached")).over(before), F.lit(0)))
+    missed = missed.select("source_key", "reached", "slot", F.explode(F.sequence(F.col("reached"), F.col("blocks") - 1)).alias("rank"))
+    late = missed.select((F.col("slot") + F.col("rank") - F.col("reached")).alias("slot"), "source_key", "rank")
+    return ranked.unionByName(late)
 
 
 def mix(df: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_repeats: int = 2, seed: int = 10, row: str | None = None) -> tuple[DataFrame, DataFrame]:

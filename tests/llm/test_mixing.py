@@ -63,6 +63,26 @@ def test_every_stretch_holds_the_shares(spark):
         assert ranks == list(range(len(ranks)))
 
 
+def test_small_sources_beside_a_big_one_get_all_blocks(spark):
+    blocks = {f"a{n}": n for n in range(1, 21)} | {"big": 500_000} | {f"c{n}": n for n in range(1, 21)}
+    wanted = spark.createDataFrame([(s, 64.0 * n) for s, n in blocks.items()], "source string, target double")
+    slots = mixing.schedule(wanted, 64).toPandas()
+    assert slots.groupby("source_key")["rank"].count().to_dict() == {"s" + s: n for s, n in blocks.items()}
+    assert slots.slot.is_unique and not slots.duplicated(["source_key", "rank"]).any()
+    assert (slots.groupby("source_key")["rank"].max() + 1).to_dict() == {"s" + s: n for s, n in blocks.items()}
+
+
+def test_ranks_that_no_point_reaches_follow(spark, monkeypatch):
+    # all points in one place: every other source has to get its blocks afterwards
+    monkeypatch.setattr(mixing, "GOLDEN", 0)
+    rows = [(1, "only once", "a"), (2, " ".join(["w"] * 300), "b"), (3, " ".join(["w"] * 40), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.taken(df, block_words=8)
+    assert {r.source: (r.t, r.target) for r in got.join(df, "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.round(F.first("target")).alias("target")).collect()} == {
+        "a": (4, 4.0), "b": (429, 429.0), None: (80, 80.0)
+    }
+
+
 def test_odd_rows(odd, empty):
     rows = mixing.taken(odd).collect()
     assert len(rows) == len(ODD)
