@@ -1,11 +1,13 @@
 """Toxicity scores of texts restored by a noisy-channel decoder.
 
-Restoring.  A word that may be disguised (digits or symbols among letters, a
-letter three times in a row, letters set apart by spaces) opens a lattice: each
-character may stand for itself, for the letters it is often written for, or for
-nothing; a repeated character may be dropped.  Viterbi decoding takes the path
-that is likeliest under a character trigram model (counted over all documents)
-and the channel's costs.  All other words are their own only path.
+Restoring.  A word that may be disguised (digits or symbols among letters or at
+an edge, a letter three times in a row, letters set apart by spaces) opens a
+lattice: each character may stand for itself, for the letters it is often
+written for, or for nothing; a repeated character may be dropped.  Viterbi
+decoding takes the path that is likeliest under a character trigram model
+(counted over all documents) and the channel's costs.  All other words are their
+own only path.  A word that ends in symbols is also read without them, since
+they may as well be punctuation; numbers without a symbol stay numbers.
 
 Scoring.  Features are the restored words and their character n-grams, hashed
 to BINS counters.  How many toxic and clean training documents hold a feature is
@@ -58,9 +60,15 @@ STANDS_FOR = {
 #: repeated character dropped from a pair, and from three or more.
 COSTS = {"stands": 1.0, "noise": 0.5, "digit": 8.0, "lost": 25.0, "pair": 6.0, "repeat": 0.5}
 
+#: Characters besides digits that stand for letters.
+SIGNS = "".join(c for c in STANDS_FOR if not c.isdigit())
+
 _repeated = re.compile(r"(.)\1\1")
-_tails = re.compile(r"[^\w\s]+(?=\s|$)")
+_tails = re.compile(rf"[^\w\s{re.escape(SIGNS)}]+(?=\s|$)")  # trailing symbols that stand for no letter
+_symbols = re.compile(r"[^\w\s]+$")
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
+_signs = re.compile(f"[{re.escape(SIGNS)}]")
+_single = re.compile(r".[^\w\s]*")
 
 
 @dataclass
@@ -70,6 +78,7 @@ class CharModel:
     number: dict[str, int]
     logs: np.ndarray  # [before last, last, next]
     known: dict[str, str] = field(default_factory=dict)
+    flat: list[float] = field(default_factory=list)  # logs as plain numbers, once asked for
 
     def code(self, c: str) -> int:
         return self.number.get(c, 1)
@@ -84,7 +93,13 @@ class CharModel:
         return found
 
     def _viterbi(self, word: str) -> str:
-        logs = self.logs
+        if not self.flat:
+            self.flat.extend(self.logs.ravel().tolist())
+        logs, size = self.flat, len(self.logs)
+        # a state's past counts for the next two logs only: what lies further behind the best can't win
+        met = sorted({0, *(self.code(x) for c in set(word) for x in (c, *STANDS_FOR.get(c, "")))})
+        own = self.logs[np.ix_(met, met, met)]
+        behind = 2 * float(own.max() - own.min()) + 1e-6
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for i, c in enumerate(word):
             moves = [(c, 0.0)] if c.isalpha() else []
@@ -94,17 +109,21 @@ class CharModel:
                 skip = min(skip, COSTS["repeat" if c * 3 in word else "pair"])
             if not moves:
                 moves = [(c, COSTS["lost"])]
+            coded = [(x, self.code(x), cost) for x, cost in moves]
+            least = max(s for s, _ in states.values()) - behind
             after: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, path) in states.items():
+                if score < least:
+                    continue
                 if (a, b) not in after or after[a, b][0] < score - skip:
                     after[a, b] = (score - skip, path)
-                for x, cost in moves:
-                    k = self.code(x)
-                    reached = score - cost + logs[a, b, k]
+                at = (a * size + b) * size
+                for x, k, cost in coded:
+                    reached = score - cost + logs[at + k]
                     if (b, k) not in after or after[b, k][0] < reached:
                         after[b, k] = (reached, (path, x))
             states = after
-        best = max(states.items(), key=lambda s: s[1][0] + logs[s[0][0], s[0][1], 0])
+        best = max(states.items(), key=lambda s: s[1][0] + logs[(s[0][0] * size + s[0][1]) * size])
         letters, path = [], best[1][1]
         while path:
             path, x = path
@@ -113,6 +132,14 @@ class CharModel:
 
     def restored(self, token: str) -> set[str]:
         """What a lower-case token may mean: its word, and the word restored if it may be disguised."""
+        if token.isascii() and token.isalnum():
+            return self._bare(token)
+        out = self._bare(_symbols.sub("", token))
+        if _signs.search(token):
+            out.add(self.restore(token))
+        return out - {""}
+
+    def _bare(self, token: str) -> set[str]:
         core = token if token.isalpha() else _edges.sub("", token)
         if core.isalpha() and not _repeated.search(core):
             return {core}
@@ -128,17 +155,24 @@ class CharModel:
 
 
 def _single_runs(split: list[str]) -> set[str]:
-    """Three and more single characters in a row, joined."""
+    """Three and more single characters in a row, joined.
+
+    Symbols that stand for letters may follow them or stand alone: such a run is
+    joined with its symbols and without those that end a token.
+    """
     single = np.fromiter(map(len, split), np.int64, len(split)) == 1
+    if signed := {w for w in set(split) if w[-1] in SIGNS and _single.fullmatch(w)}:
+        single |= np.fromiter(map(signed.__contains__, split), bool, len(split))
+    out = set()
     if not (single[:-2] & single[1:-1] & single[2:]).any():
-        return set()
-    out, run = set(), []
-    for w in [*split, ".."]:
-        if len(w) == 1:
+        return out
+    run: list[str] = []
+    for w, one in zip([*split, ""], [*single.tolist(), False], strict=True):
+        if one:
             run.append(w)
         elif run:
-            if len(run) > 2:
-                out.add("".join(run))
+            bare = [c for c in (_symbols.sub("", w) for w in run) if c]
+            out.update("".join(x) for x in (run, bare) if len(x) > 2)
             run = []
     return out
 

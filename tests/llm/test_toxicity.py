@@ -45,6 +45,24 @@ def test_disguised_words_are_restored(scorer):
     assert scorer.chars.words("plain words stay good") == {"plain", "words", "stay", "good"}
 
 
+EDGES = {
+    "$tupid": "stupid", "stup!d!": "stupid", "a$$": "ass", "@$$": "ass", "(a$$)": "ass", "@sshole": "asshole", "1d10t$": "idiot", "idiot!": "idiot", "1d10t!!": "idiot", "fµck": "fuck",
+    "i d ! o t": "idiot", "s h ! t": "shit", "s. h. ! t.": "shit", "i! d! i! o! t!": "idiot", "i d , i o t": "idiot", "a $ $": "ass",
+}
+
+
+def test_symbols_at_edges_and_in_spaced_words_reach_the_features(spark):
+    texts = dict(enumerate([*corpus(300)[0].values(), *["stupid ass asshole idiot shit fuck"] * 300]))
+    known = toxicity._Known(toxicity.char_model(frame(spark, texts)))
+    for written, word in EDGES.items():
+        held = next(known.features([f"such {written} one"]))
+        wanted = toxicity.word_features([word])[1]
+        assert np.isin(wanted, held).all(), written
+    # numbers and plain words stay what they are
+    assert known.model.restored("2024") == set() and known.model.restored("such") == {"such"}
+    assert known.model.restored("such,") == {"such"} and "such" in known.model.restored("such!")
+
+
 def best_by_trying_all(model: toxicity.CharModel, word: str) -> str:
     """The lattice's best path by listing all of them."""
     paths = [("", 0.0)]
