@@ -1,9 +1,8 @@
 """Elias-Fano coded sequences and the trie of an n-gram model's cell.
 
 A monotone sequence of n numbers below u takes about log2(u / n) + 2 bits a
-number: the low bits lie packed, the high bits as a unary bit vector.  Levels
-are byte buffers that are read in place (``np.frombuffer``), from a file's
-mapping or from a column's value alike.
+number: the low bits lie packed, the high bits as a unary bit vector.  A trie
+unpacks its levels once; searches run on the unpacked sorted arrays.
 """
 
 from __future__ import annotations
