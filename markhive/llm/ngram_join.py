@@ -245,6 +245,21 @@ def _least_shared(n: str, m: str, percent: int) -> Column:
     return F.expr(f"least({both}, {DEPTH} + {both} - {needed})")
 
 
+def least_shared(n: str, low: str, high: str, percent: int) -> Column:
+    """Tokens that a set of n tokens shares in the matrix with any linked set of low to high tokens, at least.
+
+    Without rounding the least share over the sizes is at an end.  A rounded-up
+    share less a rounded-up need lies within 1 of what it is unrounded, so a size
+    between the ends may hold one less than both ends, but no less than the
+    unrounded share at an end, rounded down.
+    """
+    ends = F.least(_least_shared(n, low, percent), _least_shared(n, high, percent))
+    whole = 100 * (100 + percent)
+    unrounded = [F.expr(f"({DEPTH * whole} + {100 * percent} * ({n} + {m}) - {(100 + percent) * percent} * greatest({n}, {m})) div {whole}") for m in (low, high)]
+    between = F.greatest(F.lit(1), ends - 1, F.least(ends, *unrounded))
+    return F.when(F.expr(f"{low} >= {high}"), ends).otherwise(between)
+
+
 def groups(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``df`` (doc_id, text)."""
     texts = df.select("doc_id", text_bytes().alias("text"))
@@ -282,9 +297,9 @@ def groups(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     asks = cells.select(F.col("rep").alias("query"), "n", "part", F.col("group").alias("g"), F.col("block").alias("b"), F.col("size").alias("s"), F.explode(F.array("size", F.col("size") + 1)).alias("size"), "token")
     met = asks.join(matrix, ["token", "size"]).where("(size > s or `group` < g or (`group` = g and block <= b)) and (one <> part or two <> part)")
     found = met.groupBy("query", "n", "part", "group", "block", "size").agg(F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
-    # sizes of the block that can be linked with n at all; between them the least share is at an end
+    # sizes of the block that can be linked with n at all
     found = found.withColumn("low", F.expr(f"greatest(low, ({percent} * n + 99) div 100)")).withColumn("high", F.expr(f"least(high, 100 * n div {percent})"))
-    enough = F.col("shared") >= F.least(_least_shared("n", "low", percent), _least_shared("n", "high", percent))
+    enough = F.col("shared") >= least_shared("n", "low", "high", percent)
     candidates = stored(found.where((F.col("low") <= F.col("high")) & enough).select("group", "block", "query", "part").distinct(), "join-candidates")
     members = placed.select("group", "block", F.col("rep").alias("doc_id"), "part").join(candidates.select("group", "block").distinct(), ["group", "block"], "left_semi")
     more = _open(texts, candidates, members, width, percent)

@@ -86,6 +86,26 @@ def test_links_that_bands_miss_are_found(spark, monkeypatch):
     assert got(frame(spark, texts), 3, 80) == plain(texts, 3, 80)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_block_bound_is_a_lower_bound(spark, percent):
+    def share(n, m):
+        both = -(-percent * (n + m) // (100 + percent))
+        return min(both, ngram_join.DEPTH + both - max(ngram_join.need(n, percent), ngram_join.need(m, percent)))
+
+    least = {}
+    for n in [*range(1, 45), 97, 201]:
+        sizes = range(max(1, ngram_join.need(n, percent)), 100 * n // percent + 1)
+        for low in sizes[:: max(1, len(sizes) // 30)]:
+            now = share(n, low)
+            for high in range(low, sizes[-1] + 1):
+                now = least[n, low, high] = min(now, share(n, high))
+    df = spark.createDataFrame(list(least), "n long, low long, high long")
+    rows = df.withColumn("bound", ngram_join.least_shared("n", "low", "high", percent)).collect()
+    assert all(max(1, least[r.n, r.low, r.high] - 1) <= r.bound <= least[r.n, r.low, r.high] for r in rows)
+    # a linked set of 29 tokens shares 4 of its first tokens with one of 28 at 90 percent, those of 28 and of 30 share 5
+    assert percent != 90 or {r.bound for r in rows if (r.n, r.low, r.high) == (28, 28, 30)} == {4}
+
+
 def test_odd_rows(spark, odd, empty):
     rows = ngram_join.groups(odd, 3, 90).collect()
     assert len(rows) == len(ODD)
