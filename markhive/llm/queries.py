@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markhive.llm import licenses, mixing, ngram_join, ngram_lm, order_minhash, piece_codec, quality, token_counts, toxicity, url_filter
+from markhive.llm import hard_negatives, licenses, mixing, ngram_join, ngram_lm, order_minhash, piece_codec, quality, quality_net, token_counts, toxicity, url_filter, whitening
 from markhive.llm.common import documents
 
 
@@ -57,6 +57,22 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(embeddings(spark, sf_dir))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.of_hundredths(embeddings(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -70,7 +86,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_toxicity,
         op10_source_mixing,
+        op11_embedding_whitening,
+        op12_quality_classifier,
+        op13_hard_negatives,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_license_scan": licenses.oracle_sql(), "op8_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_license_scan": licenses.oracle_sql(), "op8_url_filter": url_filter.ORACLE_SQL, "op13_hard_negatives": hard_negatives.oracle_sql()}

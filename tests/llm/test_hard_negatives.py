@@ -1,0 +1,122 @@
+"""Hard negatives against all scores; the threshold algorithm's stop."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from markhive.llm import hard_negatives, queries
+from markhive.llm.hard_negatives import Best, Block, search
+
+SF01 = "/root/testdata/sf0.01"
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def brute(rows, is_anchor, positives=5, negatives=5, low=80, high=100, scale=256):
+    """Rows (id, vector, label) of an unbounded search over all pairs."""
+    whole = [(i, [int(np.floor(scale * float(np.float32(c)))) for c in v], g) for i, v, g in rows if g is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    place = lambda k: (whole[k][0] is None, whole[k][0] or 0, k)
+    out = []
+    for a, (own, x, group) in enumerate(whole):
+        if own is None or not is_anchor(own):
+            continue
+        scores = {k: sum(p * q for p, q in zip(x, y, strict=False)) for k, (_, y, _) in enumerate(whole) if k != a}
+        ranked = sorted(scores, key=lambda k: (-scores[k], *place(k)))
+        for p in [k for k in ranked if whole[k][2] == group][:positives]:
+            inside = [k for k in ranked if whole[k][2] != group and low * scores[p] <= 100 * scores[k] <= high * scores[p]]
+            out += [(own, whole[p][0], r, whole[k][0], scores[p], scores[k]) for r, k in enumerate(inside[:negatives], 1)]
+    return sorted(out, key=str)
+
+
+def mined(df, is_anchor, **options):
+    return sorted(map(tuple, hard_negatives.mine(df, is_anchor, **options).collect()), key=str)
+
+
+def random_rows(n, dim, labels, seed=0, spread=0.3):
+    rng = np.random.default_rng(seed)
+    return [(i, [float(c) for c in rng.normal(size=dim) * spread], int(rng.integers(labels))) for i in range(n)]
+
+
+def test_query_is_all_pairs(spark):
+    table = spark.read.parquet(f"{SF01}/embeddings.parquet").collect()
+    rows = [(r.vec_id, r.embedding, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label) for r in table]
+    got = sorted(map(tuple, queries.op13_hard_negatives(spark, SF01).collect()), key=str)
+    assert got == brute(rows, lambda i: i % 100 == 0)
+
+
+@pytest.mark.parametrize("dim,labels", [(1, 2), (3, 2), (8, 40), (20, 1)])
+def test_small_stripes_and_blocks(spark, monkeypatch, dim, labels):
+    monkeypatch.setattr(hard_negatives, "STRIPE", 60)
+    monkeypatch.setattr(hard_negatives, "LEAST_STRIPE", 10)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 4)
+    rows = random_rows(400, dim, labels)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert mined(df, F.col("vec_id") % 20 == 0) == brute(rows, lambda i: i % 20 == 0)
+
+
+def test_ties_copies_and_a_hot_vector(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "LEAST_STRIPE", 20)
+    rows = [(i, [0.25, 0.5] if i % 3 == 0 else [float(i % 4) / 4, float(i % 5) / 4], i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert mined(df, F.col("vec_id") % 50 == 0) == brute(rows, lambda i: i % 50 == 0)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = random_rows(60, 4, 3, seed=4)
+    odd = [(100, None, 1), (200, [1.0, None], 1), (300, [nan, 1.0], 1), (400, [inf, 1.0], 2), (500, [1.0, 1.0, 1.0, 1.0], None)]
+    short = [(600, [1.0], 1), (601, [], 2), (600, [1.0], 1), (None, [0.9, 0.1], 2), (None, [0.95, 0.1], 1)]
+    all_rows = rows + odd + short
+    df = spark.createDataFrame(all_rows, SCHEMA).withColumns({"row": F.lit(1), "stream": F.lit("x"), "vector": F.lit(None), "key": F.lit(2)})
+    assert mined(df, F.col("vec_id") % 20 == 0) == brute(all_rows, lambda i: i % 20 == 0)
+
+
+def test_windows_without_rows(spark):
+    columns = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    every = F.lit(True)
+    empty = hard_negatives.mine(spark.createDataFrame([], SCHEMA), every)
+    assert empty.columns == columns and empty.collect() == []
+    lonely = [(1, [1.0], 1), (2, [2.0], 2)]
+    assert mined(spark.createDataFrame(lonely, SCHEMA), every) == []
+    negative = [(1, [1.0], 1), (2, [-2.0], 1), (3, [-1.9], 2), (4, [-2.0], 2)]
+    assert mined(spark.createDataFrame(negative, SCHEMA), F.col("vec_id") == 1) == []
+    zero = [(1, [0.0], 1), (2, [5.0], 1), (3, [-1.9], 2)]
+    assert mined(spark.createDataFrame(zero, SCHEMA), F.col("vec_id") == 1) == [(1, 2, 1, 3, 0, 0)]
+
+
+def test_wide_entries(spark):
+    for size in (1e3, 1e6, 1e15):
+        rows = [(i, [float(np.float32(size * (i % 7 + 1))), float(np.float32(-size * (i % 3)))], i % 2) for i in range(30)]
+        df = spark.createDataFrame(rows, SCHEMA)
+        got = mined(df, F.col("vec_id") % 10 == 0)
+        if size < 1e10:  # scores fit a long
+            assert got == brute(rows, lambda i: i % 10 == 0)
+
+
+def test_other_windows(spark):
+    rows = random_rows(200, 5, 3, seed=9)
+    options = {"positives": 3, "negatives": 2, "low": 33, "high": 97}
+    assert mined(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0, **options) == brute(rows, lambda i: i % 10 == 0, **options)
+
+
+def test_search_stops_at_the_threshold():
+    n = 5000
+    x = np.zeros((n, 3), np.float32)
+    x[:, 0] = np.arange(n)
+    x[:, 1] = -np.arange(n)
+    block = Block(x, np.zeros(n, np.int64), np.arange(n), np.arange(n))
+    best = Best.of([0], [hard_negatives.NONE], [hard_negatives.LAST], 5)
+    scored = search(block, np.array([2, -1, 0], np.float32), np.ones(n, bool), best)
+    assert best.ids[0].tolist() == [4999, 4998, 4997, 4996, 4995] and scored == hard_negatives.FIRST
+    # a window below: rows above it are read, and reading ends where its last row is passed
+    best = Best.of([0], [2800], [3000], 5)
+    scored = search(block, np.array([1, 0, 0], np.float32), np.ones(n, bool), best)
+    assert best.score[0].tolist() == [3000, 2999, 2998, 2997, 2996] and 2000 < scored < 4500
+
+
+def test_a_tie_at_the_threshold_is_read_on():
+    n = 200
+    x = np.ones((n, 1), np.float32)
+    block = Block(x, np.zeros(n, np.int64), np.arange(n)[::-1].copy(), np.arange(n))
+    best = Best.of([0], [hard_negatives.NONE], [hard_negatives.LAST], 5)
+    assert search(block, np.array([1], np.float32), np.ones(n, bool), best) == n
+    assert best.ids[0].tolist() == [0, 1, 2, 3, 4]
