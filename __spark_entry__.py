@@ -8,6 +8,7 @@ it).  ``oracle_sql`` states the same result in DuckDB SQL; column names match.
 from __future__ import annotations
 
 import os
+import re
 import sys
 from collections.abc import Callable
 
@@ -39,7 +40,10 @@ try:
     from markhive.llm.queries import QUERIES as _LLM_QUERIES
 
     _LLM_QUERIES = {**_LLM_QUERIES, "pipeline": corpus_pipeline.run}
-except ImportError:
+except ModuleNotFoundError as missing:
+    # any other module that is missing is an error
+    if not re.fullmatch(r"corpus_pipeline|markhive\.llm(\..*)?", missing.name or ""):
+        raise
     _LLM_QUERIES, _LLM_SQL = {}, {}
 
 SF_SMOKE = "/root/testdata/sf0.001"
@@ -95,6 +99,28 @@ def q_extract_quoted_tolerant(spark, sf_dir):
     return links_of(tokenize_tolerant(_quoted_documents(spark, sf_dir)))
 
 
+# What irregular files hold around a link: a comment and a script with links of their own, odd quotes, a link
+# in another attribute, and, instead of an end tag, a comment in the title and the next structural tag.
+GHOSTS = """<!-- "<a href="http://ghost">no</a> --><script>a < '<a href="http://ghost">no</a>';</script>"""
+ODD_START = """<a title="it"s" x=don't rel='a href="ghost"' data-href="ghost" href=\""""
+ODD_END = """<!-- > it's "odd --><DT>"""
+
+
+def _irregular_documents(spark, sf_dir):
+    html = F.replace("html", F.lit('<a href="'), F.lit(GHOSTS + ODD_START))
+    html = F.when(F.col("page_id") % 2 == 0, F.replace(html, F.lit("</a>"), F.lit(ODD_END))).otherwise(html)
+    unended = F.when(F.col("page_id") % 5 == 0, F.lit('<!-- <a href="ghost">no</a>')).otherwise(F.lit("<style><a href='ghost'>no</a>"))
+    return pages_documents(_pages(spark, sf_dir).withColumn("html", F.concat(html, unended)))
+
+
+def q_extract_irregular(spark, sf_dir):
+    return extract_links(_irregular_documents(spark, sf_dir))
+
+
+def q_extract_irregular_tolerant(spark, sf_dir):
+    return links_of(tokenize_tolerant(_irregular_documents(spark, sf_dir)))
+
+
 def q_pages_dedup(spark, sf_dir):
     """Crawled pages as link files (S4): the links each page keeps after dedup."""
     kept = dedup.dedup(extract_links(pages_documents(_pages(spark, sf_dir))), KeyOptions())
@@ -354,6 +380,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "entity_decode_long": q_entity_decode_long,
         "extract_quoted": q_extract_quoted,
         "extract_quoted_tolerant": q_extract_quoted_tolerant,
+        "extract_irregular": q_extract_irregular,
+        "extract_irregular_tolerant": q_extract_irregular_tolerant,
         "percent_decode": q_percent_decode,
         "filter_protocol": q_filter_protocol,
         "dedup_removed": q_dedup_removed,
@@ -686,6 +714,8 @@ group by key_url, key_title"""
 from ({_LINKS_SQL}) l"""
     for name, c in OWN_FOLDER_VARIANTS.items():
         out[name] = _multi_sql(c, ("folder",)).replace(f"with links as ({_LINKS_SQL})", f"with links as ({own})")
+    # nothing around the links changes them
+    out["extract_irregular"] = out["extract_irregular_tolerant"] = out["extract_links"]
     out["extract_quoted"] = out["extract_quoted_tolerant"] = f"""select file_id, pos, concat('{QUOTED}', url) as url, title
 from ({out['extract_links']}) l"""
     out["entity_decode_long"] = _WITH_LINKS + f"""select link_id, concat({_ent('url')}, '&&x', chr(65533), chr(233)) as url_text

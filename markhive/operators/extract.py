@@ -13,23 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_tags
 from ..session import ensure_checkpoint_dir
+from . import lexer
 from .ordered import DEFAULT_CHUNK_ROWS, chunk_of, last_before, running_sum_before
 
-# The token grammar of a bookmark file (Netscape format) and of
-# anchors in any page.  Tags in any case; href double-, single- or unquoted.
-# A '>' inside a quoted attribute does not end its tag.
-ATTRS = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
-TOKEN_RE = rf"(?is)(<dl\b{ATTRS}>|</dl\s*+>|<h3\b{ATTRS}>.*?</h3\s*+>|<a\b{ATTRS}>.*?</a\s*+>)"
-ANCHOR_RE = rf"(?is)(<a\b{ATTRS}>.*?</a\s*+>)"
-HREF_RE = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-# The same value with its quotes as one group, so one regex call finds it.
-HREF_QUOTED_RE = r"""(?is)\shref\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
-START_TAG_RE = rf"(?is)^(<[a-z0-9]+\b{ATTRS}>)"
-START_ATTRS_RE = rf"(?is)^<[a-z0-9]+\b({ATTRS})>"
-INNER_RE = rf"(?is)^<[a-z0-9]+\b{ATTRS}>(.*?)</[a-z0-9]+\s*+>$"
-
 # Token kinds: dl, end (</dl>), folder (<h3>), link (<a>).
 
 
@@ -43,10 +30,16 @@ def _kind(tok):
 
 
 def _href(tok):
-    start = F.regexp_extract(tok, START_TAG_RE, 1)
-    v = F.regexp_extract(start, HREF_QUOTED_RE, 1)
-    quoted = v.startswith('"') | v.startswith("'")
-    return F.when(quoted, v.substr(F.lit(2), F.length(v) - 2)).otherwise(v)
+    value = F.regexp_extract(tok, lexer.HREF_RE, 1)
+    quote = F.substring(value, 1, 1)
+    closed = (F.length(value) > 1) & F.endswith(value, quote)
+    inside = F.when(closed, value.substr(F.lit(2), F.length(value) - 2)).otherwise(value.substr(F.lit(2), F.length(value)))
+    return F.when(quote.isin('"', "'"), inside).otherwise(value)
+
+
+def segments(text):
+    """The text cut before each structural tag, without gaps (array of strings)."""
+    return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(lexer.SEGMENT_RE), 1)
 
 
 def tokenize(
@@ -55,15 +48,14 @@ def tokenize(
     """Tokens ``(doc, pos, kind, name, url, title, attrs)`` of each document.
 
     ``pos`` is the token's place in its document.  ``name`` is a folder's
-    name, ``url``/``title`` a link's raw href and text (inner tags removed,
-    entities kept, as written in the file), ``attrs`` all attributes of a
-    folder's or link's start tag as written (dates, icons).
+    name, ``url``/``title`` a link's raw href and text (inner tags and comments
+    removed, entities kept, as written in the file), ``attrs`` all attributes of a
+    folder's or link's start tag as written (dates, icons).  The grammar is
+    ``lexer``'s, the same as that of the tolerant parser.
     """
-    pattern = ANCHOR_RE if anchors_only else TOKEN_RE
-    keep = list(keep)
-    exploded = docs.select(
-        doc, *keep, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(pattern), 1)).alias("pos", "tok")
-    )
+    start = lexer.LINK_START_RE if anchors_only else lexer.TOKEN_START_RE
+    tokens = F.filter(segments(html), lambda x: x.rlike(start))
+    exploded = docs.select(doc, *keep, F.posexplode(tokens).alias("pos", "tok"))
     return exploded.select(doc, *keep, F.col("pos").cast("bigint").alias("pos"), *_token_fields(anchors_only))
 
 
@@ -71,13 +63,13 @@ def _token_fields(anchors_only: bool = False):
     """``kind, name, url, title, attrs`` of the token in column ``tok``."""
     tok = F.col("tok")
     kind = F.lit("link") if anchors_only else _kind(tok)
-    inner = strip_tags(F.regexp_extract(tok, INNER_RE, 1))
+    inner = F.regexp_replace(F.regexp_extract(tok, lexer.INNER_RE, 1), lexer.MARKUP_RE, "")
     return [
         kind.alias("kind"),
         F.when(kind == "folder", inner).alias("name"),
         F.when(kind == "link", _href(tok)).alias("url"),
         F.when(kind == "link", inner).alias("title"),
-        F.when(kind.isin("folder", "link"), F.trim(F.regexp_extract(tok, START_ATTRS_RE, 1))).alias("attrs"),
+        F.when(kind.isin("folder", "link"), F.trim(F.regexp_extract(tok, lexer.ATTRS_RE, 1))).alias("attrs"),
     ]
 
 
@@ -90,7 +82,7 @@ LINE_CHUNK_ROWS = 1 << (_LINE_BITS + 22)
 def tokenize_lines(lines: DataFrame, doc: str = "file_id") -> DataFrame:
     """Tokens of line rows from ``read_html_lines``; ``pos`` keeps file order."""
     exploded = lines.select(
-        doc, "line_pos", F.posexplode(F.regexp_extract_all(F.col("line"), F.lit(TOKEN_RE), 1)).alias("i", "tok")
+        doc, "line_pos", F.posexplode(F.filter(segments("line"), lambda x: x.rlike(lexer.TOKEN_START_RE))).alias("i", "tok")
     )
     limit = 1 << _LINE_BITS
     pos = F.when(

@@ -1,11 +1,16 @@
 """Extraction and folder paths (P1, P2, P3) on hand-written documents."""
 
+import random
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from markhive.operators import lexer
 from markhive.operators.extract import extract_links, parse_bookmarks, resolve_tree, tokenize
 from markhive.operators.ordered import last_before, rank_within, running_sum_before
-from markhive.operators.tolerant import parse_events, tokenize_tolerant
+from markhive.operators.tolerant import BookmarkEvents, parse_events, parse_tokens, tokenize_tolerant, tokens_of
 
 NESTED = """<!DOCTYPE NETSCAPE-Bookmark-file-1>
 <DL><p>
@@ -102,14 +107,99 @@ def test_tolerant_same_as_regex_on_wellformed(docs):
     assert _links(tree) == EXPECTED_LINKS
 
 
-def test_tolerant_closes_unclosed_anchor(spark):
-    html = "<DL><p><DT><A HREF='http://a'>first<DT><A HREF='http://b'>second</A></DL><p>"
-    toks = parse_events(html)
-    assert [t for t in toks if t[0] == "link"] == [("link", None, "http://a", "first"), ("link", None, "http://b", "second")]
-    # the regex reads the first anchor up to the next </A>
-    df = spark.createDataFrame([("f", html)], "file_id string, html string")
-    regex = sorted(r.url for r in extract_links(df).collect())
-    assert regex == ["http://a"]
+# Irregular documents and their tokens; both parsers must give them.
+IRREGULAR = {
+    "unclosed anchor": (
+        "<DL><p><DT><A HREF='http://a'>first<DT><A HREF='http://b'>second</A></DL><p>",
+        [("dl",), ("link", "http://a", "first"), ("link", "http://b", "second"), ("end",)],
+    ),
+    "odd quote after a value": ('<A HREF="http://q1" TITLE="it"s">q</A>', [("link", "http://q1", "q")]),
+    "apostrophe in a bare value": ("<A HREF=http://p1 X=don't>p</A><A HREF='u2'>r</A>", [("link", "http://p1", "p"), ("link", "u2", "r")]),
+    "quote that never closes": ('<A HREF="http://a" TITLE="oops>text</A><DT><A HREF=u>t', [("link", "http://a", "text"), ("link", "u", "t")]),
+    "href whose quote never closes": ('<A HREF="http://a>text</A>', [("link", "http://a", "text")]),
+    "comment": ('<!-- <A HREF="ghost">no</A> --><A HREF="u">a<!-- > "b -->c</A>', [("link", "u", "ac")]),
+    "comment to the end": ('<A HREF="u">t</A><!-- <A HREF="ghost">no</A>', [("link", "u", "t")]),
+    "short comments": ('<!--><A HREF="u">t</A><!---><A HREF="v">w</A><!-- x --!>', [("link", "u", "t"), ("link", "v", "w")]),
+    "script": ("<script>a = '<A HREF=\"ghost\">no</A>'; b < c</script><A HREF='u'>t<style>x{}</style>z</A>", [("link", "u", "tz")]),
+    "script to the end": ("<A HREF='u'>t</A><script><A HREF='ghost'>no</A>", [("link", "u", "t")]),
+    "tag in a value": ("<A TITLE='<A HREF=\"ghost\">' HREF='u'>t</A>", [("link", "u", "t")]),
+    "href in another value": ('<A TITLE="x href=\'ghost\'" DATA-HREF="ghost" HREF="u">t</A>', [("link", "u", "t")]),
+    "angle bracket in a value": ('<A HREF="javascript:a>b">t</A>', [("link", "javascript:a>b", "t")]),
+    "lone brackets": ("1 < 2 <A HREF=u>a < b <> c</A> <", [("link", "u", "a < b <> c")]),
+    "names that begin like tags": ("<ABBR>x</ABBR><DLX><H33><A HREF=u>t</ABBR></A><DTX>", [("link", "u", "t")]),
+    "closed by the other end tag": ("<H3>f</A><DL><A HREF=u>t</H3>rest</DL>", [("folder", "f"), ("dl",), ("link", "u", "t"), ("end",)]),
+    "slash before the end": ("<A HREF='u'/>t</A><A HREF=v/>w</A>", [("link", "u", "t"), ("link", "v/", "w")]),
+    "declarations": ("<!DOCTYPE x><?pi ghost?><![CDATA[x]]><A HREF=u>t</A>", [("link", "u", "t")]),
+    "entities": ("<A HREF=u>&#x; &amp &amp; &#39</A><A HREF=v>&#;</A>", [("link", "u", "&#x; &amp &amp; &#39"), ("link", "v", "&#;")]),
+    "list ends": ("<DL></DL x><dl/></dl", [("dl",), ("end",), ("dl",)]),
+    "nothing": ("", []),
+}
+
+
+def _brief(kind, name, url, title):
+    return {"link": (kind, url, title), "folder": (kind, name)}.get(kind, (kind,))
+
+
+@pytest.mark.parametrize("case", IRREGULAR)
+def test_irregular_documents(case):
+    html, wanted = IRREGULAR[case]
+    got = [_brief(*t) for t in parse_events(html)]
+    assert got == wanted
+
+
+def test_both_parsers_give_the_same_tokens(spark):
+    rows = [(k, html) for k, (html, _) in IRREGULAR.items()] + [(f"{a}+{b}", IRREGULAR[a][0] + IRREGULAR[b][0]) for a in IRREGULAR for b in IRREGULAR]
+    df = spark.createDataFrame(rows, "file_id string, html string")
+    regex, tolerant = (sorted(map(tuple, t.collect()), key=str) for t in (tokenize(df), tokenize_tolerant(df)))
+    assert len(regex) > 700 and regex == tolerant
+
+
+FRAGMENTS = [
+    "<A", "<a ", "HREF=", '"http://x"', "'y'", '"', "'", ">", "/>", "</A>", "</a >", "<H3>", "</H3>", "<DL>", "<p>", "</DL>", "<DT>", "<DD>", "<HR>",
+    "<!--", "-->", "--!>", "<!-", "->", "<script>", "</script>", "</scr", "<style", "</style x>", "<", "text", "&amp;", "&#x;", "=", " ", "\n", "/",
+    "<b>", "<?pi", "<!doctype", "x=y", "don't", "é", "</", "</dl", 'title="it"s"', "\x0b", '<DT><A HREF="u">t',
+]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(FRAGMENTS), max_size=25), st.integers(1, 9))
+def test_pieces_of_any_size_give_the_same_tokens(parts, size):
+    html = "".join(parts)
+    assert list(tokens_of(html[i : i + size] for i in range(0, len(html), size))) == parse_tokens(html)
+    assert "".join(m[1] for m in lexer.compiled(lexer.SEGMENT_RE).finditer(html)) == html
+
+
+def test_random_documents_in_both_parsers(spark):
+    rng = random.Random(3)
+    rows = [(str(i), "".join(rng.choice(FRAGMENTS) for _ in range(rng.randint(1, 25)))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "file_id string, html string")
+    regex, tolerant = (sorted(map(tuple, t.collect()), key=str) for t in (tokenize(df), tokenize_tolerant(df)))
+    assert len(regex) > 1000 and regex == tolerant
+
+
+def test_long_irregular_documents(spark):
+    n = 100_000
+    rows = [
+        ("comment", "<!--" + "-a" * n, 0),
+        ("value", '<a href="' + "x" * n, 0),
+        ("unclosed", '<a href="u">t' + "<br>\n" * n, 1),
+        ("brackets", "<" * n, 0),
+        ("script", "<script>" + "<a " * n, 0),
+        ("links", "<DT><A HREF='u'>t" * n, n),
+    ]
+    df = spark.createDataFrame(rows, "file_id string, html string, n int")
+    for tokens in (tokenize(df), tokenize_tolerant(df)):
+        assert {r["file_id"]: r["count"] for r in tokens.groupBy("file_id").count().collect()} == {k: n for k, _, n in rows if n}
+
+
+def test_parser_memory_does_not_follow_the_document():
+    p = BookmarkEvents()
+    for opening, filler in (("", "<DT><A HREF='u'>t</A>\n"), ("<!--", "- text -"), ("--><script>", "a < b;")):
+        p.feed(opening)
+        for _ in range(2000):
+            p.feed(filler)
+            p.tokens.clear()
+            assert len(p.rawdata) < 64
 
 
 def test_tolerant_keeps_raw_entities():
