@@ -29,8 +29,8 @@ def _kind(tok):
     )
 
 
-def _href(tok):
-    value = F.regexp_extract(tok, lexer.HREF_RE, 1)
+def _href(start):
+    value = F.regexp_extract(start, lexer.HREF_RE, 1)
     quote = F.substring(value, 1, 1)
     closed = (F.length(value) > 1) & F.endswith(value, quote)
     inside = F.when(closed, value.substr(F.lit(2), F.length(value) - 2)).otherwise(value.substr(F.lit(2), F.length(value)))
@@ -63,13 +63,14 @@ def _token_fields(anchors_only: bool = False):
     """``kind, name, url, title, attrs`` of the token in column ``tok``."""
     tok = F.col("tok")
     kind = F.lit("link") if anchors_only else _kind(tok)
+    start = F.regexp_extract(tok, lexer.START_RE, 1)
     inner = F.regexp_replace(F.regexp_extract(tok, lexer.INNER_RE, 1), lexer.MARKUP_RE, "")
     return [
         kind.alias("kind"),
         F.when(kind == "folder", inner).alias("name"),
-        F.when(kind == "link", _href(tok)).alias("url"),
+        F.when(kind == "link", _href(start)).alias("url"),
         F.when(kind == "link", inner).alias("title"),
-        F.when(kind.isin("folder", "link"), F.trim(F.regexp_extract(tok, lexer.ATTRS_RE, 1))).alias("attrs"),
+        F.when(kind.isin("folder", "link"), F.trim(F.regexp_extract(start, lexer.ATTRS_RE, 1))).alias("attrs"),
     ]
 
 

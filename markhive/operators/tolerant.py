@@ -38,7 +38,7 @@ _RAW_TEXT = {n: lexer.compiled(rf"(?i)</{n}{lexer._NAME_END}") for n in ("script
 _LT = re.compile("<")
 _START = lexer.compiled(rf"(?is){lexer._TAG}")
 # While more text may come, a value whose quote has not closed yet waits for it.
-_START_SO_FAR = lexer.compiled(rf"(?is){lexer._TAG}".replace(lexer._VALUE, lexer._VALUE[:-1].replace("|[^ ", "|(?![\"'])[^ ") + ")"))
+_START_SO_FAR = lexer.compiled(lexer.CLOSED_TAG_RE)
 _COMMENT_END = re.compile(r"--!?>")
 _SHORT_COMMENT = re.compile(r"<!---?>")
 _END_NAME = lexer.compiled(r"(?i)</([a-z][^ \t\n\r\f/>]*+)")

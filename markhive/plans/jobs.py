@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compare, dedup, naming
+from ..operators.edit import without_links
 from ..operators.extract import Tree, parse_bookmark_lines, parse_bookmarks, resolve_tree
 from ..operators.jsontree import CHROMIUM, JsonFields, flatten_json, items_from_json, json_errors, json_links
 from ..operators.render import items_from_tree, render_documents, render_lines
@@ -23,7 +24,7 @@ from ..operators.tolerant import tokenize_tolerant
 from ..options import CompareOptions, KeyOptions
 from ..session import ensure_checkpoint_dir
 from ..sources.documents import existing, html_targets, json_targets, listed, read_html_files, read_html_lines, read_json_files
-from ..sources.sinks import write_named_documents, write_named_lines, write_table
+from ..sources.sinks import write_named_documents, write_named_lines, write_named_pieces, write_table
 
 
 def parse_files(
@@ -35,19 +36,21 @@ def parse_files(
     ``reader`` ``lines`` reads files as splittable lines (files larger than
     a row; regex parser, one element per line).
     """
+    files, docs, tree = _parsed(spark, targets, recursive, parser, reader)
+    return files, tree
+
+
+def _parsed(spark, targets, recursive, parser, reader) -> tuple[DataFrame, DataFrame | None, Tree]:
+    """The files, their documents (None if they are not read as rows), and the tree."""
+    if parser not in ("regex", "html.parser"):
+        raise ValueError("parser must be regex or html.parser")
     files = listed(spark, html_targets(spark, targets, recursive))
     if reader == "lines":
         if parser != "regex":
             raise ValueError("the line reader works with the regex parser")
-        return files, parse_bookmark_lines(read_html_lines(spark, targets, recursive=recursive))
+        return files, None, parse_bookmark_lines(read_html_lines(spark, targets, recursive=recursive))
     docs = read_html_files(spark, targets, recursive=recursive)
-    if parser == "regex":
-        tree = parse_bookmarks(docs)
-    elif parser == "html.parser":
-        tree = resolve_tree(tokenize_tolerant(docs))
-    else:
-        raise ValueError("parser must be regex or html.parser")
-    return files, tree
+    return files, docs, parse_bookmarks(docs) if parser == "regex" else resolve_tree(tokenize_tolerant(docs))
 
 
 def dedup_files(
@@ -67,10 +70,10 @@ def dedup_files(
     or ``all`` run the batch form.  ``output`` writes the kept links as
     parquet partitioned by file; ``html_output_dir`` writes one deduplicated
     bookmark file per input and mode (``<name>.dedup-<mode>.html``, numbered
-    where names meet), keeping every folder and the original order; an input
-    without links gives a file with its folders.
+    where names meet): the input's own text without the removed bookmarks and
+    their notes (``edit``).  An input without duplicates is copied as it is.
     """
-    files, tree = parse_files(spark, targets, recursive, parser, reader)
+    files, docs, tree = _parsed(spark, targets, recursive, parser, reader)
     modes = (opts.mode,) if batch_mode is None else dedup.BATCH_MODES.get(batch_mode, ())
     if batch_mode is None:
         kept = dedup.dedup(tree.links, opts).withColumn("mode", F.lit(opts.mode))
@@ -88,15 +91,16 @@ def dedup_files(
             base = F.regexp_extract("file_id", r"([^/]*?)(\.[^./]*)?$", 1)
             target = F.concat(F.lit(folder + "/"), base, F.lit(f".dedup-{mode}.html"))
             named = naming.free_names(files.withColumn("target_path", target), "file_id", existing(spark, [folder]))
-            items = items_from_tree(kept.where(F.col("mode") == mode), tree.folders)
-            if reader == "lines":
+            own = kept.where(F.col("mode") == mode)
+            if docs is None:
                 # documents of any size: written line by line
-                lines = render_lines(items, escape=False, docs=files.select(F.col("file_id").alias("doc")))
+                lines = render_lines(items_from_tree(own, tree.folders), escape=False, docs=files.select(F.col("file_id").alias("doc")))
                 write_named_lines(lines.join(named.withColumnRenamed("file_id", "doc"), "doc"))
                 continue
-            docs = render_documents(items, fmt="html", escape=False)
-            out = named.join(docs.withColumnRenamed("doc", "file_id"), "file_id", "left")
-            write_named_documents(out.select("target_path", F.coalesce("text", F.lit(_EMPTY_HTML)).alias("text")))
+            removed = tree.links.select("file_id", "pos").join(own, ["file_id", "pos"], "left_anti")
+            # a file without any text has a piece too, so that it is written
+            whole = without_links(docs, removed).unionByName(files.select("file_id", F.lit(-1).cast("bigint").alias("piece"), F.lit("").alias("text")))
+            write_named_pieces(whole.join(named, "file_id"), ["piece"])
     return kept
 
 
