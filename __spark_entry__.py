@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import uuid
 from collections.abc import Callable
 
 # The package sits next to this file; make it importable wherever the driver runs.
@@ -25,13 +26,17 @@ from markhive.functions import decode_entities, decode_percent, url_scheme
 from markhive.functions.urls import has_allowed_protocol
 from markhive.operators import compare, dedup
 from markhive.operators import naming
-from markhive.operators.extract import extract_links, links_of, parse_bookmarks, resolve_tree
+from markhive.operators.edit import joined, without_links
+from markhive.operators.extract import extract_links, links_of, parse_bookmarks, resolve_tree, tokenize
 from markhive.operators.tolerant import tokenize_tolerant
 from markhive.operators.jsontree import flatten_json, items_from_json, json_folders, json_links
 from markhive.operators.render import render_documents
 from markhive.packaging import ship
-from markhive.sources.documents import pages_documents
-from markhive.sources.fixtures import fixture_documents, links_fixture
+from markhive.plans import jobs
+from markhive.session import ensure_checkpoint_dir
+from markhive.sources.documents import pages_documents, read_html_files, read_json_files
+from markhive.sources.fixtures import FLAT_END, FLAT_HEAD, fixture_documents, flat_pieces, links_fixture
+from markhive.sources.sinks import write_named_documents, write_named_pieces
 
 # The training-data operators are optional: the rest works without their subpackage.
 try:
@@ -369,6 +374,82 @@ def q_stem_names_o(spark, sf_dir):
     return naming.stem_names(docs, output_dir=CONVERT_DIR).select("path", "target_dir", "target_path")
 
 
+def q_stem_names_free(spark, sf_dir):
+    """Plain names that look like numbered ones (Bookmarks_<id>) beside many equal names in one folder."""
+    lookalike = F.regexp_replace("path", r"/p([0-9]+)\.json$", "/Bookmarks_$1.json")
+    docs = fixture_documents(_pages(spark, sf_dir), "json").select(F.when(F.col("page_id") % 3 == 1, lookalike).otherwise(F.col("path")).alias("path"))
+    return naming.free_names(naming.stem_names(docs, output_dir=CONVERT_DIR), "path").select("path", "target_path")
+
+
+# ---------------------------------------------------------------- written files, read back
+
+
+def _scratch(spark) -> str:
+    """A fresh folder that the driver and all executors see."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/io-{uuid.uuid4().hex}"
+
+
+def _relative(col: str, folder: str):
+    """A path below the folder."""
+    return F.substring_index(F.col(col), folder.rpartition("/")[2], -1)
+
+
+def q_dedup_edit(spark, sf_dir):
+    """The lines of flat documents (twenty pages each) after their duplicates were removed from the text."""
+    links = _links(spark, sf_dir).withColumn("file_id", F.concat(F.lit("d"), F.floor(F.col("page_id") / 20).cast("string")))
+    docs = flat_pieces(links).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "").alias("html"))
+    docs = docs.withColumnRenamed("doc", "file_id")
+    text = joined(without_links(docs, dedup.removed(links_of(tokenize(docs)), KeyOptions())))
+    return text.select("file_id", F.posexplode(F.split("html", "\n")).alias("n", "line"))
+
+
+def q_io_html_files(spark, sf_dir):
+    """Documents written as named files in many folders, read from the top folder."""
+    folder = _scratch(spark)
+    docs = fixture_documents(_pages(spark, sf_dir), "html").select(F.concat(F.lit(folder), "path").alias("target_path"), "text")
+    write_named_documents(docs)
+    links = parse_bookmarks(read_html_files(spark, folder, recursive=True)).links
+    return links.select(_relative("file_id", folder).alias("path"), F.array_join("folder", "/").alias("folder"), "url", "title")
+
+
+def q_io_json_files(spark, sf_dir):
+    """S3: JSON files found by two patterns, one with any folders."""
+    folder = _scratch(spark)
+    write_named_documents(fixture_documents(_pages(spark, sf_dir), "json").select(F.concat(F.lit(folder), "path").alias("target_path"), "text"))
+    nodes = flatten_json(read_json_files(spark, [f"{folder}/**/Bookmarks", f"{folder}/exports/*/*/*.json"]))
+    return json_links(nodes).select(_relative("doc", folder).alias("path"), F.array_join("folder", "/").alias("folder"), "url", "title")
+
+
+def _flat_files(spark, sf_dir) -> str:
+    """The three files of the fixture, each written by many tasks."""
+    folder = _scratch(spark)
+    pieces = flat_pieces(_links(spark, sf_dir)).withColumn("target_path", F.concat(F.lit(f"{folder}/in/"), "doc", F.lit(".html")))
+    write_named_pieces(pieces, ["k"])
+    return folder
+
+
+def q_io_dedup_files(spark, sf_dir):
+    """Both batch modes; the tables and the files that the job writes, read back."""
+    folder = _flat_files(spark, sf_dir)
+    jobs.dedup_files(spark, f"{folder}/in", KeyOptions(), batch_mode="all", output=f"{folder}/kept", html_output_dir=f"{folder}/out")
+    name = F.regexp_extract("file_id", "([^/]*)$", 1)
+    files = parse_bookmarks(read_html_files(spark, f"{folder}/out")).links.select(F.lit("file").alias("kind"), name.alias("name"), "url", "title")
+    mode = F.concat(F.regexp_replace(name, r"\.html$", ".dedup-"), "mode", F.lit(".html"))
+    return files.unionByName(spark.read.parquet(f"{folder}/kept").select(F.lit("table").alias("kind"), mode.alias("name"), "url", "title"))
+
+
+def _io_report(reader: str, parser: str):
+    def q(spark, sf_dir):
+        """The report on all files, written by kind and read back."""
+        folder = _flat_files(spark, sf_dir)
+        files = [f"{folder}/in/{f}.html" for f in ("f0", "f1", "f2")]
+        jobs.compare_files(spark, files, CompareOptions(decode=True), output=f"{folder}/report", reader=reader, parser=parser)
+        report = spark.read.parquet(f"{folder}/report")
+        return report.select("item_kind", "section", F.regexp_extract("file_id", r"([^/]*)\.html$", 1).alias("file_id"), "key_url", "url", "title", "n_files")
+
+    return q
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "fixture_links": q_fixture_links,
@@ -412,6 +493,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         smart_names_o=q_smart_names_o,
         stem_names=q_stem_names,
         stem_names_o=q_stem_names_o,
+        stem_names_free=q_stem_names_free,
+        dedup_edit=q_dedup_edit,
+        io_html_files=q_io_html_files,
+        io_json_files=q_io_json_files,
+        io_dedup_files=q_io_dedup_files,
+        io_report=_io_report("whole", "regex"),
+        io_report_splits=_io_report("splits", "regex"),
+        io_report_pieces=_io_report("splits", "html.parser"),
     )
     out.update(_LLM_QUERIES)
     return {name: _shipped(f) for name, f in out.items()}
@@ -652,6 +741,30 @@ select path, target_dir, concat(target_dir, '/',
 from (select path, {tdir} as target_dir from paths) t"""
 
 
+# equal names get the least numbers from 2 on that no plain name has
+_STEM_FREE_SQL = f"""with {_JSON_PATHS_SQL},
+renamed as (select page_id, case when page_id % 3 = 1 then regexp_replace(path, '/p([0-9]+)[.]json$', '/Bookmarks_\\1.json') else path end as path from paths),
+named as (select path, concat('{CONVERT_DIR}/', regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^(.+?)(\\.[^.]*)?$', 1), '.html') as target from renamed),
+placed as (select *, row_number() over (partition by target order by path) as n from named),
+free as (select k, row_number() over (order by k) as n from (select unnest(range(2, (select 4 * count(*) + 4 from pages))) as k) s
+         where k not in (select page_id from pages where page_id % 3 = 1))
+select p.path, case when p.n = 1 then p.target else concat('{CONVERT_DIR}/Bookmarks_', cast(f.k as varchar), '.html') end as target_path
+from placed p left join free f on f.n = p.n - 1"""
+
+# head, the lines of kept links with their notes, all rules, end
+_DEDUP_EDIT_SQL = f"""with links as ({_LINKS_SQL}),
+docs as (select *, concat('d', cast(page_id // 20 as varchar)) as doc from links),
+marked as (select *, row_number() over (partition by doc, {_url_key_sql(KeyOptions())} order by link_id) = 1 as kept from docs),
+lines as (
+  select doc, link_id as k, 0 as part, concat('    <DT><A HREF="', url, '" ADD_DATE="', cast(link_id as varchar), '">', title, '</A>') as line from marked where kept
+  union all select doc, link_id, 1, concat('    <DD>note ', cast(link_id as varchar)) from marked where kept and link_id % 3 = 0
+  union all select doc, link_id, 2, '    <HR>' from marked where link_id % 5 = 0
+  union all select d.doc, -1, h.i, h.line from (select distinct doc from docs) d,
+    (select unnest(range({len(FLAT_HEAD.splitlines())})) as i, unnest([{", ".join("'" + x.replace("'", "''") + "'" for x in FLAT_HEAD.splitlines())}]) as line) h
+  union all select d.doc, 4611686018427387904, e.i, e.line from (select distinct doc from docs) d,
+    (select unnest(range(3)) as i, unnest([{", ".join("'" + x + "'" for x in FLAT_END.split(chr(10)))}]) as line) e)
+select doc as file_id, cast(row_number() over (partition by doc order by k, part) - 1 as integer) as n, line from lines"""
+
 _ANCHOR_RE = r"(?is)<a\b[^>]*>.*?</a\s*>"
 _HREF_RE = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
@@ -743,6 +856,20 @@ select p.path, concat('Bookmarks bar/', f.folder) as folder from page_folders f
         smart_names_o=_smart_sql(CONVERT_DIR),
         stem_names=_stem_sql(None),
         stem_names_o=_stem_sql(CONVERT_DIR),
+        stem_names_free=_STEM_FREE_SQL,
+        dedup_edit=_DEDUP_EDIT_SQL,
+        io_html_files=_WITH_LINKS
+        + """select concat('/exports/', regexp_extract(p.url, '^https?://[^/]+/([a-z][a-z])/', 1), '/',
+    regexp_extract(p.url, '^https?://([^/:]+)', 1), '/p', cast(p.page_id as varchar), '.html') as path, l.folder, l.url, l.title
+from links l join pages p on p.page_id = l.page_id""",
+        io_json_files=json_links_sql,
+        io_dedup_files=f"""with kept as ({_batch_sql('all', KeyOptions())})
+select kind, concat(file_id, '.dedup-', mode, '.html') as name, url, title from kept, (values ('file'), ('table')) k(kind)""",
     )
+    report = f"""with links as ({_LINKS_SQL}),
+{_keyed_sql(CompareOptions(decode=True))}
+select 'bookmark' as item_kind, 'unique' as section, file_id, key_url, url, title, n_files
+from (select *, count(*) over (partition by key_url) as n_files from reps) b where n_files = 1"""
+    out.update(dict.fromkeys(("io_report", "io_report_splits", "io_report_pieces"), report))
     out.update(_LLM_SQL)
     return out

@@ -56,10 +56,10 @@ def tokenize(
     start = lexer.LINK_START_RE if anchors_only else lexer.TOKEN_START_RE
     tokens = F.filter(segments(html), lambda x: x.rlike(start))
     exploded = docs.select(doc, *keep, F.posexplode(tokens).alias("pos", "tok"))
-    return exploded.select(doc, *keep, F.col("pos").cast("bigint").alias("pos"), *_token_fields(anchors_only))
+    return exploded.select(doc, *keep, F.col("pos").cast("bigint").alias("pos"), *token_columns(anchors_only))
 
 
-def _token_fields(anchors_only: bool = False):
+def token_columns(anchors_only: bool = False):
     """``kind, name, url, title, attrs`` of the token in column ``tok``."""
     tok = F.col("tok")
     kind = F.lit("link") if anchors_only else _kind(tok)
@@ -74,24 +74,6 @@ def _token_fields(anchors_only: bool = False):
     ]
 
 
-# Tokens of one line take the low 16 bits of ``pos``; chunks of 2^38 then
-# span 4 MB of a file.
-_LINE_BITS = 16
-LINE_CHUNK_ROWS = 1 << (_LINE_BITS + 22)
-
-
-def tokenize_lines(lines: DataFrame, doc: str = "file_id") -> DataFrame:
-    """Tokens of line rows from ``read_html_lines``; ``pos`` keeps file order."""
-    exploded = lines.select(
-        doc, "line_pos", F.posexplode(F.filter(segments("line"), lambda x: x.rlike(lexer.TOKEN_START_RE))).alias("i", "tok")
-    )
-    limit = 1 << _LINE_BITS
-    pos = F.when(
-        F.col("i") < limit, F.col("line_pos") * F.lit(limit) + F.col("i")
-    ).otherwise(F.raise_error(F.lit(f"more than {limit} bookmark tags on one line")))
-    return exploded.select(doc, pos.cast("bigint").alias("pos"), *_token_fields())
-
-
 def links_of(tokens: DataFrame, doc: str = "file_id") -> DataFrame:
     """Bookmarks without folder paths: links with a non-empty href (decision D12)."""
     return tokens.where((F.col("kind") == "link") & (F.col("url") != "")).select(doc, "pos", "url", "title")
@@ -209,9 +191,3 @@ def resolve_tree(tokens: DataFrame, doc: str = "file_id", chunk_rows: int = DEFA
 def parse_bookmarks(docs: DataFrame, doc: str = "file_id", html: str = "html") -> Tree:
     """HTML bookmark documents -> links and folders with folder paths (P1 + P2)."""
     return resolve_tree(tokenize(docs, doc, html), doc)
-
-
-def parse_bookmark_lines(lines: DataFrame, doc: str = "file_id") -> Tree:
-    """Like ``parse_bookmarks`` for files read as lines (``read_html_lines``):
-    one file is spread over many tasks from the scan on."""
-    return resolve_tree(tokenize_lines(lines, doc), doc, chunk_rows=LINE_CHUNK_ROWS)

@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from ..operators import compare, dedup, naming
 from ..operators.edit import without_links
-from ..operators.extract import Tree, parse_bookmark_lines, parse_bookmarks, resolve_tree
+from ..operators.extract import Tree, parse_bookmarks, resolve_tree
 from ..operators.jsontree import CHROMIUM, JsonFields, flatten_json, items_from_json, json_errors, json_links
 from ..operators.render import items_from_tree, render_documents, render_lines
-from ..operators.tolerant import tokenize_tolerant
+from ..operators.splits import parse_splits
+from ..operators.tolerant import tokenize_files, tokenize_tolerant
 from ..options import CompareOptions, KeyOptions
 from ..session import ensure_checkpoint_dir
-from ..sources.documents import existing, html_targets, json_targets, listed, read_html_files, read_html_lines, read_json_files
+from ..sources.documents import Listing, existing, html_targets, json_targets, listed, read_html_files, read_json_files
 from ..sources.sinks import write_named_documents, write_named_lines, write_named_pieces, write_table
 
 
@@ -32,24 +33,28 @@ def parse_files(
 ) -> tuple[DataFrame, Tree]:
     """Read HTML bookmark files and parse them: ``(files, tree)``.
 
-    ``parser`` is ``regex`` (fast, default) or ``html.parser`` (tolerant).
-    ``reader`` ``lines`` reads files as splittable lines (files larger than
-    a row; regex parser, one element per line).
+    ``parser`` is ``regex`` (fast, default) or ``html.parser`` (tolerant).  With
+    ``reader`` ``whole`` a file is a row.  ``splits`` takes files of any size: the regex
+    parser spreads a file over many tasks, the tolerant one reads it piece by
+    piece.  All four give the same links; only ``pos`` counts tokens or bytes.
+    (``lines`` is the former name of ``splits``.)
     """
-    files, docs, tree = _parsed(spark, targets, recursive, parser, reader)
+    files, _, tree = _parsed(spark, html_targets(spark, targets, recursive), parser, reader)
     return files, tree
 
 
-def _parsed(spark, targets, recursive, parser, reader) -> tuple[DataFrame, DataFrame | None, Tree]:
+def _parsed(spark, found: Listing, parser: str, reader: str) -> tuple[DataFrame, DataFrame | None, Tree]:
     """The files, their documents (None if they are not read as rows), and the tree."""
     if parser not in ("regex", "html.parser"):
         raise ValueError("parser must be regex or html.parser")
-    files = listed(spark, html_targets(spark, targets, recursive))
-    if reader == "lines":
-        if parser != "regex":
-            raise ValueError("the line reader works with the regex parser")
-        return files, None, parse_bookmark_lines(read_html_lines(spark, targets, recursive=recursive))
-    docs = read_html_files(spark, targets, recursive=recursive)
+    if reader not in ("whole", "splits", "lines"):
+        raise ValueError("reader must be whole or splits")
+    files = listed(found)
+    if reader != "whole":
+        if found.on_driver is not None:
+            raise ValueError("reader=splits needs a store that tasks can open")
+        return files, None, parse_splits(found.files) if parser == "regex" else resolve_tree(tokenize_files(files))
+    docs = read_html_files(spark, found)
     return files, docs, parse_bookmarks(docs) if parser == "regex" else resolve_tree(tokenize_tolerant(docs))
 
 
@@ -73,7 +78,7 @@ def dedup_files(
     where names meet): the input's own text without the removed bookmarks and
     their notes (``edit``).  An input without duplicates is copied as it is.
     """
-    files, docs, tree = _parsed(spark, targets, recursive, parser, reader)
+    files, docs, tree = _parsed(spark, html_targets(spark, targets, recursive), parser, reader)
     modes = (opts.mode,) if batch_mode is None else dedup.BATCH_MODES.get(batch_mode, ())
     if batch_mode is None:
         kept = dedup.dedup(tree.links, opts).withColumn("mode", F.lit(opts.mode))
@@ -90,7 +95,8 @@ def dedup_files(
         for mode in modes:
             base = F.regexp_extract("file_id", r"([^/]*?)(\.[^./]*)?$", 1)
             target = F.concat(F.lit(folder + "/"), base, F.lit(f".dedup-{mode}.html"))
-            named = naming.free_names(files.withColumn("target_path", target), "file_id", existing(spark, [folder]))
+            there = existing(spark, spark.createDataFrame([(folder,)], "folder string"))
+            named = naming.free_names(files.withColumn("target_path", target), "file_id", there)
             own = kept.where(F.col("mode") == mode)
             if docs is None:
                 # documents of any size: written line by line
@@ -125,10 +131,10 @@ def diff_files(
 ) -> DataFrame:
     """E2 (two files): what A has that B lacks and the reverse."""
     _, tree = parse_files(spark, [file_a, file_b], parser=parser)
-    a, b = (html_targets(spark, f) for f in (file_a, file_b))
+    a, b = ([r.path for r in html_targets(spark, f).files.limit(2).collect()] for f in (file_a, file_b))
     if len(a) != 1 or len(b) != 1 or a == b:
         raise ValueError("diff needs two different files")
-    return compare.diff_report(tree.links, tree.folders, a[0].path, b[0].path, opts)
+    return compare.diff_report(tree.links, tree.folders, a[0], b[0], opts)
 
 
 def convert_json(
@@ -150,16 +156,17 @@ def convert_json(
     listed ones without a row).  Returns ``(path, n_links, target_path, text)``.
     """
     patterns = [patterns] if isinstance(patterns, str) else list(patterns)
-    targets = json_targets(spark, patterns)
+    found = json_targets(spark, patterns)
     ensure_checkpoint_dir(spark)
     # the trees are walked once; counts and documents read the same nodes
-    nodes = flatten_json(read_json_files(spark, patterns), doc="path", js="js", fields=fields).checkpoint(eager=True)
+    nodes = flatten_json(read_json_files(spark, found), doc="path", js="js", fields=fields).checkpoint(eager=True)
     unreadable = json_errors(nodes)
     if errors == "raise" and (bad := unreadable.take(1)):
         raise ValueError(f"not a readable JSON bookmark file: {bad[0].doc}: {bad[0].message}")
-    files = listed(spark, targets, "path").join(unreadable, F.col("path") == F.col("doc"), "left_anti")
+    files = listed(found, "path").join(unreadable, F.col("path") == F.col("doc"), "left_anti")
     counts = dedup.link_counts(files, json_links(nodes).withColumnRenamed("doc", "path"), "path")
-    taken = existing(spark, [output_dir] if output_dir else [f.path.rpartition("/")[0] for f in targets]) if write else None
+    folders = naming.with_target_dir(counts, output_dir=output_dir.rstrip("/") if output_dir else None).select(F.col("target_dir").alias("folder"))
+    taken = existing(spark, folders) if write else None
     if naming_rule == "smart":
         named = naming.smart_names(counts, output_dir=output_dir, taken=taken)
     elif naming_rule == "stem":

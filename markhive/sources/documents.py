@@ -2,47 +2,88 @@
 
 Every reader returns one row per document.  ``file_id`` is the file's path,
 so many files are one DataFrame and one job, not a loop.
+
+Files are listed and opened in the tasks (``frontier``), so that neither their names
+nor their contents pass through the driver.  A store that only Hadoop can open is
+listed on the driver and read by Spark's reader.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import decode_percent
 from ..packaging import ship
+from ..session import ensure_checkpoint_dir
+from .frontier import list_in_tasks, opened_by_tasks
 from .listing import File, list_files
 from .sinks import filesystem_of
 
+# Bytes that one task reads, and bytes of files that leave it together.
+TASK_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
 
-def _whole_files(spark: SparkSession, files: list[File]) -> DataFrame:
-    """One row per listed file: ``(path, text)``.
 
-    Spark's reader leaves out empty files and names that start with ``_`` or
-    ``.``: those come from the listing, or are read by tasks of their own.
-    """
+@dataclass(frozen=True)
+class Listing:
+    """Listed files ``(path, name, size)``; ``on_driver`` if tasks can't open their store."""
+
+    files: DataFrame
+    on_driver: list[File] | None = None
+
+
+def listing(spark: SparkSession, targets: str | Iterable[str], glob: str | None, recursive: bool) -> Listing:
+    targets = [targets] if isinstance(targets, str) else list(targets)
+    if opened_by_tasks(spark, targets):
+        return Listing(list_in_tasks(spark, targets, glob, recursive))
+    files = list_files(spark, targets, glob, recursive)
+    return Listing(spark.createDataFrame([(f.path, f.name, f.size) for f in files], "path string, name string, size bigint"), files)
+
+
+def _whole_files(spark: SparkSession, found: Listing) -> DataFrame:
+    """One row per listed file: ``(path, text)``."""
+    if found.on_driver is not None:
+        return _by_spark(spark, found.on_driver)
+    ship(spark)
+    n, size = found.files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = min(max(1, n), max(-(-size // TASK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    raw = found.files.select("path").repartition(tasks, "path").mapInArrow(_opened, "path string, raw binary")
+    return raw.select("path", F.col("raw").cast("string").alias("text"))
+
+
+def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names, raw = [], []
+        for path in batch.column("path").to_pylist():
+            filesystem, place = filesystem_of(path)
+            with filesystem.open_input_stream(place) as f:
+                names.append(path)
+                raw.append(f.read())
+            if sum(map(len, raw)) > BATCH_BYTES:
+                yield pa.RecordBatch.from_pydict({"path": names, "raw": raw})
+                names, raw = [], []
+        if names:
+            yield pa.RecordBatch.from_pydict({"path": names, "raw": raw})
+
+
+def _by_spark(spark: SparkSession, files: list[File]) -> DataFrame:
+    """The files by Spark's reader.  It leaves out empty ones, and names that start with ``_`` or ``.``."""
     plain = [f for f in files if f.size and not f.name.startswith(("_", "."))]
     hidden = [f for f in files if f.size and f.name.startswith(("_", "."))]
-    empty = [f for f in files if not f.size]
-    parts = []
+    if hidden:
+        raise ValueError(f"Spark's reader can't read files whose names start with _ or .: {hidden[0].path}")
+    df = spark.createDataFrame([(f.path, "") for f in files if not f.size], "path string, text string")
     if plain:
         # text() has its own wholetext argument, which wins over options
         read = spark.read.text([_escaped(f.location) for f in plain], wholetext=True)
-        parts.append(read.select(decode_percent(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text")))
-    if hidden:
-        ship(spark)
-        named = spark.createDataFrame([(f.path,) for f in hidden], "path string").repartition(len(hidden))
-        parts.append(named.mapInPandas(_read_named, "path string, text string"))
-    if empty or not files:
-        parts.append(spark.createDataFrame([(f.path, "") for f in empty], "path string, text string"))
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
+        df = df.unionByName(read.select(decode_percent(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text")))
     return df
 
 
@@ -51,26 +92,15 @@ def _escaped(location: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(location))
 
 
-def _read_named(batches):
-    for b in batches:
-        texts = []
-        for path in b["path"]:
-            filesystem, place = filesystem_of(path)
-            with filesystem.open_input_stream(place) as f:
-                texts.append(f.read().decode("utf-8", "replace"))
-        yield pd.DataFrame({"path": b["path"], "text": texts})
-
-
-def html_targets(spark: SparkSession, targets: str | Iterable[str], recursive: bool = False, glob: str = "*.html") -> list[File]:
+def html_targets(spark: SparkSession, targets: str | Iterable[str], recursive: bool = False, glob: str = "*.html") -> Listing:
     """The files that ``read_html_files`` reads (S2): each once, also where targets overlap."""
-    files = list_files(spark, targets, glob, recursive)
-    if not files and not targets:
+    if not targets:
         raise ValueError("no targets given")
-    return files
+    return listing(spark, targets, glob, recursive)
 
 
 def read_html_files(
-    spark: SparkSession, targets: str | Iterable[str], recursive: bool = False, glob: str = "*.html"
+    spark: SparkSession, targets: str | Iterable[str] | Listing, recursive: bool = False, glob: str = "*.html"
 ) -> DataFrame:
     """HTML bookmark files -> ``(file_id, path, html)``.
 
@@ -80,64 +110,12 @@ def read_html_files(
     name.  Empty files are documents without text.  ``path`` is the file's URI,
     decoded.
     """
-    df = _whole_files(spark, html_targets(spark, targets, recursive, glob))
+    df = _whole_files(spark, targets if isinstance(targets, Listing) else html_targets(spark, targets, recursive, glob))
     return df.select(F.col("path").alias("file_id"), "path", F.col("text").alias("html"))
 
 
-# Ends of bookmark tokens; a line with very many is handed on in parts.
-_TOKEN_END = re.compile(r"(?i)</a\s*>|</h3\s*>|</?dl\b[^>]*>")
-_PART_TOKENS = 20_000
-
-
-def _parts(line: str) -> list[str]:
-    """A line, cut after every ``_PART_TOKENS`` bookmark tokens."""
-    if line.count("<") <= 2 * _PART_TOKENS:
-        return [line]
-    ends = [m.end() for m in _TOKEN_END.finditer(line)][_PART_TOKENS - 1 :: _PART_TOKENS]
-    return [line[a:b] for a, b in zip([0, *ends], [*ends, len(line)], strict=True) if a < b]
-
-
-def read_html_lines(
-    spark: SparkSession, targets: str | Iterable[str], recursive: bool = False, glob: str = "*.html"
-) -> DataFrame:
-    """HTML bookmark files as lines: ``(file_id, line_pos, line)``, splittable.
-
-    For files too large to be one row.  Spark splits each file; a line's
-    ``line_pos`` is its split's start offset plus its index inside the split,
-    which orders lines within a file (a split of n bytes holds at most n
-    lines).  A line with very many tags, such as a whole export in one line,
-    counts as several lines.  The index is counted in the scan's own tasks (``mapInPandas``
-    keeps the scan order), so nothing is shuffled.  Netscape exports put one
-    element per line; tags spanning lines need ``read_html_files``.
-    """
-    files = [f for f in html_targets(spark, targets, recursive, glob) if f.size]
-    if any(f.name.startswith(("_", ".")) for f in files):
-        raise ValueError("the line reader can't read files whose names start with _ or .")
-    if not files:
-        return spark.createDataFrame([], "file_id string, line_pos bigint, line string")
-    ship(spark)
-    raw = spark.read.text([_escaped(f.location) for f in files]).select(
-        decode_percent(F.col("_metadata.file_path")).alias("file_id"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.col("value").alias("line"),
-    )
-
-    def number(batches):
-        seen: dict = {}
-        for b in batches:
-            b = b.assign(line=b["line"].map(_parts)).explode("line", ignore_index=True)
-            idx = b.groupby(["file_id", "block"], sort=False).cumcount()
-            base = pd.Series([seen.get(k, 0) for k in zip(b["file_id"], b["block"])], index=b.index)
-            out = pd.DataFrame({"file_id": b["file_id"], "line_pos": b["block"] + base + idx, "line": b["line"]})
-            for k, n in out.groupby(["file_id", b["block"]], sort=False).size().items():
-                seen[k] = seen.get(k, 0) + n
-            yield out
-
-    return raw.mapInPandas(number, "file_id string, line_pos bigint, line string")
-
-
 def read_json_files(
-    spark: SparkSession, patterns: str | Iterable[str], recursive_name: str | None = None
+    spark: SparkSession, patterns: str | Iterable[str] | Listing, recursive_name: str | None = None
 ) -> DataFrame:
     """JSON bookmark files -> ``(path, js)`` (S3).
 
@@ -145,29 +123,40 @@ def read_json_files(
     ``backups/**/Bookmarks`` or ``profiles/**/Default/Bookmarks``.  With
     ``recursive_name`` a directory means its files of that name, at any depth.
     """
-    files = json_targets(spark, patterns, recursive_name)
-    return _whole_files(spark, files).select("path", F.col("text").alias("js"))
+    found = patterns if isinstance(patterns, Listing) else json_targets(spark, patterns, recursive_name)
+    return _whole_files(spark, found).select("path", F.col("text").alias("js"))
 
 
-def json_targets(spark: SparkSession, patterns: str | Iterable[str], recursive_name: str | None = None) -> list[File]:
+def json_targets(spark: SparkSession, patterns: str | Iterable[str], recursive_name: str | None = None) -> Listing:
     """The files that ``read_json_files`` reads, each once."""
-    return list_files(spark, patterns, recursive_name, recursive=recursive_name is not None)
+    return listing(spark, patterns, recursive_name, recursive_name is not None)
+
+
+def existing(spark: SparkSession, folders: DataFrame, glob: str = "*.html") -> DataFrame:
+    """Files that output folders (``folder``) hold already: ``(target_path)``, written as folder and name.
 
+    The folders are listed in tasks, once: files that are written later do not count.
+    """
+    ship(spark)
+    ensure_checkpoint_dir(spark)
+
+    def there(batches):
+        from pyarrow import fs
+
+        suffix = glob.removeprefix("*")
+        for b in batches:
+            for folder in b["folder"]:
+                filesystem, place = filesystem_of(folder)
+                infos = filesystem.get_file_info(fs.FileSelector(place or "/", allow_not_found=True))
+                names = [i.base_name for i in infos if i.type == fs.FileType.File and i.base_name.endswith(suffix) and not i.base_name.startswith((".", "_"))]
+                yield pd.DataFrame({"target_path": [f"{folder.rstrip('/')}/{n}" for n in names]}, dtype=object)
 
-def existing(spark: SparkSession, folders: Iterable[str], glob: str = "*.html") -> DataFrame:
-    """Files that output folders hold already: ``(target_path)``, written as folder and name."""
-    found = []
-    for folder in sorted(set(folders)):
-        try:
-            found += [(f"{folder.rstrip('/')}/{f.name}",) for f in list_files(spark, folder, glob)]
-        except FileNotFoundError:
-            continue
-    return spark.createDataFrame(found, "target_path string")
+    return folders.select("folder").distinct().mapInPandas(there, "target_path string").checkpoint(eager=True)
 
 
-def listed(spark: SparkSession, files: list[File], file_col: str = "file_id") -> DataFrame:
+def listed(found: Listing, file_col: str = "file_id") -> DataFrame:
     """The listed files, one row each: a file without bookmarks still counts (decision D17)."""
-    return spark.createDataFrame([(f.path,) for f in files], f"{file_col} string")
+    return found.files.select(F.col("path").alias(file_col))
 
 
 def files_table(docs: DataFrame, file_col: str = "file_id") -> DataFrame:

@@ -103,6 +103,26 @@ def fixture_documents(pages: DataFrame, fmt: str) -> DataFrame:
     )
 
 
+FLAT_HEAD, FLAT_END = NETSCAPE_HEADER + "\n", "</DL><p>\n<!-- the end -->\n"
+
+
+def flat_pieces(links: DataFrame, doc: str = "file_id") -> DataFrame:
+    """Bookmark documents without folders as ordered pieces: ``(doc, k, text)``.
+
+    A link's piece is its line, for every third one with a note, and for every
+    fifth with a rule behind it; a head and an end come with each document.
+    """
+    link_id = F.col("link_id")
+    line = F.concat(F.lit('    <DT><A HREF="'), "url", F.lit('" ADD_DATE="'), link_id.cast("string"), F.lit('">'), "title", F.lit("</A>\n"))
+    note = F.when(link_id % 3 == 0, F.concat(F.lit("    <DD>note "), link_id.cast("string"), F.lit("\n"))).otherwise("")
+    rule = F.when(link_id % 5 == 0, F.lit("    <HR>\n")).otherwise("")
+    body = links.select(F.col(doc).alias("doc"), link_id.alias("k"), F.concat(line, note, rule).alias("text"))
+    docs = body.select("doc").distinct()
+    head = docs.select("doc", F.lit(-1).cast("bigint").alias("k"), F.lit(FLAT_HEAD).alias("text"))
+    end = docs.select("doc", F.lit(1 << 62).cast("bigint").alias("k"), F.lit(FLAT_END).alias("text"))
+    return head.unionByName(body).unionByName(end)
+
+
 EMPTY_DOCUMENT = {
     "json": '{"roots":{"bookmark_bar":{"type":"folder","name":"Bookmarks bar","children":[]}}}',
     "html": NETSCAPE_HEADER + "\n" + NETSCAPE_FOOTER + "\n",

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.urls import decode_percent
 from ..operators import dedup
 from ..operators.extract import parse_bookmarks
 from ..options import KeyOptions
@@ -40,7 +41,7 @@ def watch_dedup(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     files = reader.load(input_dir).select(
-        F.col("_metadata.file_path").alias("file_id"), F.col("value").alias("html")
+        decode_percent(F.col("_metadata.file_path")).alias("file_id"), F.col("value").alias("html")
     )
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:

@@ -237,32 +237,3 @@ def test_rank_within_hot_group(spark):
     hot = sorted((r.path, r.rk) for r in out if r.g == "hot")
     assert [rk for _, rk in hot] == list(range(1, 301))
     assert sorted((r.path, r.rk) for r in out if r.g == "cold") == [("a", 1), ("b", 2)]
-
-
-def test_line_reader_matches_whole_file(spark, tmp_path):
-    from markhive.operators.extract import parse_bookmark_lines
-    from markhive.sources.documents import read_html_files, read_html_lines
-
-    lines = ["<!DOCTYPE NETSCAPE-Bookmark-file-1>", "<DL><p>"]
-    for f in range(30):
-        lines += [f"    <DT><H3>F{f}</H3>", "    <DL><p>", f"        <DT><H3>Sub{f}</H3>", "        <DL><p>"]
-        lines += [f'            <DT><A HREF="http://e.com/{f}/{i}">t{f}-{i}</A>' for i in range(20)]
-        lines += ["        </DL><p>", f'        <DT><A HREF="http://e.com/{f}">t{f}</A>', "    </DL><p>"]
-    lines += ['<DT><A HREF="http://last">last</A>', "</DL><p>"]
-    path = tmp_path / "big.html"
-    path.write_text("\n".join(lines) + "\n")
-    whole = parse_bookmarks(read_html_files(spark, [str(path)])).links
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")  # many splits of one file
-    try:
-        read = read_html_lines(spark, [str(path)])
-        assert read.rdd.getNumPartitions() > 10
-        split = parse_bookmark_lines(read).links
-        a = sorted(("/".join(r.folder), r.url, r.title) for r in whole.collect())
-        b = sorted(("/".join(r.folder), r.url, r.title) for r in split.collect())
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert len(a) == 30 * 21 + 1 and a == b
-    # positions keep file order
-    order = [r.url for r in sorted(split.collect(), key=lambda r: r.pos)]
-    assert order[0] == "http://e.com/0/0" and order[-1] == "http://last"

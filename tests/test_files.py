@@ -14,7 +14,8 @@ from markhive.operators.ordered import rank_within
 from markhive.operators.tolerant import tokenize_tolerant
 from markhive.operators.extract import extract_links, links_of
 from markhive.plans import jobs
-from markhive.sources.documents import read_html_files, read_html_lines, read_json_files
+from markhive.sources.documents import read_html_files, read_json_files
+from markhive.sources.frontier import list_in_tasks
 from markhive.sources.fixtures import fixture_documents, links_fixture
 from markhive.sources.listing import glob_regex, list_files
 from markhive.sources.sinks import write_named_documents
@@ -59,10 +60,10 @@ def test_awkward_names_and_overlapping_targets(spark, tmp_dir):
     assert sorted((os.path.basename(r.file_id), r.folder[0], r.url) for r in links.collect()) == sorted(
         [("a b.html", "F", "http://a"), ("书签.html", "F", "http://b"), ("[x]{y}.html", "F", "http://c"), ("_hidden.html", "F", "http://d"), ("100%25.html", "F", "http://e")]
     )
-    lines = read_html_lines(spark, [d, f"{d}/a b.html"])
-    assert lines.where("line like '%http%'").count() == 4
-    with pytest.raises(FileNotFoundError):
-        list_files(spark, f"{d}/none.html")
+    assert jobs.parse_files(spark, [d, f"{d}/a b.html"], reader="splits")[1].links.count() == 4
+    for find in (list_files, list_in_tasks):
+        with pytest.raises(FileNotFoundError):
+            find(spark, f"{d}/none.html")
 
 
 def test_patterns(spark, tmp_dir):
@@ -77,6 +78,56 @@ def test_patterns(spark, tmp_dir):
     assert glob_regex("a[!b]?.x").fullmatch("acd.x") and not glob_regex("a[!b]?.x").fullmatch("abd.x")
 
 
+TREE = [
+    "one/Default/Bookmarks", "two/x/Default/Bookmarks", "Default/Bookmarks", "one/Other/Bookmarks", "a.json", "one/b.json", ".h/c.json",
+    "_x.json", "[x]{y}.html", "a b.html", "书签.html", "100%25.html", "one/d.html", "one/_e.html", "x/x/x/f.html",
+]
+TARGETS = [
+    ("**/Default/Bookmarks", None, False), ("**/*.json", None, False), ("*.json", None, False), ("{one,two}/**/Bookmarks", None, False),
+    ("**/nothing", None, False), ("none/**/x", None, False), ("", "*.html", False), ("", "*.html", True), ("[x]{y}.html", "*.html", False),
+    ("*", "*.html", False), ("o*", None, True), ("**", None, False), ("*/[!b]*.html", None, False), ("one/_e.html", "*.html", False),
+    ("100%25.html", None, False), ("**/x/**/f.html", None, False), ("{one/Default,Default}/Bookmarks", None, False), ("on?/*/Book*", None, False),
+]
+
+
+def test_listing_in_tasks_is_the_drivers_listing(spark, tmp_dir):
+    for p in TREE:
+        write(f"{tmp_dir}/ud/{p}", "x" * len(p))
+    some = 0
+    for target, glob, recursive in TARGETS:
+        want = sorted((f.path, f.name, f.size) for f in list_files(spark, f"{tmp_dir}/ud/{target}", glob, recursive))
+        got = sorted(map(tuple, list_in_tasks(spark, f"{tmp_dir}/ud/{target}", glob, recursive).collect()))
+        assert got == want, target
+        some += len(got)
+    assert some > 50
+    both = list_in_tasks(spark, [f"{tmp_dir}/ud/**/*.json", f"{tmp_dir}/ud", f"file://{tmp_dir}/ud/a.json"], "*.json")
+    assert both.count() == both.distinct().count() == 4
+
+
+def test_listing_leaves_the_files_in_tasks(spark, tmp_dir, monkeypatch):
+    for k in range(300):
+        write(f"{tmp_dir}/many/{k % 30}/{k % 7}/{k}.html", "x")
+    collected = []
+    kind = type(spark.range(1))
+    real = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: [collected.append(len(rows := real(self))), rows][1])
+    files = list_in_tasks(spark, f"{tmp_dir}/many/**/*.html")
+    assert max(collected, default=0) <= 1  # counts only
+    assert files.count() == 300
+
+
+def test_a_store_that_only_spark_opens(spark, tmp_dir, monkeypatch):
+    from markhive.sources import documents
+
+    write(f"{tmp_dir}/a b.html", doc(("http://a", "a")))
+    write(f"{tmp_dir}/empty.html", "")
+    by_tasks = sorted(map(tuple, read_html_files(spark, tmp_dir).collect()))
+    monkeypatch.setattr(documents, "opened_by_tasks", lambda *a: False)
+    assert sorted(map(tuple, read_html_files(spark, tmp_dir).collect())) == by_tasks and len(by_tasks) == 2
+    with pytest.raises(ValueError):
+        jobs.parse_files(spark, tmp_dir, reader="splits")
+
+
 def test_empty_file_counts(spark, tmp_dir):
     write(f"{tmp_dir}/a.html", doc(("http://s", "s")))
     write(f"{tmp_dir}/b.html", doc(("http://s", "s"), ("http://b", "b")))
@@ -127,7 +178,7 @@ def test_outputs_are_as_many_as_inputs(spark, tmp_dir):
     assert sorted(set(os.listdir(f"{tmp_dir}/out dir")) - set(out)) == ["Bookmarks.dedup-url_3.html"]
 
 
-@pytest.mark.parametrize("reader", ["whole", "lines"])
+@pytest.mark.parametrize("reader", ["whole", "splits"])
 def test_dedup_writes_large_documents_line_by_line(spark, tmp_dir, reader):
     write(f"{tmp_dir}/a.html", doc(*[(f"http://a/{i % 300}", f"t{i}") for i in range(500)]))
     jobs.dedup_files(spark, f"{tmp_dir}/a.html", html_output_dir=f"{tmp_dir}/{reader}", reader=reader)
@@ -243,7 +294,7 @@ def test_fixture_written_and_read_back(spark, tmp_dir, fmt):
 def test_seventy_thousand_links_on_one_line(spark, tmp_dir):
     text = "<DL><p>" + "".join(f'<DT><H3>F{i}</H3><DL><p><DT><A HREF="http://a/{i}">t{i}</A></DL><p>' for i in range(70_000)) + "</DL>"
     write(f"{tmp_dir}/one.html", text)
-    whole, lines = (jobs.parse_files(spark, f"{tmp_dir}/one.html", reader=r)[1].links.select("folder", "url", "title") for r in ("whole", "lines"))
+    whole, lines = (jobs.parse_files(spark, f"{tmp_dir}/one.html", reader=r)[1].links.select("folder", "url", "title") for r in ("whole", "splits"))
     assert lines.count() == 70_000 and whole.exceptAll(lines).count() == 0
 
 
@@ -257,3 +308,29 @@ def test_attributes_come_back_as_written(spark, tmp_dir, parser):
     back = open(f"{tmp_dir}/o/a.dedup-url.html", encoding="utf-8").read()
     for part in ('<H3 ADD_DATE="1" PERSONAL_TOOLBAR_FOLDER="true">Bar</H3>', '<A HREF="http://a?x=1&amp;y=2" ADD_DATE="7" ICON="data:image/png;base64,AA==">a</A>', """<A HREF='http://b' TAGS="x > y">b</A>"""):
         assert part in back
+
+
+def test_names_are_free_of_plain_and_numbered_ones(spark, tmp_dir):
+    from markhive.operators.naming import free_names
+
+    for path in ("a/x.json", "b/x.json", "c/x_2.json"):
+        write(f"{tmp_dir}/in/{path}", chrome(("http://a", path)))
+    jobs.convert_json(spark, f"{tmp_dir}/in/*/*.json", output_dir=f"{tmp_dir}/o", naming_rule="stem")
+    assert sorted(os.listdir(f"{tmp_dir}/o")) == ["x.html", "x_2.html", "x_3.html"]
+    rng = __import__("random").Random(2)
+    names = ["x", "x_2", "x_3", "x_2_2", "x_02", "y_1", "y", "x_10", "x_2_3", "z.tar"]
+    rows = [(f"{i:03d}", f"/o/{rng.choice(names)}.html") for i in range(120)]
+    taken = ["/o/x_3.html", "/o/x_7.html", "/o/y.html", "/o/x_4.html", "/o/w_2.html", "/o/x_3.html"]
+    df = spark.createDataFrame(rows, "path string, target_path string")
+    got = {r.path: r.target_path for r in free_names(df, "path", spark.createDataFrame([(t,) for t in taken], "target_path string")).collect()}
+    # the rule, one by one
+    used, want, place = set(taken) | {t for _, t in rows}, {}, {}
+    for path, target in rows:
+        if target not in place and target not in taken:
+            place[target], want[path] = 1, target
+            continue
+        k = place.get(target, 1) + 1
+        while target.replace(".html", f"_{k}.html") in used:
+            k += 1
+        place[target], want[path] = k, target.replace(".html", f"_{k}.html")
+    assert got == want and len(set(got.values())) == len(rows)
