@@ -2,16 +2,23 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it
 as Parquet to the shared folder and reads it again as the next stage's docs.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents.  Rows of the mix come in
+the order of its schedule.
+
+Every stage works by row: null and empty texts, texts of any length, repeated
+rows and ids, empty tables and further columns have the results that the stages'
+modules state.  Python workers get texts in batches bounded by bytes.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markhive.llm import mixing, ngram_join, piece_codec, quality, toxicity
-from markhive.llm.common import documents, stored
+from markhive.llm.common import bounded_batches, documents, stored
 from markhive.llm.queries import model_path
 
 
@@ -41,12 +48,21 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
+def _bounded(stage):
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", without_toxic),
-    ("quality_rules", good_quality),
-    ("ngram_jaccard_join", without_near_duplicates),
-    ("source_mixing", mixed),
-    ("sentencepiece", tokenized),
+    ("toxicity", _bounded(without_toxic)),
+    ("quality_rules", _bounded(good_quality)),
+    ("ngram_jaccard_join", _bounded(without_near_duplicates)),
+    ("source_mixing", _bounded(mixed)),
+    ("sentencepiece", _bounded(tokenized)),
 ]
 
 #: SQL has no tokenizer, no model fitting and no graph components of this size.

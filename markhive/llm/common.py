@@ -19,6 +19,9 @@ from markhive.session import ensure_checkpoint_dir
 #: Arrow batches are cut into pieces of about this many text bytes, so that a
 #: task's Python memory follows this number and the longest text, not the rows.
 PIECE_BYTES = 1 << 20
+#: Bytes of a batch that Spark hands to a Python worker; the records of a batch alone don't bound its memory.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +86,12 @@ def per_task(df: DataFrame, make: Callable, schema: str, *args) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python workers hold about BATCH_BYTES from now on, unless the session sets a bound itself."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def give_back() -> None:
     """Returns freed memory to the system: Spark keeps a worker for later tasks, and others run beside it."""
     gc.collect()

@@ -19,6 +19,7 @@ many tasks.  Points meet sources by equality on a grid over [0, 1).
 Cases: a null source is a source of its own and comes last; a null text has
 size 0; documents of size 0 are never taken; repeated rows are documents of
 their own; an empty table gives an empty result; a total of 0 gives targets 0.
+A very long text is a document over many blocks.  Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markhive.llm.common import stored
+from markhive.llm.common import partitions_of, stored
+from markhive.llm.vectors import free_name
 
 #: Words of a block.
 BLOCK_WORDS = 2048
@@ -144,7 +146,7 @@ def mix(df: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...]
     sizes: row, doc_id, size, source_size, target of every document.
     parts: row, turn (0 for a document's first use), slot and words: what a slot takes of the document.
     """
-    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    number = F.monotonically_increasing_id() if row is None else F.col(f"`{row}`")
     narrow = df.select("doc_id", "source", word_count(F.col("text")).alias("size"), number.alias("row"))
     sizes = stored(narrow, "mix-sizes")
     wanted = stored(targets(sizes, weights, share, max_repeats), "mix-targets")
@@ -167,14 +169,20 @@ def taken(df: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
-def mixed_documents(df: DataFrame, **options) -> DataFrame:
+def mixed_documents(df: DataFrame, slot: str | None = None, **options) -> DataFrame:
     """The documents of the mix, as whole rows with their columns: one for each use of which at least half is taken.
 
-    Whole documents keep their texts; a use cut by the target is rounded.
+    Whole documents keep their texts; a use cut by the target is rounded.  Rows
+    come in the order of the schedule: partitions hold ranges of slots one after
+    the other, rows inside them follow their slots.  ``slot`` names a column for the
+    slot in which a use begins.
     """
-    spark = df.sparkSession
-    kept = stored(df.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
-    sizes, parts = mix(kept, row="__row", **options)
-    uses = parts.groupBy("row", "turn").agg(F.sum("words").alias("words")).join(sizes.select("row", "size"), "row")
-    uses = uses.where("2 * words >= size").select(F.col("row").alias("__row"))
-    return kept.join(uses, "__row").select(*(f"`{c}`" for c in df.columns))
+    if slot is not None and slot.lower() in map(str.lower, df.columns):
+        raise ValueError(f"column {slot} exists; name another one")
+    row, at = free_name("__row", df.columns), slot or free_name("__slot", df.columns)
+    kept = stored(df.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    sizes, parts = mix(kept, row=row, **options)
+    uses = parts.groupBy("row", "turn").agg(F.sum("words").alias("words"), F.min("slot").alias("slot")).join(sizes.select("row", "size"), "row")
+    uses = uses.where("2 * words >= size").select(F.col("row").alias(row), F.col("slot").alias(at))
+    mixed = kept.join(uses, row).repartitionByRange(partitions_of(df.sparkSession), at, row).sortWithinPartitions(at, row)
+    return mixed.select(*(f"`{c}`" for c in df.columns), *([at] if slot else []))

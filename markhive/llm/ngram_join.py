@@ -30,6 +30,8 @@ little else, and large groups of copies meet as one group, not as pairs.
 Cases: null and empty texts have no tokens and are linked with nothing; texts of
 fewer words than a shingle have one token, the whole sequence; tokens are 64-bit
 hashes.  Rows with a null doc_id don't link others; repeated rows are equal sets.
+Very long texts are one set of hashes each.  Where doc_ids repeat, rows are numbered
+first and everything goes by row.  Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -45,6 +47,7 @@ from pyspark.sql import functions as F
 from markhive.llm.common import per_task, partitions_of, pieces, stored, text_bytes
 from markhive.llm.components import components
 from markhive.llm.idfilter import id_filter, maybe_in, surely_not_in
+from markhive.llm.vectors import free_name
 from markhive.llm.word_hash import hashed_words, spread
 
 #: Hashed counters of words (4 MB in each worker).
@@ -55,6 +58,8 @@ DEPTH = 4
 BANDS, WIDTH = 4, 2
 #: Members of a block, and queries that meet a block in one run of a task.
 BLOCK, QUERIES = 64, 512
+#: Places in which a group's members meet its size.
+SALTS = 16
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -260,8 +265,33 @@ def least_shared(n: str, low: str, high: str, percent: int) -> Column:
     return F.when(F.expr(f"{low} >= {high}"), ends).otherwise(between)
 
 
+def _repeats(df: DataFrame) -> bool:
+    """Whether a doc_id comes more than once."""
+    return not df.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
 def groups(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of ``df`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id of each row of ``df`` (doc_id, text).
+
+    Rows are documents: of a doc_id that comes with several texts each row has
+    its own links, and components are named by their smallest doc_id.
+    """
+    if not _repeats(df):
+        return _groups(df, width, percent)
+    rows = stored(df.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "join-numbered")
+    found = stored(_groups(rows.select(_row_with_id(), "text"), width, percent), "join-by-row")
+    ids = rows.select("row", F.col("doc_id").alias("id"))
+    named = found.join(ids, found["doc_id"] == ids["row"], "left").drop("row", "doc_id")
+    least = named.groupBy("component_id").agg(F.min("id").alias("least"))
+    return named.join(least, "component_id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+
+
+def _row_with_id(row: str = "row") -> Column:
+    return F.when(F.col("doc_id").isNotNull(), F.col(row)).alias("doc_id")
+
+
+def _groups(df: DataFrame, width: int, percent: int) -> DataFrame:
+    """``groups`` where every doc_id comes once."""
     texts = df.select("doc_id", text_bytes().alias("text"))
     counters = word_counters(df)
     sets = stored(per_task(texts, _described, "doc_id long, n long, high long, low long, bands array<long>, first array<long>", counters, width, percent), "join-sets")
@@ -284,7 +314,10 @@ def groups(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     placed = reps.select("rep", "n").join(connected, F.col("rep") == F.col("node"), "left").join(nearest, F.col("rep") == F.col("query"), "left")
     placed = placed.select("rep", "n", F.coalesce("root", "rep").alias("part"), F.coalesce("root", F.least("near", "rep"), "rep").alias("group"))
     sizes = placed.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = stored(placed.join(sizes, "group").select("rep", "n", "part", "group", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block")), "join-placed")
+    # a large group's members meet its size in several places
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64(F.lit(4), "rep"), F.lit(SALTS)))
+    placed = stored(placed.join(sizes, ["group", "salt"]).select("rep", "n", "part", "group", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block")), "join-placed")
     bounds = size_classes(percent)
     size_class = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b <= F.col("n")))
     # narrow rows until only tokens that documents share are left
@@ -311,19 +344,23 @@ def groups(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The document with the smallest doc_id of every group, with its columns.
+    """One document of every group, the one with the smallest doc_id, with its columns.
 
-    Rows with a null doc_id stay, of rows that repeat a doc_id one stays.
+    Rows with a null doc_id stay.  Of rows that repeat a doc_id those stay that are
+    in different groups, each unless its group has a smaller doc_id (or, of equal
+    ones, an earlier row); texts without words are in no group and all stay.
     """
-    found = stored(groups(df, width, percent), "join-result")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    bits = id_filter(gone.unionAll(again))
-    columns = df.columns
-    sure = surely_not_in(df, "doc_id", bits)
-    checked = maybe_in(df, "doc_id", bits)
-    checked = checked.join(gone, "doc_id", "left_anti")
-    # repeated rows: one stays
-    single = checked.join(again, "doc_id", "left_anti")
-    repeated = checked.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return sure.unionByName(single).unionByName(repeated).select(*(f"`{c}`" for c in columns))
+    if not _repeats(df):
+        found = stored(groups(df, width, percent), "join-result")
+        gone = found.where("doc_id <> component_id").select("doc_id")
+        bits = id_filter(gone)
+        checked = maybe_in(df, "doc_id", bits).join(gone, "doc_id", "left_anti")
+        return surely_not_in(df, "doc_id", bits).unionByName(checked).select(*(f"`{c}`" for c in df.columns))
+    row = free_name("__row", df.columns)
+    rows = stored(df.withColumn(row, F.monotonically_increasing_id()), "join-numbered")
+    found = stored(_groups(rows.select(_row_with_id(row), "text"), width, percent), "join-by-row")
+    ids = rows.where("doc_id is not null").select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    named = found.join(ids, found["doc_id"] == ids["row"]).select("component_id", F.struct("id", "row").alias("member"))
+    first = named.groupBy("component_id").agg(F.min("member").alias("first")).select(F.col("first.row").alias("row"))
+    gone = ids.join(first, "row", "left_anti").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*(f"`{c}`" for c in df.columns))

@@ -32,8 +32,9 @@ from markhive.llm.common import as_text, per_task, pieces, text_bytes, with_fiel
 
 #: Words of more symbols are merged with a heap.
 LONG = 256
-#: Distinct words that a worker remembers before it starts afresh.
-REMEMBERED = 800_000
+#: Bytes of words that a worker remembers (about: their characters and ids, and what their tables take), before it starts afresh.
+REMEMBERED_BYTES = 128 << 20
+ENTRY_BYTES = 180
 SPACE = "▁"
 NO_PAIR = np.int32(np.iinfo(np.int32).max)
 
@@ -102,6 +103,7 @@ class PieceCodec:
 
     def _forget(self) -> None:
         self.seen: dict[str, int] = {}
+        self.held = 0
         self.flat = np.empty(1 << 16, np.int32)
         self.used = 0
         self.off = np.zeros(1, np.int64)
@@ -215,6 +217,7 @@ class PieceCodec:
             sym, sizes = np.concatenate([sym, *long]), np.r_[sizes, [len(x) for x in long]]
         sym, sizes = self._to_ids(sym, sizes)
         self.seen.update(zip(words, range(len(self.seen), len(self.seen) + len(words)), strict=True))
+        self.held += ENTRY_BYTES * len(words) + 2 * sum(map(len, words)) + 4 * len(sym)
         self.off = np.concatenate([self.off, self.used + np.cumsum(sizes)])
         need = self.used + len(sym)
         if need > len(self.flat):
@@ -224,7 +227,7 @@ class PieceCodec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the library gives them without begin and end ids."""
-        if len(self.seen) > REMEMBERED:
+        if self.held > REMEMBERED_BYTES:
             self._forget()
         split = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         words = list(itertools.chain.from_iterable(split))

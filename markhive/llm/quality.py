@@ -123,14 +123,22 @@ def base_failed(m: Measures) -> bool:
     return m.n_words < 50 or 100 * m.n_repeat_words > 50 * m.n_words
 
 
-def _measured(batches: Iterable[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
-    """Per task: for each combination of rejecting rules the documents, and each rule's seconds."""
+def _measured(batches: Iterable[pa.RecordBatch], rules: tuple[Rule, ...], base: Rule | None) -> Iterator[pa.RecordBatch]:
+    """Per task: for each combination of rejecting rules the documents, and each rule's seconds.
+
+    With a base, only of documents that it leaves, and beyond what it has measured.
+    """
     for batch in pieces(batches):
         for raw in batch.column("text").to_pylist():
+            known = Measures(raw)
+            if base is not None and base.rejects(known):
+                continue
             mask, seconds = 0, []
             for k, rule in enumerate(rules):
+                own = Measures(raw)  # what other rules have asked is not counted as known
+                own.__dict__.update(known.__dict__)
                 began = time.perf_counter()
-                mask |= bool(rule.rejects(Measures(raw))) << k  # fresh measures: the rule's full cost
+                mask |= bool(rule.rejects(own)) << k
                 seconds.append(time.perf_counter() - began)
             yield pa.RecordBatch.from_pydict({"mask": [mask], "n": [1], "seconds": [seconds]}, schema=pa.schema({"mask": pa.int64(), "n": pa.int64(), "seconds": pa.list_(pa.float64())}))
 
@@ -147,15 +155,15 @@ def best_order(rules: tuple[Rule, ...], masks: dict[int, int], seconds: list[flo
     return tuple(rules[k] for k in order)
 
 
-def plan(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> tuple[Rule, ...]:
-    """The rules in the order that the sample suggests.  Only sums by rule reach the driver."""
+def plan(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, seed: int = 7, base: Rule | None = None) -> tuple[Rule, ...]:
+    """The rules in the order that the sample suggests, behind ``base`` if there is one.  Only sums by rule reach the driver."""
     rows = df.count()
     if not rows:
         return tuple(rules)
     sample = df.select(text_bytes().alias("text"))
     if rows > sample_rows:
         sample = sample.sample(sample_rows / rows, seed)
-    found = per_task(sample, _measured, "mask long, n long, seconds array<double>", rules)
+    found = per_task(sample, _measured, "mask long, n long, seconds array<double>", tuple(rules), base)
     sums = [F.sum(F.col("seconds")[k]) for k in range(len(rules))]
     got = found.groupBy("mask").agg(F.sum("n"), *sums).collect()
     seconds = [sum(r[2 + k] for r in got) for k in range(len(rules))]
@@ -199,7 +207,7 @@ def _assessed(batches: Iterable[pa.RecordBatch], rules: tuple[Rule, ...]) -> Ite
         rows = []
         for raw in batch.column("text").to_pylist():
             m = Measures(raw)
-            failed = base_failed(m)
+            failed = BASE_RULE.rejects(m)
             rows.append([*(getattr(m, n) for n in names), failed, not failed and first_rejection(m, rules) is None])
         columns = list(zip(*rows, strict=True))
         arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(c, pa.bool_()) for c in columns[5:]]
@@ -209,7 +217,7 @@ def _assessed(batches: Iterable[pa.RecordBatch], rules: tuple[Rule, ...]) -> Ite
 def assess(df: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """doc_id, the base measures, base_failed, and kept: neither the base nor a rule rejects the document."""
     if rules is None:
-        rules = plan(df)
+        rules = plan(df, base=BASE_RULE)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
     return per_task(df.select("doc_id", text_bytes().alias("text")), _assessed, schema, rules)
 
@@ -219,5 +227,5 @@ def keep_good(df: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame
     name = "rejected_by"
     while name in df.columns:
         name = "_" + name
-    rules = (BASE_RULE, *(plan(df) if rules is None else rules))
+    rules = (BASE_RULE, *(plan(df, base=BASE_RULE) if rules is None else rules))
     return judge(df, rules, rejected_by=name).where(F.col(name).isNull()).drop(name)

@@ -48,8 +48,9 @@ SIGNIFICANT, LEAST_DOCS = 4.0, 3
 #: Letters of the character model; the others count as one.
 LETTERS = 60
 STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Words that a worker remembers.
-REMEMBERED = 800_000
+#: Bytes of words that a worker remembers (about: their characters and what their tables take), before it starts afresh.
+REMEMBERED_BYTES = 64 << 20
+ENTRY_BYTES = 180
 
 #: What a character is often written for (fixed values).
 STANDS_FOR = {
@@ -78,6 +79,7 @@ class CharModel:
     number: dict[str, int]
     logs: np.ndarray  # [before last, last, next]
     known: dict[str, str] = field(default_factory=dict)
+    held: int = 0
     flat: list[float] = field(default_factory=list)  # logs as plain numbers, once asked for
 
     def code(self, c: str) -> int:
@@ -87,9 +89,11 @@ class CharModel:
         """The likeliest spelling of one lower-case word."""
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > REMEMBERED:
+            if self.held > REMEMBERED_BYTES // 4:
                 self.known.clear()
+                self.held = 0
             found = self.known[word] = self._viterbi(word)
+            self.held += ENTRY_BYTES + 4 * len(word)
         return found
 
     def _viterbi(self, word: str) -> str:
@@ -100,13 +104,14 @@ class CharModel:
         met = sorted({0, *(self.code(x) for c in set(word) for x in (c, *STANDS_FOR.get(c, "")))})
         own = self.logs[np.ix_(met, met, met)]
         behind = 2 * float(own.max() - own.min()) + 1e-6
+        tripled = {c for c in set(word) if c * 3 in word}
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for i, c in enumerate(word):
             moves = [(c, 0.0)] if c.isalpha() else []
             moves += [(x, COSTS["stands"]) for x in STANDS_FOR.get(c, "")]
             skip = COSTS["lost"] if c.isalpha() else COSTS["digit"] if c.isalnum() else COSTS["noise"]
             if i and c == word[i - 1]:
-                skip = min(skip, COSTS["repeat" if c * 3 in word else "pair"])
+                skip = min(skip, COSTS["repeat" if c in tripled else "pair"])
             if not moves:
                 moves = [(c, COSTS["lost"])]
             coded = [(x, self.code(x), cost) for x, cost in moves]
@@ -263,6 +268,7 @@ class _Known:
 
     def _forget(self) -> None:
         self.seen: dict[str, int] = {}
+        self.held = 0
         self.flat, self.off = np.empty(0, np.int32), np.zeros(1, np.int64)
         self.telling: set[str] = set()  # tokens that have features that count
 
@@ -278,12 +284,13 @@ class _Known:
         sizes = np.bincount(own, minlength=len(tokens))
         self.telling.update(tokens[k] for k in np.flatnonzero(sizes))
         self.seen.update(zip(tokens, range(len(self.seen), len(self.seen) + len(tokens)), strict=True))
+        self.held += ENTRY_BYTES * len(tokens) + 2 * sum(map(len, tokens)) + 4 * len(value)
         self.off = np.r_[self.off, self.off[-1] + np.cumsum(sizes)]
         self.flat = np.r_[self.flat, value[np.argsort(own, kind="stable")].astype(np.int32)]
 
     def features(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Distinct features of each text, sorted."""
-        if len(self.seen) > REMEMBERED:
+        if self.held > REMEMBERED_BYTES:
             self._forget()
         split = []
         for text in texts:

@@ -106,3 +106,72 @@ def test_mixed_documents_come_whole(spark):
     total = docs.agg(F.sum(mixing.word_count(F.col("text")))).first()[0]
     assert abs(words - 1.5 * total) < 0.05 * total
     assert mixed.join(docs, ["doc_id", "text"], "left_anti").count() == 0
+
+
+def plain_mix(rows, block_words, weights=(5, 2, 1)):
+    """(taken, first_slot) of rows (number, doc_id, source, size, hash), one slot after the other."""
+    sizes = {}
+    for _, _, source, size, _ in rows:
+        sizes[source] = sizes.get(source, 0) + size
+    target = filled(sizes, weights)
+    keys = {s: "n" if s is None else "s" + s for s in sizes}
+    order = sorted(sizes, key=keys.get)
+    blocks = {s: -int(-target[s] // block_words) for s in order}
+    whole = sum(blocks.values())
+    ends, upto = [], 0
+    for s in order:
+        upto += blocks[s]
+        ends.append(upto / whole)
+    slot_of, ranks = {}, dict.fromkeys(order, 0)
+    n_slots = whole * 9 // 8 + 64 * len(order)
+    for slot in range(n_slots):
+        point = slot * mixing.GOLDEN % mixing.PERIOD / mixing.PERIOD
+        s = next(s for s, end in zip(order, ends, strict=True) if point < end)
+        slot_of[s, ranks[s]] = slot
+        ranks[s] += 1
+    late = n_slots
+    for s in order:
+        for rank in range(ranks[s], blocks[s]):
+            slot_of[s, rank] = late
+            late += 1
+    out = {number: [0, None] for number, *_ in rows}
+    for s in order:
+        at, end = 0, int(target[s] + 0.5)
+        for _ in range(2):
+            for number, _, _, size, _ in sorted((r for r in rows if r[2] == s), key=lambda r: (r[4], r[1], r[3], r[0])):
+                used = max(0, min(at + size, end) - at)
+                if used:
+                    out[number][0] += used
+                    slots = [slot_of[s, b] for b in range(at // block_words, (at + used - 1) // block_words + 1)]
+                    out[number][1] = min([*slots, *([out[number][1]] if out[number][1] is not None else [])])
+                at += size
+    return out
+
+
+def test_every_document_is_taken_as_the_slots_say(spark):
+    rnd = random.Random(1)
+    texts = [(i, " ".join(["w"] * rnd.choice([0, 1, 7, 40, 300])), rnd.choice(["a", "a", "a", "b", "c", None, "é"])) for i in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    hashed = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(10), "doc_id").alias("h")).collect()
+    want = plain_mix([(r.doc_id, r.doc_id, r.source, r["size"], r.h) for r in hashed], 16)
+    got = {r.doc_id: [r.taken, r.first_slot] for r in mixing.taken(df, block_words=16).collect()}
+    assert got == want
+
+
+def test_mixed_documents_follow_the_schedule(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumns({"__row": F.lit("mine"), "__slot": F.lit("too")})
+    mixed = mixing.mixed_documents(docs, slot="slot", block_words=256)
+    assert mixed.columns == [*docs.columns, "slot"]
+    rows = mixed.select("slot", "source", "__row", "__slot", F.spark_partition_id().alias("p")).collect()
+    assert [r.slot for r in rows] == sorted(r.slot for r in rows) and len({r.p for r in rows}) > 1
+    assert {(r["__row"], r["__slot"]) for r in rows} == {("mine", "too")}
+    # both halves hold the sources in about the same shares; with all points in one place they do not
+    share = lambda some: {s: sum(r.source == s for r in some) / len(some) for s in {r.source for r in rows}}
+    early, late = share(rows[: len(rows) // 2]), share(rows[len(rows) // 2 :])
+    assert sum(abs(early[s] - late[s]) for s in early) / 2 < 0.25
+    monkeypatch.setattr(mixing, "GOLDEN", 0)
+    apart = mixing.mixed_documents(docs, slot="slot", block_words=256).select("slot", "source").collect()
+    early, late = share(apart[: len(apart) // 2]), share(apart[len(apart) // 2 :])
+    assert sum(abs(early[s] - late[s]) for s in early) / 2 > 0.5
+    with pytest.raises(ValueError):
+        mixing.mixed_documents(docs, slot="Text")

@@ -142,3 +142,40 @@ def test_id_filter(spark):
     through, others = maybe_in(df, "id", bits), surely_not_in(df, "id", bits)
     assert through.count() + others.count() == 5000
     assert through.where("id % 10 = 0").count() == 500 and through.count() < 520
+
+
+REPEATED = [(1, "a"), (5, "a"), (5, "b"), (6, "c"), (6, "d"), (7, "c"), (4, "e"), (6, "e"), (7, ""), (7, ""), (9, "b"), (9, "b"), (None, "b"), (None, "f"), (2, None)]
+
+
+def repeated(spark):
+    rnd = random.Random(3)
+    text = {k: " ".join(f"{k}{rnd.randrange(10**6)}" for _ in range(40)) for k in "abcdef"}
+    rows = [(i, text.get(k, k), "en", k, n) for n, (i, k) in enumerate(REPEATED)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("__row", F.lit("mine")).repartition(3)
+
+
+def test_repeated_ids_with_different_texts(spark):
+    docs = repeated(spark)
+    found = ngram_join.groups(docs, 5, 80).join(docs.select("doc_id", F.col("source").alias("k")).limit(0), "doc_id", "left")
+    assert found.count() == len(REPEATED)
+    rows = sorted((str(r.doc_id), str(r.component_id)) for r in found.where("n_shingles > 0").collect())
+    # a: 1; b: 5; c: 6; d: 6; e: 4; f: has no id
+    want = [(1, 1), (5, 1), (5, 5), (6, 6), (6, 6), (7, 6), (4, 4), (6, 4), (9, 5), (9, 5), (None, 5), (None, None)]
+    assert rows == sorted((str(a), str(b)) for a, b in want)
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), str(r.source)) for r in kept.collect())
+    assert got == sorted((str(a), str(b)) for a, b in [(1, "a"), (5, "b"), (6, "c"), (6, "d"), (4, "e"), (7, ""), (7, ""), (None, "b"), (None, "f"), (2, None)])
+    assert {r["__row"] for r in kept.collect()} == {"mine"}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ids_that_all_rows_share(spark, seed):
+    # by row the groups are those of the same texts under ids of their own
+    texts = near_copies(seed, 300)
+    own = ngram_join.one_of_each(frame(spark, texts), 3, 80).select("text")
+    rows = [(7 if i % 3 else 8, t, "en", "s", i) for i, t in texts.items()]
+    shared = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = ngram_join.one_of_each(shared, 3, 80)
+    assert kept.count() == own.count()
+    assert kept.select("text").distinct().count() == own.distinct().count()

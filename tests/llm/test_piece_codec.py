@@ -43,7 +43,7 @@ def test_decodes_any_ids(own, library):
 
 
 def test_forgets_and_learns_again(library, monkeypatch):
-    monkeypatch.setattr(piece_codec, "REMEMBERED", 20)
+    monkeypatch.setattr(piece_codec, "REMEMBERED_BYTES", 4000)
     own = piece_codec.PieceCodec(model_path())
     for text in strange(50):
         assert own.encode([text])[0].tolist() == library.encode(text)

@@ -39,3 +39,11 @@ def test_odd_and_empty_tables(spark, tmp_path):
         docs = spark.read.parquet(f"{d}/documents.parquet")
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, d).columns == docs.columns
+
+
+def test_no_document_of_a_repeated_id_is_lost(spark, tmp_path):
+    words = lambda k: " ".join(f"{k}{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(100))
+    rows = [(1, words("a")), (5, words("a")), (5, words("b")), (6, words("c")), (6, words("d"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    kept = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, "")
+    assert sorted((r.doc_id, r.text[0]) for r in kept.collect()) == [(1, "a"), (5, "b"), (6, "c"), (6, "d")]

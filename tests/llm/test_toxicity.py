@@ -154,3 +154,22 @@ def test_regression_separates():
     w, b = toxicity.fitted(row, column, y, 3)
     p = [1 / (1 + np.exp(-(b + sum(w[k] for k in h)))) for h in held]
     assert all((q > 0.9) == bool(t) for q, t in zip(p, y, strict=True))
+
+
+def test_a_very_long_token_is_decoded_in_linear_time():
+    import time
+
+    model = toxicity.CharModel({chr(97 + i): i + 2 for i in range(26)}, np.log(np.random.default_rng(0).random((28, 28, 28))).astype(np.float32))
+    for word in ("a0" * 500_000, "ii1" * 333_333, "x" * 1_000_000):
+        began = time.perf_counter()
+        model._viterbi(word)
+        assert time.perf_counter() - began < 10
+
+
+def test_what_is_remembered_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED_BYTES", 1 << 14)
+    model = toxicity.CharModel({"a": 2}, np.zeros((3, 3, 3), np.float32))
+    known = toxicity._Known(model)
+    for k in range(200):
+        list(known.features([" ".join(f"{'a0' * 20}{k}x{i}" for i in range(9))]))
+        assert known.held < (1 << 14) + 9 * 2000 and len(known.seen) < 200 and len(model.known) < 200
