@@ -80,12 +80,27 @@ def per_task(df: DataFrame, make: Callable, schema: str, *args) -> DataFrame:
     ship(df.sparkSession)
 
     def run(batches):
+        let_go(make.__module__)
         yield from make(batches, *args)
         give_back()
 
     return df.mapInArrow(run, schema)
 
 
+#: What a worker keeps from task to task: module of the operator, and what forgets it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep_between_tasks(module: str, forget: Callable[[], None]) -> None:
+    """A worker may serve many tasks of an operator; what it remembers goes when a task of another one begins."""
+    _kept[module] = forget
+
+
+def let_go(module: str) -> None:
+    for other in [m for m in _kept if m != module]:
+        _kept.pop(other)()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Batches for Python workers hold about BATCH_BYTES from now on, unless the session sets a bound itself."""
     if BATCH_SETTING not in spark.conf.getAll:

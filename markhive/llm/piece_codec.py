@@ -28,12 +28,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from markhive.llm.common import as_text, per_task, pieces, text_bytes, with_field
+from markhive.llm.common import as_text, keep_between_tasks, per_task, pieces, text_bytes, with_field
 
 #: Words of more symbols are merged with a heap.
 LONG = 256
 #: Bytes of words that a worker remembers (about: their characters and ids, and what their tables take), before it starts afresh.
-REMEMBERED_BYTES = 128 << 20
+REMEMBERED_BYTES = 80 << 20
 ENTRY_BYTES = 180
 SPACE = "▁"
 NO_PAIR = np.int32(np.iinfo(np.int32).max)
@@ -284,9 +284,10 @@ _codecs: dict[str, PieceCodec] = {}
 
 
 def codec(model_path: str) -> PieceCodec:
-    """The codec of a model, made once in each worker."""
+    """The codec of a model, made once in each worker; kept until a task of another operator begins."""
     if model_path not in _codecs:
         _codecs[model_path] = PieceCodec(model_path)
+        keep_between_tasks(__name__, _codecs.clear)
     return _codecs[model_path]
 
 

@@ -23,6 +23,7 @@ are scored.  Labels, language, source and ids are no inputs of a score.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -30,6 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,8 @@ SIGNIFICANT, LEAST_DOCS = 4.0, 3
 #: Letters of the character model; the others count as one.
 LETTERS = 60
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Features of the rows that the fit goes through together.
+FIT_BLOCK = 1 << 20
 #: Bytes of words that a worker remembers (about: their characters and what their tables take), before it starts afresh.
 REMEMBERED_BYTES = 64 << 20
 ENTRY_BYTES = 180
@@ -353,20 +357,30 @@ def _held(batches: Iterable[pa.RecordBatch], model, place) -> Iterator[pa.Record
 
 
 def fitted(row: np.ndarray, column: np.ndarray, labels: np.ndarray, size: int, rounds: int = 300, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression on present features (row, column): weights and intercept (full gradients with momentum)."""
+    """Logistic regression on present features (row, column), rows ascending: weights and intercept (full gradients with momentum).
+
+    The rows are gone through in blocks, so that memory follows ``column``.
+    """
     n = len(labels)
-    often = np.maximum(1.0, np.bincount(column, minlength=size))
-    rate = n / np.sqrt(often * n) / max(1.0, float(np.bincount(row, minlength=n).mean()) ** 0.5)
-    w, b = np.zeros(size), float(np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5)))
-    speed, speed_b = np.zeros(size), 0.0
+    sizes = np.bincount(row, minlength=n)
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(FIT_BLOCK, ends[-1] if n else 0, FIT_BLOCK)) + 1, n])
+    blocks = [(a, b, column[(ends[a] - sizes[a]) : ends[b - 1]], np.repeat(np.arange(b - a, dtype=np.int32), sizes[a:b])) for a, b in itertools.pairwise(cuts.tolist())]
+    often = np.maximum(1.0, sum((np.bincount(c, minlength=size) for _, _, c, _ in blocks), np.zeros(size)))
+    rate = n / np.sqrt(often * n) / max(1.0, float(sizes.mean()) ** 0.5)
+    w, base = np.zeros(size), float(np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5)))
+    speed, speed_base = np.zeros(size), 0.0
     for _ in range(rounds):
-        z = b + np.bincount(row, weights=w[column], minlength=n)
-        gap = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
-        grad = np.bincount(column, weights=gap[row], minlength=size) / n + ridge * w
+        grad, gaps = ridge * w, 0.0
+        for a, b, own, row in blocks:
+            z = base + np.bincount(row, weights=w[own], minlength=b - a)
+            gap = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[a:b]
+            grad += np.bincount(own, weights=gap[row], minlength=size) / n
+            gaps += gap.sum()
         speed = 0.9 * speed - rate * grad
-        speed_b = 0.9 * speed_b - 0.5 * gap.mean()
-        w, b = w + speed, b + speed_b
-    return w, b
+        speed_base = 0.9 * speed_base - 0.5 * gaps / n
+        w, base = w + speed, base + speed_base
+    return w, base
 
 
 @dataclass
@@ -412,12 +426,10 @@ def learn(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> S
     picked = spark.createDataFrame(rows[["doc_id"]], "doc_id long")
     some = per_task(maybe_in(texts, "doc_id", id_filter(picked)), _held, "doc_id long, held array<int>", told, sc.broadcast(place)).toArrow()
     toxic = rows.set_index("doc_id")["toxic"].reindex(some.column("doc_id").to_pandas()).to_numpy(float)
-    held = some.column("held").combine_chunks()
-    row = np.repeat(np.arange(len(toxic)), np.diff(held.offsets.to_numpy()))
-    column = held.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     inside = ~np.isnan(toxic)  # the filter may let other documents through
-    keep = inside[row]
-    weights, base = fitted(np.cumsum(inside)[row[keep]] - 1, column[keep], toxic[inside], len(place))
+    held = some.column("held").combine_chunks().filter(pa.array(inside))
+    row = np.repeat(np.arange(len(held), dtype=np.int32), pc.list_value_length(held).to_numpy())
+    weights, base = fitted(row, held.flatten().to_numpy(), toxic[inside], len(place))
     return Scorer(chars, place, weights, base)
 
 
