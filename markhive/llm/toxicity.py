@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markhive.llm.common import as_text, partitions_of, per_task, pieces, text_bytes, with_field
+from markhive.llm.common import as_text, keep_between_tasks, partitions_of, per_task, pieces, text_bytes, with_field
 from markhive.llm.idfilter import id_filter, maybe_in
 from markhive.llm.word_hash import spread
 
@@ -89,13 +89,16 @@ class CharModel:
     def code(self, c: str) -> int:
         return self.number.get(c, 1)
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
+
     def restore(self, word: str) -> str:
         """The likeliest spelling of one lower-case word."""
         found = self.known.get(word)
         if found is None:
-            if self.held > REMEMBERED_BYTES // 4:
-                self.known.clear()
-                self.held = 0
+            if self.held > REMEMBERED_BYTES:
+                self.forget()
             found = self.known[word] = self._viterbi(word)
             self.held += ENTRY_BYTES + 4 * len(word)
         return found
@@ -268,6 +271,8 @@ class _Known:
 
     def __init__(self, model: CharModel, keep: np.ndarray | None = None):
         self.model, self.keep = model, keep
+        self.place = np.zeros(BINS if keep is None else max(1, int(keep.max(initial=0)) + 1), np.int32)
+        keep_between_tasks(__name__, model.forget)
         self._forget()
 
     def _forget(self) -> None:
@@ -293,7 +298,7 @@ class _Known:
         self.flat = np.r_[self.flat, value[np.argsort(own, kind="stable")].astype(np.int32)]
 
     def features(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Distinct features of each text, sorted."""
+        """Distinct features of each text."""
         if self.held > REMEMBERED_BYTES:
             self._forget()
         split = []
@@ -307,7 +312,11 @@ class _Known:
             at = np.fromiter(map(self.seen.__getitem__, tokens), np.int64, len(tokens))
             first, size = self.off[at], self.off[at + 1] - self.off[at]
             ends = np.cumsum(size)
-            yield np.unique(self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)])
+            found = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)]
+            # of each feature the last one that was written to its place
+            number = np.arange(len(found), dtype=np.int32)
+            self.place[found] = number
+            yield found[self.place[found] == number]
 
 
 def _counted(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -365,17 +374,26 @@ def fitted(row: np.ndarray, column: np.ndarray, labels: np.ndarray, size: int, r
     sizes = np.bincount(row, minlength=n)
     ends = np.cumsum(sizes)
     cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(FIT_BLOCK, ends[-1] if n else 0, FIT_BLOCK)) + 1, n])
-    blocks = [(a, b, column[(ends[a] - sizes[a]) : ends[b - 1]], np.repeat(np.arange(b - a, dtype=np.int32), sizes[a:b])) for a, b in itertools.pairwise(cuts.tolist())]
-    often = np.maximum(1.0, sum((np.bincount(c, minlength=size) for _, _, c, _ in blocks), np.zeros(size)))
+    blocks = []
+    for a, b in itertools.pairwise(cuts.tolist()):
+        own, of = column[(ends[a] - sizes[a]) : ends[b - 1]], sizes[a:b]
+        some = np.flatnonzero(of)  # rows with features, and where theirs begin
+        order = np.argsort(own, kind="stable")
+        kinds, first = np.unique(own[order], return_index=True)
+        blocks.append((a, b, own, some, (np.cumsum(of) - of)[some], np.repeat(np.arange(b - a, dtype=np.int32), of)[order], kinds, first))
+    often = np.maximum(1.0, np.bincount(column, minlength=size))
     rate = n / np.sqrt(often * n) / max(1.0, float(sizes.mean()) ** 0.5)
     w, base = np.zeros(size), float(np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5)))
     speed, speed_base = np.zeros(size), 0.0
     for _ in range(rounds):
         grad, gaps = ridge * w, 0.0
-        for a, b, own, row in blocks:
-            z = base + np.bincount(row, weights=w[own], minlength=b - a)
+        for a, b, own, some, starts, rows, kinds, first in blocks:
+            z = np.full(b - a, base)
+            if len(some):
+                z[some] += np.add.reduceat(w[own], starts)
             gap = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[a:b]
-            grad += np.bincount(own, weights=gap[row], minlength=size) / n
+            if len(kinds):
+                grad[kinds] += np.add.reduceat(gap[rows], first) / n
             gaps += gap.sum()
         speed = 0.9 * speed - rate * grad
         speed_base = 0.9 * speed_base - 0.5 * gaps / n
