@@ -25,7 +25,7 @@ from ..operators.tolerant import tokenize_files, tokenize_tolerant
 from ..options import CompareOptions, KeyOptions
 from ..session import ensure_checkpoint_dir
 from ..sources.documents import Listing, existing, html_targets, json_targets, listed, read_html_files, read_json_files
-from ..sources.sinks import write_named_documents, write_named_lines, write_named_pieces, write_table
+from ..sources.sinks import write_named_lines, write_named_pieces, write_table
 
 
 def parse_files(
@@ -153,7 +153,8 @@ def convert_json(
     them after the input (the file of that name is replaced; equal stems of one
     run are numbered).  A file that can't be read as JSON is an error before
     anything is written; ``errors="skip"`` leaves such files out (they are the
-    listed ones without a row).  Returns ``(path, n_links, target_path, text)``.
+    listed ones without a row).  Returns ``(path, n_links, target_path, text)``;
+    ``text`` is put together only where it is asked for.
     """
     patterns = [patterns] if isinstance(patterns, str) else list(patterns)
     found = json_targets(spark, patterns)
@@ -173,12 +174,15 @@ def convert_json(
         named = naming.free_names(naming.stem_names(counts, output_dir=output_dir), "path")
     else:
         raise ValueError("naming_rule must be smart or stem")
-    html = render_documents(items_from_json(nodes), fmt="html", escape=True)
+    items = items_from_json(nodes)
+    if write:
+        # line by line: no document is a value, one may be written by many tasks
+        lines = render_lines(items, escape=True, docs=files.select(F.col("path").alias("doc")))
+        write_named_lines(lines.join(named.select(F.col("path").alias("doc"), "target_path"), "doc"))
+    html = render_documents(items, fmt="html", escape=True)
     out = named.join(html.withColumnRenamed("doc", "path"), "path", "left").select(
         "path", "n_links", "target_path", F.coalesce("text", F.lit(_EMPTY_HTML)).alias("text")
     )
-    if write:
-        write_named_documents(out)
     return out
 
 

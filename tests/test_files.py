@@ -199,6 +199,17 @@ def test_convert_numbers_conflicts_with_existing_files(spark, tmp_dir):
     assert sorted(os.listdir(f"{tmp_dir}/o")) == ["Bookmarks.html", "Bookmarks_2.html"]
 
 
+def test_converted_files_are_the_rendered_documents(spark, tmp_dir):
+    tree = {"name": "A & <b>", "children": [{"name": "t", "url": "http://x?a=1&b=\"2\""}, {"name": "empty", "children": []}, {"name": "t", "children": [{"name": "t", "url": "http://y"}, {"name": "t", "url": "http://y"}]}]}
+    write(f"{tmp_dir}/a.json", json.dumps({"roots": {"bar": tree, "other": tree}}))
+    write(f"{tmp_dir}/none.json", chrome())
+    out = jobs.convert_json(spark, f"{tmp_dir}/*.json", output_dir=f"{tmp_dir}/o").collect()
+    assert sorted(r.n_links for r in out) == [0, 6]
+    for r in out:
+        assert open(r.target_path, encoding="utf-8").read() == r.text
+    assert len(os.listdir(f"{tmp_dir}/o")) == 2
+
+
 def test_unreadable_json_is_reported(spark, tmp_dir):
     write(f"{tmp_dir}/good.json", chrome(("http://a", "a")))
     write(f"{tmp_dir}/cut.json", chrome(("http://a", "a"))[:-9])
