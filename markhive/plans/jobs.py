@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..operators import compare, dedup, naming
 from ..operators.edit import without_links
 from ..operators.extract import Tree, parse_bookmarks, resolve_tree
+from ..operators.jsonsplits import flatten_json_splits
 from ..operators.jsontree import CHROMIUM, JsonFields, flatten_json, items_from_json, json_errors, json_links
 from ..operators.render import items_from_tree, render_documents, render_lines
 from ..operators.splits import parse_splits
@@ -145,6 +146,7 @@ def convert_json(
     fields: JsonFields = CHROMIUM,
     write: bool = True,
     errors: str = "raise",
+    reader: str = "whole",
 ) -> DataFrame:
     """JSON bookmark files -> HTML files.
 
@@ -154,13 +156,19 @@ def convert_json(
     run are numbered).  A file that can't be read as JSON is an error before
     anything is written; ``errors="skip"`` leaves such files out (they are the
     listed ones without a row).  Returns ``(path, n_links, target_path, text)``;
-    ``text`` is put together only where it is asked for.
+    ``text`` is put together only where it is asked for.  ``reader="splits"`` spreads
+    each file over many tasks and takes files of any size.
     """
     patterns = [patterns] if isinstance(patterns, str) else list(patterns)
     found = json_targets(spark, patterns)
     ensure_checkpoint_dir(spark)
     # the trees are walked once; counts and documents read the same nodes
-    nodes = flatten_json(read_json_files(spark, found), doc="path", js="js", fields=fields).checkpoint(eager=True)
+    if reader == "splits":
+        nodes = flatten_json_splits(found.files, fields).checkpoint(eager=True)
+    elif reader == "whole":
+        nodes = flatten_json(read_json_files(spark, found), doc="path", js="js", fields=fields).checkpoint(eager=True)
+    else:
+        raise ValueError("reader must be whole or splits")
     unreadable = json_errors(nodes)
     if errors == "raise" and (bad := unreadable.take(1)):
         raise ValueError(f"not a readable JSON bookmark file: {bad[0].doc}: {bad[0].message}")
