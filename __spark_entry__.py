@@ -29,12 +29,13 @@ from markhive.operators import naming
 from markhive.operators.edit import joined, without_links
 from markhive.operators.extract import extract_links, links_of, parse_bookmarks, resolve_tree, tokenize
 from markhive.operators.tolerant import tokenize_tolerant
+from markhive.operators.jsonsplits import flatten_json_splits
 from markhive.operators.jsontree import flatten_json, items_from_json, json_folders, json_links
 from markhive.operators.render import render_documents
 from markhive.packaging import ship
 from markhive.plans import jobs
 from markhive.session import ensure_checkpoint_dir
-from markhive.sources.documents import pages_documents, read_html_files, read_json_files
+from markhive.sources.documents import json_targets, pages_documents, read_html_files, read_json_files
 from markhive.sources.fixtures import FLAT_END, FLAT_HEAD, fixture_documents, flat_pieces, links_fixture
 from markhive.sources.sinks import write_named_documents, write_named_pieces
 
@@ -420,6 +421,14 @@ def q_io_json_files(spark, sf_dir):
     return json_links(nodes).select(_relative("doc", folder).alias("path"), F.array_join("folder", "/").alias("folder"), "url", "title")
 
 
+def q_io_json_splits(spark, sf_dir):
+    """The same files, each read in splits of 4 KB."""
+    folder = _scratch(spark)
+    write_named_documents(fixture_documents(_pages(spark, sf_dir), "json").select(F.concat(F.lit(folder), "path").alias("target_path"), "text"))
+    links = json_links(flatten_json_splits(json_targets(spark, [f"{folder}/**/Bookmarks", f"{folder}/exports/*/*/*.json"]).files, split=4096))
+    return links.select(_relative("doc", folder).alias("path"), F.array_join("folder", "/").alias("folder"), "url", "title")
+
+
 def _flat_files(spark, sf_dir) -> str:
     """The three files of the fixture, each written by many tasks."""
     folder = _scratch(spark)
@@ -497,6 +506,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         dedup_edit=q_dedup_edit,
         io_html_files=q_io_html_files,
         io_json_files=q_io_json_files,
+        io_json_splits=q_io_json_splits,
         io_dedup_files=q_io_dedup_files,
         io_report=_io_report("whole", "regex"),
         io_report_splits=_io_report("splits", "regex"),
@@ -863,6 +873,7 @@ select p.path, concat('Bookmarks bar/', f.folder) as folder from page_folders f
     regexp_extract(p.url, '^https?://([^/:]+)', 1), '/p', cast(p.page_id as varchar), '.html') as path, l.folder, l.url, l.title
 from links l join pages p on p.page_id = l.page_id""",
         io_json_files=json_links_sql,
+        io_json_splits=json_links_sql,
         io_dedup_files=f"""with kept as ({_batch_sql('all', KeyOptions())})
 select kind, concat(file_id, '.dedup-', mode, '.html') as name, url, title from kept, (values ('file'), ('table')) k(kind)""",
     )
