@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markhive.llm.common import partitions_of, per_task, pieces, stored, text_bytes
+from markhive.llm.common import bounded_batches, partitions_of, per_task, pieces, stored, text_bytes
 from markhive.llm.elias_fano import Trie
 from markhive.llm.word_hash import hashed_words, spread
 
@@ -343,6 +343,7 @@ def _scores(batches: Iterable[pa.RecordBatch], hot, model: dict) -> Iterator[pa.
 def score(df: DataFrame) -> DataFrame:
     """SCORE_FIELDS of each document of ``df`` (doc_id, text)."""
     spark = df.sparkSession
+    bounded_batches(spark)  # blocks and answers are wide rows
     sc = spark.sparkContext
     n_parts = partitions_of(spark)
     blocks = stored(per_task(df.select("doc_id", text_bytes().alias("text")), _blocks, BLOCK_FIELDS), "lm-blocks")
