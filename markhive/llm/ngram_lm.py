@@ -15,14 +15,16 @@ logarithm, rounded down, so that the sum of all p stays at most 1.
    cell is a range of context hashes that holds about CELL tokens, so cells grow
    in number, not in size.  Contexts of more than HOT training tokens (at most
    N / HOT words) are split by the successor's hash into contexts of their own.
-3. A cell adds the counts, builds its trie, and answers every block: for each
-   bigram its code, for each context its count and types.
+3. A cell adds the counts, builds its trie, asks it once for each bigram and
+   answers every block: for each bigram its code, for each context its count and
+   types.  The trie's levels are read as they are packed, in an anonymous memory
+   map of the cell's task.
 4. A block puts the answers together and sums its documents' scores.
 
 Counts cover all documents that are not held out.  Words are told apart by 64
 hashed bits, a context's successors by 40.  Nothing is sampled or cut.
 
-Cases: null and empty texts are one end token.  A null doc_id is not held out.
+Cases: null and empty texts are one end token; a very long text is a block of its own.  A null doc_id is not held out.
 Without training documents all scores are 0.  Repeated rows are scored alike.
 """
 
@@ -129,14 +131,19 @@ class _Bigrams:
         with np.errstate(over="ignore"):
             context = spread(before)
             names, parts = hot
+            split, at = np.empty(0, np.int64), np.empty(0, np.int64)
             if len(names):
                 at = np.searchsorted(names, before)
                 at[at == len(names)] = 0
-                split = names[at] == before
-                part = own[split] % parts[at[split]]
+                split = np.flatnonzero(names[at] == before)
+                at = at[split]
+                part = own[split] % parts[at]
                 context[split] = spread(context[split] + (part + np.uint64(1)) * STEP)
         # one bit less, so that contexts are non-negative numbers
         self.contexts, place = np.unique((context >> np.uint64(1)).view(np.int64), return_inverse=True)
+        #: of each context, the place of the hot word that it is a part of; -1 for none
+        self.part_of = np.full(len(self.contexts), -1, np.int32)
+        self.part_of[place[split]] = at
         key = place << Trie.BITS | (own >> np.uint64(64 - Trie.BITS)).view(np.int64)
         self.keys, self.entry = np.unique(key, return_inverse=True)
         self.place = place
@@ -147,7 +154,7 @@ class _Bigrams:
         return np.bincount(self.entry, weights=weight, minlength=len(self.keys)).astype(np.uint32)
 
 
-REQUEST_FIELDS = "cell long, block long, contexts binary, sizes binary, successors binary, counts binary"
+REQUEST_FIELDS = "cell long, block long, contexts binary, sizes binary, successors binary, counts binary, parts binary"
 
 
 def _cell_of(contexts: np.ndarray, n_cells: int) -> np.ndarray:
@@ -171,10 +178,17 @@ def _requests(batches: Iterable[pa.RecordBatch], n_cells: int, hot) -> Iterator[
                 _sliced(sizes, bounds),
                 _sliced(np.ascontiguousarray(ids), at),
                 _sliced(counts, at),
+                pa.array([_parts(own.part_of[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in REQUEST_FIELDS.split(", ")])
 
 
+def _parts(part_of: np.ndarray) -> bytes | None:
+    """(place of context, place of hot word) pairs of the contexts that are parts; mostly there are none."""
+    own = np.flatnonzero(part_of >= 0)
+    return np.stack([own, part_of[own]], axis=1).astype(np.int32).tobytes() if len(own) else None
+
+
 def _sliced(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """One binary value for each slice."""
     width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
@@ -187,21 +201,21 @@ def _sliced(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 ANSWER_FIELDS = "block long, cell long, codes binary, totals binary, types binary, seen array<long>, hot array<long>, hot_types array<long>"
 
 
-def _answers(batches: Iterable[pa.RecordBatch], totals_of_hot) -> Iterator[pa.RecordBatch]:
+def _answers(batches: Iterable[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     cell = None
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "block", "contexts", "sizes", "successors", "counts")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "block", "contexts", "sizes", "successors", "counts", "parts")), strict=True):
             if row[0] != cell and held:
-                yield _answer(cell, held, totals_of_hot.value)
+                yield _answer(cell, held, hot.value)
                 held = []
             cell = row[0]
             held.append(row[1:])
     if held:
-        yield _answer(cell, held, totals_of_hot.value)
+        yield _answer(cell, held, hot.value)
 
 
-def _answer(cell: int, rows: list[tuple], hot: dict[int, tuple[int, int]]) -> pa.RecordBatch:
+def _answer(cell: int, rows: list[tuple], hot: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     """Adds the rows' counts, builds the cell's trie, answers the rows."""
     contexts = [np.frombuffer(r[1], np.int64) for r in rows]
     sizes = [np.frombuffer(r[2], np.uint32) for r in rows]
@@ -214,19 +228,27 @@ def _answer(cell: int, rows: list[tuple], hot: dict[int, tuple[int, int]]) -> pa
     names, place = np.unique(asked, return_inverse=True)
     keys, entry = np.unique(place << Trie.BITS | successor, return_inverse=True)
     sums = np.bincount(entry, weights=counts, minlength=len(keys)).astype(np.int64)
-    known = sums > 0
+    asked_keys, known = keys, sums > 0
     keys, sums = keys[known], sums[known]
     of = keys >> Trie.BITS
     total = np.bincount(of, weights=sums, minlength=len(names)).astype(np.int64)
     types = np.bincount(of, minlength=len(names))
     # a part of a split context divides by the whole context's count
-    part = np.array([hot.get(int(x), (0, 0)) for x in names], np.int64).reshape(-1, 2) if hot else np.zeros((len(names), 2), np.int64)
-    whole = np.where(part[:, 0] > 0, part[:, 0], total)
+    part_of = np.full(len(names), -1, np.int64)
+    for own, row in zip(contexts, rows, strict=True):
+        if row[5]:
+            told = np.frombuffer(row[5], np.int32).reshape(-1, 2)
+            part_of[np.searchsorted(names, own[told[:, 0]])] = told[:, 1]
+    split = np.flatnonzero(part_of >= 0)
+    words, totals = hot
+    whole = total.copy()
+    whole[split] = totals[part_of[split]]
     trie = Trie.build(names, keys, quantised((sums - DISCOUNT) / whole[of]))
-    codes = trie.find(asked, successor)
-    one = (part[:, 0] == 0) & (names != _START_CONTEXT)
+    # the trie is asked once for each bigram of the cell, whatever the number of blocks that ask
+    of = asked_keys >> Trie.BITS
+    codes = trie.codes_after(trie.places(names)[of], asked_keys & ((1 << Trie.BITS) - 1))[entry]
+    one = (part_of < 0) & (names != _START_CONTEXT)
     seen = [int((one & (total > 0)).sum()), int((one & (total == 1)).sum()), int((one & (total == 2)).sum())]
-    split = np.flatnonzero(part[:, 0] > 0)
     ends = np.cumsum([s.sum() for s in sizes])
     starts = ends - np.array([s.sum() for s in sizes])
     at = [np.searchsorted(names, c) for c in contexts]
@@ -238,7 +260,7 @@ def _answer(cell: int, rows: list[tuple], hot: dict[int, tuple[int, int]]) -> pa
         pa.array([total[a].tobytes() for a in at], pa.binary()),
         pa.array([types[a].astype(np.uint32).tobytes() for a in at], pa.binary()),
         pa.array([seen] + [None] * (n - 1), pa.list_(pa.int64())),
-        pa.array([part[split, 1].tolist()] + [None] * (n - 1), pa.list_(pa.int64())),
+        pa.array([words[part_of[split]].tolist()] + [None] * (n - 1), pa.list_(pa.int64())),
         pa.array([types[split].tolist()] + [None] * (n - 1), pa.list_(pa.int64())),
     ]
     return pa.RecordBatch.from_arrays(fields, names=[f.split()[0] for f in ANSWER_FIELDS.split(", ")])
@@ -353,16 +375,10 @@ def score(df: DataFrame) -> DataFrame:
     names = np.array(sorted(np.array(list(found), np.int64).view(np.uint64).tolist()), np.uint64)
     totals = np.array([found[int(x)] for x in names.view(np.int64)], np.int64)
     parts = (totals // CELL + 1).astype(np.uint64)
-    # contexts of the parts: the whole context's count and its word
-    split: dict[int, tuple[int, int]] = {}
-    with np.errstate(over="ignore"):
-        for word, total, k in zip(names, totals, parts, strict=True):
-            for c in spread(spread(np.array([word])) + (np.arange(int(k), dtype=np.uint64) + np.uint64(1)) * STEP) >> np.uint64(1):
-                split[int(c)] = (int(total), int(word.astype(np.int64)))
     n_cells = min(1 << 31, everything // CELL + 1)
     asked = per_task(blocks, _requests, REQUEST_FIELDS, n_cells, sc.broadcast((names, parts)))
     asked = asked.repartition(n_parts, "cell").sortWithinPartitions("cell", "block")
-    answers = stored(per_task(asked, _answers, ANSWER_FIELDS, sc.broadcast(split)), "lm-answers")
+    answers = stored(per_task(asked, _answers, ANSWER_FIELDS, sc.broadcast((names.view(np.int64), totals))), "lm-answers")
     seen = answers.where("seen is not null")
     v, n1, n2 = (int(x or 0) for x in seen.agg(*(F.sum(F.col("seen")[k]) for k in range(3))).first())
     parts_of = seen.select(F.explode(F.arrays_zip("hot", "hot_types")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_types").alias("types")).collect()

@@ -18,6 +18,20 @@ def test_elias_fano_round_trip(values):
     assert elias_fano.unpack(memoryview(level)).tolist() == values
 
 
+@pytest.mark.parametrize("top, n", [(1, 40), (60, 300), (1 << 20, 500), (1 << 61, 200), (5, 0)])
+def test_levels_are_searched_in_place(top, n):
+    rnd = random.Random(top)
+    values = sorted(rnd.choices(range(top), k=n))
+    level = elias_fano.Level(b"12345678" + elias_fano.pack(np.array(values, np.int64)), 8)
+    asked = [*values, *(rnd.randrange(top) for _ in range(200)), 0, top, 1 << 61]
+    bounds = [sorted(rnd.choices(range(n + 1), k=2)) for _ in asked]
+    want = [next((i for i in range(a, b) if values[i] == x), -1) for x, (a, b) in zip(asked, bounds, strict=True)]
+    begin, end = np.array(bounds).T
+    assert level.search(np.array(asked), begin, end).tolist() == want
+    order = [rnd.randrange(n) for _ in range(n)]
+    assert level.values(np.array(order, np.int64)).tolist() == [values[i] for i in order]
+
+
 def test_elias_fano_is_small():
     values = np.sort(np.random.default_rng(1).integers(0, 1 << 30, 100_000))
     assert len(elias_fano.pack(values)) < 100_000 * (30 - 16 + 3) / 8
