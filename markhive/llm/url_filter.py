@@ -9,8 +9,10 @@ that number is odd.  All keys of the corpus take part, so there are no false
 answers and pages need no join.
 
 Each level is built by Spark: tasks set bits, ``bit_or`` joins their words.  The
-driver holds the filters only, at most MAX_BITS of them; a list that needs
-more is looked up with a join instead, with the same result.
+driver holds the filters only, at most MAX_BITS of them.  A list that needs more
+is dealt to shards of about SHARD_KEYS keys: a task builds each shard's cascade,
+and the rows meet the filters of their key's shard in tasks.  Nothing of these
+passes the driver, and the rows of a hot key are dealt to SALTS tasks.
 
 Cases: null URLs and URLs without ``://`` have an empty host and path and fit no
 rule; an empty host is a key like any other, never listed by the default list.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markhive.llm.common import per_task, stored, with_field
+from markhive.llm.common import partitions_of, per_task, stored, with_field
 
 #: Bits of all levels together (16 MB).
 MAX_BITS = 1 << 27
@@ -36,6 +38,8 @@ MAX_BITS = 1 << 27
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Labels of hosts that are listed by default (fixed values: advertising and spam hosts).
 LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: Keys of a shard, about, and tasks that its rows are dealt to.
+SHARD_KEYS, SALTS = 1 << 20, 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -118,6 +122,15 @@ def _keyed(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("h", F.xxhash64(F.lit(1), key)).withColumn("g", F.xxhash64(F.lit(2), key))
 
 
+def _shape(n: int, level: int, n_listed: int, n_other: int) -> tuple[int, int]:
+    """Bits and hashes of a level for n keys."""
+    # level 1 lets through about as many other keys as there are listed ones; later levels half of what they see
+    p = 0.5 if level else min(0.5, 0.7 * n_listed / max(1, n_other))
+    if level > 64:
+        raise ValueError("keys that equal hashes can't tell apart")
+    return max(64, math.ceil(n * math.log2(1 / p) * 1.4427 / 64) * 64), max(1, round(math.log2(1 / p)))
+
+
 def build(universe: DataFrame, max_bits: int = MAX_BITS) -> list[Level] | None:
     """The cascade over ``universe`` (key, listed); None if it would take more than ``max_bits``.
 
@@ -135,19 +148,13 @@ def build(universe: DataFrame, max_bits: int = MAX_BITS) -> list[Level] | None:
         n = n_listed if not levels else wrong.count()
         if not n:
             return levels
-        # level 1 lets through about as many other keys as there are listed ones; later levels half of what they see
-        p = 0.5 if levels else min(0.5, 0.7 * n_listed / max(1, n_other))
-        bits = max(64, math.ceil(n * math.log2(1 / p) * 1.4427 / 64) * 64)
+        bits, hashes = _shape(n, len(levels), n_listed, n_other)
         used += bits
         if used > max_bits:
             return None
-        if len(levels) > 64:
-            raise ValueError("keys that equal hashes can't tell apart")
-        hashes = max(1, round(math.log2(1 / p)))
-        words = per_task(wrong, _set_bits, "word long, mask long", len(levels), hashes, bits).groupBy("word").agg(F.bit_or("mask")).collect()
+        words = per_task(wrong, _set_bits, "word long, mask long", len(levels), hashes, bits).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
         filled = np.zeros(bits // 64, np.uint64)
-        for word, mask in words:
-            filled[word] = np.int64(mask).view(np.uint64)
+        filled[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
         levels = [*levels, Level(bits, hashes, filled)]
 
 
@@ -164,13 +171,96 @@ def with_listed(df: DataFrame, key: str, universe: DataFrame, name: str = "liste
         raise ValueError(f"columns {name}, h and g are made here; rename them first")
     levels = build(universe, max_bits)
     if levels is None:
-        known = universe.where("listed").select(F.col("key").alias("__key")).distinct()
-        known = known.withColumn("__hit", F.lit(True))
-        return df.join(known, F.col(key) == F.col("__key"), "left").drop("__key").withColumn(name, F.coalesce("__hit", F.lit(False))).drop("__hit")
+        return _with_listed_by_shards(df, key, universe, name)
     told = df.sparkSession.sparkContext.broadcast(levels)
     return per_task(_keyed(df, key), _answered, with_field(df.schema, name, "boolean"), told, name)
 
 
+# ------------------------------------------------------------------ cascades in shards
+
+FILTER_FIELDS = "shard long, bits array<long>, hashes array<long>, words binary"
+
+
+def cascade(h: np.ndarray, g: np.ndarray, listed: np.ndarray) -> list[Level]:
+    """The cascade of keys that one task holds."""
+    levels: list[Level] = []
+    n_listed = int(listed.sum())
+    while True:
+        wrong = (depth(h, g, levels) % 2 == 1) != listed
+        if not wrong.any():
+            return levels
+        bits, hashes = _shape(int(wrong.sum()), len(levels), n_listed, len(h) - n_listed)
+        at = _positions(h[wrong], g[wrong], len(levels), hashes, bits).ravel()
+        words = np.zeros(bits // 64, np.uint64)
+        np.bitwise_or.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        levels.append(Level(bits, hashes, words))
+
+
+def _segments(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
+    """Runs of rows with equal values of some columns."""
+    own = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, (np.diff(own, axis=0) != 0).any(axis=1)])
+    for a, b in zip(starts, np.r_[starts[1:], len(own)], strict=True):
+        yield tuple(own[a].tolist()), batch.slice(a, b - a)
+
+
+def _filters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cascade of each shard, from keys sorted by shard."""
+    at, held = None, []
+
+    def made() -> pa.RecordBatch:
+        levels = cascade(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        row = [at], [[x.bits for x in levels]], [[x.hashes for x in levels]], [b"".join(x.words.tobytes() for x in levels)]
+        types = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=[f.split()[0] for f in FILTER_FIELDS.split(", ")])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        for (shard,), part in _segments(batch, ("shard",)):
+            if shard != at and held:
+                yield made()
+                held = []
+            at = shard
+            held.append((*_hashes(part), part.column("listed").to_numpy(zero_copy_only=False).astype(bool)))
+    if held:
+        yield made()
+
+
+def _answered_by_shard(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows with their answers, from filters and rows sorted by shard, salt and role."""
+    at, levels = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        for (shard, salt, role), part in _segments(batch, ("shard", "salt", "role")):
+            if (shard, salt) != at:
+                at, levels = (shard, salt), []  # a shard without a filter has nothing listed
+            if role:
+                listed = depth(*_hashes(part), levels) % 2 == 1
+                yield pa.RecordBatch.from_arrays([*part.column("row").flatten(), pa.array(listed)], names=names)
+                continue
+            words = np.frombuffer(part.column("words")[0].as_py(), np.uint64)
+            first = 0
+            for bits, hashes in zip(part.column("bits")[0].as_py(), part.column("hashes")[0].as_py(), strict=True):
+                levels.append(Level(bits, hashes, words[first : first + bits // 64]))
+                first += bits // 64
+
+
+def _with_listed_by_shards(df: DataFrame, key: str, universe: DataFrame, name: str) -> DataFrame:
+    n = partitions_of(df.sparkSession)
+    shards = max(1, universe.count() // SHARD_KEYS)
+    shard = lambda k: F.pmod(F.xxhash64(F.lit(3), k), F.lit(shards)).alias("shard")
+    keys = _keyed(universe, "key").select(shard("key"), "h", "g", F.coalesce("listed", F.lit(False)).alias("listed")).distinct()
+    filters = stored(per_task(keys.repartition(n, "shard").sortWithinPartitions("shard"), _filters, FILTER_FIELDS), "url-filters")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    own = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    rows = _keyed(df, key).select(shard(key), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), F.lit(1).alias("role"), own, "h", "g")
+    met = rows.unionByName(filters.select("shard", salts, F.lit(0).alias("role"), "bits", "hashes", "words"), allowMissingColumns=True)
+    met = met.repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "role")
+    return per_task(met, _answered_by_shard, with_field(df.schema, name, "boolean"), [*df.columns, name])
+
+
 def listed_hosts(hosts: DataFrame, labels: Iterable[str] = LISTED_LABELS) -> DataFrame:
     """(key, listed) for each host: listed if one of its labels is."""
     return hosts.select(F.col("host").alias("key"), F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, labels))).alias("listed"))

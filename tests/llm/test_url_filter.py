@@ -33,11 +33,18 @@ def test_cascade_is_exact(spark):
     assert len(url_filter.build(universe)) > 2
 
 
-def test_too_large_a_cascade_becomes_a_join(spark):
+def test_too_large_a_cascade_is_dealt_to_shards(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "SHARD_KEYS", 100)
     universe = spark.range(1000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 3 == 0).alias("listed"))
     assert url_filter.build(universe, max_bits=64) is None
-    got = url_filter.with_listed(universe.select("key"), "key", universe, max_bits=64)
-    assert got.where("listed").count() == 334
+    # a third of the rows has one key; the columns' names are those that the shards use
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, "33").otherwise((F.col("id") % 1000).cast("string")).alias("key"), F.col("id").alias("shard"), F.lit(None).cast("string").alias("row"))
+    got = url_filter.with_listed(rows, "key", universe, max_bits=64)
+    assert got.columns == ["key", "shard", "row", "listed"] and got.select("shard").distinct().count() == 3000
+    assert got.where(F.col("listed") != (F.col("key").cast("long") % 3 == 0)).count() == 0
+    none = universe.withColumn("listed", F.lit(False))
+    assert url_filter._with_listed_by_shards(rows, "key", none, "listed").where("listed").count() == 0
+    assert url_filter._with_listed_by_shards(rows.limit(0), "key", universe.limit(0), "listed").count() == 0
 
 
 def test_nothing_listed_or_nothing_at_all(spark):
