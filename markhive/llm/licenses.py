@@ -145,8 +145,9 @@ def _windows_of(text: Column, shared: Column, own: list[str], n_words: int, plac
     def opened(at: Column) -> Column:
         # the need-th template bigram from here on still lies in the window
         near = F.filter(at, lambda i, k: F.get(at, k + (need - 1)) <= i + (n_words - 2))
-        bigrams = F.transform(near, lambda i: F.array_distinct(F.slice(text, i, n_words - 1)))
-        dice = F.transform(bigrams, lambda u: 2.0 * F.size(F.array_intersect(u, template)) / (F.size(u) + len(own)))
+        # one window's bigrams at a time, so that memory follows the text and not its windows
+        window = lambda i: F.array_distinct(F.slice(text, i, n_words - 1))
+        dice = F.transform(near, lambda i: _bound(window(i), lambda u: 2.0 * F.size(F.array_intersect(u, template)) / (F.size(u) + len(own))))
         return F.filter(dice, lambda d: d >= least)
 
     begins = F.filter(F.sequence(F.lit(1), F.size(text)), lambda i: F.array_contains(template, F.element_at(text, i)))
