@@ -28,11 +28,19 @@ from ..session import ensure_checkpoint_dir
 
 
 def write_table(df: DataFrame, out: str, partition_by: str | None = None, mode: str = "overwrite") -> None:
-    """Parquet output of links or reports, optionally split by a column."""
+    """Parquet output of links or reports, optionally split by a column.
+
+    A table without rows is written with its columns: Spark makes no file for a
+    split table that is empty, and without one it can't be read again.
+    """
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(out)
+    if partition_by:
+        spark = df.sparkSession
+        if spark.read.schema(df.schema).parquet(out).isEmpty():
+            spark.createDataFrame([], df.schema).write.mode("append").parquet(out)
 
 
 def filesystem_of(path: str):

@@ -10,7 +10,7 @@ from markhive import CompareOptions, KeyOptions
 from markhive.operators import naming
 from markhive.plans import jobs
 from markhive.sources.documents import read_html_files, read_json_files
-from markhive.sources.sinks import write_named_documents, write_named_lines
+from markhive.sources.sinks import write_named_documents, write_named_lines, write_table
 
 FILE_A = """<!DOCTYPE NETSCAPE-Bookmark-file-1>
 <DL><p>
@@ -185,3 +185,18 @@ def test_read_json_glob(spark, tmp_dir):
     write(f"{tmp_dir}/j/deep/er/Bookmarks", "{}")
     assert read_json_files(spark, f"{tmp_dir}/j/*.json").count() == 1
     assert read_json_files(spark, f"{tmp_dir}/j/**/Bookmarks").count() == 1
+
+
+def test_a_report_without_rows_is_read_back(spark, tree):
+    out = f"{tree}/report"
+    with open(f"{tree}/in/b.html", "w", encoding="utf-8") as f:
+        f.write(FILE_A)
+    files = [f"{tree}/in/a.html", f"{tree}/in/b.html"]
+    report = jobs.compare_files(spark, files, CompareOptions(), output=out)
+    back = spark.read.parquet(out)
+    assert back.count() == 0 and dict(back.dtypes) == dict(report.dtypes)
+    # rows that are added later, or written in its place, are read as ever
+    row = spark.createDataFrame([("bookmark", "unique")], "item_kind string, section string")
+    for mode in ("append", "overwrite"):
+        write_table(row, out, partition_by="item_kind", mode=mode)
+        assert [(r.item_kind, r.section) for r in spark.read.parquet(out).collect()] == [("bookmark", "unique")]
