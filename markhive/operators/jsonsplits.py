@@ -39,7 +39,7 @@ _TOKEN = re.compile(rb'"(?:[^"\\]++|\\[\s\S])*+"|[{}\[\],:]|[^\s"{}\[\],:]++')
 _ESCAPE = re.compile(rb"\\[\s\S]")
 _BEGINS = re.compile(rb'\s*[{\["\-0-9tfn]')
 _OPENING, _CLOSING, _COMMA, _QUOTE = b"{[", b"}]", 0x2C, 0x22
-_SCAN = "path string, start bigint, flips int, cut0 bigint, cut1 bigint, at0 bigint, at1 bigint, change0 bigint, change1 bigint"
+_SCAN = "path string, start bigint, size bigint, flips int, cut0 bigint, cut1 bigint, at0 bigint, at1 bigint, change0 bigint, change1 bigint"
 _EVENTS = "doc string, pos bigint, depth int, key string, value string, is_object boolean, opens boolean"
 
 
@@ -59,7 +59,7 @@ def _scanned(batches) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in _SCAN.split(", ")]
     for b in batches:
         rows = []
-        for path, start, end in zip(b["path"], b["start"], b["end"], strict=True):
+        for path, start, end, size in zip(b["path"], b["start"], b["end"], b["size"], strict=True):
             data = _bytes(path, start, end)
             if _escaped(path, start):
                 data = b"." + data[1:]
@@ -73,27 +73,38 @@ def _scanned(batches) -> Iterator[pd.DataFrame]:
                 commas = np.flatnonzero(outside & (data == _COMMA))
                 cut = int(commas[0]) if len(commas) else None
                 found.append((None if cut is None else start + cut, 0 if cut is None else int(depth[cut]), int(depth[-1])))
-            rows.append((path, start, int(strings[-1]), found[0][0], found[1][0], found[0][1], found[1][1], found[0][2], found[1][2]))
+            rows.append((path, start, size, int(strings[-1]), found[0][0], found[1][0], found[0][1], found[1][1], found[0][2], found[1][2]))
         yield pd.DataFrame(rows, columns=columns).astype({"cut0": "Int64", "cut1": "Int64"})
 
 
 _REGIONS = "path string, start bigint, end bigint, depth int, problem string"
 
 
-def _regions(group: pd.DataFrame) -> pd.DataFrame:
-    """Regions of one file with their depths, from its splits' cases composed in order."""
-    group = group.sort_values("start")
-    inside, depth, starts, depths = 0, 0, [0], [0]
-    for row in group.itertuples(index=False):
-        cut, at, change = ((row.cut0, row.at0, row.change0), (row.cut1, row.at1, row.change1))[inside]
-        if row.start and not pd.isna(cut):
-            starts.append(int(cut))
-            depths.append(depth + int(at))
-        inside, depth = inside ^ int(row.flips), depth + int(change)
-    problem = "a string does not end" if inside else "brackets do not close" if depth else None
-    ends = [*starts[1:], int(group["size"].iloc[0])]
-    out = pd.DataFrame({"start": starts, "end": ends, "depth": depths})
-    return out.assign(path=group["path"].iloc[0], problem=problem)[["path", "start", "end", "depth", "problem"]]
+def _regions(batches) -> Iterator[pd.DataFrame]:
+    """Regions of each file with their depths, from its splits' cases composed in order; a file's splits come together, in order."""
+    columns = [c.split()[0] for c in _REGIONS.split(", ")]
+    done, path, size, inside, depth, begun = [], None, 0, 0, 0, []
+
+    def ended() -> list[tuple]:
+        problem = "a string does not end" if inside else "brackets do not close" if depth else None
+        ends = [*(start for start, _ in begun[1:]), size]
+        return [(path, start, end, at, problem) for (start, at), end in zip(begun, ends, strict=True)]
+
+    for b in batches:
+        for row in b.itertuples(index=False):
+            if row.path != path:
+                if begun:
+                    done += ended()
+                path, size, inside, depth, begun = row.path, int(row.size), 0, 0, [(0, 0)]
+            cut, at, change = ((row.cut0, row.at0, row.change0), (row.cut1, row.at1, row.change1))[inside]
+            if row.start and not pd.isna(cut):
+                begun.append((int(cut), depth + int(at)))
+            inside, depth = inside ^ int(row.flips), depth + int(change)
+            if len(done) >= 20_000:
+                yield pd.DataFrame(done, columns=columns)
+                done = []
+    if begun:
+        yield pd.DataFrame(done + ended(), columns=columns)
 
 
 def _string(raw: bytes) -> str:
@@ -148,8 +159,10 @@ def flatten_json_splits(files: DataFrame, fields: JsonFields = CHROMIUM, split:
     splits = files.where("size > 0").select("path", "size", F.explode(places).alias("k"))
     splits = splits.select("path", "size", (F.col("k") * split).alias("start"), F.least((F.col("k") + 1) * split, F.col("size")).alias("end"))
     n = splits.count()
-    scanned = _per_row(splits, _scanned, _SCAN, n).join(files.select("path", "size"), "path")
-    regions = scanned.groupBy("path").applyInPandas(_regions, _REGIONS).checkpoint(eager=True)
+    # files are many: a task goes through all that it has been dealt, and no table of them is broadcast
+    dealt = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scanned = _per_row(splits, _scanned, _SCAN, n).repartition(dealt, "path").sortWithinPartitions("path", "start")
+    regions = scanned.mapInPandas(_regions, _REGIONS).checkpoint(eager=True)
     work = regions.where("problem is null and end > start").select("path", "start", "end", "depth")
     events = _per_row(work, lambda batches: _events(batches, fields), _EVENTS, n).checkpoint(eager=True)
 

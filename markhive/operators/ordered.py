@@ -5,8 +5,9 @@ If one document holds a large share of all rows, that task holds it all.
 The helpers here split each partition into chunks that are contiguous in
 order, compute the running value inside each chunk with a window, and add the
 carry from earlier chunks, taken from a small table with one row per chunk.
-The small table is joined back; AQE broadcasts it when its measured size is
-small and falls back to a shuffle join otherwise.
+The small table is joined back: sums by a join that AQE broadcasts when its
+measured size is small, last markers always by a shuffle join, on keys that the
+window is dealt by already.
 """
 
 from __future__ import annotations
@@ -72,8 +73,10 @@ def last_before(
     carry = last_in_chunk.select(
         *part, chunk, F.last("_lb_last", ignorenulls=True).over(w_chunks).alias("_lb_carry")
     )
+    # One row per part and chunk: with many parts that is a large table, which the
+    # estimates made before the run may take for a small one.
     return (
-        local.join(carry, [*part, chunk])
+        local.join(carry.hint("merge"), [*part, chunk])
         .withColumn(out, F.coalesce("_lb_local", "_lb_carry"))
         .drop("_lb_local", "_lb_carry", "_lb_chunk")
     )

@@ -4,11 +4,13 @@ import json
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from markhive.operators.jsonsplits import flatten_json_splits
+from markhive.operators.jsonsplits import _regions, flatten_json_splits
 from markhive.operators.jsontree import FIREFOX, JsonFields, flatten_json, json_errors
+from markhive.operators.ordered import last_before
 from markhive.plans import jobs
 from markhive.sources.documents import json_targets, read_json_files
 
@@ -91,3 +93,32 @@ def test_one_file_from_many_tasks(spark, tmp_dir):
     links = flatten_json_splits(found.files, split=1 << 14).where("kind = 'link'")
     got = links.agg(F.count("*"), F.countDistinct("url"), F.min(F.size("folder")), F.count_if(F.get("folder", F.lit(1)) == F.concat(F.lit("F"), "name"))).first()
     assert tuple(got) == (n, n, 2, n)
+
+
+def test_many_files_share_a_batch(spark, tmp_dir):
+    """Regions of each file are its own, also where a file before it is unreadable."""
+    texts = {f"f{i:03}": json.dumps({"roots": {"b": {"children": [{"name": f"n{i}", "url": "u" * (i % 40)}, {"name": "x", "url": "y"}]}}}) for i in range(60)}
+    texts |= {f"f{i:03}": '{"roots": {"b": {"name": "n"' + ', "url": "cut' * (i % 2) for i in range(3, 60, 10)}
+    write_all(tmp_dir, texts)
+    found = json_targets(spark, f"{tmp_dir}/*.json")
+    nodes = flatten_json_splits(found.files, split=16)
+    assert len(json_errors(nodes).collect()) == 6
+    assert in_order(nodes) == in_order(flatten_json(read_json_files(spark, found)))
+
+
+def test_regions_of_files_come_from_one_pass():
+    def split(path, start, flips, cut, change):
+        return {"path": path, "start": start, "size": 20, "flips": flips, "cut0": cut, "cut1": None, "at0": 1, "at1": 0, "change0": change, "change1": 0}
+
+    rows = [split("a", 0, 0, 5, 2), split("a", 10, 0, 14, -2), split("b", 0, 1, None, 0), split("b", 10, 0, 12, 0), split("c", 0, 0, 3, 0)]
+    batches = [pd.DataFrame(rows[:1]), pd.DataFrame(rows[1:4]), pd.DataFrame(rows[4:])]
+    got = [tuple(r) for out in _regions(iter(batches)) for r in out.itertuples(index=False)]
+    assert got == [("a", 0, 14, 0, None), ("a", 14, 20, 3, None), ("b", 0, 20, 0, "a string does not end"), ("c", 0, 20, 0, None)]
+
+
+def test_last_markers_are_not_broadcast(spark):
+    """Estimates made before a run take a table derived from a short list of files for a small one."""
+    rows = spark.createDataFrame([("d", 1, 0, "m"), ("d", 2, 1, None)], "doc string, pos long, chunk long, marker string")
+    found = last_before(rows, ["doc"], "pos", "chunk", "marker", "anc")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.anc for r in found.orderBy("pos").collect()] == [None, "m"]
