@@ -14,7 +14,8 @@ logarithm, rounded down, so that the sum of all p stays at most 1.
 2. Every block sends its distinct bigrams, with training counts, to cells.  A
    cell is a range of context hashes that holds about CELL tokens, so cells grow
    in number, not in size.  Contexts of more than HOT training tokens (at most
-   N / HOT words) are split by the successor's hash into contexts of their own.
+   N / HOT words; no more than a cell's tokens, so that one context doesn't make
+   a cell several times as large) are split by the successor's hash into contexts of their own.
 3. A cell adds the counts, builds its trie, asks it once for each bigram and
    answers every block: for each bigram its code, for each context its count and
    types.  The trie's levels are read as they are packed, in an anonymous memory
@@ -44,9 +45,11 @@ from markhive.llm.elias_fano import Trie
 from markhive.llm.word_hash import hashed_words, spread
 
 #: Tokens of a block and, about, of a cell; training tokens from which a context is split.
-BLOCK, CELL, HOT = 1 << 19, 1 << 18, 1 << 20
+BLOCK, CELL, HOT = 1 << 19, 1 << 18, 1 << 18
 #: Hashed counters that find the words that may be hot.
 CELLS = 1 << 16
+#: Bigrams that a trie is asked for at once.
+ASKED = 1 << 16
 #: Discount of bigram counts.
 DISCOUNT = 0.75
 #: Quantiser: codes 1 to 255 for probabilities from 1e-8 to 1.
@@ -220,14 +223,20 @@ def _answer(cell: int, rows: list[tuple], hot: tuple[np.ndarray, np.ndarray]) ->
     contexts = [np.frombuffer(r[1], np.int64) for r in rows]
     sizes = [np.frombuffer(r[2], np.uint32) for r in rows]
     asked = np.repeat(np.concatenate(contexts), np.concatenate(sizes))
-    raw = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, Trie.BITS // 8)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, : Trie.BITS // 8] = raw
-    successor = wide.view("<u8").ravel().astype(np.int64)
-    counts = np.frombuffer(b"".join(r[4] for r in rows), np.uint32)
-    names, place = np.unique(asked, return_inverse=True)
-    keys, entry = np.unique(place << Trie.BITS | successor, return_inverse=True)
-    sums = np.bincount(entry, weights=counts, minlength=len(keys)).astype(np.int64)
+    names, keys = np.unique(asked, return_inverse=True)
+    del asked
+    keys <<= Trie.BITS
+    wide = np.zeros((len(keys), 8), np.uint8)
+    at = 0
+    for r in rows:
+        raw = np.frombuffer(r[3], np.uint8).reshape(-1, Trie.BITS // 8)
+        wide[at : at + len(raw), : Trie.BITS // 8] = raw
+        at += len(raw)
+    keys |= wide.view("<i8").ravel()
+    del wide
+    keys, entry = np.unique(keys, return_inverse=True)
+    entry = entry.astype(np.int32)  # a cell has no more entries than its blocks have tokens
+    sums = np.bincount(entry, weights=np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows]), minlength=len(keys)).astype(np.int64)
     asked_keys, known = keys, sums > 0
     keys, sums = keys[known], sums[known]
     of = keys >> Trie.BITS
@@ -244,9 +253,13 @@ def _answer(cell: int, rows: list[tuple], hot: tuple[np.ndarray, np.ndarray]) ->
     whole = total.copy()
     whole[split] = totals[part_of[split]]
     trie = Trie.build(names, keys, quantised((sums - DISCOUNT) / whole[of]))
-    # the trie is asked once for each bigram of the cell, whatever the number of blocks that ask
-    of = asked_keys >> Trie.BITS
-    codes = trie.codes_after(trie.places(names)[of], asked_keys & ((1 << Trie.BITS) - 1))[entry]
+    # the trie is asked once for each bigram of the cell, whatever the number of blocks that ask, some at a time
+    del keys, sums, of, known
+    codes, places = np.empty(len(asked_keys), np.uint8), trie.places(names)
+    for a in range(0, len(asked_keys), ASKED):
+        some = asked_keys[a : a + ASKED]
+        codes[a : a + ASKED] = trie.codes_after(places[some >> Trie.BITS], some & ((1 << Trie.BITS) - 1))
+    codes = codes[entry]
     one = (part_of < 0) & (names != _START_CONTEXT)
     seen = [int((one & (total > 0)).sum()), int((one & (total == 1)).sum()), int((one & (total == 2)).sum())]
     ends = np.cumsum([s.sum() for s in sizes])
