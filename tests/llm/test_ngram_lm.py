@@ -121,3 +121,25 @@ def test_probabilities_sum_to_one_at_most():
 def test_held_out_texts_beat_the_base(spark):
     rows = [r for r in ngram_lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_a_cell_asks_its_trie_for_some_bigrams_at_a_time(monkeypatch):
+    rnd = np.random.default_rng(1)
+    rows, want = [], Counter()
+    for block in range(3):
+        contexts = np.unique(rnd.integers(0, 20, 12))
+        bigrams = [(c, s) for c in contexts.tolist() for s in np.unique(rnd.integers(0, 30, 8)).tolist()]
+        sizes = np.array([sum(c == x for c, _ in bigrams) for x in contexts], np.uint32)
+        successors = b"".join(s.to_bytes(5, "little") for _, s in bigrams)
+        rows.append((block, contexts.tobytes(), sizes.tobytes(), successors, np.full(len(bigrams), block, np.uint32).tobytes(), None))
+        want.update({b: block for b in bigrams})
+    most, whole = [], elias_fano.Trie.codes_after
+    monkeypatch.setattr(elias_fano.Trie, "codes_after", lambda self, place, successor: most.append(len(place)) or whole(self, place, successor))
+    none = np.empty(0, np.int64)
+    at_once = ngram_lm._answer(0, rows, (none, none))
+    monkeypatch.setattr(ngram_lm, "ASKED", 7)
+    most.clear()
+    assert ngram_lm._answer(0, rows, (none, none)).equals(at_once)
+    assert max(most) == 7 and sum(most) == len(want)
+    # a context that is not split makes a cell no more than twice as large
+    assert ngram_lm.HOT <= ngram_lm.CELL
