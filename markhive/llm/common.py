@@ -53,15 +53,20 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
         yield batch.slice(start)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, lineage cut.
 
     The files outlive the executors that wrote them; they may be removed with
     the checkpoint folder once the results that read them are written.
+    rows: of a row group at most; for wide rows, since writers and readers hold a
+    row group or thousands of its rows at a time.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if rows:
+        writer = writer.option("parquet.block.row.count.limit", str(rows))
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,12 +1,16 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from markhive.llm import elias_fano, ngram_lm
+from markhive.llm.common import stored
 
 from .conftest import ODD, frame
 
@@ -143,3 +147,77 @@ def test_a_cell_asks_its_trie_for_some_bigrams_at_a_time(monkeypatch):
     assert max(most) == 7 and sum(most) == len(want)
     # a context that is not split makes a cell no more than twice as large
     assert ngram_lm.HOT <= ngram_lm.CELL
+
+
+def cell_rows(n_blocks: int, n_contexts: int, n_successors: int, parts: bytes | None = None) -> list[tuple]:
+    rnd = np.random.default_rng(n_blocks)
+    rows = []
+    for block in range(n_blocks):
+        contexts = np.unique(rnd.integers(0, 1 << 40, n_contexts) % (3 * n_contexts))
+        sizes = rnd.integers(1, n_successors, len(contexts)).astype(np.uint32)
+        successors = np.concatenate([np.sort(rnd.choice(4 * n_successors, n, replace=False)) for n in sizes])
+        raw = np.ascontiguousarray(successors.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+        rows.append((block, contexts.tobytes(), sizes.tobytes(), raw, rnd.integers(0, 3, len(successors)).astype(np.uint32).tobytes(), parts))
+    return rows
+
+
+@pytest.mark.parametrize("most", [1, 13, 60, 10_000])
+def test_a_cell_is_answered_by_ranges_of_contexts(monkeypatch, most):
+    # the second context of each block is a part of a hot word
+    rows = cell_rows(5, 20, 9, np.array([[1, 0]], np.int32).tobytes())
+    hot = np.array([77]), np.array([1000])
+    whole = ngram_lm._answer(0, rows, hot)
+    sizes, one = [], ngram_lm._answer_range
+    monkeypatch.setattr(ngram_lm, "RANGE", most)
+    monkeypatch.setattr(ngram_lm, "_answer_range", lambda names, of, *rest: sizes.append((len(names), len(of))) or one(names, of, *rest))
+    assert ngram_lm._answer(0, rows, hot).equals(whole)
+    assert all(contexts == 1 or bigrams <= most for contexts, bigrams in sizes)
+    assert sum(bigrams for _, bigrams in sizes) == sum(len(r[3]) for r in rows) // 5
+
+
+def test_memory_of_a_cell_follows_its_ranges():
+    rows = cell_rows(240, 250, 80)
+    sent = sum(len(x) for r in rows for x in r[1:5])
+    assert sent > 15 << 20
+    none = np.empty(0, np.int64)
+    tracemalloc.start()
+    ngram_lm._answer(0, rows, (none, none))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * sent
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_answers_follow_their_block_over_batches(size):
+    def block(number: int, texts: list[int]) -> dict:
+        words = np.array(texts, np.uint64)
+        return {"block": number, "cell": None, "doc_ids": [None], "held": b"\0", "sizes": np.array([len(words)]).tobytes(), "words": words.tobytes(), "tokens": bytes(range(len(words)))}
+
+    rows = [block(1, [5, 6]), *({"block": 1, "cell": c, "codes": bytes([c]), "totals": b"t", "types": b"y"} for c in (0, 3, 4)), block(2, [7]), block(3, [8]), {"block": 3, "cell": 2, "codes": b"c", "totals": b"t", "types": b"y"}]
+    schema = pa.schema([("block", pa.int64()), ("cell", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("held", "sizes", "words", "tokens", "codes", "totals", "types"))])
+    whole = pa.Table.from_pylist(rows, schema)
+    got = [(b.words.tolist(), b"".join(codes), len(totals), len(types)) for b, codes, totals, types in ngram_lm._answered(whole.to_batches(size))]
+    assert got == [([5, 6], b"\0\3\4", 3, 3), ([7], b"", 0, 0), ([8], b"c", 1, 1)]
+
+
+def test_a_blocks_answers_are_no_list_in_one_row(spark):
+    plan = ngram_lm.score(frame(spark, {i: f"a b c{i}" for i in range(20)}))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "collect_list" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("top", [1, 2, 256, 257, 65_536, 65_537, 1 << 24, (1 << 24) + 1])
+def test_tokens_of_a_block_in_planes(top):
+    tokens = np.array([0, top - 1, top // 2, 0])
+    raw = ngram_lm._planes(tokens, top)
+    row = pa.RecordBatch.from_pylist([{"words": b"", "sizes": np.array([4]).tobytes(), "held": b"\1", "tokens": raw}])
+    assert ngram_lm._Block(row, 0).tokens.tolist() == tokens.tolist()
+
+
+def test_wide_rows_are_stored_in_small_row_groups(spark, monkeypatch):
+    files = stored(spark.range(10).coalesce(1), "test-rows", 3).inputFiles()
+    (own,) = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
+    assert [own.row_group(i).num_rows for i in range(own.num_row_groups)] == [3, 3, 3, 1]
+    limits = {}
+    monkeypatch.setattr(ngram_lm, "stored", lambda df, name, rows=None: limits.setdefault(name, rows) and stored(df, name, rows))
+    ngram_lm.score(frame(spark, {1: "a b", 2: "b c"}))
+    assert limits == {"lm-blocks": 1, "lm-answers": ngram_lm.ANSWERS}
