@@ -105,7 +105,8 @@ class Network:
             x = self.embed[chunks[a : a + SLICE]]
             shape = (len(x), CHUNK - WIDTH + 1, WIDTH * EMBED)
             windows = np.lib.stride_tricks.as_strided(x, shape, (x.strides[0], x.strides[1], x.itemsize))
-            y = (windows.reshape(-1, WIDTH * EMBED) @ self.filters).reshape(*shape[:2], FILTERS)
+            # a product for each chunk: in one for all, rounding may depend on the chunks beside it
+            y = np.ascontiguousarray(windows) @ self.filters
             at = y.argmax(axis=1)
             place[a : a + SLICE] = at
             best[a : a + SLICE] = np.take_along_axis(y, at[:, None], axis=1)[:, 0]
@@ -113,7 +114,9 @@ class Network:
 
     def over_chunks(self, response: np.ndarray) -> np.ndarray:
         """Features of chunks from their filters' largest responses."""
-        return np.maximum(np.maximum(response + self.offset, 0) @ self.layer + self.layer_offset, 0)
+        lit = np.maximum(response + self.offset, 0)
+        # summed for each chunk alone, like the responses
+        return np.maximum((lit[:, :, None] * self.layer).sum(axis=1) + self.layer_offset, 0)
 
     def probability(self, texts: list[bytes]) -> np.ndarray:
         """Of every whole text, to be good."""
@@ -128,7 +131,7 @@ class Network:
             features[a : a + SLICE] = self.over_chunks(best)
         starts = np.searchsorted(owner, np.arange(len(texts)))
         means = np.add.reduceat(features, starts) / np.bincount(owner)[:, None]
-        z = np.concatenate([np.maximum.reduceat(features, starts), means], axis=1) @ self.out + self.base
+        z = (np.concatenate([np.maximum.reduceat(features, starts), means], axis=1) * self.out).sum(axis=1) + self.base
         return 1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30)))
 
     def gradients(self, chunks: np.ndarray, owner: np.ndarray, good: np.ndarray) -> list[np.ndarray]:

@@ -104,3 +104,14 @@ def test_odd_rows(spark, odd, empty):
     assert out.columns == [*clashing.columns, "quality_score"] and out.count() == odd.count()
     with pytest.raises(ValueError):
         net.score(odd, monkey, name="LANG")
+
+
+def test_a_score_does_not_depend_on_the_texts_beside_it():
+    rng = np.random.default_rng(3)
+    own = net.Network.fresh(rng)
+    own.offset = rng.normal(size=own.offset.shape).astype(np.float32)
+    texts = [b"", *(rng.integers(32, 120, n).astype(np.uint8).tobytes() for n in rng.integers(0, 2000, 40).tolist())]
+    alone = [own.probability([t])[0] for t in texts]
+    for n in range(1, len(texts) + 1):
+        assert own.probability(texts[:n]).tolist() == alone[:n]
+    assert len(set(own.probability([b""] * 9).tolist())) == 1
