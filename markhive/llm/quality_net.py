@@ -115,8 +115,8 @@ class Network:
     def over_chunks(self, response: np.ndarray) -> np.ndarray:
         """Features of chunks from their filters' largest responses."""
         lit = np.maximum(response + self.offset, 0)
-        # summed for each chunk alone, like the responses
-        return np.maximum((lit[:, :, None] * self.layer).sum(axis=1) + self.layer_offset, 0)
+        # a product for each chunk here too
+        return np.maximum((lit[:, None] @ self.layer)[:, 0] + self.layer_offset, 0)
 
     def probability(self, texts: list[bytes]) -> np.ndarray:
         """Of every whole text, to be good."""
