@@ -70,6 +70,12 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the files of shuffles that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def with_field(schema: StructType, name: str, kind: str) -> StructType:
     """The schema and one more field."""
     return StructType([*schema.fields, StructField(name, _parse_datatype_string(kind))])

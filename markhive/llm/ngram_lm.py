@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markhive.llm.common import bounded_batches, partitions_of, per_task, pieces, stored, text_bytes
+from markhive.llm.common import bounded_batches, drop_shuffles, partitions_of, per_task, pieces, stored, text_bytes
 from markhive.llm.elias_fano import Trie
 from markhive.llm.word_hash import hashed_words, spread
 
@@ -463,6 +463,7 @@ def score(df: DataFrame) -> DataFrame:
     asked = per_task(blocks, _requests, REQUEST_FIELDS, n_cells, sc.broadcast((names, parts)))
     asked = asked.repartition(n_parts, "cell").sortWithinPartitions("cell", "block")
     answers = stored(per_task(asked, _answers, ANSWER_FIELDS, sc.broadcast((names.view(np.int64), totals))), "lm-answers", ANSWERS)
+    del asked
     seen = answers.where("seen is not null")
     v, n1, n2 = (int(x or 0) for x in seen.agg(*(F.sum(F.col("seen")[k]) for k in range(3))).first())
     parts_of = seen.select(F.explode(F.arrays_zip("hot", "hot_types")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_types").alias("types")).collect()
@@ -470,6 +471,7 @@ def score(df: DataFrame) -> DataFrame:
     v += sum(x != int(START.astype(np.int64)) for x in names.view(np.int64).tolist()) + (ends > 0)
     model = {"n": n, "v": v, "d1": n1 / (n1 + 2 * n2) if n1 and n2 else 0.5, "ends": ends}
     told_hot = sc.broadcast((names, parts, totals, np.array([hot_types.get(int(x), 0) for x in names.view(np.int64)], np.int64)))
+    drop_shuffles(spark)  # of the requests, before blocks and answers are shuffled
     # a block's row has no cell, so it comes before its answers
     stream = blocks.select("block", "doc_ids", "held", "sizes", "words", "tokens").unionByName(answers.select("block", "cell", "codes", "totals", "types"), allowMissingColumns=True)
     stream = stream.repartition(n_parts, "block").sortWithinPartitions("block", F.asc_nulls_first("cell"))

@@ -221,3 +221,11 @@ def test_wide_rows_are_stored_in_small_row_groups(spark, monkeypatch):
     monkeypatch.setattr(ngram_lm, "stored", lambda df, name, rows=None: limits.setdefault(name, rows) and stored(df, name, rows))
     ngram_lm.score(frame(spark, {1: "a b", 2: "b c"}))
     assert limits == {"lm-blocks": 1, "lm-answers": ngram_lm.ANSWERS}
+
+
+def test_the_requests_shuffle_goes_before_the_last_one(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(ngram_lm, "stored", lambda df, name, rows=None: names.append(name) or stored(df, name, rows))
+    monkeypatch.setattr(ngram_lm, "drop_shuffles", lambda s: names.append("dropped"))
+    ngram_lm.score(frame(spark, {1: "a b", 2: "b c"}))
+    assert names == ["lm-blocks", "lm-answers", "dropped"]
